@@ -6,19 +6,29 @@ from . import secrets
 
 
 def secrets_sql() -> str:
-    """All rules by plain regular expressions over every text: no index, no candidates."""
-    cols = []
+    """All rules by plain regular expressions over every text: no index, no candidates. Runs of 24 hex digits are the
+    maximal runs of at least 24."""
+    lists, cols = [], []
     for i, r in enumerate(secrets.RULES):
-        p = r.pattern.replace("'", "''")
+        p = ("[0-9a-f]{24,}" if r.kind == "hex" else r.pattern).replace("'", "''")
+        lists.append(f"regexp_extract_all(t, '{p}', 0) AS m{i}, regexp_extract_all(t, '{p}', {r.group}) AS g{i}, regexp_split_to_array(t, '{p}') AS b{i}")
         cols.append(
-            f"""list_transform(list_filter(range(1, len(regexp_extract_all(t, '{p}', 0)) + 1),
-                lambda k: length(regexp_extract_all(t, '{p}', {r.group})[k]) >= {r.least}),
-              lambda k: {{'start': CAST(coalesce(list_sum(list_transform(regexp_split_to_array(t, '{p}')[1:k], lambda x: length(x))), 0)
-                                 + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}', 0)[1:k - 1], lambda x: length(x))), 0) AS BIGINT),
-                         'ord': {i}, 'size': CAST(length(regexp_extract_all(t, '{p}', 0)[k]) AS BIGINT), 'kind': '{r.kind}'}})"""
+            f"""list_transform(list_filter(range(1, len(m{i}) + 1), lambda k: length(g{i}[k]) >= {r.least}),
+              lambda k: {{'start': CAST(coalesce(list_sum(list_transform(b{i}[1:k], lambda x: length(x))), 0)
+                                 + coalesce(list_sum(list_transform(m{i}[1:k - 1], lambda x: length(x))), 0) AS BIGINT),
+                         'ord': {i}, 'size': CAST(length(m{i}[k]) AS BIGINT), 'kind': '{r.kind}'}})"""
         )
     joined = lambda e: f"array_to_string(list_transform({e}, lambda z: concat(z.kind, ':', z.start, ':', z.start + z.size)), ',')"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-      f AS (SELECT doc_id, list_sort(flatten([{', '.join(cols)}])) AS sp FROM d)
+      l AS (SELECT doc_id, {', '.join(lists)} FROM d),
+      f AS (SELECT doc_id, list_sort(flatten([{', '.join(cols)}])) AS sp FROM l)
       SELECT doc_id, CAST(len(list_filter(sp, lambda x: x.ord = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(sp, lambda x: x.ord = 1)) AS BIGINT) AS n_access,
         CAST(len(list_filter(sp, lambda x: x.ord = 2)) AS BIGINT) AS n_hex, sha256({joined('list_filter(sp, lambda x: x.ord < 3)')}) AS base_sha256, {joined('sp')} AS spans FROM f"""
+
+
+TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, oracles, secrets
+from . import mixing, oracles, packing, quality, secrets, topk
 
 
 def pipeline(spark, sf_dir):
@@ -12,8 +12,14 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {"op6_mixing": mixing.op6_mixing, "op8_secrets": secrets.op8_secrets}
+    return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op2_packing": packing.op2_packing,
+        "op3_topk": topk.op3_topk,
+        "op6_mixing": mixing.op6_mixing,
+        "op8_secrets": secrets.op8_secrets,
+    }
 
 
 def oracle_sql():
-    return {"op8_secrets": oracles.secrets_sql()}
+    return {"op3_topk": oracles.TOPK, "op8_secrets": oracles.secrets_sql()}
