@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, oracles, packing, quality, secrets, topk
+from . import html, mixing, oracles, packing, quality, secrets, topk
 
 
 def pipeline(spark, sf_dir):
@@ -16,6 +16,7 @@ def queries():
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_packing": packing.op2_packing,
         "op3_topk": topk.op3_topk,
+        "op4_html": html.op4_html,
         "op6_mixing": mixing.op6_mixing,
         "op8_secrets": secrets.op8_secrets,
     }
