@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, mixing, oracles, packing, quality, secrets, topk
+from . import html, langid, mixing, oracles, packing, quality, secrets, topk
 
 
 def pipeline(spark, sf_dir):
@@ -19,6 +19,7 @@ def queries():
         "op4_html": html.op4_html,
         "op6_mixing": mixing.op6_mixing,
         "op8_secrets": secrets.op8_secrets,
+        "op10_language": langid.op10_language,
     }
 
 
