@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, mixing, oracles, packing, quality, secrets, topk
+from . import html, langid, mixing, ngram_join, oracles, packing, quality, secrets, topk
 
 
 def pipeline(spark, sf_dir):
@@ -18,6 +18,7 @@ def queries():
         "op3_topk": topk.op3_topk,
         "op4_html": html.op4_html,
         "op6_mixing": mixing.op6_mixing,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_secrets": secrets.op8_secrets,
         "op10_language": langid.op10_language,
     }
