@@ -28,33 +28,38 @@ class Lists:
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.x, self.ids = x[by_id], ids[by_id]
-        self.order = np.argsort(self.x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, self.order, axis=0)
-        self.float = self.x.astype(float)
+        order = np.argsort(self.x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.x, order, axis=0)
+        self.order = np.ascontiguousarray(order.T)  # a row is a dimension's list
+        self.float, self.single = self.x.astype(float), self.x.astype(np.float32)
         self.most = int(np.abs(self.x).max(initial=0))
 
     def top(self, q: np.ndarray, own: int, k: int, step: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores, depth): the k best, ties to smaller ids; depth is how far the lists were walked."""
         n = len(self.ids)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        exact = self.most * int(np.abs(q).sum()) < 1 << 53  # then doubles hold every sum
+        reach = self.most * int(np.abs(q).sum())  # no partial sum is larger; floats that hold all such numbers add exactly
+        x = self.single if reach < 1 << 24 else self.float if reach < 1 << 53 else self.x
+        y = q.astype(x.dtype)
         seen = self.ids == own
         at, score = [], []
         depth, kth, count = 0, None, 0
         while depth < n:
             upto = min(n, depth + step)
             met = np.zeros(n, bool)
-            met[self.order[n - upto : n - depth, up]] = True
-            met[self.order[depth:upto, down]] = True
+            met[self.order[up, n - upto : n - depth]] = True
+            met[self.order[down, depth:upto]] = True
             if not len(up) and not len(down):
                 met[:] = True
                 upto = n
             fresh = np.flatnonzero(met & ~seen)
             seen |= met
             at.append(fresh)
-            score.append((self.float[fresh] @ q.astype(float)).astype(np.int64) if exact else self.x[fresh] @ q)
+            score.append(((x @ y)[fresh] if 4 * len(fresh) > n else x[fresh] @ y).astype(np.int64))  # of many, reading all in order is faster
             count += len(fresh)
             depth, step = upto, step * 2
+            if seen.all():
+                break
             if count >= k and depth < n:
                 if len(score) > 1:
                     score = [np.concatenate(score)]
