@@ -35,7 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialised tables; only when all that reads them is materialised in turn."""
+    for t in tables:
+        spark = t.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(t._written)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

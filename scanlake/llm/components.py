@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = materialize(large, name)
         small = large.join(least(large), "a")
         small = small.select("a", F.col("_m").alias("b")).unionByName(small.where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))).distinct()
-        e = materialize(small, name)
+        old, e = e, materialize(small, name)
+        discard(old, large)
         state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, table
+from .common import discard, materialize, small_side, table
 from .components import components
 from .words import mixed, slices, window_hashes, word_hashes, words
 
@@ -113,7 +113,8 @@ def light_boundary(sizes: list[tuple[int, int]], scanned: float, num: int, den:
 
 
 def signatures(reps: DataFrame, width: int, num: int, den: int, light: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(sig, rep, n, cent): the subsets and list entries of each representative's set (doc_id, text)."""
+    """Rows of two kinds for the sets of reps (doc_id, text): (sig, rep) for each subset and list entry, and, with sig null,
+    (rep, n, cent: share of frequent shingles in thousandths, bins: counts by hash bucket, cut off at 255)."""
 
     def run(batches):
         for b in slices(batches):
@@ -121,9 +122,10 @@ def signatures(reps: DataFrame, width: int, num: int, den: int, light: int, freq
             n = np.bincount(owner, minlength=b.num_rows)
             begin = np.concatenate([[0], np.cumsum(n)])[:-1]
             cent = np.bincount(owner, weights=f > 0, minlength=b.num_rows) * 1000 // np.maximum(n, 1)
+            bins = np.bincount(owner * BINS + (mixed(keys) % np.uint64(BINS)).astype(np.int64), minlength=b.num_rows * BINS)
+            bins = np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)
             place = np.arange(len(keys)) - begin[owner]
-            least = -(-num * n // den)
-            prefix = n - least + 1
+            prefix = n - -(-num * n // den) + 1
             # list entries: of heavy sets, and of light ones whose partners can be heavy
             listed = (den * n > num * light)[owner] & (place < prefix[owner]) & (n > 1)[owner]
             sig, who = [mixed(keys[listed])], [owner[listed]]
@@ -138,28 +140,33 @@ def signatures(reps: DataFrame, width: int, num: int, den: int, light: int, freq
                     sig.append(mixed(x * np.uint64(0x9E3779B97F4A7C15) + mixed(y)).ravel())
                 who.append(np.repeat(rows, len(i)))
             sig, who = np.concatenate(sig), np.concatenate(who)
-            rep = b.column("doc_id").take(pa.array(who))
-            yield pa.RecordBatch.from_arrays([_signed(sig), rep, pa.array(n[who]), pa.array(cent[who].astype(np.int64))], ["sig", "rep", "n", "cent"])
+            rep, none = b.column("doc_id"), lambda kind: pa.nulls(len(sig), kind)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([_signed(sig), pa.nulls(b.num_rows, pa.int64())]),
+                    pa.concat_arrays([rep.take(pa.array(who)), rep]),
+                    pa.concat_arrays([none(pa.int64()), pa.array(n)]),
+                    pa.concat_arrays([none(pa.int64()), pa.array(cent.astype(np.int64))]),
+                    pa.concat_arrays([none(pa.binary()), pa.array([x.tobytes() for x in bins], pa.binary())]),
+                ],
+                ["sig", "rep", "n", "cent", "bins"],
+            )
 
-    return reps.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "sig long, rep long, n long, cent long")
+    return reps.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "sig long, rep long, n long, cent long, bins binary")
 
 
-def sets(reps: DataFrame, width: int) -> DataFrame:
-    """(rep, n, bins, keys): a set's sorted shingles as bytes and its counts by bucket, cut off at 255."""
+def sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(x, keys: the set's sorted shingles as bytes) of the documents in wanted (x)."""
 
     def run(batches):
         for b in slices(batches):
             keys, owner = shingles(b.column("text"), width)
-            n = np.bincount(owner, minlength=b.num_rows)
-            off = np.concatenate([[0], np.cumsum(n)])
-            bins = np.bincount(owner * BINS + (mixed(keys) % np.uint64(BINS)).astype(np.int64), minlength=b.num_rows * BINS)
-            bins = np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in bins], pa.binary()), pa.array([keys[off[i] : off[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())],
-                ["rep", "n", "bins", "keys"],
-            )
+            off = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.num_rows))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([keys[off[i] : off[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["x", "keys"])
 
-    return reps.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "rep long, n long, bins binary, keys binary")
+    wanted = small_side(materialize(wanted.select(F.col("x").alias("doc_id")).distinct(), "join-wanted"), 2_000_000)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    return docs.mapInArrow(run, "x long, keys binary")
 
 
 def _bins_of(column) -> np.ndarray:
@@ -201,13 +208,30 @@ def tile_links(ka: list[np.ndarray], kb: list[np.ndarray], num: int, den: int) -
     return np.nonzero(den * same >= num * (na[:, None] + nb[None, :] - same))
 
 
+def _close(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs' bucket counts are as near as those of sets that link."""
+    apart = np.stack([np.abs(x - b).sum(1, dtype=np.int64) for x in a])
+    return apart * (den + num) <= (den - num) * (na[:, None] + nb[None, :])
+
+
+def _sketch_tile(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """The rows of a tile that may link across components."""
+    left, right = group[group["side"] == 0], group[group["side"] == 1]
+    out = [np.zeros(0, np.int64)]
+    if len(left) and len(right):
+        ok = _close(_bins_of(left["bins"]), left["n"].to_numpy(), _bins_of(right["bins"]), right["n"].to_numpy(), num, den)
+        ok &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+        out += [left["x"].to_numpy()[ok.any(1)], right["x"].to_numpy()[ok.any(0)]]
+    return pd.DataFrame({"lead": group["lead"].iloc[0], "x": np.unique(np.concatenate(out))})
+
+
 def _tile(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """A spanning forest, over components, of the links between a tile's stragglers (side 0) and members (side 1)."""
     left, right = group[group["side"] == 0], group[group["side"] == 1]
     out = []
     if len(left) and len(right):
         i, j = tile_links([np.frombuffer(k, np.uint64) for k in left["keys"]], [np.frombuffer(k, np.uint64) for k in right["keys"]], num, den)
-        a, b = left["component"].to_numpy()[i], right["component"].to_numpy()[j]
+        pairs = np.unique(np.stack([left["component"].to_numpy()[i], right["component"].to_numpy()[j]], 1), axis=0)
         root: dict[int, int] = {}
 
         def find(x):
@@ -216,7 +240,7 @@ def _tile(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
                 x = root[x]
             return x
 
-        for x, y in set(zip(a.tolist(), b.tolist())):
+        for x, y in pairs.tolist():
             p, q = find(x), find(y)
             if p != q:
                 root[max(p, q)] = min(p, q)
@@ -224,6 +248,21 @@ def _tile(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def tiles(group: DataFrame, size: int) -> DataFrame:
+    """Rows of group (lead, x, component, away, band and others) dealt to tiles (lead, band, _near, i, j): the stragglers (away)
+    of a band as side 0 against all rows of the bands next to it as side 1, each side cut into blocks of about `size`."""
+    strays = group.where("away")
+    cut = lambda g, name: g.groupBy("lead", "band").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias(name))
+    met = cut(strays, "_a").withColumn("_near", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    met = materialize(met.join(cut(group, "_b").withColumnRenamed("band", "_near"), ["lead", "_near"]), "join-tiles")
+    number = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    rest = [c for c in group.columns if c not in ("lead", "band", "away")]
+    left = strays.join(met, ["lead", "band"]).select("lead", "band", "_near", F.pmod(F.xxhash64("x"), F.col("_a")).alias("i"), number("_b").alias("j"), F.lit(0).alias("side"), *rest)
+    right = group.withColumnRenamed("band", "_near").join(met, ["lead", "_near"])
+    right = right.select("lead", "band", "_near", number("_a").alias("i"), F.pmod(F.xxhash64("x"), F.col("_b")).alias("j"), F.lit(1).alias("side"), *rest)
+    return left.unionByName(right)
+
+
 def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short: int = 4, tile: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text): links where den * |A and B| >= num * |A or B|.
 
@@ -244,64 +283,56 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     light = light_boundary(sizes, float((counts.astype(float) ** 2).sum()) / total, num, den)
 
     reps = docs.join(small_side(classes.select(F.col("rep").alias("doc_id")), 2_000_000), "doc_id", "left_semi")
-    sig = materialize(signatures(reps, width, num, den, light, frequent, counts), "join-signatures")
-    lists = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    sig = materialize(sig.join(lists, "sig").dropDuplicates(["sig", "rep", "n"]), "join-lists")
+    signed = materialize(signatures(reps, width, num, den, light, frequent, counts), "join-signatures")
+    facts = signed.where("sig IS NULL").select("rep", "n", "cent", "bins")
+    entries = signed.where("sig IS NOT NULL").select("sig", "rep")
+    lists = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    shared = materialize(entries.join(lists, "sig").join(facts.select("rep", "n", "cent"), "rep"), "join-lists")
 
     # short lists: all pairs; long ones: the leader against each member
-    few = sig.where(F.col("_size") <= short).select("sig", "rep", "n")
-    other = few.select("sig", F.col("rep").alias("_rep"), F.col("n").alias("_n"))
     fits = (num * F.col("_n") <= den * F.col("n")) & (num * F.col("n") <= den * F.col("_n"))
+    few = shared.where(F.col("_size") <= short).select("sig", "rep", "n")
+    other = few.select("sig", F.col("rep").alias("_rep"), F.col("n").alias("_n"))
     pairs = few.join(other, "sig").where((F.col("rep") < F.col("_rep")) & fits).select(F.col("rep").alias("lead"), F.col("_rep").alias("x"))
-    many = sig.where(F.col("_size") > short)
-    lead = many.groupBy("sig").agg(F.max(F.struct("cent", -F.col("rep"), "n")).alias("_l")).select("sig", (-F.col("_l")["col2"]).alias("lead"), F.col("_l")["n"].alias("_n"))
+    many = shared.where(F.col("_size") > short)
+    lead = many.groupBy("sig").agg(F.max(F.struct("cent", (-F.col("rep")).alias("_r"), "n")).alias("_l")).select("sig", (-F.col("_l")["_r"]).alias("lead"), F.col("_l")["n"].alias("_n"))
     grouped = materialize(many.join(lead, "sig").select("lead", F.col("rep").alias("x"), "n", "_n").distinct(), "join-groups")
     star = grouped.where((F.col("lead") != F.col("x")) & fits).select("lead", "x")
     pairs = materialize(pairs.unionByName(star).distinct(), "join-pairs")
-
-    # the sets of what is left to compare
-    wanted = pairs.select(F.col("lead").alias("doc_id")).unionByName(pairs.select(F.col("x").alias("doc_id"))).unionByName(grouped.select(F.col("x").alias("doc_id"))).distinct()
-    wanted = materialize(wanted, "join-wanted")
-    have = materialize(sets(docs.join(small_side(wanted, 2_000_000), "doc_id", "left_semi"), width).distinct(), "join-keys")
-    bins = have.select("rep", F.col("n").alias("_n"), "bins")
+    discard(shared)
 
     def near(frames):
         for f in frames:
             if len(f):
                 apart = np.abs(_bins_of(f["bins"]) - _bins_of(f["_bins"])).sum(1, dtype=np.int64)
-                f = f[apart * (den + num) <= (den - num) * (f["_n"] + f["n"]).to_numpy()]
+                f = f[apart * (den + num) <= ((den - num) * (f["_n"] + f["n"])).to_numpy()]
             yield f[["lead", "x"]]
 
-    close = pairs.join(bins.select(F.col("rep").alias("lead"), "bins", "_n"), "lead").join(bins.select(F.col("rep").alias("x"), F.col("bins").alias("_bins"), F.col("_n").alias("n")), "x")
+    close = pairs.join(facts.select(F.col("rep").alias("lead"), "bins", F.col("n").alias("_n")), "lead").join(facts.select(F.col("rep").alias("x"), F.col("bins").alias("_bins"), "n"), "x")
     close = materialize(close.mapInPandas(near, "lead long, x long").distinct(), "join-close")
     blocks = materialize(close.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / 256).cast("long").alias("_blocks")), "join-blocks")
     members = close.join(blocks, "lead").select("lead", "x", F.pmod(F.xxhash64("x"), F.col("_blocks")).alias("_block"))
     members = members.unionByName(blocks.select("lead", F.col("lead").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")))
-    keys = have.select(F.col("rep").alias("x"), "keys")
-    edges = members.join(keys, "x").groupBy("lead", "_block").applyInPandas(lambda g: _verify(g, num, den), "a long, b long")
-    edges = materialize(edges, "join-edges")
+    keys = materialize(sets(docs, members, width), "join-keys")
+    edges = materialize(members.join(keys, "x").groupBy("lead", "_block").applyInPandas(lambda g: _verify(g, num, den), "a long, b long"), "join-edges")
+    discard(keys)
 
-    # members outside their leader's component, against the rest of the leader's group
+    # members outside their leader's component, against the rest of the leader's group: by bucket counts, then by sets
     found = materialize(components(edges), "join-components")
-    of = lambda c: F.coalesce(F.col(c), F.col("x"))
-    group = grouped.join(found.select(F.col("node").alias("x"), F.col("component").alias("_c")), "x", "left").withColumn("component", of("_c"))
-    group = group.join(found.select(F.col("node").alias("lead"), F.col("component").alias("_lc")), "lead", "left").withColumn("away", F.col("component") != F.coalesce(F.col("_lc"), F.col("lead")))
+    group = grouped.join(found.select(F.col("node").alias("x"), F.col("component").alias("_c")), "x", "left").withColumn("component", F.coalesce("_c", "x"))
+    group = group.join(found.select(F.col("node").alias("lead"), F.col("component").alias("_lc")), "lead", "left").withColumn("away", F.col("component") != F.coalesce("_lc", "lead"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("long")  # linked sizes differ by one band at most
     group = materialize(group.select("lead", "x", "n", "component", "away", band.alias("band")), "join-away")
-    strays = group.where("away")
-    cut = lambda g, name: g.groupBy("lead", "band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias(name))
-    a_blocks, b_blocks = cut(strays, "_a"), cut(group, "_b")
-    tiles = a_blocks.withColumn("_near", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
-    tiles = tiles.join(b_blocks.select("lead", F.col("band").alias("_near"), "_b"), ["lead", "_near"])
-    tiles = materialize(tiles, "join-tiles")
-    number = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    left = strays.join(tiles, ["lead", "band"]).select("lead", "band", "_near", F.pmod(F.xxhash64("x"), F.col("_a")).alias("i"), F.explode(number("_b")).alias("j"), "x", "component", F.lit(0).alias("side"))
-    right = group.withColumnRenamed("band", "_near").join(tiles, ["lead", "_near"])
-    right = right.select("lead", "band", "_near", F.explode(number("_a")).alias("i"), F.pmod(F.xxhash64("x"), F.col("_b")).alias("j"), "x", "component", F.lit(1).alias("side"))
-    more = left.unionByName(right).join(keys, "x").groupBy("lead", "band", "_near", "i", "j").applyInPandas(lambda g: _tile(g, num, den), "a long, b long")
-    more = materialize(more.distinct(), "join-more")
-    joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if more.limit(1).count() else found
-    joined = materialize(joined, "join-all")
+    sketched = tiles(group, tile).join(facts.select(F.col("rep").alias("x"), "bins"), "x")
+    active = materialize(sketched.groupBy("lead", "band", "_near", "i", "j").applyInPandas(lambda g: _sketch_tile(g, num, den), "lead long, x long").distinct(), "join-active")
+    joined = found
+    if active.limit(1).count():
+        keys = materialize(sets(docs, active, width), "join-keys")
+        left = tiles(group.join(active, ["lead", "x"], "left_semi"), tile).join(keys, "x")
+        more = materialize(left.groupBy("lead", "band", "_near", "i", "j").applyInPandas(lambda g: _tile(g, num, den), "a long, b long").distinct(), "join-more")
+        joined = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "join-all")
+        discard(keys)
+    discard(signed)
 
     # every row: its class's representative, the representative's component
     several = small_side(materialize(classes.where("size > 1").select("k1", "k2", "rep"), "join-several"), 1_000_000)
