@@ -56,3 +56,16 @@ def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 def word_count(text):
     """Column: number of words of text; null counts 0."""
     return F.coalesce(F.size(F.filter(F.split(text, SPACE_RE), lambda w: w != "")), F.lit(0)).cast("long")
+
+
+def most_frequent(counts: DataFrame, limit: int, least: int = 1):
+    """The rows of counts (.., n) with the highest n as pandas, at most limit: all above a cut, found from the number of rows at
+    each n (at most about the square root of the total, beyond 2^20 taken together)."""
+    steps = counts.where(F.col("n") >= least).groupBy(F.least(F.col("n"), F.lit(1 << 20)).alias("n")).count().collect()
+    cut, total = None, 0
+    for r in sorted(steps, key=lambda r: -r["n"]):
+        total += r["count"]
+        if total > limit:
+            break
+        cut = r["n"]
+    return counts.where(F.col("n") >= cut).toPandas() if cut is not None else counts.limit(0).toPandas()

@@ -25,10 +25,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_side, table
+from .common import discard, materialize, most_frequent, small_side, table
 from .components import components
 from .words import mixed, slices, window_hashes, word_hashes, words
 
@@ -271,7 +271,8 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     docs = docs.select("doc_id", "text")
     both = materialize(identities(docs, width), "join-sets")
     rows = both.where("k2 IS NOT NULL")
-    common = both.where("k2 IS NULL").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT).orderBy(F.desc("n"), "k1").limit(MOST_FREQUENT).toPandas()
+    common = materialize(both.where("k2 IS NULL").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT), "join-frequent")
+    common = most_frequent(common, MOST_FREQUENT)
     common["k1"] = common["k1"].to_numpy(np.int64).view(np.uint64) if len(common) else np.zeros(0, np.uint64)
     common = common.sort_values("k1")
     frequent, counts = common["k1"].to_numpy(np.uint64), common["n"].to_numpy(np.int64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, mixing, ngram_join, oracles, packing, quality, secrets, topk
+from . import html, langid, lm, mixing, ngram_join, oracles, packing, quality, secrets, topk
 
 
 def pipeline(spark, sf_dir):
@@ -13,10 +13,12 @@ def pipeline(spark, sf_dir):
 
 def queries():
     return {
+        "pipeline": pipeline,
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_packing": packing.op2_packing,
         "op3_topk": topk.op3_topk,
         "op4_html": html.op4_html,
+        "op5_lm": lm.op5_lm,
         "op6_mixing": mixing.op6_mixing,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_secrets": secrets.op8_secrets,
