@@ -68,4 +68,4 @@ def most_frequent(counts: DataFrame, limit: int, least: int = 1):
         if total > limit:
             break
         cut = r["n"]
-    return counts.where(F.col("n") >= cut).toPandas() if cut is not None else counts.limit(0).toPandas()
+    return (counts.where(F.col("n") >= cut) if cut is not None else counts.limit(0)).toArrow().to_pandas()

@@ -7,10 +7,10 @@ n - t + 1, t being the least overlap a set of n can link with. Light sets (small
 the longer prefix; heavy sets are looked for in inverted lists of the shorter one; light sets that heavy ones could link
 with stand in those lists too. The boundary is where emitting subsets costs more than scanning lists.
 
-No list is expanded into all pairs. Lists of at most `short` classes give their pairs. A longer one gives its leader, the
-member with most frequent shingles, against each member; leaders' links are verified and make components. What is then
-in one component need not be compared; only members outside their leader's component are compared with the rest of the
-leader's group, in tiles of bounded size that return a spanning forest of the links found. So every link between
+Lists of at most `short` classes give their pairs. A longer one is not expanded: it gives its leader, the member with
+most frequent shingles, against each member; leaders' links are verified and make components. What is then in one
+component need not be compared; only members outside their leader's component are compared with the rest of their list,
+in tiles of bounded size that return a spanning forest of the links found. So every link between
 different texts is either verified or joins what is joined already, and components are those of all links.
 
 Pairs are refused early by a lossless bound: counts of shingles by hash bucket differ by at most the symmetric difference.
@@ -32,7 +32,8 @@ from .common import discard, materialize, most_frequent, small_side, table
 from .components import components
 from .words import mixed, slices, window_hashes, word_hashes, words
 
-MOST_FREQUENT, LEAST_FREQUENT = 1 << 17, 8
+MOST_FREQUENT, LEAST_FREQUENT = 1 << 18, 4
+MOST_HELD = 1 << 22  # shingles that a task counts at once
 BINS = 128
 ROW_COST = 20.0  # compares in a list that cost as much as one emitted row
 
@@ -62,10 +63,20 @@ def _signed(x):
 
 
 def identities(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of two kinds from one reading: (doc_id, n, k1, k2) of each text, with k1, k2 naming its set, and (shingle k1, its
-    number n of texts in a slice, doc_id null, k2 null) where a slice has it twice or more."""
+    """Rows of two kinds from one reading: (doc_id, n, k1, k2) of each text, with k1, k2 naming its set, and, with k2 null,
+    (k1: shingle, n: its texts) where a task's part of the texts holds it twice or more."""
 
     def run(batches):
+        held, rows = [], 0
+
+        def seen():
+            nonlocal held, rows
+            ids, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            ids, n = ids[n > 1], n[n > 1]
+            held, rows = [], 0
+            none = pa.nulls(len(ids), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(n), _signed(ids), none], ["doc_id", "n", "k1", "k2"])
+
         for b in slices(batches):
             keys, owner = shingles(b.column("text"), width)
             n = np.bincount(owner, minlength=b.num_rows)
@@ -74,18 +85,13 @@ def identities(docs: DataFrame, width: int) -> DataFrame:
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(keys), dtype=np.uint64)])
                 other = np.concatenate([[np.uint64(0)], np.cumsum(mixed(keys ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
                 k1, k2 = total[ends[1:]] - total[ends[:-1]], other[ends[1:]] - other[ends[:-1]]
-            ids, seen = np.unique(keys, return_counts=True)
-            ids, seen = ids[seen > 1], seen[seen > 1]
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([b.column("doc_id").cast(pa.int64()), none]),
-                    pa.array(np.concatenate([n, seen])),
-                    pa.concat_arrays([_signed(k1), _signed(ids)]),
-                    pa.concat_arrays([_signed(k2), none]),
-                ],
-                ["doc_id", "n", "k1", "k2"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), _signed(k1), _signed(k2)], ["doc_id", "n", "k1", "k2"])
+            held.append(keys)
+            rows += len(keys)
+            if rows > MOST_HELD:
+                yield seen()
+        if rows:
+            yield seen()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
 
@@ -209,9 +215,16 @@ def tile_links(ka: list[np.ndarray], kb: list[np.ndarray], num: int, den: int) -
 
 
 def _close(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs' bucket counts are as near as those of sets that link."""
-    apart = np.stack([np.abs(x - b).sum(1, dtype=np.int64) for x in a])
-    return apart * (den + num) <= (den - num) * (na[:, None] + nb[None, :])
+    """Which pairs' bucket counts are as near as those of sets that link; a quarter of the buckets is tried first."""
+    most = (den - num) * (na[:, None] + nb[None, :]) // (den + num)
+    ok = np.empty(most.shape, bool)
+    for i in range(0, len(a), 64):
+        ok[i : i + 64] = np.abs(a[i : i + 64, None, : BINS // 4] - b[None, :, : BINS // 4]).sum(2, dtype=np.int32) <= most[i : i + 64]
+    i, j = np.nonzero(ok)
+    for lo in range(0, len(i), 1 << 16):
+        x, y = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+        ok[x, y] = np.abs(a[x] - b[y]).sum(1, dtype=np.int32) <= most[x, y]
+    return ok
 
 
 def _sketch_tile(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
@@ -248,22 +261,22 @@ def _tile(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def tiles(group: DataFrame, size: int) -> DataFrame:
-    """Rows of group (lead, x, component, away, band and others) dealt to tiles (lead, band, _near, i, j): the stragglers (away)
+def tiles(group: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows of group (key, x, n, component, away, band and others) dealt to tiles (key, band, _near, i, j): the stragglers (away)
     of a band as side 0 against all rows of the bands next to it as side 1, each side cut into blocks of about `size`."""
     strays = group.where("away")
-    cut = lambda g, name: g.groupBy("lead", "band").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias(name))
+    cut = lambda g, name: g.groupBy(key, "band").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias(name))
     met = cut(strays, "_a").withColumn("_near", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
-    met = materialize(met.join(cut(group, "_b").withColumnRenamed("band", "_near"), ["lead", "_near"]), "join-tiles")
+    met = materialize(met.join(cut(group, "_b").withColumnRenamed("band", "_near"), [key, "_near"]), "join-tiles")
     number = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    rest = [c for c in group.columns if c not in ("lead", "band", "away")]
-    left = strays.join(met, ["lead", "band"]).select("lead", "band", "_near", F.pmod(F.xxhash64("x"), F.col("_a")).alias("i"), number("_b").alias("j"), F.lit(0).alias("side"), *rest)
-    right = group.withColumnRenamed("band", "_near").join(met, ["lead", "_near"])
-    right = right.select("lead", "band", "_near", number("_a").alias("i"), F.pmod(F.xxhash64("x"), F.col("_b")).alias("j"), F.lit(1).alias("side"), *rest)
+    rest = [c for c in group.columns if c not in (key, "band", "away")]
+    left = strays.join(met, [key, "band"]).select(key, "band", "_near", F.pmod(F.xxhash64("x"), F.col("_a")).alias("i"), number("_b").alias("j"), F.lit(0).alias("side"), *rest)
+    right = group.withColumnRenamed("band", "_near").join(met, [key, "_near"])
+    right = right.select(key, "band", "_near", number("_a").alias("i"), F.pmod(F.xxhash64("x"), F.col("_b")).alias("j"), F.lit(1).alias("side"), *rest)
     return left.unionByName(right)
 
 
-def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short: int = 4, tile: int = 512) -> DataFrame:
+def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short: int = 32, tile: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text): links where den * |A and B| >= num * |A or B|.
 
     short: classes of a list up to which it gives all its pairs. tile: members of one side of a tile.
@@ -297,7 +310,7 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     pairs = few.join(other, "sig").where((F.col("rep") < F.col("_rep")) & fits).select(F.col("rep").alias("lead"), F.col("_rep").alias("x"))
     many = shared.where(F.col("_size") > short)
     lead = many.groupBy("sig").agg(F.max(F.struct("cent", (-F.col("rep")).alias("_r"), "n")).alias("_l")).select("sig", (-F.col("_l")["_r"]).alias("lead"), F.col("_l")["n"].alias("_n"))
-    grouped = materialize(many.join(lead, "sig").select("lead", F.col("rep").alias("x"), "n", "_n").distinct(), "join-groups")
+    grouped = materialize(many.join(lead, "sig").select("sig", "lead", F.col("rep").alias("x"), "n", "_n"), "join-groups")
     star = grouped.where((F.col("lead") != F.col("x")) & fits).select("lead", "x")
     pairs = materialize(pairs.unionByName(star).distinct(), "join-pairs")
     discard(shared)
@@ -306,7 +319,7 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
         for f in frames:
             if len(f):
                 apart = np.abs(_bins_of(f["bins"]) - _bins_of(f["_bins"])).sum(1, dtype=np.int64)
-                f = f[apart * (den + num) <= ((den - num) * (f["_n"] + f["n"])).to_numpy()]
+                f = f[apart * (den + num) <= (den - num) * (f["_n"] + f["n"]).to_numpy()]
             yield f[["lead", "x"]]
 
     close = pairs.join(facts.select(F.col("rep").alias("lead"), "bins", F.col("n").alias("_n")), "lead").join(facts.select(F.col("rep").alias("x"), F.col("bins").alias("_bins"), "n"), "x")
@@ -318,18 +331,19 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     edges = materialize(members.join(keys, "x").groupBy("lead", "_block").applyInPandas(lambda g: _verify(g, num, den), "a long, b long"), "join-edges")
     discard(keys)
 
-    # members outside their leader's component, against the rest of the leader's group: by bucket counts, then by sets
+    # members outside their leader's component, against the rest of their list by bucket counts, then by sets
     found = materialize(components(edges), "join-components")
     group = grouped.join(found.select(F.col("node").alias("x"), F.col("component").alias("_c")), "x", "left").withColumn("component", F.coalesce("_c", "x"))
     group = group.join(found.select(F.col("node").alias("lead"), F.col("component").alias("_lc")), "lead", "left").withColumn("away", F.col("component") != F.coalesce("_lc", "lead"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("long")  # linked sizes differ by one band at most
-    group = materialize(group.select("lead", "x", "n", "component", "away", band.alias("band")), "join-away")
-    sketched = tiles(group, tile).join(facts.select(F.col("rep").alias("x"), "bins"), "x")
-    active = materialize(sketched.groupBy("lead", "band", "_near", "i", "j").applyInPandas(lambda g: _sketch_tile(g, num, den), "lead long, x long").distinct(), "join-active")
+    group = materialize(group.select("sig", "lead", "x", "n", "component", "away", band.alias("band")), "join-away")
+    sketched = tiles(group, "sig", tile).join(facts.select(F.col("rep").alias("x"), "bins"), "x")
+    active = materialize(sketched.groupBy("sig", "band", "_near", "i", "j").applyInPandas(lambda g: _sketch_tile(g, num, den), "lead long, x long").distinct(), "join-active")
     joined = found
     if active.limit(1).count():
         keys = materialize(sets(docs, active, width), "join-keys")
-        left = tiles(group.join(active, ["lead", "x"], "left_semi"), tile).join(keys, "x")
+        few = group.drop("sig").distinct().join(active, ["lead", "x"], "left_semi")  # lists of one leader, joined
+        left = tiles(few, "lead", tile).join(keys, "x")
         more = materialize(left.groupBy("lead", "band", "_near", "i", "j").applyInPandas(lambda g: _tile(g, num, den), "a long, b long").distinct(), "join-more")
         joined = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "join-all")
         discard(keys)
