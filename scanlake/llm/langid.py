@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .words import mixed, raw, slices, word_hashes, words
 
 BUCKETS, LONGEST = 1 << 16, 4
@@ -160,9 +160,11 @@ def train(texts: list[str], langs: list[str], seed: int = 5, sequences: int = 60
     model = Model(labels, known[np.bincount(inverse, weights=seen) >= 3])
     if len(labels) < 2:
         return model
-    keys, koff = model.features(d.dictionary)
     rng = np.random.default_rng(seed)
     xs, ys = spliced([ids[off[i] : off[i + 1]] for i in keep], y, rng, length, sequences)
+    used, xs_at = np.unique(xs, return_inverse=True)
+    xs = xs_at.reshape(xs.shape)
+    keys, koff = model.features(d.dictionary.take(pa.array(used)))
     k, square_w, square_t = len(labels), np.full_like(model.w, 1e-4), np.full_like(model.t, 1e-4)
     for _ in range(epochs):
         order = rng.permutation(sequences)
@@ -205,7 +207,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5, sequences: int = 60
     return model
 
 
-def fit(docs: DataFrame, per_language: int = 500, most_chars: int = 20_000, seed: int = 11) -> Model | None:
+def fit(docs: DataFrame, per_language: int = 400, most_chars: int = 20_000, seed: int = 11) -> Model | None:
     """A Model from docs (doc_id, text, lang); the sample that comes to the driver is bounded by its parameters."""
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") <= most_chars) & F.rlike("text", F.lit(r"\p{L}"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = rows.groupBy("lang").count().collect()
@@ -236,12 +238,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         return lang.tolist(), score
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, most_bytes=4 << 20):
             lang, score = one(b.column("text"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+    small_batches(docs.sparkSession)
     kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 

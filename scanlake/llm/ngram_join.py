@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, most_frequent, small_side, table
+from .common import discard, materialize, most_frequent, small_batches, small_side, table
 from .components import components
 from .words import mixed, slices, window_hashes, word_hashes, words
 
@@ -281,6 +281,7 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
 
     short: classes of a list up to which it gives all its pairs. tile: members of one side of a tile.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     both = materialize(identities(docs, width), "join-sets")
     rows = both.where("k2 IS NOT NULL")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 
 END = 2
 
@@ -164,6 +164,7 @@ def pack_sizes(sizes, cap: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(docs: DataFrame, cap: int = 1024, shard_pieces: int = 4096, json_path=None, rank_path=None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset). A shard, a task's group, has about shard_pieces rows."""
+    small_batches(docs.sparkSession)
     got = materialize(pieces(docs, cap, json_path, rank_path).withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
     shards = max(1, -(-got.count() // shard_pieces))
     got = got.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 from .words import SPACE, mixed, per_text, raw, slices, word_hashes, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -224,6 +224,7 @@ def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000):
 
 def judge(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_words: int = 20, most_repeat: int = 30) -> DataFrame:
     """(doc_id, STATS, base_failed, kept)."""
+    small_batches(docs.sparkSession)
     stats = materialize(statistics(docs), "quality-stats")
     rules = fit(stats, labels, most_rows)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))

@@ -11,15 +11,29 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def slices(batches, column: str = "text", most_bytes: int = 8 << 20):
-    """Record batches of at most most_bytes of text each (a longer text stands alone)."""
+    """Record batches of about most_bytes of text, joined from smaller and cut from larger ones (a longer text stands alone)."""
+
+    def joined(held):
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    held, have = [], 0
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
-            upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + most_bytes, "right"))
-            upto = max(upto, at + 1)
-            yield b.slice(at, upto - at)
-            at = upto
+            done = size[at - 1] if at else 0
+            upto = int(np.searchsorted(size, done + most_bytes - have, "right"))
+            if upto == at and not held:
+                upto += 1
+            if upto > at:
+                held.append(b.slice(at, upto - at))
+                have += int(size[upto - 1] - done)
+                at = upto
+            if at < b.num_rows or have >= most_bytes:
+                yield joined(held)
+                held, have = [], 0
+    if held:
+        yield joined(held)
 
 
 def raw(texts) -> tuple[np.ndarray, np.ndarray]:
