@@ -338,7 +338,11 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     group = group.join(found.select(F.col("node").alias("lead"), F.col("component").alias("_lc")), "lead", "left").withColumn("away", F.col("component") != F.coalesce("_lc", "lead"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("long")  # linked sizes differ by one band at most
     group = materialize(group.select("sig", "lead", "x", "n", "component", "away", band.alias("band")), "join-away")
-    sketched = tiles(group, "sig", tile).join(facts.select(F.col("rep").alias("x"), "bins"), "x")
+    # the lists of one leader are compared one by one, or joined where that makes fewer pairs (many lists of the same members)
+    size = group.groupBy("lead", "sig").agg(F.count(F.lit(1)).cast("double").alias("_c")).groupBy("lead").agg(F.sum(F.col("_c") * F.col("_c")).alias("_each"))
+    whole = group.groupBy("lead").agg(F.countDistinct("x").cast("double").alias("_all")).join(size, "lead").where("_all * _all <= _each").select("lead", F.lit(True).alias("_whole"))
+    listed = group.join(whole, "lead", "left").withColumn("sig", F.when(F.col("_whole"), F.xxhash64("lead")).otherwise(F.col("sig"))).drop("_whole").distinct()
+    sketched = tiles(materialize(listed, "join-listed"), "sig", tile).join(facts.select(F.col("rep").alias("x"), "bins"), "x")
     active = materialize(sketched.groupBy("sig", "band", "_near", "i", "j").applyInPandas(lambda g: _sketch_tile(g, num, den), "lead long, x long").distinct(), "join-active")
     joined = found
     if active.limit(1).count():
