@@ -28,7 +28,7 @@ def _ordered(scans: DataFrame) -> DataFrame:
     """Scans in SCAN's columns, sample_ord by sample id, scan_ord by rt and id within a sample."""
     order = scans.select("sample_id").distinct().withColumn("sample_ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sample_id")) - 1)
     x = scans.join(F.broadcast(order), "sample_id").withColumn("scan_ord", F.row_number().over(Window.partitionBy("sample_id").orderBy("rt", "scan_id")) - 1)
-    return x.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCAN.fields])
+    return x.select(*[F.col(f.name) if f.name.endswith("_array") else F.col(f.name).cast(f.dataType).alias(f.name) for f in SCAN.fields])
 
 
 def read_centroid_csv(spark: SparkSession, path: str) -> DataFrame:
