@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, table
+from .words import slices, trim
 
 END = 2
 
@@ -33,13 +34,20 @@ class Encoder:
 
         import public_tokenizers as P
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(json_path or P.path("byte_bpe_50k.json"))
+        self.path, self._whole = json_path or P.path("byte_bpe_50k.json"), None
         with open(rank_path or P.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def whole(self):
+        if self._whole is None:  # read where a text asks for it
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def ids(self, text: str) -> list[int]:
         if text and (max(text) > "ɏ" or "\x85" in text or "<|" in text):
             return self.whole.encode(text, add_special_tokens=False).ids
@@ -51,7 +59,7 @@ def pieces(docs: DataFrame, cap: int = 1024, json_path=None, rank_path=None) ->
 
     def run(batches):
         enc = Encoder(json_path, rank_path)
-        for b in batches:
+        for b in slices(batches):
             rows, cols = [], ([], [], [], [])
             for i, t in enumerate(b.column("text")):
                 ids = np.array([*enc.ids(t.as_py() or ""), END], "<u4")
@@ -176,6 +184,7 @@ def pack(docs: DataFrame, cap: int = 1024, shard_pieces: int = 4096, json_path=N
         where, offset = pack_sizes(rows["length"].to_numpy(), cap)
         rows["sequence_id"] = (int(rows["_shard"].iloc[0]) << 32) + where
         rows["offset"] = offset
+        trim()
         return rows[[*out, "sequence_id", "offset"]]
 
     return got.groupBy("_shard").applyInPandas(one, schema)
