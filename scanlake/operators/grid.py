@@ -160,13 +160,16 @@ def pair_scores(near: DataFrame, reference: str, sample: str) -> DataFrame:
 
 
 def window(c: DataFrame, g: Grid, rt_min: float, rt_max: float, mz_min: float, mz_max: float) -> DataFrame:
-    """The cells that a window touches."""
+    """The cells that a window touches; bounds are cut to the grid and may be given in either order."""
 
-    def ends(low, high, start, step, n):
-        return max(0, min(n - 1, int((low - start) // step))), max(1, min(n, int((high - start + step - 1e-12) // step) + 1))
+    def ends(a, b, low, high, n):
+        step = (high - low) / n
+        a, b = sorted(max(low, min(high, x)) for x in (a, b))
+        first = min(n - 1, int((a - low) // step))
+        return first, max(first + 1, min(n, int((b - low + step - 1e-12) // step) + 1))
 
-    r0, r1 = ends(rt_min, rt_max, g.rt_min, g.rt_step, g.rt_bins)
-    m0, m1 = ends(mz_min, mz_max, g.mz_min, g.mz_step, g.mz_bins)
+    r0, r1 = ends(rt_min, rt_max, g.rt_min, g.rt_max, g.rt_bins)
+    m0, m1 = ends(mz_min, mz_max, g.mz_min, g.mz_max, g.mz_bins)
     return c.where(F.col("rt_index").between(r0, r1 - 1) & F.col("mz_index").between(m0, m1 - 1))
 
 

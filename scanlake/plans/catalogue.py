@@ -13,6 +13,7 @@ from scanlake.operators import match as M
 from scanlake.operators import peaks as K
 from scanlake.operators import points as P
 from scanlake.operators import series as S
+from scanlake.plans.peak_first import pinned
 
 #: Unique order of points of one scan and intensity.
 ORDER = ["mz", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "price"]
@@ -325,7 +326,7 @@ SHIFTED_SQL = f"{LOCAL_SQL}, wc AS (SELECT peak_id, sample_id, scan_id, rt + loc
 
 
 def _shifts(spark, sf_dir):
-    return _local(spark, sf_dir).persist().select("peak_id", "sample_id", F.col("local_shift").alias("shift"))
+    return pinned(_local(spark, sf_dir)).select("peak_id", "sample_id", F.col("local_shift").alias("shift"))
 
 
 @query(
@@ -486,7 +487,7 @@ MATRIX_SQL = f"""{SHIFTED_SQL}, sp AS (SELECT peak_id, p.sample_id, p.scan_id, m
 def _matrix(spark, sf_dir):
     s, _ = _spectra(spark, sf_dir)
     samples = scans(spark, sf_dir).select("sample_id").distinct()
-    return C.vectors(s, C.consensus_bins(s).persist(), samples, keys=KEYS)
+    return C.vectors(s, pinned(C.consensus_bins(s)), samples, keys=KEYS)
 
 
 @query(f", {MATRIX_SQL} SELECT peak_id, CAST(bin_index AS INT) AS bin_index, round(bin_mz, 6) AS bin_mz FROM bi")
@@ -541,7 +542,7 @@ COSINES = """n{i} AS (SELECT *, median(nv) OVER (PARTITION BY peak_id, bin_index
 def spectrum_similarity(spark, sf_dir):
     s, a = _spectra(spark, sf_dir)
     samples = scans(spark, sf_dir).select("sample_id").distinct()
-    bins = C.consensus_bins(s).persist()
+    bins = pinned(C.consensus_bins(s))
     m = C.reduced(C.vectors(s, bins, samples, keys=KEYS)).persist()
     kept = m.select("peak_id", "bin_index", "bin_mz").distinct()
     x = C.spectrum_scores(m, C.vectors(a, kept, samples, keys=KEYS))
@@ -551,7 +552,7 @@ def spectrum_similarity(spark, sf_dir):
 def _features(spark, sf_dir):
     p, peaks, sh = points(spark, sf_dir), fixed_peaks(spark), _shifts(spark, sf_dir)
     top = C.top_changes(C.mz_changes(C.reduced(_matrix(spark, sf_dir)))).select("peak_id", "candidate_rank", F.col("bin_mz").alias("target_mz"))
-    return C.candidate_features(p, P.chromatogram(p), top.persist(), peaks, sh).persist(), peaks
+    return C.candidate_features(p, P.chromatogram(p), pinned(top), peaks, sh).persist(), peaks
 
 
 @query()

@@ -23,38 +23,44 @@ def choose_reference(samples: list[str], explicit: str | None = None, preferred:
     return next((s for s in preferred if s in samples), next((s for s in samples if prefix and s.startswith(prefix)), samples[0]))
 
 
+def pinned(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of a row per sample, peak or both as local rows: plans that use it start there. More than `most` rows stay distributed."""
+    rows = df.limit(most + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else df.persist()
+
+
 def peak_first(points: DataFrame, reference: str, p: PeakParams = PeakParams(), order: tuple[str, ...] = ("mz",)) -> dict[str, DataFrame]:
     """alignment, tic_peaks, peak_results, features, feature_groups and global_features of points (sample_id, scan_id, rt, mz, intensity).
 
-    Only tables of a row per sample or per selected peak are kept between steps; points are read by broadcast joins with them.
+    Only tables of a row per sample, peak or m/z bin of a peak come to the driver between steps (pinned); points are read by joins with them.
     """
     scans = P.chromatogram(points).persist()
     tic, bpi = (scans.select("sample_id", "rt", F.col(c).alias("value")) for c in ("tic", "bpi"))
-    samples = scans.select("sample_id").distinct().persist()
-    chrom = K.chromatogram_peaks(bpi, ["sample_id"]).persist()
-    aligned = A.alignment(bpi, chrom, K.main_peaks(bpi, chrom, ["sample_id"]), reference).persist()
+    samples = pinned(scans.select("sample_id").distinct())
+    chrom = pinned(K.chromatogram_peaks(bpi, ["sample_id"]))
+    aligned = pinned(A.alignment(bpi, chrom, K.main_peaks(bpi, chrom, ["sample_id"]), reference))
     tic = tic.join(F.broadcast(aligned), "sample_id").select("sample_id", (F.col("rt") + F.col("rt_shift")).alias("rt"), "value").persist()
 
     one = K.refine_boundaries(K.tic_peaks(S.consensus(tic, p.consensus_rt_step_min, p.consensus_max_points).withColumn("_g", F.lit(0)), ["_g"], p), ["_g"], p)
     own = K.with_status(K.refine_boundaries(K.tic_peaks(tic, ["sample_id"], p), ["sample_id"], p), p).where("status <> 'noise_peak'")
     merged = K.with_status(K.merge_candidates(one, own, p), p)
-    merged = merged.withColumn("peak_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rt_apex"))).persist()
+    merged = pinned(merged.withColumn("peak_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rt_apex"))))
     none = merged.select("peak_id").crossJoin(F.broadcast(samples)).withColumn("shift", F.lit(0.0))
     bounds = ["peak_id", "rt_start", "rt_apex", "rt_end", "width"]
-    tic_peaks = merged.join(C.selection_scores(tic, merged.select(*bounds), none, p), "peak_id").persist()
-    peaks = tic_peaks.where("status = 'confirmed_peak'").orderBy(F.desc("tic_selection_score"), F.desc("area"), "peak_id").limit(p.top_n_peaks).persist()
+    tic_peaks = pinned(merged.join(C.selection_scores(tic, merged.select(*bounds), none, p), "peak_id"))
+    peaks = pinned(tic_peaks.where("status = 'confirmed_peak'").orderBy(F.desc("tic_selection_score"), F.desc("area"), "peak_id").limit(p.top_n_peaks))
     few = peaks.select(*bounds)
 
-    local = A.local_alignment(tic, few, p).persist()
-    shifts = local.join(F.broadcast(aligned.select("sample_id", "rt_shift")), "sample_id").select("peak_id", "sample_id", (F.col("rt_shift") + F.col("local_shift")).alias("shift")).persist()
+    local = pinned(A.local_alignment(tic, few, p))
+    shifts = pinned(local.join(F.broadcast(aligned.select("sample_id", "rt_shift")), "sample_id").select("peak_id", "sample_id", (F.col("rt_shift") + F.col("local_shift")).alias("shift")))
     chrom_scores = C.chromatogram_scores(tic, few, local, local.select("peak_id", "sample_id", F.col("local_shift").alias("shift")), p)
     spectra = C.summed_spectra(points, few, shifts, p, order).persist()
-    bins = C.consensus_bins(spectra, p).persist()
+    bins = pinned(C.consensus_bins(spectra, p))
     matrix = C.reduced(C.vectors(spectra, bins, samples, p, order), p).persist()
     kept = matrix.select("peak_id", "bin_index", "bin_mz").distinct()
     apex = C.vectors(C.apex_spectra(points, scans, few, shifts, p, order), kept, samples, p, order)
-    scores = C.spectrum_scores(matrix, apex).persist()
-    top = C.top_changes(C.mz_changes(matrix), p).select("peak_id", "candidate_rank", F.col("bin_mz").alias("target_mz")).persist()
+    scores = C.spectrum_scores(matrix, apex)
+    top = pinned(C.top_changes(C.mz_changes(matrix), p).select("peak_id", "candidate_rank", F.col("bin_mz").alias("target_mz")))
     features = C.candidate_features(points, scans, top, few, shifts, p).persist()
     groups = C.peak_feature_groups(features, few, p).persist()
     x = peaks.drop("status").join(chrom_scores, "peak_id").join(scores, "peak_id")

@@ -183,17 +183,17 @@ def test_clusters_equal_the_sequential_fold(spark):
 
 
 def test_match_and_group_features(spark):
-    rows = [("A", 500.0, 5.0, 100.0), ("B", 500.004, 5.05, 400.0), ("B", 500.02, 5.0, 1.0), ("A", 700.0, 8.0, 50.0), ("A", 500.001, 5.01, 9.0)]
+    rows = [("A", 500.0, 5.0, 100.0), ("B", 500.004, 5.05, 400.0), ("B", 500.02, 5.0, 1.0), ("A", 700.0, 8.0, 50.0)]
     f = spark.createDataFrame(rows, "sample_id string, mz double, rt double, area double")
     m = M.match_features(f)
     of = {(r["sample_id"], r["mz"]): r["feature_group_id"] for r in m.collect()}
-    assert of["A", 500.0] == of["B", 500.004] and len({*of.values()}) == 4 and of["A", 700.0] == "FG0004"
+    assert of["A", 500.0] == of["B", 500.004] and len({*of.values()}) == 3 and of["A", 700.0] == "FG0003"
     roles = spark.createDataFrame([("A", "reference"), ("B", "target")], "sample_id string, role string")
     g = {r["feature_group_id"]: r for r in M.feature_groups(m, roles).collect()}
     one = g[of["A", 500.0]]
     assert one["difference_type"] == "increased" and one["confidence_score"] == pytest.approx(0.5 + 2 / 6) and one["max_fold_change"] == 4 and one["sample_presence"] == {"A": True, "B": True}
-    assert g["FG0004"]["difference_type"] == "missing_feature" and g["FG0004"]["area_by_sample"] == {"A": 50.0, "B": 0.0}
-    wide = M.feature_matrix(M.feature_groups(m, roles), ["A", "B", "Z"]).where("feature_group_id = 'FG0004'").first()
+    assert g["FG0003"]["difference_type"] == "missing_feature" and g["FG0003"]["area_by_sample"] == {"A": 50.0, "B": 0.0}
+    wide = M.feature_matrix(M.feature_groups(m, roles), ["A", "B", "Z"]).where("feature_group_id = 'FG0003'").first()
     assert (wide["area_A"], wide["area_B"], wide["area_Z"]) == (50.0, 0.0, None)
 
 
@@ -288,7 +288,8 @@ def test_zoom_and_window(spark):
     assert (z.rt_bins, z.mz_bins, z.rt_min, z.mz_max) == (80, 200, 10.0, 600.0)
     g = G.Grid(0, 4, 100, 104, 4, 4)
     c = spark.createDataFrame([("A", m, t, 1.0) for m in range(4) for t in range(4)], "sample_id string, mz_index int, rt_index int, raw double")
-    assert sorted({(r["mz_index"], r["rt_index"]) for r in G.window(c, g, 1, 2, 101, 102).collect()}) == [(1, 1)]
+    assert sorted({(r["mz_index"], r["rt_index"]) for r in G.window(c, g, 1, 2, 101, 102).collect()}) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert {(r["mz_index"], r["rt_index"]) for r in G.window(c, g, 9, 8, 0, 100).collect()} == {(0, 3)}
 
 
 def test_abundance_ranks_first(spark):
@@ -312,8 +313,8 @@ def test_global_features_merge(spark):
 def test_peak_first(spark):
     rows = []
     for s, h in (("A", 1.0), ("B", 1.0), ("C", 3.0)):
-        for i in range(260):
-            rt = 3.5 + 0.025 * i
+        for i in range(200):
+            rt = 3.5 + 0.03 * i
             for mz, at in ((548.3, 4.8), (732.4, 6.35), (914.6, 8.2)):
                 rows.append((s, f"{s}{i}", rt, mz, gauss(rt, at, 0.08, 50000 * (h if mz > 900 else 1.0)) + 20 + (i * 7919 % 13)))
     out = peak_first(spark.createDataFrame(rows, "sample_id string, scan_id string, rt double, mz double, intensity double"), "A")
