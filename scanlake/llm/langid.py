@@ -69,9 +69,13 @@ class Model:
         known = np.flatnonzero(self.lexicon[i] == h)
         return np.insert(keys, off[known + 1], BUCKETS + i[known]), off + np.concatenate([[0], np.cumsum(np.bincount(known, minlength=len(values)))])
 
-    def emissions(self, values: pa.Array) -> np.ndarray:
-        keys, off = self.features(values)
-        return np.add.reduceat(self.w[keys], off[:-1], axis=0) if len(values) else np.zeros((0, len(self.labels)), np.float32)
+    def emissions(self, values: pa.Array, step: int = 1 << 14) -> np.ndarray:
+        """Summed weights of each word, `step` words at a time."""
+        out = np.zeros((len(values), len(self.labels)), np.float32)
+        for lo in range(0, len(values), step):
+            keys, off = self.features(values.slice(lo, step))
+            out[lo : lo + step] = np.add.reduceat(self.w[keys], off[:-1], axis=0)
+        return out
 
     def shares(self, e: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Expected words of each label in each text; e: emissions of all words, off: offsets of the texts' words."""
