@@ -27,15 +27,16 @@ END = 2
 
 class Encoder:
     """Ids of the byte-level BPE in a tokenizers file. Texts of ASCII and Latin letters go through the same ranks and
-    pattern in the faster library, which gives the same ids (tests compare them); all others through the file itself."""
+    pattern in the faster library, which gives the same ids (tests compare them); all others through the file itself. names_as_text: the names of
+    special tokens in a text are ordinary text."""
 
-    def __init__(self, json_path=None, rank_path=None):
+    def __init__(self, json_path=None, rank_path=None, names_as_text: bool = False):
         import base64
 
         import public_tokenizers as P
         import tiktoken
 
-        self.path, self._whole = json_path or P.path("byte_bpe_50k.json"), None
+        self.path, self._whole, self.names_as_text = json_path or P.path("byte_bpe_50k.json"), None, names_as_text
         with open(rank_path or P.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -46,6 +47,7 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._whole = Tokenizer.from_file(self.path)
+            self._whole.encode_special_tokens = self.names_as_text
         return self._whole
 
     def ids(self, text: str) -> list[int]:

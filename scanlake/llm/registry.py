@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, lm, mixing, ngram_join, oracles, packing, quality, secrets, topk
+from . import html, langid, lm, mixing, ngram_join, oracles, packing, quality, secrets, tokens, topk
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ def queries():
         "op6_mixing": mixing.op6_mixing,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_secrets": secrets.op8_secrets,
+        "op9_token_counts": tokens.op9_token_counts,
         "op10_language": langid.op10_language,
     }
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scanlake.llm import gru, html, langid, lm, mixing, ngram_join, packing, quality, secrets, topk, words
+from scanlake.llm import gru, html, langid, lm, mixing, ngram_join, packing, quality, secrets, tokens, topk, words
 from scanlake.llm.components import components
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -434,6 +434,33 @@ def test_secret_scan(spark, awkward):
     assert len(r["base_sha256"]) == 64 and (r["spans"] != "" or r["base_sha256"] == hashlib.sha256(b"").hexdigest())
 
 
+# --- op9 -------------------------------------------------------------------------------------------------------------
+def test_separator_scan(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    want = []
+    for f in range(4):
+        sizes = rng.integers(0, 40, 60).tolist() + [500, 0, 0]
+        flat = np.concatenate([np.append(rng.integers(0, 9, n), 9) for n in sizes] + ([rng.integers(0, 9, 7)] if f % 2 else [])).astype("<u2") if f else np.zeros(0, "<u2")
+        flat.tofile(tmp_path / f"{f}.bin")
+        sizes = (sizes + [7] * (f % 2)) if f else []
+        want += [(f"{f}.bin", i, sum(sizes[:i]) + i, n) for i, n in enumerate(sizes)]
+    for block, group in ((5, 2), (16, 3), (1 << 16, 1024)):
+        got = tokens.lengths(tokens.read_files(spark, str(tmp_path), block), 9, group).collect()
+        assert same([(r["file"].rpartition("/")[2], *r[1:]) for r in got], want)
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole number"):
+        tokens.read_files(spark, str(tmp_path), 5).collect()
+
+
+def test_token_counts(awkward, documents):
+    enc = packing.Encoder(names_as_text=True)
+    assert len(enc.ids("a <|endoftext|> b")) > 3 and tokens.SEPARATOR not in enc.ids("a <|endoftext|> b")
+    for docs in (awkward, documents):
+        want = [(r["doc_id"], len(enc.ids(r["text"] or ""))) for r in docs.collect()]
+        assert same([(r["doc_id"], r["n_tokens"]) for r in tokens.count(docs, block=300, group=2).collect()], want)
+    assert tokens.count(empty(awkward)).count() == 0
+
+
 # --- op10 ------------------------------------------------------------------------------------------------------------
 def test_crf_marginals():
     rng = np.random.default_rng(8)
