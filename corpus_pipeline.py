@@ -13,7 +13,7 @@ from scanlake.llm import langid, mixing, ngram_join, packing, secrets
 from scanlake.llm.common import materialize, small_side, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 #: Near duplicates: five-word shingles, Jaccard 0.8 or more.
 WIDTH, NUM, DEN = 5, 80, 100
 

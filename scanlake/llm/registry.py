@@ -28,4 +28,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_topk": oracles.TOPK, "op8_secrets": oracles.secrets_sql()}
+    return {"op3_topk": oracles.TOPK, "op7_ngram_join": oracles.NGRAM_JOIN, "op8_secrets": oracles.secrets_sql()}
