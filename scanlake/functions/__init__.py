@@ -152,3 +152,15 @@ def sample_from_file_name(name: Column, products: tuple[str, ...] = ()) -> Colum
 
 def heatmap_identifier(key: Column, method: Column) -> Column:
     return F.concat(key, F.lit(":"), method)
+
+
+def comparison_spec(spec: str) -> dict[str, str]:
+    """id|label|directory, or id|directory, or a directory alone; the id keeps letters, digits, _ and - only."""
+    import re
+
+    parts = [x.strip() for x in spec.split("|", 2)]
+    if not parts[-1]:
+        raise ValueError(f"no directory in {spec!r}")
+    name = parts[0] if len(parts) > 1 else parts[0].rstrip("/").rpartition("/")[2]
+    safe = re.sub(r"[^A-Za-z0-9_-]+", "_", name).strip("_") or "comparison"
+    return {"id": safe, "label": parts[1] if len(parts) == 3 and parts[1] else name, "directory": parts[-1]}

@@ -241,3 +241,32 @@ def selection_scores(curves: DataFrame, peaks: DataFrame, shifts: DataFrame, p:
     d = 1 - 1 / (1 + F.col("tic_area_cv"))
     x = x.withColumn("tic_difference_score", F.when((F.col("tic_presence_count") < F.col("_s")) & (F.col("_m") > 0), F.greatest(d, lit(0.5))).otherwise(d))
     return x.withColumn("tic_selection_score", F.log1p("_m") * (1 + p.tic_difference_selection_weight * F.col("tic_difference_score"))).drop("_s", "_m")
+
+
+def nearest_group(groups: DataFrame, mz: float, p: PeakParams = PeakParams(), limited: bool = True) -> DataFrame:
+    """The feature group whose m/z is nearest to mz, if within twice the tolerance (limited)."""
+    tol = max(mz * p.mz_tolerance_ppm / 1e6, 1e-9) if p.mz_tolerance_mode == "ppm" else p.mz_tolerance_da
+    x = groups.withColumn("_d", F.abs(F.col("representative_mz") - mz)).orderBy("_d", "feature_group_id").limit(1)
+    return (x.where(F.col("_d") <= 2 * tol) if limited else x).drop("_d")
+
+
+def xic_on_demand(points: DataFrame, scans: DataFrame, peaks: DataFrame, shifts: DataFrame, mz: float, full: bool = False, p: PeakParams = PeakParams()) -> DataFrame:
+    """(peak_id, sample_id, scan_id, raw_rt, rt, intensity, in_peak): the XIC of mz around each peak of peaks, or over the whole run.
+
+    rt is the shifted one, the raw one where that is exactly 0; in_peak marks the integration window.
+    """
+    tol = max(mz * p.mz_tolerance_ppm / 1e6, 1e-9) if p.mz_tolerance_mode == "ppm" else p.mz_tolerance_da
+    hit = points.where(F.col("mz").between(mz - tol, mz + tol) & (F.abs(F.col("mz") - mz) <= tol)).groupBy("sample_id", "scan_id").agg(F.sum("intensity").alias("intensity"))
+    x = scans.select("sample_id", "scan_id", F.col("rt").alias("raw_rt")).join(F.broadcast(shifts.join(peaks, "peak_id")), "sample_id")
+    x = x.withColumn("_r", F.col("raw_rt") + F.col("shift")).withColumn("rt", F.when(F.col("_r") == 0, F.col("raw_rt")).otherwise(F.col("_r")))
+    if not full:
+        x = x.where(F.col("rt").between(F.col("rt_start") - p.xic_context_min, F.col("rt_end") + p.xic_context_min))
+    x = x.join(hit, ["sample_id", "scan_id"], "left").withColumn("in_peak", F.col("rt").between(F.col("rt_start") - p.peak_margin_min, F.col("rt_end") + p.peak_margin_min))
+    return x.select("peak_id", "sample_id", "scan_id", "raw_rt", "rt", F.coalesce("intensity", lit(0)).alias("intensity"), "in_peak")
+
+
+def xic_areas(xics: DataFrame) -> DataFrame:
+    """(peak_id, sample_id, area, height) of the marked windows."""
+    by = ["peak_id", "sample_id"]
+    x = xics.where("in_peak").withColumn("_a", trapezoids("intensity", by))
+    return x.groupBy(*by).agg(F.sum("_a").alias("area"), F.max("intensity").alias("height"))

@@ -733,3 +733,54 @@ def _event_cohort(spark, sf_dir):
     b = e.groupBy("hour").pivot("sample_id", [r[0] for r in e.select("sample_id").distinct().orderBy("sample_id").collect()]).agg(F.sum("value")).na.fill(0.0)
     long = b.unpivot("hour", [c for c in b.columns if c != "hour"], "sample_id", "v").groupBy("hour").agg(F.avg("v").alias("mean"), cv(F.col("v")).alias("cv"))
     return long.select("hour", F.round("mean", 4).alias("mean"), F.round(F.when(F.col("mean") > 0, 1 / (1 + F.col("cv"))).otherwise(0.0), 4).alias("score"))
+
+
+@query(f", {LOCAL_SQL} SELECT peak_id, sample_id, round(rt_start - 0.08, 6) AS aligned_start, round(rt_end + 0.08, 6) AS aligned_end, round(rt_start - 0.08 - local_shift, 6) AS corrected_start, round(rt_end + 0.08 - local_shift, 6) AS corrected_end FROM la JOIN pk USING (peak_id)")
+def cut_bounds(spark, sf_dir):
+    x = A.cut_bounds(fixed_peaks(spark), _local(spark, sf_dir))
+    return x.select("peak_id", "sample_id", *[r6(c) for c in ("aligned_start", "aligned_end", "corrected_start", "corrected_end")])
+
+
+XIC_DEMAND_SQL = f"""{LOCAL_SQL}, hx AS (SELECT scan_id, sum(intensity) AS v FROM p WHERE abs(mz - 700) <= 0.5 GROUP BY ALL),
+ xd AS (SELECT peak_id, sample_id, c.scan_id, c.rt AS raw_rt, CASE WHEN c.rt + local_shift = 0 THEN c.rt ELSE c.rt + local_shift END AS rt, coalesce(v, 0) AS intensity, rt_start, rt_end
+        FROM c JOIN la USING (sample_id) JOIN pk USING (peak_id) LEFT JOIN hx USING (scan_id))"""
+
+
+def _on_demand(spark, sf_dir, full=False):
+    p = points(spark, sf_dir)
+    return C.xic_on_demand(p, P.chromatogram(p), fixed_peaks(spark), _shifts(spark, sf_dir), 700.0, full)
+
+
+@query(f", {XIC_DEMAND_SQL} SELECT peak_id, sample_id, scan_id, raw_rt, round(rt, 6) AS rt, intensity, rt BETWEEN rt_start - 0.08 AND rt_end + 0.08 AS in_peak FROM xd WHERE rt BETWEEN rt_start - 3 AND rt_end + 3")
+def xic_on_demand(spark, sf_dir):
+    return _on_demand(spark, sf_dir).withColumn("rt", F.round("rt", 6))
+
+
+@query(
+    f", {XIC_DEMAND_SQL}, sx AS (SELECT *, lag(rt) OVER w AS r0, lag(intensity) OVER w AS v0 FROM xd WHERE rt BETWEEN rt_start - 0.08 AND rt_end + 0.08 WINDOW w AS (PARTITION BY peak_id, sample_id ORDER BY rt))"
+    " SELECT peak_id, sample_id, round(coalesce(sum((v0 + intensity) / 2 * (rt - r0)), 0), 4) AS area, max(intensity) AS height FROM sx GROUP BY ALL"
+)
+def xic_areas(spark, sf_dir):
+    return C.xic_areas(_on_demand(spark, sf_dir, True)).withColumn("area", F.round("area", 4))
+
+
+@query()
+def nearest_group(spark, sf_dir):
+    """The feature group nearest to m/z 700; follows peak_feature_groups, so rows only."""
+    return C.nearest_group(C.peak_feature_groups(*_features(spark, sf_dir)), 700.0, limited=False).drop("area_by_sample", "match_score_by_sample")
+
+
+QUERIES["saved_feature_upsert"] = lambda spark, sf_dir: _saved_feature_upsert(spark, sf_dir)
+ORACLE["saved_feature_upsert"] = """SELECT n.n_name AS feature_id, concat('{"mz":', n.n_nationkey, '}') AS feature_json, CASE WHEN n.n_nationkey % 2 = 0 THEN '2020' ELSE '2024' END AS created_at, '2024' AS updated_at
+ FROM nation n WHERE n.n_nationkey % 5 <> 0"""
+
+
+def _saved_feature_upsert(spark, sf_dir):
+    """Every fifth nation's feature has unreadable JSON; the even ones were saved before."""
+    from scanlake.plans.matrices import upsert_features
+
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    old = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("feature_id"), F.lit("2020").alias("created_at"))
+    text = F.when(F.col("n_nationkey") % 5 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"mz":'), F.col("n_nationkey").cast("string"), F.lit("}")))
+    new = n.select(F.col("n_nationkey").alias("ord"), F.lit(None).cast("string").alias("region_id"), F.col("n_name").alias("feature_id"), text.alias("feature_json"), F.lit(None).cast("string").alias("created_at"))
+    return upsert_features(old, new, F.lit("2024"))
