@@ -295,7 +295,9 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     classes = materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("size")), "join-classes")
     sizes = [(r["n"], r["count"]) for r in classes.where("n <= 1000").groupBy("n").count().collect()]
     total = classes.agg(F.sum("n")).first()[0] or 1
-    light = light_boundary(sizes, float((counts.astype(float) ** 2).sum()) / total, num, den)
+    # an average list, each counted once: the few longest ones come last in the order and hardly stand in prefixes
+    scanned = float(counts.mean()) * min(1.0, float(counts.sum()) / total) if len(counts) else 0.0
+    light = light_boundary(sizes, scanned, num, den)
 
     reps = docs.join(small_side(classes.select(F.col("rep").alias("doc_id")), 2_000_000), "doc_id", "left_semi")
     signed = materialize(signatures(reps, width, num, den, light, frequent, counts), "join-signatures")
