@@ -116,12 +116,17 @@ def _lanes(tokens: int, most: int) -> int:
     return int(min(most, max(4, tokens // 512)))
 
 
+def rounds(docs: DataFrame, shares: tuple[float, ...]) -> list[DataFrame]:
+    """The disjoint parts of docs (doc_id, text), one a round, by hash; shares that add up to 1 leave no row out."""
+    place = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(1 << 20))
+    cuts = [round(x * (1 << 20)) for x in np.cumsum([0.0, *shares])]
+    return [docs.where((place >= a) & (place < b)) for a, b in zip(cuts, cuts[1:])]
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, hidden: int, classes: int, shares: tuple[float, ...], rate: float, steps: int = 16, most_lanes: int = 256) -> Net:
     """The network after one round over each share of docs (doc_id, text), in turn."""
     net = Net(vocabulary.head_counts, vocabulary.rest_counts, hidden, classes)
-    place = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(1 << 20))
-    low = 0.0
-    for share in shares:
+    for part in rounds(docs, shares):
         state = np.concatenate([net.vector(), *[x.ravel() for x in net.g2.values()]])
 
         def run(batches, state=state):
@@ -149,10 +154,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, hidden: int, classes: int, sh
             v = sum(np.frombuffer(x, F32).astype(float) * y for x, y in zip(g["v"], w)) / w.sum()
             return pd.DataFrame({"chunk": g["chunk"].iloc[:1], "weight": [w.sum()], "v": [v.astype(F32).tobytes()]})
 
-        mine = docs.where((place >= int(low * (1 << 20))) & (place < int((low + share) * (1 << 20))))
-        low += share
         kind = "chunk int, weight double, v binary"
-        nets = mine.select("text").mapInArrow(run, "chunk int, salt int, weight double, v binary")
+        nets = part.select("text").mapInArrow(run, "chunk int, salt int, weight double, v binary")
         got = nets.groupBy("chunk", "salt").applyInPandas(mean, kind).groupBy("chunk").applyInPandas(mean, kind).collect()
         if got:
             v = np.concatenate([np.frombuffer(r["v"], F32) for r in sorted(got, key=lambda r: r["chunk"])])
@@ -164,7 +167,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, hidden: int, classes: int, sh
     return net
 
 
-def score(docs: DataFrame, held, head: int = 2048, tails: int = 32, listed: int = 1 << 18, hidden: int = 16, classes: int = 48, shares=(0.01, 0.03, 0.08, 0.18), rate: float = 0.05, most_lanes: int = 512) -> DataFrame:
+def score(docs: DataFrame, held, head: int = 2048, tails: int = 32, listed: int = 1 << 18, hidden: int = 16, classes: int = 48, shares=(0.01, 0.03, 0.08, 0.18, 0.3, 0.4), rate: float = 0.05, most_lanes: int = 512) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     held: a condition on docs; its texts are not learned from. shares: of the training texts, one per round.

@@ -300,6 +300,16 @@ def test_lm_scores(spark, awkward, documents):
     assert lm.score(empty(awkward), F.lit(False)).count() == 0
 
 
+def test_lm_trains_on_all_training_texts(spark, awkward, monkeypatch):
+    seen, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda docs, vocabulary, hidden, classes, shares, rate: seen.append((docs, shares)) or train(docs, vocabulary, hidden, classes, shares, rate))
+    lm.score(awkward, F.col("doc_id") == 3)
+    [(docs, shares)] = seen
+    assert sum(shares) == pytest.approx(1)
+    assert docs.count() == awkward.count() - 1
+    assert same([r for part in lm.rounds(docs, shares) for r in part.collect()], docs.collect())
+
+
 # --- op6 -------------------------------------------------------------------------------------------------------------
 def sainte_lague(weights, seats):
     got = [0] * len(weights)
