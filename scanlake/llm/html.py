@@ -3,8 +3,9 @@
 A page becomes blocks of text in page order, each marked as inside the article (article, main or a content element),
 as furniture by its markup (menus, headers, footers, asides, forms, adverts, notices, comments ...), or as open. The
 token streams of a host's pages are joined and their suffixes sorted by the first `run` tokens; neighbours that agree on
-all of them and come from distinct pages mark repeated substrings, and their overlaps make up the long ones. Covered
-tokens of open blocks go and their unique runs stay. Article blocks stay whole, even where pages share them: two pages
+all of them are one run, which is furniture if a share of the host's distinct pages has it (least_pages; copies and near
+copies count as one page), and overlaps make up the long ones. Open blocks that are covered go, and long covered
+stretches of the others. Article blocks stay whole, even where pages share them: two pages
 with one article both have it as their text.
 
 Hosts are split by hash into groups of bounded size, so that a host with a third of all pages is many groups; furniture
@@ -17,6 +18,7 @@ gives an empty table; unclosed, misnested and unknown tags are tolerated; extra
 
 from __future__ import annotations
 
+import math
 import re
 from html import unescape
 
@@ -47,6 +49,8 @@ DROP_NAMES = {
 }
 ARTICLE_NAMES = {"articlebody", "article-body", "article-content", "entry-content", "post-content", "post-body", "main-content", "story-body"}
 FURNITURE, OPEN, ARTICLE = 0, 1, 2
+#: A run is furniture on this share of a host's distinct pages; pages that share this part of their runs are copies of one.
+SHARE, COPIES = 0.1, 0.7
 
 
 def _kind(name: str, attrs: str, now: int) -> int:
@@ -148,16 +152,16 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
-    """Which tokens lie in a substring of at least `run` tokens that two distinct pages share.
+def _runs(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes of at least `run` tokens in order of their first `run`, ties in text order; where each distinct run begins there).
 
     tokens: the joined streams as numbers; page: non-decreasing page numbers. The suffix array is built by prefix
     doubling up to `run` tokens; a suffix never reads past its page.
     """
     n = len(tokens)
-    covered = np.zeros(n, bool)
+    none = np.zeros(0, np.int64)
     if n < run:
-        return covered
+        return none, none
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
     ends = np.searchsorted(page, page, "right")
     have = 1
@@ -172,66 +176,134 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
         if key.min() > 0:
             rank += 1
         have += step
-    order = np.argsort(rank, kind="stable")  # the suffix array, by the first `run` tokens; ties in text order
+    order = np.argsort(rank, kind="stable")
     order = order[rank[order] > 0]
-    if not len(order):
-        return covered
-    first = np.flatnonzero(np.diff(rank[order], prepend=-1))
-    low, high = page[order[first]], page[order[np.append(first[1:], len(order)) - 1]]
-    several = np.repeat(low != high, np.diff(np.append(first, len(order))))
+    return order, np.flatnonzero(np.diff(rank[order], prepend=-1))
+
+
+def _spread(starts: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Which of n tokens the runs that begin at starts cover."""
     edge = np.zeros(n + 1, np.int64)
-    starts = order[several]
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + run, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
+    """Which tokens lie in a substring of at least `run` tokens that two distinct pages share."""
+    order, first = _runs(tokens, page, run)
+    if not len(order):
+        return np.zeros(len(tokens), bool)
+    low, high = page[order[first]], page[order[np.append(first[1:], len(order)) - 1]]
+    return _spread(order[np.repeat(low != high, np.diff(np.append(first, len(order))))], len(tokens), run)
+
+
 def removed(covered: np.ndarray, run: int) -> np.ndarray:
-    """What of a block goes: all if all is covered, else covered stretches of at least `run` tokens (shorter ones are the ends of a
-    neighbour's run)."""
+    """What of an open block goes: all if all is covered, else covered stretches of at least twice `run` tokens (shorter ones are
+    phrases that texts have in common, or the ends of a neighbour's run)."""
     if covered.all():
         return covered
     edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
     out = np.zeros(len(covered), bool)
     for a, b in zip(edge[::2], edge[1::2]):
-        out[a:b] = b - a >= run
+        out[a:b] = b - a >= 2 * run
     return out
 
 
+def run_hashes(words: list[str], run: int) -> np.ndarray:
+    """64-bit hash of each run of `run` words."""
+    n = len(words) - run + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    h = pd.util.hash_array(np.array(words, object))
+    out = np.zeros(n, np.uint64)
+    for i in range(run):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + (h[i : i + n] ^ (h[i : i + n] >> np.uint64(29)))
+    return out.view(np.int64)
+
+
+def stream(page: list[tuple[int, str]]) -> list[str]:
+    return [w for _, t in page for w in t.split(" ")]
+
+
+def _leaders(page: np.ndarray, of: np.ndarray, pages: int) -> np.ndarray:
+    """Each page's leader: the first that leads and shares COPIES of the runs of both. (page, of): the distinct runs of each page."""
+    size = np.bincount(page, minlength=pages)
+    several = np.bincount(of)[of] > 1
+    page, of = page[several], np.unique(of[several], return_inverse=True)[1]
+    both = np.zeros((pages, pages), np.float32)
+    for low in range(0, int(of.max(initial=-1)) + 1, 1 << 13):
+        at = (of >= low) & (of < low + (1 << 13))
+        m = np.zeros((pages, 1 << 13), np.float32)
+        m[page[at], of[at] - low] = 1
+        both += m @ m.T
+    leader = np.arange(pages)
+    leading: list[int] = []
+    for i in range(pages):
+        near = [j for j in leading if both[i, j] > 0 and both[i, j] >= COPIES * (size[i] + size[j] - both[i, j])]
+        if near:
+            leader[i] = near[0]
+        else:
+            leading.append(i)
+    return leader
+
+
+def support(parsed: list[list[tuple[int, str]]], run: int) -> tuple[int, dict[int, int]]:
+    """(number of distinct pages, hash of each run that two or more of them have -> their number); near copies are one page."""
+    streams = [list(x) for x in dict.fromkeys(tuple(stream(p)) for p in parsed) if x]
+    if not streams:
+        return 0, {}
+    number: dict[str, int] = {}
+    tokens = np.array([number.setdefault(w, len(number)) for s in streams for w in s], np.int64)
+    sizes = np.array([len(s) for s in streams])
+    page, begin = np.repeat(np.arange(len(streams)), sizes), np.cumsum(sizes) - sizes
+    order, first = _runs(tokens, page, run)
+    if not len(order):
+        return len(streams), {}
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    pairs = np.unique(of * len(streams) + page[order])
+    of, on = pairs // len(streams), pairs % len(streams)
+    leader = _leaders(on, of, len(streams))
+    pairs = np.unique(of * len(streams) + leader[on])
+    n = np.bincount(pairs // len(streams), minlength=len(first))
+    out = {}
+    hashes: dict[int, np.ndarray] = {}
+    for k in np.flatnonzero(n > 1).tolist():
+        at = int(order[first[k]])
+        i = int(page[at])
+        if i not in hashes:
+            hashes[i] = run_hashes(streams[i], run)
+        out[int(hashes[i][at - begin[i]])] = int(n[k])
+    return len(np.unique(leader)), out
+
+
+def least_pages(pages: int) -> int:
+    """Of a host's distinct pages, how many have a run that is furniture: SHARE of them, three at least, of two both."""
+    return max(2, min(pages, max(3, math.ceil(SHARE * pages))))
+
+
+def page_text(page: list[tuple[int, str]], furniture: np.ndarray, run: int) -> str:
+    """The main text of a page, by the hashes of its host's furniture."""
+    if any(k == ARTICLE for k, _ in page):
+        return "\n".join(t for k, t in page if k == ARTICLE)
+    words = stream(page)
+    covered = _spread(np.flatnonzero(np.isin(run_hashes(words, run), furniture)), len(words), run)
+    lines, at = [], 0
+    for k, t in page:
+        mine = t.split(" ")
+        gone = removed(covered[at : at + len(mine)], run)
+        at += len(mine)
+        if k == OPEN and not gone.all():
+            lines.append(" ".join(w for w, g in zip(mine, gone) if not g))
+    return "\n".join(lines)
+
+
 def main_texts(pages: list[str | None], run: int = 8) -> list[str]:
-    """The main text of each page of one host's group."""
+    """The main text of each page of one host."""
     parsed = [blocks(h or "") for h in pages]
-    has_article = [any(k == ARTICLE for k, _ in p) for p in parsed]
-    # streams: one of each distinct open stream, so that copies of one page do not make each other furniture
-    streams = [tuple(t for k, t in p if k == OPEN or k == FURNITURE) for p in parsed]
-    number: dict[str, int] = {}
-    tokens, page, place, seen = [], [], {}, {}
-    for i, s in enumerate(streams):
-        if s in seen:
-            continue
-        seen[s] = i
-        for j, t in enumerate(s):
-            w = t.split(" ")
-            place[i, j] = len(tokens), len(w)
-            tokens += [number.setdefault(x, len(number)) for x in w]
-            page += [i] * len(w)
-    covered = repeated(np.array(tokens, np.int64), np.array(page, np.int64), run)
-    out = []
-    for i, p in enumerate(parsed):
-        if has_article[i]:
-            out.append("\n".join(t for k, t in p if k == ARTICLE))
-            continue
-        lines, j = [], 0
-        for k, t in p:
-            at, n = place[seen[streams[i]], j]
-            j += 1
-            if k == OPEN:
-                gone = removed(covered[at : at + n], run)
-                left = t if not gone.any() else " ".join(w for w, g in zip(t.split(" "), gone) if not g)
-                if left:
-                    lines.append(left)
-        out.append("\n".join(lines))
-    return out
+    n, counts = support(parsed, run)
+    furniture = np.array([h for h, c in counts.items() if c >= least_pages(n)], np.int64)
+    return [page_text(p, furniture, run) for p in parsed]
 
 
 def extract(pages: DataFrame, run: int = 8, group_pages: int = 256) -> DataFrame:

@@ -231,6 +231,17 @@ def test_html_open_pages(spark):
     assert html.extract(empty(df)).count() == 0
 
 
+def test_html_keeps_texts_of_near_copies_and_quotes():
+    body = " ".join(f"w{i}" for i in range(60))
+    views = [f"<div>{x}</div><div>{body}</div>" for x in ("print view", "page two")]
+    assert all(body in t for t in html.main_texts(views))
+    quote = "all that is gold does not glitter they say"
+    pages = [f"<p>{a} thinks that {quote} but {a} is not sure</p>" for a in ("ann", "bob")] + ["<p>some other page of this host</p>"]
+    assert html.main_texts(pages) == [p[3:-4] for p in pages]
+    pages = [f"<p>{body}</p><p>{x} more</p>" for x in "ab"] + [f"<p>{' '.join(f'{x}{i}' for i in range(40))}</p>" for x in "cdef"]
+    assert html.main_texts(pages)[0] == f"{body}\na more"
+
+
 # --- op5 -------------------------------------------------------------------------------------------------------------
 def test_gru_gradients():
     net = gru.Net([40, 30, 20, 10, 5, 5], [9, 4, 4], hidden=5, classes=2, seed=3)
