@@ -8,8 +8,9 @@ copies count as one page), and overlaps make up the long ones. Open blocks that
 stretches of the others. Article blocks stay whole, even where pages share them: two pages
 with one article both have it as their text.
 
-Hosts are split by hash into groups of bounded size, so that a host with a third of all pages is many groups; furniture
-recurs in each of them.
+Hosts are split by hash into groups of bounded size, so that a host with a third of all pages is many groups. A group
+counts the distinct pages of each run that two or more of its pages have, the counts of a host's groups are added up, and
+each page is cut by the furniture of the whole host. A run that a group has on one page only is not counted there.
 
 Cases: null html is empty; null url is a host of its own; pages without text give an empty string; repeated rows are
 pages of their own (one page repeated does not make its text furniture: equal open streams count once); an empty table
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, table
+from .common import materialize, small_batches, small_side, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -312,14 +313,30 @@ def extract(pages: DataFrame, run: int = 8, group_pages: int = 256) -> DataFrame
     rows = pages.select("page_id", "url", "html").withColumn("_host", host)
     counts = rows.groupBy("_host").count()
     counts = materialize(counts.select("_host", F.ceil(F.col("count") / group_pages).alias("_n")), "html-hosts")
-    rows = rows.join(small_side(counts), "_host").withColumn("_group", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("_n")))
+    dealt = rows.join(small_side(counts), "_host").withColumn("_group", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("_n")))
+
+    def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        n, found = support([blocks(h) if isinstance(h, str) else [] for h in group["html"]], run)
+        return pd.DataFrame({"_host": key[0], "h": pd.array([None, *found], "Int64"), "n": [n, *found.values()]})
+
+    # h null: the number of distinct pages; the counts of a host's groups add up
+    counted = dealt.select("_host", "_group", "html").groupBy("_host", "_group").applyInPandas(count, "_host string, h long, n long")
+    counted = materialize(counted.groupBy("_host", "h").agg(F.sum("n").alias("n")), "html-runs")
+    total = counted.where("h IS NULL").select("_host", F.col("n").alias("_total"))
+    least = F.greatest(F.lit(2), F.least(F.col("_total"), F.greatest(F.lit(3), F.ceil(F.lit(SHARE) * F.col("_total")))))  # as least_pages
+    found = counted.where("h IS NOT NULL").join(total, "_host").where(F.col("n") >= least)
+    furniture = materialize(found.groupBy("_host").agg(F.collect_list("h").alias("_runs")), "html-furniture")
     kinds = dict(pages.dtypes)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        text = main_texts([h if isinstance(h, str) else None for h in group["html"]], run)
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def texts(batches):
+        for b in batches:
+            known = [np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in b["_runs"]]
+            text = [page_text(blocks(h) if isinstance(h, str) else [], r, run) for h, r in zip(b["html"], known)]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return rows.groupBy("_host", "_group").applyInPandas(one, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    small_batches(pages.sparkSession)
+    out = rows.join(small_side(furniture), "_host", "left").drop("_host")
+    return out.mapInPandas(texts, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
 
 
 def op4_html(spark, sf_dir):

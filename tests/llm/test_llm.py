@@ -242,6 +242,14 @@ def test_html_keeps_texts_of_near_copies_and_quotes():
     assert html.main_texts(pages)[0] == f"{body}\na more"
 
 
+def test_html_counts_runs_across_groups(spark):
+    notice = " ".join(f"n{i}" for i in range(12))
+    pages = [f"<p>{' '.join(f'p{i}x{j}' for j in range(20))}</p>" + f"<p>{notice}</p>" * (i < 30) for i in range(200)]
+    df = spark.createDataFrame([(i, "http://a.b/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    one, many = ({r["page_id"]: r["text"] for r in html.extract(df, group_pages=n).collect()} for n in (256, 20))
+    assert one == many and not any(notice in t for t in many.values())
+
+
 # --- op5 -------------------------------------------------------------------------------------------------------------
 def test_gru_gradients():
     net = gru.Net([40, 30, 20, 10, 5, 5], [9, 4, 4], hidden=5, classes=2, seed=3)
