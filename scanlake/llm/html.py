@@ -5,8 +5,8 @@ as furniture by its markup (menus, headers, footers, asides, forms, adverts, not
 token streams of a host's pages are joined and their suffixes sorted by the first `run` tokens; neighbours that agree on
 all of them are one run, which is furniture if a share of the host's distinct pages has it (least_pages; copies and near
 copies count as one page), and overlaps make up the long ones. Open blocks that are covered go, and long covered
-stretches of the others. Article blocks stay whole, even where pages share them: two pages
-with one article both have it as their text.
+stretches of the others. Blocks of an article stay whole, even where pages share them, unless half of the host's distinct
+pages have them. Open blocks beside an article stay where they hold more text than it does.
 
 Hosts are split by hash into groups of bounded size, so that a host with a third of all pages is many groups. A group
 counts the distinct pages of each run that two or more of its pages have, the counts of a host's groups are added up, and
@@ -283,28 +283,40 @@ def least_pages(pages: int) -> int:
     return max(2, min(pages, max(3, math.ceil(SHARE * pages))))
 
 
-def page_text(page: list[tuple[int, str]], furniture: np.ndarray, run: int) -> str:
-    """The main text of a page, by the hashes of its host's furniture."""
-    if any(k == ARTICLE for k, _ in page):
-        return "\n".join(t for k, t in page if k == ARTICLE)
+def most_pages(pages: int) -> int:
+    """Of a host's distinct pages, how many have a run that is furniture even inside an article: half of them, three at least."""
+    return max(3, math.ceil(pages / 2))
+
+
+def page_text(page: list[tuple[int, str]], furniture: np.ndarray, wide: np.ndarray, run: int) -> str:
+    """The main text of a page, by the hashes of its host's furniture and of what most of the host's pages have.
+
+    A block of the article goes only if it is covered by the latter. Open blocks beside an article stay where more
+    words are left of them than of the article, which is a teaser then.
+    """
     words = stream(page)
-    covered = _spread(np.flatnonzero(np.isin(run_hashes(words, run), furniture)), len(words), run)
-    lines, at = [], 0
+    hashes = run_hashes(words, run)
+    covered, common = (_spread(np.flatnonzero(np.isin(hashes, x)), len(words), run) for x in (furniture, wide))
+    lines, at, size = [], 0, {ARTICLE: 0, OPEN: 0}
     for k, t in page:
         mine = t.split(" ")
-        gone = removed(covered[at : at + len(mine)], run)
+        here = slice(at, at + len(mine))
         at += len(mine)
-        if k == OPEN and not gone.all():
-            lines.append(" ".join(w for w, g in zip(mine, gone) if not g))
-    return "\n".join(lines)
+        if k == FURNITURE or (k == ARTICLE and common[here].all()):
+            continue
+        gone = removed(covered[here], run) if k == OPEN else np.zeros(len(mine), bool)
+        if not gone.all():
+            lines.append((k, " ".join(w for w, g in zip(mine, gone) if not g)))
+            size[k] += int((~gone).sum())
+    return "\n".join(t for k, t in lines if k == ARTICLE or size[OPEN] > size[ARTICLE])
 
 
 def main_texts(pages: list[str | None], run: int = 8) -> list[str]:
     """The main text of each page of one host."""
     parsed = [blocks(h or "") for h in pages]
     n, counts = support(parsed, run)
-    furniture = np.array([h for h, c in counts.items() if c >= least_pages(n)], np.int64)
-    return [page_text(p, furniture, run) for p in parsed]
+    furniture, wide = (np.array([h for h, c in counts.items() if c >= least], np.int64) for least in (least_pages(n), most_pages(n)))
+    return [page_text(p, furniture, wide, run) for p in parsed]
 
 
 def extract(pages: DataFrame, run: int = 8, group_pages: int = 256) -> DataFrame:
@@ -324,14 +336,15 @@ def extract(pages: DataFrame, run: int = 8, group_pages: int = 256) -> DataFrame
     counted = materialize(counted.groupBy("_host", "h").agg(F.sum("n").alias("n")), "html-runs")
     total = counted.where("h IS NULL").select("_host", F.col("n").alias("_total"))
     least = F.greatest(F.lit(2), F.least(F.col("_total"), F.greatest(F.lit(3), F.ceil(F.lit(SHARE) * F.col("_total")))))  # as least_pages
+    most = F.greatest(F.lit(3), F.ceil(F.col("_total") / 2))  # as most_pages
     found = counted.where("h IS NOT NULL").join(total, "_host").where(F.col("n") >= least)
-    furniture = materialize(found.groupBy("_host").agg(F.collect_list("h").alias("_runs")), "html-furniture")
+    furniture = materialize(found.groupBy("_host").agg(F.collect_list("h").alias("_runs"), F.collect_list(F.when(F.col("n") >= most, F.col("h"))).alias("_wide")), "html-furniture")
     kinds = dict(pages.dtypes)
 
     def texts(batches):
         for b in batches:
-            known = [np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in b["_runs"]]
-            text = [page_text(blocks(h) if isinstance(h, str) else [], r, run) for h, r in zip(b["html"], known)]
+            known, wide = ([np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in b[c]] for c in ("_runs", "_wide"))
+            text = [page_text(blocks(h) if isinstance(h, str) else [], r, w, run) for h, r, w in zip(b["html"], known, wide)]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     small_batches(pages.sparkSession)

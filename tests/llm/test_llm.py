@@ -250,6 +250,15 @@ def test_html_counts_runs_across_groups(spark):
     assert one == many and not any(notice in t for t in many.values())
 
 
+def test_html_repeated_runs_decide_beside_articles():
+    notice = "please read our terms of use before you go on reading here"
+    body = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(4)]
+    assert html.main_texts([f"<article><p>{notice}</p><p>{b}</p></article>" for b in body]) == body
+    cards = [f"<article>card {i}</article><div>{b}</div><div>{notice}</div>" for i, b in enumerate(body)]
+    assert html.main_texts(cards) == [f"card {i}\n{b}" for i, b in enumerate(body)]
+    assert html.main_texts([f"<article>{b}</article><p>by line</p>" for b in body]) == body
+
+
 # --- op5 -------------------------------------------------------------------------------------------------------------
 def test_gru_gradients():
     net = gru.Net([40, 30, 20, 10, 5, 5], [9, 4, 4], hidden=5, classes=2, seed=3)
