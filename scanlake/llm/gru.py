@@ -1,8 +1,8 @@
 """A gated recurrent language model in numpy with a class-factored output softmax.
 
 Symbols: `words` head words, one end of text, and `tails` buckets of all other words. Each symbol is an input; outputs
-are classes: the head words in classes of about equal counts, the end and each tail bucket alone in theirs. What a bucket
-does with its words is not the network's affair.
+are classes: the head words in classes of about equal counts, the end and the tail buckets in classes of `TOGETHER`. What
+a bucket does with its words is not the network's affair.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 F32 = np.float32
+TOGETHER = 17  # the end and the tail buckets, in one class
+STEADY = 60.0  # logits within this need no shift before exp
 
 
 def _sigmoid(x):
@@ -27,22 +29,23 @@ class Net:
 
     def __init__(self, counts, rest, hidden: int = 16, classes: int = 48, seed: int = 1):
         counts, rest = np.asarray(counts, float), np.asarray(rest, float)
-        self.k, self.h = len(counts), hidden
+        self.k, self.h, self.asked = len(counts), hidden, classes
         of = classes_of(counts, classes)
         used, of = np.unique(of, return_inverse=True)
         n = len(used)
-        self.cls = np.concatenate([of, n + np.arange(len(rest))]).astype(np.int64)  # class of each symbol
-        self.first = np.searchsorted(of, np.arange(n + 1))  # head words of class c: first[c] .. first[c + 1]
-        mass = np.concatenate([np.bincount(of, counts, n), rest]) + 1.0
+        self.cls = np.concatenate([of, n + np.arange(len(rest)) // TOGETHER]).astype(np.int64)  # class of each symbol
+        self.first = np.searchsorted(self.cls, np.arange(self.cls.max(initial=-1) + 2))  # symbols of class c: first[c] .. first[c + 1]
+        every = np.concatenate([counts, rest])
+        mass = np.bincount(self.cls, every) + 1.0
         rng = np.random.default_rng(seed)
         init = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(F32)
         self.p = {
-            "e": init(self.k + len(rest), 3 * hidden),
+            "e": init(len(every), 3 * hidden),
             "r": init(hidden, 3 * hidden),
-            "wc": init(hidden, n + len(rest)),
+            "wc": init(hidden, len(mass)),
             "bc": np.log(mass / mass.sum()).astype(F32),
-            "u": init(self.k, hidden) * F32(0.1),
-            "b": np.log((counts + 0.5) / mass[of]).astype(F32) if self.k else np.zeros(0, F32),
+            "u": init(len(every), hidden) * F32(0.1),
+            "b": np.log((every + 0.5) / mass[self.cls]).astype(F32),
         }
         self.g2 = {key: np.full_like(v, 1e-3) for key, v in self.p.items()}
 
@@ -87,41 +90,53 @@ class Net:
             hs[s] = h
         return hs, h
 
+    @staticmethod
+    def _softmax(z: np.ndarray, steady: bool) -> np.ndarray:
+        """exp(z) in place, shifted by the rows' maxima unless all logits are known to be small; their sums by row."""
+        if not steady:
+            z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        return z @ np.ones(z.shape[1], z.dtype)
+
     def output(self, h: np.ndarray, y: np.ndarray, grad: bool):
         """(natural log probability of each y given states h; gradients of their mean negative sum by h and parameters)."""
         p, c = self.p, self.cls[y]
-        z = h @ p["wc"] + p["bc"]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        total = z.sum(1)
+        order = np.argsort(c.astype(np.int16), kind="stable")  # rows by class, so that a class is a slice
+        h, y, c = h[order], y[order], c[order]
+        most = lambda w, b: float(np.abs(w).sum(0).max(initial=0) + np.abs(b).max(initial=0))  # noqa: E731; states lie in -1 .. 1
+        z = h @ p["wc"]
+        z += p["bc"]
+        total = self._softmax(z, most(p["wc"], p["bc"]) < STEADY)
         rows = np.arange(len(y))
-        logp = np.log(z[rows, c] / total)
+        chance = z[rows, c] / total
         if grad:
-            d = z / total[:, None]
-            d[rows, c] -= 1
-            dh = d @ p["wc"].T
-            g = {"wc": h.T @ d, "bc": d.sum(0), "u": np.zeros_like(p["u"]), "b": np.zeros_like(p["b"])}
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(len(self.first)))
+            z /= total[:, None]
+            z[rows, c] -= 1
+            dh = z @ p["wc"].T
+            g = {"wc": h.T @ z, "bc": z.sum(0), "u": np.zeros_like(p["u"]), "b": np.zeros_like(p["b"])}
+        steady = most(p["u"].T, p["b"]) < STEADY
+        cuts = np.searchsorted(c, np.arange(len(self.first)))
+        inner = np.ones_like(chance)
         for k in range(len(self.first) - 1):
-            at = order[cuts[k] : cuts[k + 1]]
-            lo, hi = self.first[k], self.first[k + 1]
-            if not len(at) or hi - lo < 2:
+            at, of = slice(cuts[k], cuts[k + 1]), slice(self.first[k], self.first[k + 1])
+            if at.start == at.stop or of.stop - of.start < 2:
                 continue
-            hk, yk = h[at], y[at] - lo
-            z = hk @ p["u"][lo:hi].T + p["b"][lo:hi]
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            total = z.sum(1)
-            i = np.arange(len(at))
-            logp[at] += np.log(z[i, yk] / total)
+            hk, yk, u = h[at], y[at] - of.start, p["u"][of]
+            z = hk @ u.T
+            z += p["b"][of]
+            total = self._softmax(z, steady)
+            i = rows[: len(yk)]
+            inner[at] = z[i, yk] / total
             if grad:
                 z /= total[:, None]
                 z[i, yk] -= 1
-                dh[at] += z @ p["u"][lo:hi]
-                g["u"][lo:hi] = z.T @ hk
-                g["b"][lo:hi] = z.sum(0)
-        return (logp, dh, g) if grad else logp
+                dh[at] += z @ u
+                g["u"][of] = z.T @ hk
+                g["b"][of] = z.sum(0)
+        back = np.empty_like(order)
+        back[order] = rows
+        logp = (np.log(chance) + np.log(inner))[back]
+        return (logp, dh[back], g) if grad else logp
 
     def step(self, ids, keep, ys, live, h, rate: float) -> tuple[np.ndarray, float]:
         """One truncated back-propagation over a window (steps x lanes) and an AdaGrad update. Returns (last state, log probability)."""
@@ -193,8 +208,8 @@ def windows(ids: np.ndarray, off: np.ndarray, count: int, steps: int):
     order = np.concatenate(mine)
     n = np.diff(off)[order]
     to = np.cumsum(n) - n
-    at = np.arange(n.sum()) + np.repeat(off[order] - to, n)
-    y, text = ids[at], np.repeat(order, n)
+    at = np.arange(n.sum(), dtype=np.int32) + np.repeat((off[order] - to).astype(np.int32), n)
+    y, text = ids[at], np.repeat(order.astype(np.int32), n)
     first = np.zeros(len(at), bool)
     first[to[n > 0]] = True
     x = np.empty_like(y)

@@ -2,10 +2,11 @@
 
 Counts of all training tokens give the base and the vocabulary. The network knows the `head` commonest words, the end of
 a text, and `tails` buckets of all other words by their last two characters; a bucket deals its probability to its words
-by their counts + 1, with one more share for an unseen word. It is trained in rounds on disjoint shares of the training
-texts: each partition goes on from the last round's mean, by truncated back-propagation over windows with the state
-carried from window to window of a text, and the partitions' networks are averaged by their tokens. The trained share is
-a fraction of the texts, alike at every size; counts cover all of them. Scoring carries the state over the whole text.
+by their counts + 1, with one more share for an unseen word. Texts are written once as symbols, which training and scoring
+read. The network is trained in rounds on disjoint shares of the training texts, which add up to all of them: each
+partition goes on from the last round's mean, by truncated back-propagation over windows with the state carried from
+window to window of a text, and the partitions' networks are averaged by their tokens, in levels of at most FAN_IN.
+Scoring carries the state over the whole text.
 
 Counts of the commonest `listed` words go to every executor (a fixed bound); the others are joined by hash.
 
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, most_frequent, small_batches, table
 from .gru import F32, Net, windows
-from .words import slices, word_hashes, words
+from .words import raw, slices, word_hashes, words
 
 CHUNK = 1 << 14
+FAN_IN = 7  # bits: partitions whose networks one task averages
 MOST_ROWS = 1 << 22  # distinct words that a task holds before it passes its counts on
+SLICE = 5 << 20  # bytes of symbols that are trained on or scored together: lanes of many texts, as long as the longest ones
 
 
 def buckets(values: pa.Array, tails: int) -> np.ndarray:
@@ -116,57 +119,132 @@ def _lanes(tokens: int, most: int) -> int:
     return int(min(most, max(4, tokens // 512)))
 
 
-def rounds(docs: DataFrame, shares: tuple[float, ...]) -> list[DataFrame]:
-    """The disjoint parts of docs (doc_id, text), one a round, by hash; shares that add up to 1 leave no row out."""
-    place = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(1 << 20))
+def _kind(vocabulary: Vocabulary) -> str:
+    return "<u2" if vocabulary.k + 1 + vocabulary.tails <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, held_out, place, symbols, n_tokens, known, base, dealt, rest) for every row of docs (doc_id, text, held_out).
+
+    symbols: a text's tokens for the network, as bytes. place: a hash in 0 .. 2^20 by which rounds take their share. base
+    and dealt: log10 sums of the unigram base and of what buckets deal, over listed words; rest: the words that are not
+    listed with their numbers, whose counts are joined.
+    """
+    kind = _kind(vocabulary)
+
+    def run(batches):
+        log_total = np.log10(vocabulary.n + vocabulary.v + 1)
+        for b in slices(batches):
+            ids, off, c, h = vocabulary.tokens(b.column("text"))
+            n, texts = np.diff(off), b.num_rows
+            of = np.repeat(np.arange(texts), n)
+            own = np.log10(np.maximum(c, 0) + 1.0)  # of tokens that are not listed: 0 here, theirs is joined
+            base = np.bincount(of, own, texts).astype(float) - n * log_total
+            tail = ids > vocabulary.k
+            dealt = np.bincount(of[tail], own[tail] - vocabulary.log_shares[ids[tail] - vocabulary.k - 1], texts).astype(float)
+            open_ = np.flatnonzero(c < 0)
+            order = open_[np.lexsort((h[open_], of[open_]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(order)))
+            lists = np.concatenate([[0], np.cumsum(np.bincount(of[order[first]], minlength=texts))])
+            rest = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays([pa.array(h[order[first]]), pa.array(times)], ["h", "n"]))
+            flat = ids.astype(kind)
+            symbols = pa.array([flat[x:y].tobytes() for x, y in zip(off, off[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("held_out"), b.column("place"), symbols, pa.array(n), pa.array(np.bincount(of, c > 0, texts).astype(np.int64)), pa.array(base, pa.float64()), pa.array(dealt, pa.float64()), rest],
+                ["doc_id", "held_out", "place", "symbols", "n_tokens", "known", "base", "dealt", "rest"],
+            )
+
+    doc_id = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", "text", "held_out", F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(1 << 20)).alias("place"))
+    return rows.mapInArrow(run, f"doc_id {doc_id}, held_out boolean, place long, symbols binary, n_tokens long, known long, base double, dealt double, rest array<struct<h:long,n:long>>")
+
+
+def _symbols(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    data, off = raw(column.cast(pa.large_binary()))
+    return data.view(kind).astype(np.int32), off // np.dtype(kind).itemsize
+
+
+def rounds(rows: DataFrame, shares: tuple[float, ...]) -> list[DataFrame]:
+    """The disjoint parts of rows (place), one a round; shares that add up to 1 leave no row out."""
     cuts = [round(x * (1 << 20)) for x in np.cumsum([0.0, *shares])]
-    return [docs.where((place >= a) & (place < b)) for a, b in zip(cuts, cuts[1:])]
+    return [rows.where((F.col("place") >= a) & (F.col("place") < b)) for a, b in zip(cuts, cuts[1:])]
+
+
+def _state(net: Net) -> np.ndarray:
+    """Parameters and the sums of their squared gradients."""
+    return np.concatenate([net.vector(), *[x.ravel() for x in net.g2.values()]]).astype(F32)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, hidden: int, classes: int, shares: tuple[float, ...], rate: float, steps: int = 16, most_lanes: int = 256) -> Net:
-    """The network after one round over each share of docs (doc_id, text), in turn."""
-    net = Net(vocabulary.head_counts, vocabulary.rest_counts, hidden, classes)
-    for part in rounds(docs, shares):
-        state = np.concatenate([net.vector(), *[x.ravel() for x in net.g2.values()]])
+def _load(net: Net, v: np.ndarray) -> Net:
+    net.load(v[: len(v) // 2])
+    at = len(v) // 2
+    for k, x in net.g2.items():
+        net.g2[k] = v[at : at + x.size].reshape(x.shape).copy()
+        at += x.size
+    return net
+
+
+def train(rows: DataFrame, vocabulary: Vocabulary, hidden: int, classes: int, shares: tuple[float, ...], rate: float, steps: int = 16, most_lanes: int = 256) -> Net:
+    """The network after one round over each share of rows (place, symbols), in turn."""
+    new = lambda: Net(vocabulary.head_counts, vocabulary.rest_counts, hidden, classes)
+    net, kind = new(), _kind(vocabulary)
+    for part in rounds(rows, shares):
+        state = _state(net)
 
         def run(batches, state=state):
-            mine, weight = Net(vocabulary.head_counts, vocabulary.rest_counts, hidden, classes), 0
-            half = len(state) // 2
-            mine.load(state[:half])
-            at = half
-            for k, x in mine.g2.items():
-                mine.g2[k] = state[at : at + x.size].reshape(x.shape).copy()
-                at += x.size
-            for b in slices(batches):
-                ids, off, _, _ = vocabulary.tokens(b.column("text"))
+            from pyspark import TaskContext
+
+            mine, weight = _load(new(), state), 0
+            for b in slices(batches, "symbols", SLICE):
+                ids, off = _symbols(b.column("symbols"), kind)
                 last = None
                 for x, keep, y, live, _ in windows(ids, off, _lanes(len(ids), most_lanes), steps):
                     h = np.zeros((x.shape[1], hidden), F32) if last is None else last[: x.shape[1]]
                     last, _ = mine.step(x, keep, y, live, h, rate)
                 weight += len(ids)
             if weight:
-                v = np.concatenate([mine.vector(), *[x.ravel() for x in mine.g2.values()]]).astype(F32)
+                v = _state(mine)
                 parts = [v[i : i + CHUNK].tobytes() for i in range(0, len(v), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([weight % 61] * len(parts), pa.int32()), pa.array([float(weight)] * len(parts)), pa.array(parts, pa.binary())], ["chunk", "salt", "weight", "v"])
+                own = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([own] * len(parts), pa.int32()), pa.array([float(weight)] * len(parts)), pa.array(parts, pa.binary())], ["chunk", "part", "weight", "v"])
 
         def mean(g: pd.DataFrame) -> pd.DataFrame:
             w = g["weight"].to_numpy()
             v = sum(np.frombuffer(x, F32).astype(float) * y for x, y in zip(g["v"], w)) / w.sum()
-            return pd.DataFrame({"chunk": g["chunk"].iloc[:1], "weight": [w.sum()], "v": [v.astype(F32).tobytes()]})
+            return pd.DataFrame({"chunk": g["chunk"].iloc[:1], "part": g["part"].iloc[:1], "weight": [w.sum()], "v": [v.astype(F32).tobytes()]})
 
-        kind = "chunk int, weight double, v binary"
-        nets = part.select("text").mapInArrow(run, "chunk int, salt int, weight double, v binary")
-        got = nets.groupBy("chunk", "salt").applyInPandas(mean, kind).groupBy("chunk").applyInPandas(mean, kind).collect()
+        nets = part.select("symbols").mapInArrow(run, "chunk int, part int, weight double, v binary")
+        for level in (1, 2, 3):
+            nets = nets.groupBy("chunk", F.shiftright("part", level * FAN_IN).alias("_p")).applyInPandas(mean, "chunk int, part int, weight double, v binary")
+        got = nets.collect()  # a row per chunk, up to 2^21 partitions
         if got:
-            v = np.concatenate([np.frombuffer(r["v"], F32) for r in sorted(got, key=lambda r: r["chunk"])])
-            net.load(v[: len(v) // 2])
-            at = len(v) // 2
-            for k, x in net.g2.items():
-                net.g2[k] = v[at : at + x.size].reshape(x.shape).copy()
-                at += x.size
+            _load(net, np.concatenate([np.frombuffer(r["v"], F32) for r in sorted(got, key=lambda r: r["chunk"])]))
     return net
 
 
+def scores(rows: DataFrame, vocabulary: Vocabulary, net: Net, most_lanes: int = 512) -> DataFrame:
+    """rows with symbols replaced by model: the network's log10 probability of each text's symbols."""
+    params, hidden, kind, names = net.vector(), net.h, _kind(vocabulary), [c for c in rows.columns if c != "symbols"]
+
+    def run(batches, classes=net.asked):
+        mine = Net(vocabulary.head_counts, vocabulary.rest_counts, hidden, classes)
+        mine.load(params)
+        for b in slices(batches, "symbols", SLICE):
+            ids, off = _symbols(b.column("symbols"), kind)
+            total, last = np.zeros(b.num_rows), None
+            for x, keep, y, live, text in windows(ids, off, _lanes(len(ids), most_lanes), 64):
+                state = np.zeros((x.shape[1], hidden), F32) if last is None else last[: x.shape[1]]
+                hs, last = mine.states(x, keep, state)
+                total += np.bincount(text[live], mine.output(hs[live], y[live], False), b.num_rows)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(total / np.log(10))], [*names, "model"])
+
+    schema = ", ".join(f"{k} {v}" for k, v in rows.dtypes if k != "symbols")
+    return rows.mapInArrow(run, f"{schema}, model double")
+
+
 def score(docs: DataFrame, held, head: int = 2048, tails: int = 32, listed: int = 1 << 18, hidden: int = 16, classes: int = 48, shares=(0.01, 0.03, 0.08, 0.18, 0.3, 0.4), rate: float = 0.05, most_lanes: int = 512) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
@@ -174,57 +252,22 @@ def score(docs: DataFrame, held, head: int = 2048, tails: int = 32, listed: int
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(held, F.lit(False)))
-    learned = docs.where(~F.col("held_out"))
-    counts = materialize(word_counts(learned, tails), "lm-counts")
+    counts = materialize(word_counts(docs.where(~F.col("held_out")), tails), "lm-counts")
     totals = {r["bucket"]: (r["t"], r["u"]) for r in counts.groupBy("bucket").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("u")).collect()}
     common = most_frequent(counts.where("bucket >= 0"), listed)
     cut = int(common["n"].min()) if len(common) else 1 << 62
     vocabulary = Vocabulary(common, totals, head, tails)
-    net = train(learned, vocabulary, hidden, classes, shares, rate)
-    params = net.vector()
-
-    def run(batches):
-        mine = Net(vocabulary.head_counts, vocabulary.rest_counts, hidden, classes)
-        mine.load(params)
-        log_total = np.log10(vocabulary.n + vocabulary.v + 1)
-        for b in slices(batches, most_bytes=12 << 20):
-            ids, off, c, h = vocabulary.tokens(b.column("text"))
-            n, texts = np.diff(off), b.num_rows
-            of = np.repeat(np.arange(texts), n)
-            own = np.log10(np.maximum(c, 0) + 1.0)  # of tokens that are not listed: 0 here, theirs is joined
-            base = np.bincount(of, own, texts) - n * log_total
-            tail = ids > vocabulary.k
-            dealt = np.bincount(of[tail], own[tail] - vocabulary.log_shares[ids[tail] - vocabulary.k - 1], texts)
-            total = np.zeros(texts)
-            last = None
-            for x, keep, y, live, text in windows(ids, off, _lanes(len(ids), most_lanes), 64):
-                state = np.zeros((x.shape[1], hidden), F32) if last is None else last[: x.shape[1]]
-                hs, last = mine.states(x, keep, state)
-                total += np.bincount(text[live], mine.output(hs[live], y[live], False), texts)
-            open_ = np.flatnonzero(c < 0)
-            order = open_[np.lexsort((h[open_], of[open_]))]
-            new = np.ones(len(order), bool)
-            new[1:] = (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(order)))
-            lists = np.concatenate([[0], np.cumsum(np.bincount(of[order[first]], minlength=texts))])
-            rest = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays([pa.array(h[order[first]]), pa.array(times)], ["h", "n"]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(n), pa.array(np.bincount(of, c > 0, texts).astype(np.int64)), pa.array(base), pa.array(total / np.log(10) + dealt), rest],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "model", "rest"],
-            )
-
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, rest array<struct<h:long,n:long>>")
-    scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
+    rows = materialize(encoded(docs, vocabulary).withColumn("_row", F.monotonically_increasing_id()), "lm-symbols")
+    net = train(rows.where(~F.col("held_out")), vocabulary, hidden, classes, shares, rate)
     rare = counts.where((F.col("n") < cut) & (F.col("bucket") >= 0)).select("h", F.col("n").alias("_c"))
-    rest = scored.select("_row", F.explode("rest").alias("r")).select("_row", "r.h", "r.n").join(rare, "h")
+    rest = rows.select("_row", F.explode("rest").alias("r")).select("_row", "r.h", "r.n").join(rare, "h")
     rest = rest.groupBy("_row").agg(F.sum("n").alias("_known"), F.sum(F.col("n") * F.log10(F.col("_c") + 1)).alias("_log"))
-    out = scored.drop("rest").join(rest, "_row", "left")
+    out = scores(rows.select("_row", "doc_id", "held_out", "n_tokens", "known", "base", "dealt", "symbols"), vocabulary, net, most_lanes)
+    out = out.join(rest, "_row", "left")
     more = F.coalesce("_log", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(vocabulary.n).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
+        (F.col("base") + more).alias("base_score"), (F.col("model") + F.col("dealt") + more).alias("score"),
     )
 
 

@@ -54,8 +54,8 @@ def slices(batches, column: str = "text", most_bytes: int = 4 << 20):
 
 
 def raw(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a text array; null is empty."""
-    a = pc.fill_null(texts, "").cast(pa.large_string())
+    """(bytes, offsets) of a text or binary array; null is empty."""
+    a = pc.fill_null(texts, b"") if pa.types.is_large_binary(texts.type) else pc.fill_null(texts, "").cast(pa.large_string())
     a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
     _, off, data = a.buffers()
     off = np.frombuffer(off, np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
