@@ -22,9 +22,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of our own, which is then set."""
+    """The folder of spark.checkpoint.dir; where it is unset, one of our own, which is then set, but on a local master alone:
+    elsewhere executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scanlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,9 +57,23 @@ def discard(*tables: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hints a broadcast if df, which must be materialised, has at most max_rows rows; else the planner shuffles and splits skew."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def _width(field) -> object:
+    """Column or number: about the bytes of one value."""
+    kind = field.dataType
+    if kind.typeName() in ("string", "binary"):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+    if kind.typeName() == "array":
+        return F.coalesce(F.size(field.name), F.lit(0)) * 8 + 8
+    return 8
+
+
+def small_side(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """Hints a broadcast if df, which must be materialised, has at most max_bytes (about 8 a value, 8 a row, strings and arrays by
+    their length); else the planner shuffles and splits skew."""
+    size = F.lit(8).cast("long")
+    for f in df.schema.fields:
+        size = size + _width(f)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes else df
 
 
 def word_count(text):

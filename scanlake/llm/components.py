@@ -13,6 +13,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Large star: each neighbour above a node points to the least of the node's neighbourhood. Small star: likewise for
     those below. They end in stars around the least nodes. Hubs are never collected: minima are pre-aggregated.
+
+    Cases: rows with a null end are no edges; a node without another neighbour than itself is not returned; an empty
+    table gives an empty table; extra columns are ignored.
     """
 
     def least(e):

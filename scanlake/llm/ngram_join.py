@@ -170,7 +170,7 @@ def sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             off = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.num_rows))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([keys[off[i] : off[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], ["x", "keys"])
 
-    wanted = small_side(materialize(wanted.select(F.col("x").alias("doc_id")).distinct(), "join-wanted"), 2_000_000)
+    wanted = small_side(materialize(wanted.select(F.col("x").alias("doc_id")).distinct(), "join-wanted"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     return docs.mapInArrow(run, "x long, keys binary")
 
@@ -299,7 +299,7 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     scanned = float(counts.mean()) * min(1.0, float(counts.sum()) / total) if len(counts) else 0.0
     light = light_boundary(sizes, scanned, num, den)
 
-    reps = docs.join(small_side(classes.select(F.col("rep").alias("doc_id")), 2_000_000), "doc_id", "left_semi")
+    reps = docs.join(small_side(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
     signed = materialize(signatures(reps, width, num, den, light, frequent, counts), "join-signatures")
     facts = signed.where("sig IS NULL").select("rep", "n", "cent", "bins")
     entries = signed.where("sig IS NOT NULL").select("sig", "rep")
@@ -342,24 +342,27 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     group = materialize(group.select("sig", "lead", "x", "n", "component", "away", band.alias("band")), "join-away")
     # the lists of one leader are compared one by one, or joined where that makes fewer pairs (many lists of the same members)
     size = group.groupBy("lead", "sig").agg(F.count(F.lit(1)).cast("double").alias("_c")).groupBy("lead").agg(F.sum(F.col("_c") * F.col("_c")).alias("_each"))
-    whole = group.groupBy("lead").agg(F.countDistinct("x").cast("double").alias("_all")).join(size, "lead").where("_all * _all <= _each").select("lead", F.lit(True).alias("_whole"))
-    listed = group.join(whole, "lead", "left").withColumn("sig", F.when(F.col("_whole"), F.xxhash64("lead")).otherwise(F.col("sig"))).drop("_whole").distinct()
-    sketched = tiles(materialize(listed, "join-listed"), "sig", tile).join(facts.select(F.col("rep").alias("x"), "bins"), "x")
-    active = materialize(sketched.groupBy("sig", "band", "_near", "i", "j").applyInPandas(lambda g: _sketch_tile(g, num, den), "lead long, x long").distinct(), "join-active")
+    members = group.select("lead", "x").distinct().groupBy("lead").agg(F.count(F.lit(1)).cast("double").alias("_all"))
+    whole = materialize(members.join(size, "lead").where("_all * _all <= _each").select("lead", F.lit(True).alias("_whole")), "join-whole")
+    listed = group.join(small_side(whole), "lead", "left").withColumn("sig", F.when(F.col("_whole"), F.xxhash64("lead")).otherwise(F.col("sig"))).drop("_whole")
+    listed = listed.repartition("lead", "x").distinct()  # a leader's rows by their member: one that heads most lists is many tasks
+    tile_of = ["band", "_near", "i", "j"]
+    sketched = tiles(materialize(listed, "join-listed"), "sig", tile).join(facts.select(F.col("rep").alias("x"), "bins"), "x").repartition("sig", *tile_of)
+    active = materialize(sketched.groupBy("sig", *tile_of).applyInPandas(lambda g: _sketch_tile(g, num, den), "lead long, x long").distinct(), "join-active")
     joined = found
     if active.limit(1).count():
         keys = materialize(sets(docs, active, width), "join-keys")
-        few = group.drop("sig").distinct().join(active, ["lead", "x"], "left_semi")  # lists of one leader, joined
-        left = tiles(few, "lead", tile).join(keys, "x")
-        more = materialize(left.groupBy("lead", "band", "_near", "i", "j").applyInPandas(lambda g: _tile(g, num, den), "a long, b long").distinct(), "join-more")
+        few = group.drop("sig").repartition("lead", "x").distinct().join(active, ["lead", "x"], "left_semi")  # lists of one leader, joined
+        left = tiles(few, "lead", tile).join(keys, "x").repartition("lead", *tile_of)
+        more = materialize(left.groupBy("lead", *tile_of).applyInPandas(lambda g: _tile(g, num, den), "a long, b long").distinct(), "join-more")
         joined = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "join-all")
         discard(keys)
     discard(signed)
 
     # every row: its class's representative, the representative's component
-    several = small_side(materialize(classes.where("size > 1").select("k1", "k2", "rep"), "join-several"), 1_000_000)
+    several = small_side(materialize(classes.where("size > 1").select("k1", "k2", "rep"), "join-several"))
     out = rows.join(several, ["k1", "k2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.join(small_side(joined.withColumnRenamed("node", "rep"), 1_000_000), "rep", "left")
+    out = out.join(small_side(joined.withColumnRenamed("node", "rep")), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
