@@ -386,6 +386,19 @@ def test_mixing(spark, awkward, documents):
                 taken[of[r["doc_id"]]] += r["taken"]
             assert all(abs(taken[s] - target[s]) <= 12 for s in names)
     assert mixing.mix(empty(awkward)).count() == 0
+    few = mixing.mix(documents, block=4, shard_words=500).collect()
+    assert same(few, mixing.mix(documents, block=4, shard_words=500, most_ranked=1).collect())  # ranked by ranges
+
+
+def test_mixing_of_one_repeated_row(spark):
+    rows = [(7, "a b c d e f g h i j", "hot")] * 3000 + [(i, "k l m n o p q r s t", "cold") for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=4, shard_words=500).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+    target = {r["source_size"]: r["target"] for r in got}
+    assert len(got) == 4500 and all(abs(taken[k] - t) <= 4 * k / 500 for k, t in target.items())  # a block a shard
+    assert len({r["taken"] for r in got if r["doc_id"] == 7}) > 1  # each row of its own
 
 
 # --- op7 -------------------------------------------------------------------------------------------------------------
