@@ -196,11 +196,19 @@ def lanes(off: np.ndarray, count: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.array(mine[k]) for k in order], total[order]
 
 
+def segments(off: np.ndarray, most: int) -> np.ndarray:
+    """Offsets of texts cut into segments of at most `most` tokens."""
+    n = np.diff(off)
+    parts = -(-n // most)
+    at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.append(np.repeat(off[:-1], parts) + at * most, off[-1])
+
+
 def windows(ids: np.ndarray, off: np.ndarray, count: int, steps: int):
     """Windows (inputs, keep, targets, live, text) of steps x lanes over texts laid in `count` lanes.
 
-    Lanes are in falling length and only drop out at the right; the input is the token before, and at a text's start the
-    text's own last token, the end, with keep 0.
+    Lanes are in falling length and only drop out at the right; the input is the token before, with keep 0 at a text's start,
+    where it is the end of the text before (of the last one for the first).
     """
     mine, total = lanes(off, count)
     if not len(total) or not total[0]:
@@ -214,7 +222,7 @@ def windows(ids: np.ndarray, off: np.ndarray, count: int, steps: int):
     first[to[n > 0]] = True
     x = np.empty_like(y)
     x[1:] = y[:-1]
-    x[first] = ids[off[order + 1][n > 0] - 1]
+    x[first] = ids[off[order][n > 0] - 1]
     begin = np.cumsum(total) - total
     for s in range(0, int(total[0]), steps):
         k = int(np.searchsorted(-total, -s, "left"))  # lanes longer than s

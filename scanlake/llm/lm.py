@@ -5,7 +5,7 @@ a text, and `tails` buckets of all other words by their last two characters; a b
 by their counts + 1, with one more share for an unseen word. Texts are written once as symbols, which training and scoring
 read. The network is trained in rounds on disjoint shares of the training texts, which add up to all of them: each
 partition goes on from the last round's mean, by truncated back-propagation over windows with the state carried from
-window to window of a text, and the partitions' networks are averaged by their tokens, in levels of at most FAN_IN.
+window to window of a text (of SEGMENT tokens of it), and the partitions' networks are averaged by their tokens, in levels of at most FAN_IN.
 Scoring carries the state over the whole text.
 
 Counts of the commonest `listed` words go to every executor (a fixed bound); the others are joined by hash.
@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, most_frequent, small_batches, table
-from .gru import F32, Net, windows
+from .gru import F32, Net, segments, windows
 from .words import raw, slices, word_hashes, words
 
 CHUNK = 1 << 14
 FAN_IN = 7  # bits: partitions whose networks one task averages
 MOST_ROWS = 1 << 22  # distinct words that a task holds before it passes its counts on
-SLICE = 5 << 20  # bytes of symbols that are trained on or scored together: lanes of many texts, as long as the longest ones
+SLICE = 10 << 20  # bytes of symbols that are trained on or scored together: lanes of many texts, as long as the longest ones
+SEGMENT = 512  # tokens over which training carries the state; scoring carries it over the whole text
 
 
 def buckets(values: pa.Array, tails: int) -> np.ndarray:
@@ -201,7 +202,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary, hidden: int, classes: int, sh
             for b in slices(batches, "symbols", SLICE):
                 ids, off = _symbols(b.column("symbols"), kind)
                 last = None
-                for x, keep, y, live, _ in windows(ids, off, _lanes(len(ids), most_lanes), steps):
+                for x, keep, y, live, _ in windows(ids, segments(off, SEGMENT), _lanes(len(ids), most_lanes), steps):
                     h = np.zeros((x.shape[1], hidden), F32) if last is None else last[: x.shape[1]]
                     last, _ = mine.step(x, keep, y, live, h, rate)
                 weight += len(ids)
@@ -245,7 +246,7 @@ def scores(rows: DataFrame, vocabulary: Vocabulary, net: Net, most_lanes: int =
     return rows.mapInArrow(run, f"{schema}, model double")
 
 
-def score(docs: DataFrame, held, head: int = 2048, tails: int = 32, listed: int = 1 << 18, hidden: int = 16, classes: int = 48, shares=(0.01, 0.03, 0.08, 0.18, 0.3, 0.4), rate: float = 0.05, most_lanes: int = 512) -> DataFrame:
+def score(docs: DataFrame, held, head: int = 2048, tails: int = 32, listed: int = 1 << 18, hidden: int = 16, classes: int = 48, shares=(0.02, 0.08, 0.2, 0.3, 0.4), rate: float = 0.05, most_lanes: int = 512) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     held: a condition on docs; its texts are not learned from. shares: of the training texts, one per round.

@@ -4,7 +4,7 @@ Each rule's regular expression gives a Boolean query over trigrams that any matc
 (document, trigram) of the trigrams that some query asks for; a query is answered by intersecting postings per document,
 and only the documents it leaves are read by the regular expression. A rule without mandatory trigrams reads them all.
 
-Cases: null text counts as empty (no spans); null doc_id has no posting and is read by every rule; rows with the same
+Work on a text is about linear in its matches. Cases: null text counts as empty (no spans); null doc_id has no posting and is read by every rule; rows with the same
 doc_id share the union of their postings, which is safe as every candidate is verified; an empty table gives an empty
 table; extra columns are ignored. Offsets are code points, end exclusive.
 """
@@ -19,7 +19,7 @@ from re import _parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, small_side, table
 
 
 @dataclass(frozen=True)
@@ -181,54 +181,142 @@ def candidates(index: DataFrame, trigrams: list[str], queries: dict[str, tuple])
     return masks.where(some).select("doc_id", *[x.alias(f"_c_{k}") for k, x in flags.items()])
 
 
+def bound(x, f):
+    """f of column x, which is evaluated once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def between(values, start, stop):
+    """Column: elements start .. stop of an array (null if there are none), at the cost of those alone (slice() reads the whole array)."""
+    at = F.sequence(start.cast("int"), stop.cast("int") - 1)
+    return F.when(stop > start, F.transform(at, lambda k: F.get(values, k)))
+
+
+def running(values, chunk: int = 256):
+    """Column: array<struct<sum, top>> for an array<struct<n: long, top: long>>: sums of n and the greatest top before each element.
+
+    Arrays grow within chunks and over the chunks' totals only, so the work is about linear in the array.
+    """
+    last = lambda n: F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / chunk).cast("long"))
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("top"))
+    blank = F.array().cast("array<struct<sum:long,top:long>>")
+    add = lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), F.greatest(a["top"], x["top"]).alias("top"))
+    join = lambda a, x: F.struct((a["sum"] + x["sum"]).alias("sum"), F.greatest(a["top"], x["top"]).alias("top"))
+
+    def scan(items, start, step):
+        grow = lambda acc, x: F.struct(step(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+        return F.aggregate(items, F.struct(start.alias("now"), blank.alias("out")), grow, lambda acc: acc["out"])
+
+    def of(v):
+        chunks = F.transform(last(F.size(v)), lambda i: between(v, i * chunk, F.least(i * chunk + chunk, F.size(v))))
+        totals = lambda c: F.transform(c, lambda x: F.aggregate(x, zero, add))
+        each = lambda c: F.zip_with(c, scan(totals(c), zero, join), lambda x, z: scan(x, z, add))
+        return F.when(F.size(v) > 0, F.flatten(bound(chunks, each))).otherwise(blank)
+
+    return bound(values, of)
+
+
 def spans(text, rule: Rule, order: int):
     """Column: array<struct<start, ord, stop, kind>> of the rule's matches in text, leftmost first, without overlap.
 
     The gaps between matches (split) and the matches themselves (extract) give the offsets.
     """
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    gaps = F.split(text, rule.pattern, -1)
-    rows = F.arrays_zip(F.transform(whole, F.length).alias("m"), F.transform(part, F.length).alias("g"), F.transform(gaps, F.length).alias("b"))
+    length = lambda x: F.transform(x, lambda y: F.length(y).cast("long"))
+    whole = length(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    gaps = length(F.split(text, rule.pattern, -1))
+    part = length(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))) if rule.group else None
     blank = F.array().cast(SPANS)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), blank.alias("out"))
 
-    def step(acc, x):
-        start = acc["at"] + x["b"]
-        stop = (start + F.coalesce(x["m"], F.lit(0))).cast("long")
-        hit = F.struct(start.cast("long").alias("start"), F.lit(order).alias("ord"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
-        return F.struct(stop.alias("at"), F.when(x["g"] >= rule.least, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
+    def of(rows):  # m: match, b: the gap before it, g: what must have `least` characters
+        steps = F.transform(rows, lambda x: F.struct((x["b"] + x["m"]).alias("n"), F.lit(0).cast("long").alias("top")))
 
-    found = F.aggregate(rows, zero, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(rule.probe or rule.pattern)), found).otherwise(blank)
+        def hit(x, before):
+            start = before["sum"] + x["b"]
+            long = F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + x["m"]).alias("stop"), F.lit(rule.kind).alias("kind"))
+            return F.when((x["g"] if rule.group else x["m"]) >= rule.least, long)
 
+        return F.filter(F.zip_with(rows, running(steps), hit), lambda x: x.isNotNull())
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """docs with every column and _spans: array<struct<start, ord, stop, kind>> by start, then rule."""
+    columns = [whole.alias("m"), gaps.alias("b"), *([part.alias("g")] if rule.group else [])]
+    rows = F.filter(F.arrays_zip(*columns), lambda x: x["m"].isNotNull())  # the gap after the last match has none
+    return F.when(F.regexp_like(text, F.lit(rule.probe or rule.pattern)), bound(rows, of)).otherwise(blank)
+
+
+BITS = 1 << 27
+
+
+def possible(flagged: DataFrame) -> DataFrame:
+    """One row, _bits: array<long> of BITS bits, those that the doc_ids of flagged hash to. Its size is fixed, whatever flagged's."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    words = flagged.select(F.floor(at / 64).alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {BITS}L) % 64 AS INT))").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).groupBy((F.floor(F.col("w") / 4096)).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("w") % 4096).alias("k"), "b"))).alias("m"))
+    page = words.select("page", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(4095).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long"))).alias("v"))
+    every = page.sparkSession.range(BITS // 64 // 4096).select(F.col("id").alias("page")).join(page, "page", "left")
+    full = every.select("page", F.coalesce("v", F.array_repeat(F.lit(0).cast("long"), 4096)).alias("v"))
+    return full.agg(F.sort_array(F.collect_list(F.struct("page", "v"))).alias("p")).select(F.flatten(F.col("p.v")).alias("_bits"))
+
+
+def scan(docs: DataFrame, rules=RULES, max_bytes: int = 32 << 20) -> DataFrame:
+    """docs with every column and _spans: array<struct<start, ord, stop, kind>> by start, then rule.
+
+    Texts are read twice, for postings and for verification. Flags of candidates go to the texts by broadcast up to max_bytes;
+    beyond, a bitmap of fixed size tells the texts that may be candidates, and only those are joined by doc_id.
+    """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ALL}
     trigrams = list(dict.fromkeys(t for q in queries.values() for t in _trigrams(q)))
-    flagged = candidates(postings(docs.select("doc_id", "text"), trigrams), trigrams, queries)
+    flagged = materialize(candidates(postings(docs.select("doc_id", "text"), trigrams), trigrams, queries), "secrets-candidates")
     text = F.coalesce(F.col("text"), F.lit(""))
-    each = []
-    for i, r in enumerate(rules):
-        found = spans(text, r, i)
-        left = F.coalesce(F.col(f"_c_{r.kind}"), F.col("doc_id").isNull()) if r.kind in queries else F.lit(True)
-        each.append(F.when(left, found).otherwise(F.array().cast(SPANS)))
-    return docs.join(flagged, "doc_id", "left").select(*docs.columns, F.array_sort(F.concat(*each)).alias("_spans"))
+
+    def read(rows: DataFrame, left: dict) -> DataFrame:
+        each = []
+        for i, r in enumerate(rules):
+            asked = left.get(r.kind, F.lit(True))
+            if asked is not None:  # None: no row is a candidate
+                each.append(F.when(asked, spans(text, r, i)).otherwise(F.array().cast(SPANS)))
+        found = F.array_sort(F.concat(*each)) if each else F.array().cast(SPANS)
+        return rows.select(*docs.columns, found.alias("_spans"))
+
+    flags = {k: F.coalesce(F.col(f"_c_{k}"), F.col("doc_id").isNull()) for k in queries}
+    small = small_side(flagged, max_bytes)
+    if small is not flagged:
+        return read(docs.join(small, "doc_id", "left"), flags)
+    bits = materialize(possible(flagged), "secrets-bits")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    word = F.get("_bits", F.floor(at / 64).cast("int"))
+    may = F.coalesce(F.expr(f"shiftright(_w, CAST(pmod(xxhash64(doc_id), {BITS}L) % 64 AS INT)) & 1") != 0, F.lit(False))
+    rows = docs.crossJoin(F.broadcast(bits)).withColumn("_w", word).withColumn("_may", may).drop("_bits", "_w")
+    without = read(rows.where("NOT _may AND doc_id IS NOT NULL"), dict.fromkeys(queries))
+    null = read(docs.where("doc_id IS NULL"), {})
+    return without.unionByName(null).unionByName(read(rows.where("_may").drop("_may").join(flagged, "doc_id", "left"), flags))
+
+
+def pieces_of(text, size: int = 256):
+    """Column: text in pieces of `size` characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def cut(pieces, start, stop, size: int = 256):
+    """Column: characters start .. stop of the text whose pieces_of these are."""
+    i, j = F.floor(start / size).cast("int"), F.floor(stop / size).cast("int")
+    head = lambda n: F.substring(F.get(pieces, i), (start % size + 1).cast("int"), n)
+    apart = F.concat(head(F.lit(size)), F.coalesce(F.array_join(between(pieces, i + 1, j), ""), F.lit("")), F.coalesce(F.substring(F.get(pieces, j), F.lit(1), (stop % size).cast("int")), F.lit("")))
+    return F.when(stop <= start, "").when(i == j, head((stop - start).cast("int"))).otherwise(apart)
 
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with each secret's span replaced by mark (overlapping spans by one mark); other columns stay."""
+    """docs with each secret's span replaced by mark (overlapping spans by one mark); other columns stay.
+
+    Null and empty texts, and texts without secrets, stay as they are; so do null and repeated doc_ids, row by row.
+    """
     found = scan(docs, rules)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        piece = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def of(pieces):
+        steps = F.transform("_spans", lambda s: F.struct(F.lit(0).cast("long").alias("n"), s["stop"].alias("top")))
+        kept = F.zip_with("_spans", running(steps), lambda s, b: F.when(s["start"] >= b["top"], F.concat(cut(pieces, b["top"], s["start"]), F.lit(mark))))
+        end = F.array_max(F.transform("_spans", lambda s: s["stop"]))
+        return F.concat(F.array_join(kept, ""), cut(pieces, end, F.length("text").cast("long")))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), F.length("text") - acc["at"]).cast("int")))
-    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", zero, step, rest)).otherwise(F.col("text"))
+    text = F.when(F.size("_spans") > 0, bound(pieces_of(F.col("text")), of)).otherwise(F.col("text"))
     return found.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -485,6 +486,23 @@ def test_secret_scan(spark, awkward):
     assert len(r["base_sha256"]) == 64 and (r["spans"] != "" or r["base_sha256"] == hashlib.sha256(b"").hexdigest())
 
 
+def test_secrets_work_is_linear(spark):
+    many = " ".join(f"AKIA{i:016d} and some more words to read" for i in range(100_000))  # 5.8 MB
+    df = spark.createDataFrame([(1, many), (2, "x " * 2_000_000), (3, "password=" + "a" * 1_000_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan(df).select("doc_id", F.size("_spans").alias("n"), F.try_element_at("_spans", F.lit(-1)).alias("last")).collect()}
+    assert got[1]["n"] == 100_000 and got[1]["last"]["start"] == many.rindex("AKIA") and got[2]["n"] == 0 and got[3]["last"]["stop"] == 1_000_009
+    hidden = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert hidden[1] == re.sub(r"AKIA\d{16}", "[secret]", many) and hidden[2] == "x " * 2_000_000 and hidden[3] == "[secret]"
+    assert time.time() - began < 60
+
+
+def test_secrets_by_bitmap(spark, awkward, documents):
+    for docs in (awkward, documents, empty(awkward)):
+        by = [sorted(map(str, secrets.scan(docs, max_bytes=n).collect())) for n in (0, 1 << 20)]
+        assert by[0] == by[1]
+
+
 # --- op9 -------------------------------------------------------------------------------------------------------------
 def test_separator_scan(spark, tmp_path):
     rng = np.random.default_rng(9)
