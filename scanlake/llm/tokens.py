@@ -1,8 +1,8 @@
 """Token counts of documents in flat token files by a separator scan.
 
 A flat file is nothing but little-endian ids, each document ended by a separator; it has no index, and blocks of it begin
-and end anywhere. Every block is searched at once for separators; what it knows is its number of tokens and separators,
-its first and last separator's place and the lengths between. A prefix scan over the blocks of a file, in groups of
+and end anywhere. Every block is searched at once for separators; what it knows is its number of tokens and the places of
+its separators. A prefix scan over the blocks of a file, in groups of
 blocks and then over the groups, gives each block the tokens and separators before it and the place of the last separator,
 which is what a document that straddles blocks needs.
 
@@ -13,6 +13,8 @@ empty table; extra columns are ignored. Texts never give the separator's id, not
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,27 +64,40 @@ def flatten(docs: DataFrame, separator: int = SEPARATOR, block: int = BLOCK, jso
     return docs.select("doc_id", "text").mapInArrow(run, f"file long, block long, ids binary, ordinal long, doc_id {dict(docs.dtypes)['doc_id']}")
 
 
-def read_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, block, ids) of flat files on disk, cut into blocks; file is the path."""
-    width = block * np.dtype(KIND).itemsize
-    x = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+def read_files(spark: SparkSession, path: str, block: int = BLOCK, task_blocks: int = 1024) -> DataFrame:
+    """(file, block, ids) of flat files, cut into blocks; file is the path. Spark lists the files; each task opens its file for
+    one range of task_blocks blocks, so that a large file is many tasks.
+
+    A store that Arrow's file systems don't open (they know local files, S3, GCS and HDFS) raises its error. A file that
+    does not hold a whole number of ids raises ValueError; an empty file has no blocks.
+    """
+    width = np.dtype(KIND).itemsize
+    span = block * width * task_blocks
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size")).where("size > 0")
+    ranges = files.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(span).cast("long"))))
+    ranges = ranges.repartition(max(1, min(ranges.count(), 10_000)), "file", "at")  # the rows are tiny, the work behind them is not
 
     def cut(batches):
+        from pyarrow import fs
+
         for b in batches:
-            for f, c in zip(b.column("file"), b.column("content")):
-                raw = c.as_buffer()
-                if raw.size % np.dtype(KIND).itemsize:
-                    raise ValueError(f"{f.as_py()} does not hold a whole number of ids")
-                for lo in range(0, raw.size, width * 16):
-                    parts = [bytes(raw[i : min(i + width, raw.size)]) for i in range(lo, min(raw.size, lo + width * 16), width)]
-                    yield pa.RecordBatch.from_arrays([pa.array([f.as_py()] * len(parts)), pa.array(range(lo // width, lo // width + len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["file", "block", "ids"])
+            for f, size, at in zip(*(b.column(c).to_pylist() for c in ("file", "size", "at"))):
+                if size % width:
+                    raise ValueError(f"{f} does not hold a whole number of ids")
+                local = f.removeprefix("file:")
+                store, name = (fs.LocalFileSystem(), "/" + local.lstrip("/")) if local.startswith("/") else fs.FileSystem.from_uri(quote(f, safe=":/@"))
+                with store.open_input_file(name) as x:
+                    for lo in range(at, min(size, at + span), block * width * 16):
+                        raw = x.read_at(min(block * width * 16, min(size, at + span) - lo), lo)
+                        parts = [raw[i : i + block * width] for i in range(0, len(raw), block * width)]
+                        first = lo // (block * width)
+                        yield pa.RecordBatch.from_arrays([pa.array([f] * len(parts)), pa.array(range(first, first + len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["file", "block", "ids"])
 
-    return x.mapInArrow(cut, "file string, block long, ids binary")
+    return ranges.mapInArrow(cut, "file string, block long, ids binary")
 
 
 def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
-    """(file, block, n, seps, first, last, inner): tokens, separators, places of the first and last one (-1 without), and the
-    lengths between neighbours."""
+    """(file, block, n, seps, last, at): tokens, separators, the place of the last one (-1 without), and all their places."""
 
     def run(batches):
         for b in batches:
@@ -90,12 +105,12 @@ def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
             for raw in b.column("ids"):
                 ids = np.frombuffer(raw.as_buffer(), KIND)
                 at = np.flatnonzero(ids == separator)
-                rows.append((len(ids), len(at), int(at[0]) if len(at) else -1, int(at[-1]) if len(at) else -1, (np.diff(at) - 1).tolist()))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], ["file", "block", "n", "seps", "first", "last", "inner"])
+                rows.append((len(ids), len(at), int(at[-1]) if len(at) else -1, at))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], ["file", "block", "n", "seps", "last", "at"])
 
-    return blocks.select("file", "block", "ids").mapInArrow(run, f"file {dict(blocks.dtypes)['file']}, block long, n long, seps long, first long, last long, inner array<long>")
+    return blocks.select("file", "block", "ids").mapInArrow(run, f"file {dict(blocks.dtypes)['file']}, block long, n long, seps long, last long, at array<long>")
 
 
 def lengths(blocks: DataFrame, separator: int = SEPARATOR, group: int = GROUP) -> DataFrame:
@@ -113,14 +128,10 @@ def lengths(blocks: DataFrame, separator: int = SEPARATOR, group: int = GROUP) -
     y = x.join(g.select("file", "_g", "_gn", "_gs", "_ge"), ["file", "_g"])
     base = F.col("_gn") + F.col("_n")
     begin = F.coalesce(F.col("_gn") + F.col("_open"), F.col("_ge"))  # where the document that the block opens in began
-    first = F.struct(begin.alias("start"), (base + F.col("first") - begin).alias("n"))
-    rest = F.aggregate(
-        "inner",
-        F.struct((base + F.col("first") + 1).alias("at"), F.array().cast("array<struct<start:bigint,n:bigint>>").alias("out")),
-        lambda a, n: F.struct((a["at"] + n + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), n.alias("n")))).alias("out")),
-        lambda a: a["out"],
-    )
-    done = y.where("seps > 0").select("file", (F.col("_gs") + F.col("_s")).alias("_o"), F.posexplode(F.concat(F.array(first), rest)).alias("_i", "_d"))
+    y = y.withColumn("_base", base).withColumn("_begin", begin)
+    begins = lambda i: F.when(i == 0, F.col("_begin")).otherwise(F.col("_base") + F.get("at", i - 1) + 1)
+    docs = F.transform("at", lambda x, i: F.struct(begins(i).alias("start"), (F.col("_base") + x - begins(i)).alias("n")))
+    done = y.where("seps > 0").select("file", (F.col("_gs") + F.col("_s")).alias("_o"), F.posexplode(docs).alias("_i", "_d"))
     done = done.select("file", (F.col("_o") + F.col("_i")).alias("ordinal"), F.col("_d.start").alias("start"), F.col("_d.n").alias("n_tokens"))
     ends = g.groupBy("file").agg(F.max("_gt").alias("t"), zero(F.max("_gl")).alias("l"))
     seps = x.groupBy("file").agg(F.sum("seps").alias("s"))

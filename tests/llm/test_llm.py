@@ -530,6 +530,28 @@ def test_token_counts(awkward, documents):
     assert tokens.count(empty(awkward)).count() == 0
 
 
+def test_tokens_of_empty_documents(spark):
+    ids = np.full(3 * 65536 + 7, tokens.SEPARATOR, tokens.KIND)
+    blocks = [(1, i, ids[i * 65536 : (i + 1) * 65536].tobytes()) for i in range(4)]
+    began = time.time()
+    got = tokens.lengths(spark.createDataFrame(blocks, "file long, block long, ids binary"))
+    assert got.agg(F.count(F.lit(1)), F.sum("n_tokens"), F.countDistinct("ordinal"), F.sum(F.abs(F.col("start") - F.col("ordinal")))).first()[:] == (len(ids), 0, len(ids), 0)
+    assert time.time() - began < 30
+
+
+def test_tokens_of_a_large_file_are_read_by_ranges(spark, tmp_path):
+    ids = np.random.default_rng(6).integers(0, 50, 100_003).astype(tokens.KIND)
+    ids[::7] = tokens.SEPARATOR
+    (tmp_path / "with space.bin").write_bytes(ids.tobytes())
+    (tmp_path / "empty.bin").write_bytes(b"")
+    blocks = tokens.read_files(spark, str(tmp_path), block=256, task_blocks=16)
+    assert blocks.select(F.spark_partition_id()).distinct().count() > 1
+    got = [tuple(r)[1:] for r in tokens.lengths(blocks).orderBy("ordinal").collect()]
+    ends = [*np.flatnonzero(ids == tokens.SEPARATOR).tolist(), len(ids)]
+    starts = [0, *[e + 1 for e in ends[:-1]]]
+    assert got == [(i, a, b - a) for i, (a, b) in enumerate(zip(starts, ends)) if a < len(ids)]
+
+
 # --- op10 ------------------------------------------------------------------------------------------------------------
 def test_crf_marginals():
     rng = np.random.default_rng(8)
