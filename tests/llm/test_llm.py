@@ -175,12 +175,13 @@ def test_topk(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-4, 5, 6) / 64]) for i in range(400)]
     rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (420, [0.0] * 6), (440, [float("inf")] * 6), (None, [1.0] * 6), (460, [1.0, 2.0])]
+    rows += [(40, rows[40][1]), (40, [0.5] * 6), (41, rows[41][1])]  # repeated rows and ids
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
-    fine = {i: [math.floor(64 * x) for x in e] for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)}
+    fine = [(i, [math.floor(64 * x) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
     want = []
-    for q in fine:
+    for r, (q, x) in enumerate(fine):
         if q % 20 == 0:
-            s = sorted((-sum(a * b for a, b in zip(fine[q], e)), i) for i, e in fine.items() if i != q and len(e) == len(fine[q]))[:20]
+            s = sorted((-sum(a * b for a, b in zip(x, e)), i) for c, (i, e) in enumerate(fine) if c != r and len(e) == len(x))[:20]
             want += [(q, k, i, -x) for k, (x, i) in enumerate(s, 1)]
     for size in (64, 1 << 14):
         assert same(topk.search(v, F.col("vec_id") % 20 == 0, block=size, query_block=8).collect(), want)
