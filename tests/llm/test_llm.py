@@ -612,3 +612,39 @@ def test_pipeline_stages(spark, awkward, documents):
     assert len(hidden) == documents.count() and not any(brute_spans(r["text"]) for r in hidden) and all(r["n_chars"] == len(r["text"]) for r in hidden)
     mixed = C.mix_sources(spark, documents, SF)
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_pipeline_languages(spark, documents):
+    """Foreign, random and evenly mixed texts go, texts of two languages stay, labels are mended, nothing else changes."""
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(8)
+    by = collections.defaultdict(list)
+    for r in documents.collect():
+        if r["lang"] and len(toks(r["text"])) > 60:
+            by[r["lang"]].append(r["text"].split())
+    langs = sorted(by)
+    run = lambda x, n: by[x][0][:n]
+    odd = {
+        1_000_001: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(40)),
+        1_000_002: "Привет как дела сегодня хорошая погода и мы идем гулять в парк",
+        1_000_003: " ".join(w for x in langs for w in run(x, 40)),
+    }
+    fine = {1_000_004: " ".join([*run(langs[0], 40), *run(langs[1], 40)]), 1_000_005: " ".join(by[langs[0]][1][:60])}
+    long = " ".join(w for t in by[langs[0]] for w in t)[:60_000]  # no training text: those are shorter
+    more = [(i, t, None, "s", len(t)) for i, t in (odd | fine).items()] + [(1_000_006, long, langs[1], "s", len(long))]
+    more = spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r for r in C.languages(spark, documents.select(*C.COLUMNS).unionByName(more), SF).collect()}
+    assert len(langs) > 2 and not set(odd) & set(out) and set(fine) <= set(out)
+    assert out[1_000_005]["lang"] == out[1_000_006]["lang"] == langs[0] and len(long) > 20_000
+    assert len(out) == documents.where("text RLIKE '[a-zA-Z]'").count() + len(fine) + 1
+
+
+def test_pipeline_keeps_rows_without_ids_apart(spark):
+    import corpus_pipeline as C
+
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(None, text("a"), "en", "s", 1), (None, text("b"), "en", "s", 1), (None, text("a"), "en", "s", 1), (5, text("c"), "en", "s", 1), (5, text("d"), "en", "s", 1), (6, text("d"), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["text"] for r in C.near_duplicates(spark, docs, SF).collect()) == sorted(text(x) for x in "abcd")
+    assert set(r["text"] for r in C.mix_sources(spark, docs, SF).collect()) <= {r[1] for r in rows}
