@@ -13,33 +13,49 @@ from scanlake.llm import langid, mixing, ngram_join, packing, secrets
 from scanlake.llm.common import materialize, small_side, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.3
+#: No language has so large a share of the words: three or more in about equal parts. Texts of two languages stay.
+LEAST_SCORE = 0.36
+#: Share of known n-grams under which a text is in none of the learned languages (theirs have 0.93 and more, random letters 0.75 and less).
+LEAST_FAMILIAR = 0.8
+#: From this share on, the prediction is put in the place of another or missing label.
+SURE = 0.9
 #: Near duplicates: five-word shingles, Jaccard 0.8 or more.
 WIDTH, NUM, DEN = 5, 80, 100
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or text, and those whose best language holds under LEAST_SCORE of their words.
+    """Drops documents without a letter or text, those in none of the learned languages (LEAST_FAMILIAR) and those in too many
+    (LEAST_SCORE); lang becomes the predicted one where the prediction is sure and lang is null or another.
 
-    The model learns from docs' own labels; with none, or one language only, nothing but the first rule applies.
+    The model learns from docs' own labels; with none, only the first rule applies; with one language, lang and texts are
+    compared with that one. Rows with null or repeated doc_id are judged one by one.
     """
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs)
     if model is None:
         return docs.where(F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
-    return langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    found = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("familiar") >= LEAST_FAMILIAR))
+    return found.withColumn("lang", F.when(F.col("score") >= SURE, F.col("lang_pred")).otherwise(F.col("lang"))).select(*COLUMNS)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _own, a number of each row: its doc_id, or one below zero where that is null or repeated."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("doc_id IS NULL OR _n > 1")
+    odd = materialize(ids.select(F.col("doc_id").alias("_id")), "pipeline-odd")
+    if not odd.limit(1).count():
+        return docs.withColumn("_own", F.col("doc_id"))
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    rows = rows.join(small_side(odd.withColumn("_odd", F.lit(True))), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return materialize(rows.select(*docs.columns, F.when(F.col("_odd"), -1 - F.col("_row")).otherwise(F.col("doc_id")).alias("_own")), "pipeline-numbered")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group; rows with null doc_id link with nothing and stay; of rows with one
-    doc_id one stays."""
-    docs = docs.select(*COLUMNS)
-    groups = materialize(ngram_join.link(docs, WIDTH, NUM, DEN), "pipeline-groups")
-    kept = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "pipeline-kept")
-    out = docs.join(small_side(kept, 2_000_000), "doc_id", "left_semi").select(*COLUMNS)
-    if groups.where("doc_id IS NOT NULL").count() != groups.where("doc_id IS NOT NULL").select("doc_id").distinct().count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one row of each group, the one with the least number. Rows with null or repeated doc_id have numbers of their own,
+    so that they lose nothing but copies. Texts without words link with nothing and stay."""
+    rows = numbered(docs.select(*COLUMNS))
+    groups = ngram_join.link(rows.select(F.col("_own").alias("doc_id"), "text"), WIDTH, NUM, DEN)
+    kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_own")), "pipeline-kept")
+    return rows.join(small_side(kept), "_own", "left_semi").select(*COLUMNS)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,16 +65,17 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number (0, 1 or 2)."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("_t"), F.sum("size").alias("_s"))
-    taken = taken.where("_s > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("_t") / F.col("_s") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    taken = small_side(materialize(taken, "pipeline-taken"), 2_000_000)
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Each document as often as the mix takes its words, to the nearest whole number (0, 1 or 2); the mix sees one row a
+    text, so rows with null or repeated doc_id get numbers of their own. Texts without words go."""
+    rows = numbered(docs.select(*COLUMNS))
+    taken = mixing.mix(rows.select(F.col("_own").alias("doc_id"), "text", "source"))
+    taken = taken.where("size > 0").select(F.col("doc_id").alias("_own"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    out = rows.join(small_side(materialize(taken, "pipeline-taken")), "_own")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece with its sequence and place; null texts are empty, rows are packed one by one whatever their doc_id."""
     return packing.pack(docs)
 
 
