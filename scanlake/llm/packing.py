@@ -3,7 +3,8 @@
 Documents are tokenised where they are read; longer ones are cut into full sequences with the remainder in front. Small
 rows (piece, length) go to bounded shards by hash; each shard is packed by best fit on falling lengths, then exchanges
 between underfull bins (one item moved, one for one, two for one) raise the sum of squared fills until none is left to
-make, which empties bins.
+make, which empties bins. Each shard leaves some underfull bins behind; the lightest of them meet in rounds of groups, in
+each of which the same search goes on from the bins as they are, until one group holds what is left.
 
 Cases: null text is empty, so a lone end id; an empty table gives an empty table; null or repeated doc_id and repeated
 rows are packed one by one; extra columns are ignored. Sequence ids are shard * 2^32 + bin.
@@ -162,34 +163,75 @@ def local_search(bins: list[list[int]], sizes: np.ndarray, cap: int) -> list[lis
     return [b for b in bins if b]
 
 
-def pack_sizes(sizes, cap: int) -> tuple[np.ndarray, np.ndarray]:
+def _places(bins: list[list[int]], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item."""
-    sizes = np.asarray(sizes, np.int64)
     where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    for k, b in enumerate(local_search(best_fit(sizes, cap), sizes, cap)):
+    for k, b in enumerate(bins):
         where[b] = k
         offset[b] = np.cumsum(sizes[b]) - sizes[b]
     return where, offset
 
 
-def pack(docs: DataFrame, cap: int = 1024, shard_pieces: int = 4096, json_path=None, rank_path=None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset). A shard, a task's group, has about shard_pieces rows."""
+def pack_sizes(sizes, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each item."""
+    sizes = np.asarray(sizes, np.int64)
+    return _places(local_search(best_fit(sizes, cap), sizes, cap), sizes)
+
+
+def _light(where: np.ndarray, sizes: np.ndarray, cap: int, share: int) -> np.ndarray:
+    """Which items lie in the lightest bins: one of `share` bins and one more, underfull ones only."""
+    fill = np.bincount(where, sizes)
+    light = np.zeros(len(fill), bool)
+    light[np.argsort(fill, kind="stable")[: len(fill) // share + 1]] = True
+    return (light & (fill < cap))[where]
+
+
+def pack(docs: DataFrame, cap: int = 1024, shard_pieces: int = 4096, json_path=None, rank_path=None, light_share: int = 64, meet: int = 16) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset). A shard, a task's group, has about shard_pieces rows.
+
+    light_share: of so many bins of a shard, the lightest goes on to the next round, where `meet` shards meet (1: no rounds).
+    """
     small_batches(docs.sparkSession)
     got = materialize(pieces(docs, cap, json_path, rank_path).withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
     shards = max(1, -(-got.count() // shard_pieces))
     got = got.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
     out = [c for c in got.columns if c not in ("_row", "_shard")]
-    schema = ", ".join(f"{k} {v}" for k, v in got.dtypes if k in out) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{k} {v}" for k, v in got.dtypes) + ", sequence_id long, offset long, _light boolean"
+
+    def placed(rows: pd.DataFrame, shard: int, where: np.ndarray, offset: np.ndarray, cap_: int, first: bool) -> pd.DataFrame:
+        rows["sequence_id"], rows["offset"] = (shard << 32) + where, offset
+        rows["_light"] = _light(where, rows["length"].to_numpy(), cap_, light_share if first else 4)
+        return rows
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_row", ignore_index=True)
         where, offset = pack_sizes(rows["length"].to_numpy(), cap)
-        rows["sequence_id"] = (int(rows["_shard"].iloc[0]) << 32) + where
-        rows["offset"] = offset
+        rows = placed(rows, int(rows["_shard"].iloc[0]), where, offset, cap, True)
         trim()
-        return rows[[*out, "sequence_id", "offset"]]
-
-    return got.groupBy("_shard").applyInPandas(one, schema)
+        return rows
+
+    def again(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Goes on from the bins that meet here; the round's shards have numbers of their own."""
+        rows = rows.sort_values(["sequence_id", "offset"], ignore_index=True)
+        sizes = rows["length"].to_numpy()
+        _, where = np.unique(rows["sequence_id"].to_numpy(), return_inverse=True)
+        cuts = np.searchsorted(where, np.arange(where.max() + 2))
+        bins = local_search([list(range(a, b)) for a, b in zip(cuts, cuts[1:])], sizes, cap)
+        where, offset = _places(bins, sizes)
+        rows["_shard"] = key[0]
+        return placed(rows.drop(columns=["_to", "_number"]), key[1], where, offset, cap, False)
+
+    done, number, groups = materialize(got.groupBy("_shard").applyInPandas(one, schema), "pack-shards"), shards, shards
+    parts = []
+    while groups > 1 and meet > 1:
+        parts.append(done.where("NOT _light"))
+        groups = -(-groups // meet)
+        met = done.where("_light").withColumn("_to", F.floor(F.col("_shard") / meet)).withColumn("_number", F.lit(number) + F.col("_to"))
+        done = materialize(met.groupBy("_to", "_number").applyInPandas(again, schema), "pack-met")
+        number += groups
+    for x in parts:
+        done = done.unionByName(x)
+    return done.select(*out, "sequence_id", "offset")
 
 
 def op2_packing(spark, sf_dir):

@@ -170,6 +170,22 @@ def test_packing_documents(spark, awkward):
     assert packing.pack(empty(awkward)).count() == 0
 
 
+def test_packing_rounds_empty_bins_that_shards_leave(spark):
+    """Shards meet: no row is lost, offsets stay gapless, and fewer sequences are left than the shards had."""
+    rng = np.random.default_rng(12)
+    docs = spark.createDataFrame([(i, "a " * int(n)) for i, n in enumerate(rng.integers(1, 900, 600))], "doc_id long, text string")
+    rows = packing.pack(docs, shard_pieces=20, light_share=4, meet=4).collect()
+    assert sorted((r["doc_id"], r["piece"]) for r in rows) == [(i, 0) for i in range(600)]
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for v in by.values():
+        v.sort()
+        assert v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(v, v[1:])) and sum(n for _, n in v) <= 1024
+    alone = packing.pack(docs, shard_pieces=20, meet=1).select("sequence_id").distinct().count()
+    assert len(by) < alone and len(by) >= -(-sum(r["length"] for r in rows) // 1024)
+
+
 # --- op3 -------------------------------------------------------------------------------------------------------------
 def test_topk(spark):
     rng = np.random.default_rng(3)
