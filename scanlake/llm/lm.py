@@ -188,7 +188,7 @@ def _load(net: Net, v: np.ndarray) -> Net:
     return net
 
 
-def train(rows: DataFrame, vocabulary: Vocabulary, hidden: int, classes: int, shares: tuple[float, ...], rate: float, steps: int = 16, most_lanes: int = 256) -> Net:
+def train(rows: DataFrame, vocabulary: Vocabulary, hidden: int, classes: int, shares: tuple[float, ...], rate: float, steps: int = 16, most_lanes: int = 512) -> Net:
     """The network after one round over each share of rows (place, symbols), in turn."""
     new = lambda: Net(vocabulary.head_counts, vocabulary.rest_counts, hidden, classes)
     net, kind = new(), _kind(vocabulary)
@@ -246,7 +246,7 @@ def scores(rows: DataFrame, vocabulary: Vocabulary, net: Net, most_lanes: int =
     return rows.mapInArrow(run, f"{schema}, model double")
 
 
-def score(docs: DataFrame, held, head: int = 2048, tails: int = 32, listed: int = 1 << 18, hidden: int = 16, classes: int = 48, shares=(0.02, 0.08, 0.2, 0.3, 0.4), rate: float = 0.05, most_lanes: int = 512) -> DataFrame:
+def score(docs: DataFrame, held, head: int = 2048, tails: int = 32, listed: int = 1 << 18, hidden: int = 16, classes: int = 48, shares=(0.02, 0.08, 0.2, 0.3, 0.4), rate: float = 0.07, most_lanes: int = 512) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     held: a condition on docs; its texts are not learned from. shares: of the training texts, one per round.
