@@ -1,20 +1,24 @@
-"""Main text of web pages: markup decides where it is plain, a host suffix array where it is not.
+"""Main text of web pages by a host suffix array, with markup as a prior.
 
-A page becomes blocks of text in page order, each marked as inside the article (article, main or a content element),
-as furniture by its markup (menus, headers, footers, asides, forms, adverts, notices, comments ...), or as open. The
-token streams of a host's pages are joined and their suffixes sorted by the first `run` tokens; neighbours that agree on
-all of them are one run, which is furniture if a share of the host's distinct pages has it (least_pages; copies and near
-copies count as one page), and overlaps make up the long ones. Open blocks that are covered go, and long covered
-stretches of the others. Blocks of an article stay whole, even where pages share them, unless half of the host's distinct
-pages have them. Open blocks beside an article stay where they hold more text than it does.
+A page becomes blocks of text in page order. What can never be text (scripts, styles, forms, menus, hidden elements) is not
+read at all; all other blocks make the page's token stream, each with what its markup suggests: inside the article, furniture
+(headers, footers, asides, adverts, notices ...), doubtful (a name that holds such a word, inside the article) or open.
 
-Hosts are split by hash into groups of bounded size, so that a host with a third of all pages is many groups. A group
-counts the distinct pages of each run that two or more of its pages have, the counts of a host's groups are added up, and
-each page is cut by the furniture of the whole host. A run that a group has on one page only is not counted there.
+The token streams of a host's pages are joined and their suffixes sorted by the first `run` tokens; neighbours that agree on
+all of them are one run, and overlaps make up the long ones (a block shorter than `run` counts as a run of its own). Runs on
+enough of the host's distinct pages are its boilerplate, copies and near copies counting as one page: on a hundredth of them
+for marked blocks (marked_pages), a tenth for open ones (least_pages), half for the article's (most_pages). Covered blocks
+and stretches go. What the suffix array leaves is decided by the prior: unique furniture goes, unique doubtful blocks of
+`run` words or more stay, and open blocks stay where the page has no article or holds more words outside of it.
+
+Hosts are split by hash into groups of bounded number and size, so that a host with a third of all pages is many groups. A
+group counts the distinct pages of each run that two or more of its pages have, the counts of a host's groups are added up,
+and each page is cut by the repeated runs of the whole host. A run that a group has on one page only is not counted there: of
+a run on a tenth of the pages, a group of 256 misses all with a chance under 1e-10.
 
 Cases: null html is empty; null url is a host of its own; pages without text give an empty string; repeated rows are
-pages of their own (one page repeated does not make its text furniture: equal open streams count once); an empty table
-gives an empty table; unclosed, misnested and unknown tags are tolerated; extra columns are ignored.
+pages of their own (one page repeated does not make its text furniture: equal streams count once); an empty table gives an
+empty table; unclosed, misnested and unknown tags are tolerated; a page of any size is read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, small_side, table
+from .words import trim
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -41,7 +46,8 @@ BLOCK = {
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p",
     "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-DROP = {"nav", "aside", "footer", "form", "menu", "button", "dialog", "search", "head"}
+NEVER = {"nav", "form", "menu", "button", "dialog", "search", "head"}
+DROP = {"aside", "footer"}
 DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 DROP_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
@@ -49,34 +55,46 @@ DROP_NAMES = {
     "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
 ARTICLE_NAMES = {"articlebody", "article-body", "article-content", "entry-content", "post-content", "post-body", "main-content", "story-body"}
-FURNITURE, OPEN, ARTICLE = 0, 1, 2
+END = "\x00"  # no word: white space and references of HTML never give it
+NONE, FURNITURE, DOUBT, OPEN, ARTICLE = -1, 0, 1, 2, 3
 #: A run is furniture on this share of a host's distinct pages; pages that share this part of their runs are copies of one.
 SHARE, COPIES = 0.1, 0.7
+MARKED = 0.01  # as SHARE, for blocks that markup marks as furniture or doubtful
 
 
 def _kind(name: str, attrs: str, now: int) -> int:
-    """What an element is, from its tag and what it stands in."""
-    if now == FURNITURE or name in DROP or (name == "header" and now != ARTICLE):
-        return FURNITURE
-    kind = ARTICLE if name in ("article", "main") else now
+    """What an element is, from its tag and what it stands in. Names of inline elements say nothing."""
+    if now == NONE or name in NEVER:
+        return NONE
+    inside = now in (ARTICLE, DOUBT)
+    if now == FURNITURE or name in DROP or (name == "header" and not inside):
+        now, inside = FURNITURE, False
+    kind = ARTICLE if name in ("article", "main") and now != FURNITURE else now
     if attrs and ("=" in attrs or "hidden" in attrs):
         for key, *values in ATTRIBUTE.findall(attrs):
             key, value = key.lower(), unescape("".join(values)).lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                return FURNITURE
+                return NONE
+            if now == FURNITURE:
+                continue
             if key == "role":
                 if value in DROP_ROLES and name not in ("html", "body"):
                     return FURNITURE
                 kind = ARTICLE if value in ("main", "article") else kind
             elif key == "itemprop" and value == "articlebody":
                 kind = ARTICLE
-            elif key in ("class", "id"):
+            elif key in ("class", "id") and name in BLOCK:
                 for x in value.split():
                     if x in ARTICLE_NAMES:
                         kind = ARTICLE
                     parts = re.split(r"[-_]+", x)
-                    if name not in ("html", "body", "main") and parts[0] not in ("has", "no", "with", "without", "not") and (x in DROP_NAMES or DROP_NAMES & set(parts)):
-                        return FURNITURE
+                    if name not in ("html", "body", "main", "article") and parts[0] not in ("has", "no", "with", "without", "not"):
+                        if x in DROP_NAMES:
+                            return FURNITURE
+                        if DROP_NAMES & set(parts):
+                            if not inside:
+                                return FURNITURE
+                            kind = DOUBT
     return kind
 
 
@@ -91,8 +109,8 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if piece:
             text = " ".join("".join(piece).split())
             piece.clear()
-            if text:
-                out.append((kind, text))
+            if text and kind != NONE:
+                out.append((kind, text.replace(END, "\ufffd")))
 
     at = 0
     while True:
@@ -223,8 +241,14 @@ def run_hashes(words: list[str], run: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def stream(page: list[tuple[int, str]]) -> list[str]:
-    return [w for _, t in page for w in t.split(" ")]
+def stream(page: list[tuple[int, str]], run: int) -> list[str]:
+    """The words of all blocks; shorter blocks than a run are filled up with END, so that they are runs as a whole."""
+    out = []
+    for _, t in page:
+        mine = t.split(" ")
+        out += mine
+        out += [END] * (run - len(mine))
+    return out
 
 
 def _leaders(page: np.ndarray, of: np.ndarray, pages: int) -> np.ndarray:
@@ -251,7 +275,7 @@ def _leaders(page: np.ndarray, of: np.ndarray, pages: int) -> np.ndarray:
 
 def support(parsed: list[list[tuple[int, str]]], run: int) -> tuple[int, dict[int, int]]:
     """(number of distinct pages, hash of each run that two or more of them have -> their number); near copies are one page."""
-    streams = [list(x) for x in dict.fromkeys(tuple(stream(p)) for p in parsed) if x]
+    streams = [list(x) for x in dict.fromkeys(tuple(stream(p, run)) for p in parsed) if x]
     if not streams:
         return 0, {}
     number: dict[str, int] = {}
@@ -278,6 +302,11 @@ def support(parsed: list[list[tuple[int, str]]], run: int) -> tuple[int, dict[in
     return len(np.unique(leader)), out
 
 
+def marked_pages(pages: int) -> int:
+    """Of a host's distinct pages, how many have a run that is furniture where markup says so too: MARKED of them, two at least."""
+    return max(2, math.ceil(MARKED * pages))
+
+
 def least_pages(pages: int) -> int:
     """Of a host's distinct pages, how many have a run that is furniture: SHARE of them, three at least, of two both."""
     return max(2, min(pages, max(3, math.ceil(SHARE * pages))))
@@ -288,63 +317,72 @@ def most_pages(pages: int) -> int:
     return max(3, math.ceil(pages / 2))
 
 
-def page_text(page: list[tuple[int, str]], furniture: np.ndarray, wide: np.ndarray, run: int) -> str:
-    """The main text of a page, by the hashes of its host's furniture and of what most of the host's pages have.
+def page_text(page: list[tuple[int, str]], marked: np.ndarray, furniture: np.ndarray, wide: np.ndarray, run: int, prior: bool = True) -> str:
+    """The main text of a page, by the hashes of its host's runs on few, several and most of its pages.
 
-    A block of the article goes only if it is covered by the latter. Open blocks beside an article stay where more
-    words are left of them than of the article, which is a teaser then.
+    prior: whether markup decides what the runs leave; else all that they leave is text.
     """
-    words = stream(page)
+    words = stream(page, run)
     hashes = run_hashes(words, run)
-    covered, common = (_spread(np.flatnonzero(np.isin(hashes, x)), len(words), run) for x in (furniture, wide))
+    levels = [_spread(np.flatnonzero(np.isin(hashes, x)), len(words), run) for x in (marked, furniture, wide)]
     lines, at, size = [], 0, {ARTICLE: 0, OPEN: 0}
     for k, t in page:
         mine = t.split(" ")
         here = slice(at, at + len(mine))
-        at += len(mine)
-        if k == FURNITURE or (k == ARTICLE and common[here].all()):
+        at += max(run, len(mine))
+        covered = levels[{OPEN: 1, ARTICLE: 2}.get(k, 0)][here]
+        if (covered.all() and (k != ARTICLE or len(mine) >= run)) or (prior and (k == FURNITURE or k == DOUBT and len(mine) < run)):
+            continue
+        gone = removed(covered, run) if k in (OPEN, FURNITURE) else np.zeros(len(mine), bool)
+        if gone.all():
             continue
-        gone = removed(covered[here], run) if k == OPEN else np.zeros(len(mine), bool)
-        if not gone.all():
-            lines.append((k, " ".join(w for w, g in zip(mine, gone) if not g)))
-            size[k] += int((~gone).sum())
-    return "\n".join(t for k, t in lines if k == ARTICLE or size[OPEN] > size[ARTICLE])
+        k = OPEN if k in (OPEN, FURNITURE) else ARTICLE
+        lines.append((k, " ".join(w for w, g in zip(mine, gone) if not g)))
+        size[k] += int((~gone).sum())
+    return "\n".join(t for k, t in lines if k == ARTICLE or not prior or size[OPEN] > size[ARTICLE])
 
 
-def main_texts(pages: list[str | None], run: int = 8) -> list[str]:
+def main_texts(pages: list[str | None], run: int = 8, prior: bool = True) -> list[str]:
     """The main text of each page of one host."""
     parsed = [blocks(h or "") for h in pages]
     n, counts = support(parsed, run)
-    furniture, wide = (np.array([h for h, c in counts.items() if c >= least], np.int64) for least in (least_pages(n), most_pages(n)))
-    return [page_text(p, furniture, wide, run) for p in parsed]
+    levels = [np.array([h for h, c in counts.items() if c >= least], np.int64) for least in (marked_pages(n), least_pages(n), most_pages(n))]
+    return [page_text(p, *levels, run, prior) for p in parsed]
 
 
-def extract(pages: DataFrame, run: int = 8, group_pages: int = 256) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of pages (page_id, url, html); group_pages bounds a host's group."""
+def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes: int = 32 << 20, prior: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) for every row of pages (page_id, url, html).
+
+    group_pages and group_bytes bound a host's group (a page longer than that is a group's only one, about). prior: see page_text.
+    """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html").withColumn("_host", host)
-    counts = rows.groupBy("_host").count()
-    counts = materialize(counts.select("_host", F.ceil(F.col("count") / group_pages).alias("_n")), "html-hosts")
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    counts = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
+    counts = materialize(counts.select("_host", F.greatest(F.ceil(F.col("n") / group_pages), F.ceil(F.col("b") / group_bytes), F.lit(1)).alias("_n")), "html-hosts")
     dealt = rows.join(small_side(counts), "_host").withColumn("_group", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("_n")))
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         n, found = support([blocks(h) if isinstance(h, str) else [] for h in group["html"]], run)
+        trim()
         return pd.DataFrame({"_host": key[0], "h": pd.array([None, *found], "Int64"), "n": [n, *found.values()]})
 
-    # h null: the number of distinct pages; the counts of a host's groups add up
-    counted = dealt.select("_host", "_group", "html").groupBy("_host", "_group").applyInPandas(count, "_host string, h long, n long")
+    # h null: the number of distinct pages; the counts of a host's groups add up. Groups are dealt by themselves: a host is many tasks
+    counted = dealt.select("_host", "_group", "html").repartition("_host", "_group").groupBy("_host", "_group").applyInPandas(count, "_host string, h long, n long")
     counted = materialize(counted.groupBy("_host", "h").agg(F.sum("n").alias("n")), "html-runs")
     total = counted.where("h IS NULL").select("_host", F.col("n").alias("_total"))
+    marked = F.greatest(F.lit(2), F.ceil(F.lit(MARKED) * F.col("_total")))  # as marked_pages
     least = F.greatest(F.lit(2), F.least(F.col("_total"), F.greatest(F.lit(3), F.ceil(F.lit(SHARE) * F.col("_total")))))  # as least_pages
     most = F.greatest(F.lit(3), F.ceil(F.col("_total") / 2))  # as most_pages
-    found = counted.where("h IS NOT NULL").join(total, "_host").where(F.col("n") >= least)
-    furniture = materialize(found.groupBy("_host").agg(F.collect_list("h").alias("_runs"), F.collect_list(F.when(F.col("n") >= most, F.col("h"))).alias("_wide")), "html-furniture")
+    found = counted.where("h IS NOT NULL").join(total, "_host").where(F.col("n") >= F.least(marked, least))  # at most 1 / MARKED times a page's runs
+    level = lambda x: F.collect_list(F.when(F.col("n") >= x, F.col("h")))
+    furniture = materialize(found.groupBy("_host").agg(level(marked).alias("_marked"), level(least).alias("_runs"), level(most).alias("_wide")), "html-furniture")
     kinds = dict(pages.dtypes)
 
     def texts(batches):
         for b in batches:
-            known, wide = ([np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in b[c]] for c in ("_runs", "_wide"))
-            text = [page_text(blocks(h) if isinstance(h, str) else [], r, w, run) for h, r, w in zip(b["html"], known, wide)]
+            known = {c: [np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in b[c]] for c in ("_marked", "_runs", "_wide")}
+            text = [page_text(blocks(h) if isinstance(h, str) else [], *x, run, prior) for h, *x in zip(b["html"], *known.values())]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     small_batches(pages.sparkSession)

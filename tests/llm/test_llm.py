@@ -277,6 +277,33 @@ def test_html_repeated_runs_decide_beside_articles():
     assert html.main_texts([f"<article>{b}</article><p>by line</p>" for b in body]) == body
 
 
+def test_html_names_say_nothing_on_inline_elements():
+    page = "<article><p>see <span class='social'>social</span> history</p><div class='related-work'>eight words that are no furniture of any kind</div></article>"
+    assert html.main_texts([page]) == ["see social history\neight words that are no furniture of any kind"]
+
+
+def test_html_coverage_decides_without_a_prior():
+    """Whole pages of a host by the suffix array alone, against a search of all runs of all pages."""
+    rng = np.random.default_rng(9)
+    pool = [" ".join(f"f{j}x{i}" for i in range(n)) for j, n in enumerate((12, 30, 3))]
+    body = [" ".join(f"p{k}x{i}" for i in range(25)) for k in range(12)]
+    pages = [f"<div class='ad'>{pool[rng.integers(3)]}</div><article><p>{b}</p></article><footer>{pool[k % 3]}</footer>" for k, b in enumerate(body)]
+    assert html.main_texts(pages, prior=False) == body == html.main_texts(pages)
+    unique = [f"<footer>{b}</footer><article><p>{b} and more</p></article>" for b in body[:3]]
+    assert html.main_texts(unique, prior=False) == [f"{b}\n{b} and more" for b in body[:3]]  # nothing is covered, and markup is not asked
+    assert html.main_texts(unique) == [f"{b} and more" for b in body[:3]]
+
+
+def test_html_groups_are_bounded(spark):
+    """A hot host, and one of few large pages: groups by number and by bytes, the same texts."""
+    page = lambda i, n: f"<p>{' '.join(f'w{i}x{j}' for j in range(n))}</p><p>{' '.join(f'n{j}' for j in range(12))}</p>"
+    rows = [(i, "http://hot/", page(i, 30)) for i in range(120)] + [(200 + i, "http://large/", page(i, 3000)) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, cut_ = ({r["page_id"]: r["text"] for r in html.extract(df, **x).collect()} for x in ({}, {"group_pages": 25, "group_bytes": 60_000}))
+    assert whole == cut_ and all("n0" not in t.split() for t in whole.values())
+    assert html.extract(spark.createDataFrame([(1, "http://a/", f"<p>{'word ' * 400_000}</p>")], "page_id long, url string, html string")).first()["n_chars"] == 1_999_999
+
+
 # --- op5 -------------------------------------------------------------------------------------------------------------
 def test_gru_gradients():
     net = gru.Net([40, 30, 20, 10, 5, 5], [9, 4, 4], hidden=5, classes=2, seed=3)
