@@ -6,9 +6,9 @@ read at all; all other blocks make the page's token stream, each with what its m
 
 The token streams of a host's pages are joined and their suffixes sorted by the first `run` tokens; neighbours that agree on
 all of them are one run, and overlaps make up the long ones (a block shorter than `run` counts as a run of its own). Runs on
-enough of the host's distinct pages are its boilerplate, copies and near copies counting as one page: on a hundredth of them
-for marked blocks (marked_pages), a tenth for open ones (least_pages), half for the article's (most_pages). Covered blocks
-and stretches go. What the suffix array leaves is decided by the prior: unique furniture goes, unique doubtful blocks of
+enough of the host's distinct pages are its boilerplate, copies and near copies counting as one page: on a tenth of them for
+open and doubtful blocks (least_pages), half for the article's (most_pages), and without the prior on a hundredth for marked
+blocks (marked_pages). Covered blocks and stretches go. What the suffix array leaves is decided by the prior: unique furniture goes, unique doubtful blocks of
 `run` words or more stay, and open blocks stay where the page has no article or holds more words outside of it.
 
 Hosts are split by hash into groups of bounded number and size, so that a host with a third of all pages is many groups. A
@@ -29,11 +29,12 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, small_side, table
-from .words import trim
+from .words import trim, word_hashes
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -229,18 +230,26 @@ def removed(covered: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def run_hashes(words: list[str], run: int) -> np.ndarray:
-    """64-bit hash of each run of `run` words."""
-    n = len(words) - run + 1
+def run_hashes(tokens: pa.DictionaryArray, run: int) -> np.ndarray:
+    """64-bit hash of the run of `run` tokens from each on (only where so many follow)."""
+    n = len(tokens) - run + 1
     if n < 1:
         return np.zeros(0, np.int64)
-    h = pd.util.hash_array(np.array(words, object))
+    h = word_hashes(tokens.dictionary)[tokens.indices.to_numpy()]
     out = np.zeros(n, np.uint64)
     for i in range(run):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + (h[i : i + n] ^ (h[i : i + n] >> np.uint64(29)))
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[i : i + n]
     return out.view(np.int64)
 
 
+def _held(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where hashes are in known, which is sorted."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+
+
 def stream(page: list[tuple[int, str]], run: int) -> list[str]:
     """The words of all blocks; shorter blocks than a run are filled up with END, so that they are runs as a whole."""
     out = []
@@ -278,8 +287,8 @@ def support(parsed: list[list[tuple[int, str]]], run: int) -> tuple[int, dict[in
     streams = [list(x) for x in dict.fromkeys(tuple(stream(p, run)) for p in parsed) if x]
     if not streams:
         return 0, {}
-    number: dict[str, int] = {}
-    tokens = np.array([number.setdefault(w, len(number)) for s in streams for w in s], np.int64)
+    words = pa.array([w for s in streams for w in s], pa.string()).dictionary_encode()
+    tokens = words.indices.to_numpy()
     sizes = np.array([len(s) for s in streams])
     page, begin = np.repeat(np.arange(len(streams)), sizes), np.cumsum(sizes) - sizes
     order, first = _runs(tokens, page, run)
@@ -291,14 +300,8 @@ def support(parsed: list[list[tuple[int, str]]], run: int) -> tuple[int, dict[in
     leader = _leaders(on, of, len(streams))
     pairs = np.unique(of * len(streams) + leader[on])
     n = np.bincount(pairs // len(streams), minlength=len(first))
-    out = {}
-    hashes: dict[int, np.ndarray] = {}
-    for k in np.flatnonzero(n > 1).tolist():
-        at = int(order[first[k]])
-        i = int(page[at])
-        if i not in hashes:
-            hashes[i] = run_hashes(streams[i], run)
-        out[int(hashes[i][at - begin[i]])] = int(n[k])
+    several = np.flatnonzero(n > 1)
+    out = dict(zip(run_hashes(words, run)[order[first[several]]].tolist(), n[several].tolist()))
     return len(np.unique(leader)), out
 
 
@@ -317,14 +320,13 @@ def most_pages(pages: int) -> int:
     return max(3, math.ceil(pages / 2))
 
 
-def page_text(page: list[tuple[int, str]], marked: np.ndarray, furniture: np.ndarray, wide: np.ndarray, run: int, prior: bool = True) -> str:
-    """The main text of a page, by the hashes of its host's runs on few, several and most of its pages.
+def page_text(page: list[tuple[int, str]], hashes: np.ndarray, known: list[np.ndarray], run: int, prior: bool = True) -> str:
+    """The main text of a page, by the hashes of its runs and those of its host's runs on few, several and most of its pages (sorted).
 
-    prior: whether markup decides what the runs leave; else all that they leave is text.
+    prior: whether markup decides what the runs leave, and few pages count as several; else all that they leave is text.
     """
-    words = stream(page, run)
-    hashes = run_hashes(words, run)
-    levels = [_spread(np.flatnonzero(np.isin(hashes, x)), len(words), run) for x in (marked, furniture, wide)]
+    total = sum(max(run, t.count(" ") + 1) for _, t in page)
+    levels = [_spread(_held(hashes, x), total, run) for x in known]
     lines, at, size = [], 0, {ARTICLE: 0, OPEN: 0}
     for k, t in page:
         mine = t.split(" ")
@@ -346,8 +348,19 @@ def main_texts(pages: list[str | None], run: int = 8, prior: bool = True) -> lis
     """The main text of each page of one host."""
     parsed = [blocks(h or "") for h in pages]
     n, counts = support(parsed, run)
-    levels = [np.array([h for h, c in counts.items() if c >= least], np.int64) for least in (marked_pages(n), least_pages(n), most_pages(n))]
-    return [page_text(p, *levels, run, prior) for p in parsed]
+    known = [np.sort(np.array([h for h, c in counts.items() if c >= least], np.int64)) for least in (least_pages(n) if prior else marked_pages(n), least_pages(n), most_pages(n))]
+    return page_texts(parsed, [known] * len(parsed), run, prior)
+
+
+def page_texts(parsed: list[list[tuple[int, str]]], known: list[list[np.ndarray]], run: int, prior: bool) -> list[str]:
+    """page_text of each page, whose tokens are hashed together."""
+    streams = [stream(p, run) for p in parsed]
+    hashes = run_hashes(pa.array([w for s in streams for w in s], pa.string()).dictionary_encode(), run)
+    out, at = [], 0
+    for page, s, k in zip(parsed, streams, known):
+        out.append(page_text(page, hashes[at : at + len(s) - run + 1] if s else hashes[:0], k, run, prior))
+        at += len(s)
+    return out
 
 
 def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes: int = 32 << 20, prior: bool = True) -> DataFrame:
@@ -371,18 +384,19 @@ def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes:
     counted = dealt.select("_host", "_group", "html").repartition("_host", "_group").groupBy("_host", "_group").applyInPandas(count, "_host string, h long, n long")
     counted = materialize(counted.groupBy("_host", "h").agg(F.sum("n").alias("n")), "html-runs")
     total = counted.where("h IS NULL").select("_host", F.col("n").alias("_total"))
-    marked = F.greatest(F.lit(2), F.ceil(F.lit(MARKED) * F.col("_total")))  # as marked_pages
     least = F.greatest(F.lit(2), F.least(F.col("_total"), F.greatest(F.lit(3), F.ceil(F.lit(SHARE) * F.col("_total")))))  # as least_pages
     most = F.greatest(F.lit(3), F.ceil(F.col("_total") / 2))  # as most_pages
+    marked = least if prior else F.greatest(F.lit(2), F.ceil(F.lit(MARKED) * F.col("_total")))  # as marked_pages
     found = counted.where("h IS NOT NULL").join(total, "_host").where(F.col("n") >= F.least(marked, least))  # at most 1 / MARKED times a page's runs
-    level = lambda x: F.collect_list(F.when(F.col("n") >= x, F.col("h")))
-    furniture = materialize(found.groupBy("_host").agg(level(marked).alias("_marked"), level(least).alias("_runs"), level(most).alias("_wide")), "html-furniture")
+    level = lambda x: F.sort_array(F.collect_list(F.when(F.col("n") >= x, F.col("h"))))
+    levels = {"_runs": least, "_wide": most} | ({} if prior else {"_marked": marked})
+    furniture = materialize(found.groupBy("_host").agg(*[level(x).alias(c) for c, x in levels.items()]), "html-furniture")
     kinds = dict(pages.dtypes)
 
     def texts(batches):
         for b in batches:
-            known = {c: [np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in b[c]] for c in ("_marked", "_runs", "_wide")}
-            text = [page_text(blocks(h) if isinstance(h, str) else [], *x, run, prior) for h, *x in zip(b["html"], *known.values())]
+            held = [[np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in b[c]] for c in ("_runs" if prior else "_marked", "_runs", "_wide")]
+            text = page_texts([blocks(h) if isinstance(h, str) else [] for h in b["html"]], list(zip(*held)), run, prior)
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     small_batches(pages.sparkSession)
