@@ -85,6 +85,15 @@ def r6(c, name=None):
     return F.round(c if not isinstance(c, str) else F.col(c), 6).alias(name or (c if isinstance(c, str) else "x"))
 
 
+def rounded(df, **digits):
+    """df with columns rounded where named; sums of doubles depend on their order."""
+    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
+#: Digits of a peak's columns.
+SHAPE = {"rt_start": 6, "rt_apex": 6, "rt_end": 6, "height": 4, "body_height": 4, "area": 3, "width": 6, "prominence": 4, "snr": 5, "area_ratio": 8, "noise_level": 4}
+
+
 # --- curves --------------------------------------------------------------------------------------------------------
 @query("SELECT sample_id, min(mz) AS mz_min, max(mz) AS mz_max, min(rt) AS rt_min, max(rt) AS rt_max, count(DISTINCT scan_id) AS scan_count FROM p GROUP BY ALL")
 def raw_file_summary(spark, sf_dir):
@@ -237,14 +246,13 @@ def _tic_peaks(spark, sf_dir):
 
 @query()
 def tic_peaks(spark, sf_dir):
-    """Greedy apex selection and valley collapse; checked against a plain loop in the tests."""
-    return _tic_peaks(spark, sf_dir)
+    """Greedy apex selection and valley collapse."""
+    return rounded(_tic_peaks(spark, sf_dir), **SHAPE)
 
 
 @query()
 def refine_boundaries(spark, sf_dir):
-    """Follows tic_peaks, which SQL does not express; checked against a plain loop in the tests."""
-    return K.refine_boundaries(_tic_peaks(spark, sf_dir), ["sample_id"])
+    return rounded(K.refine_boundaries(_tic_peaks(spark, sf_dir), ["sample_id"]), **SHAPE)
 
 
 @query()
@@ -265,30 +273,30 @@ def candidate_peaks(spark, sf_dir, shifts=None):
 
 @query()
 def merge_peak_candidates(spark, sf_dir):
-    """A mutable greedy merge; rows only."""
-    return candidate_peaks(spark, sf_dir)[0]
+    """A mutable greedy merge."""
+    return rounded(candidate_peaks(spark, sf_dir)[0], **SHAPE)
 
 
 @query()
 def landmarks(spark, sf_dir):
-    """Greedy one-to-one matching; rows only, hand-worked cases in the tests."""
-    return A.landmarks(chrom(spark, sf_dir), "A")
+    """Greedy one-to-one matching."""
+    return rounded(A.landmarks(chrom(spark, sf_dir), "A"), reference_area=3, sample_area=3)
 
 
 @query()
 def robust_shift(spark, sf_dir):
-    return A.robust_shifts(A.landmarks(chrom(spark, sf_dir), "A"))
+    return rounded(A.robust_shifts(A.landmarks(chrom(spark, sf_dir), "A")), rt_shift=6)
 
 
 def _alignment(spark, sf_dir):
-    c = curves(spark, sf_dir, "bpi")
-    peaks = K.chromatogram_peaks(c, ["sample_id"])
+    c = pinned(curves(spark, sf_dir, "bpi"))
+    peaks = pinned(K.chromatogram_peaks(c, ["sample_id"]))
     return A.alignment(c, peaks, K.main_peaks(c, peaks, ["sample_id"]), "A")
 
 
 @query()
 def rt_alignment(spark, sf_dir):
-    return _alignment(spark, sf_dir)
+    return rounded(_alignment(spark, sf_dir), rt_shift=6)
 
 
 @query(f", {CURVE} SELECT sample_id, 12.0::DOUBLE - rt AS rt_shift, rt AS apex_rt FROM c QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY abs(rt - 12), rt) = 1")
@@ -784,3 +792,6 @@ def _saved_feature_upsert(spark, sf_dir):
     text = F.when(F.col("n_nationkey") % 5 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"mz":'), F.col("n_nationkey").cast("string"), F.lit("}")))
     new = n.select(F.col("n_nationkey").alias("ord"), F.lit(None).cast("string").alias("region_id"), F.col("n_name").alias("feature_id"), text.alias("feature_json"), F.lit(None).cast("string").alias("created_at"))
     return upsert_features(old, new, F.lit("2024"))
+
+
+from scanlake.plans import greedy_sql  # noqa: E402, F401  (adds to ORACLE)
