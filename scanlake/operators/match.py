@@ -9,41 +9,61 @@ from pyspark.sql import functions as F
 from scanlake.functions import cv_of_positives, fold_change, group_difference, lit, ppm_window
 
 
-def islands(df: DataFrame, by: list[str], order: list[str], tolerance: Column) -> DataFrame:
-    """Adds island: a new one starts where mz lies further from the one before than the tolerance there (a function of `_before`).
+def islands(df: DataFrame, by: list[str], width: Column, tolerance: Column) -> DataFrame:
+    """Adds island, _lo and _hi: runs of mz without a gap wider than tolerance (a function of `_before`, the m/z before the gap).
 
-    A weighted centre never exceeds the last m/z, so no fold over sorted points joins across such a gap.
+    A weighted centre never exceeds the last m/z, so no fold over sorted rows joins across such a gap. Rows are first
+    counted by bins of `width` (a bin number, a function of mz, of bins no wider than the tolerance): gaps lie between bins, of
+    which there are as many as the m/z range has, whatever the number of rows; rows find their island by bin.
     """
-    line = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    x = df.withColumn("_before", F.lag("mz").over(line))
-    x = x.withColumn("_new", F.coalesce(F.col("mz") - F.col("_before") > tolerance, F.lit(True)).cast("int"))
-    return x.withColumn("island", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_before", "_new")
+    x = df.withColumn("_bin", width)
+    bins = x.groupBy(*by, "_bin").agg(F.min("mz").alias("_lo"), F.max("mz").alias("_hi"))
+    line = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bin")
+    bins = bins.withColumn("_before", F.lag("_hi").over(line))
+    fresh = F.coalesce(F.col("_lo") - F.col("_before") > tolerance, F.lit(True)).cast("int")
+    bins = bins.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*by, "island")
+    bins = bins.select(*by, "_bin", "island", F.min("_lo").over(whole).alias("_lo"), F.max("_hi").over(whole).alias("_hi"))
+    return x.join(bins, [*by, "_bin"]).drop("_bin")
+
+
+def bins_of(ppm: float | None, da: float) -> Column:
+    """Number of the m/z bin of half the tolerance (so rounding does no harm): in parts per million on a logarithmic scale, else in Da."""
+    if ppm is None:
+        return F.floor(F.col("mz") / (da / 2)).cast("long")
+    return F.floor(F.log(F.greatest(F.col("mz"), lit(1e-6))) / (ppm * 0.5e-6)).cast("long")
 
 
 def clusters(points: DataFrame, by: list[str], ppm: float | None, da: float = 0.5, order: tuple[str, ...] = ("mz", "intensity")) -> DataFrame:
     """(by.., cluster_mz, total_intensity, max_intensity, scan_count): points join the running cluster while they lie within the
-    tolerance of its weighted centre (ppm, or da). Points need a positive intensity."""
-    tol = F.greatest(ppm_window(F.col("_before"), ppm), lit(1e-9)) if ppm is not None else lit(da)
-    x = islands(points.where("intensity > 0"), by, list(order), tol)
+    tolerance of its weighted centre (ppm, or da). Points need a positive intensity.
+
+    An island no wider than the tolerance at its lower end is one cluster whatever the order, so aggregates alone give it;
+    the fold runs on wider ones, many to a batch.
+    """
+    points = points.where("intensity > 0")
+    tol = lambda x: F.greatest(ppm_window(F.col(x), ppm), lit(1e-9)) if ppm is not None else lit(da)
+    x = islands(points, by, bins_of(ppm, da), tol("_before"))
+    narrow = F.col("_hi") - F.col("_lo") <= tol("_lo")
+    sums = [(F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("cluster_mz"), F.sum("intensity").alias("total_intensity"), F.max("intensity").alias("max_intensity"), F.countDistinct("scan_id").alias("scan_count")]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        number, k, heavy, weight = [], -1, 0.0, 0.0
-        for mz, w in zip(rows["mz"], rows["intensity"]):
-            centre = heavy / weight if weight else None
+        rows = rows.sort_values(["island", *order], kind="stable")
+        number, k, heavy, weight, now = [], -1, 0.0, 0.0, None
+        for island, mz, w in zip(rows["island"], rows["mz"], rows["intensity"]):
+            centre = heavy / weight if weight and island == now else None
             if centre is None or abs(mz - centre) > (max(abs(centre) * ppm / 1e6, 1e-9) if ppm is not None else da):
-                k, heavy, weight = k + 1, 0.0, 0.0
+                k, heavy, weight, now = k + 1, 0.0, 0.0, island
             heavy, weight = heavy + mz * w, weight + w
             number.append(k)
-        g = rows.assign(_k=number, _h=rows["mz"] * rows["intensity"]).groupby("_k")
-        out = g.agg(_h=("_h", "sum"), total_intensity=("intensity", "sum"), max_intensity=("intensity", "max"), scan_count=("scan_id", "nunique"))
-        out.insert(0, "cluster_mz", out.pop("_h") / out["total_intensity"])
-        for i, c in enumerate(by):
-            out.insert(i, c, rows[c].iloc[0])
-        return out.reset_index(drop=True)
+        return rows[[*by, "island", "mz", "intensity", "scan_id"]].assign(_k=number)
 
+    keys = [*by, "island"]
+    one = x.where(narrow).groupBy(*keys).agg(*sums)
     kinds = dict(points.dtypes)
-    return x.groupBy(*by, "island").applyInPandas(fold, ", ".join([*[f"{c} {kinds[c]}" for c in by], "cluster_mz double, total_intensity double, max_intensity double, scan_count long"]))
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "island long, mz double, intensity double, scan_id string, _k int"])
+    wide = x.where(~narrow).withColumn("_batch", F.floor(F.col("island") / 64)).groupBy(*by, "_batch").applyInPandas(lambda rows: fold(rows), schema)
+    return one.drop("island").unionByName(wide.groupBy(*keys, "_k").agg(*sums).drop("island", "_k"))
 
 
 def candidate_mz(points: DataFrame, by: list[str], rt_start: float, rt_end: float, mz_min: float = 200.0, mz_max: float = 2000.0, ppm: float = 20.0, least: float = 1000.0, scans: int = 3, top: int = 50) -> DataFrame:
@@ -57,7 +77,7 @@ def candidate_mz(points: DataFrame, by: list[str], rt_start: float, rt_end: floa
 def match_features(features: DataFrame, ppm: float = 20.0, rt_tolerance: float = 0.2, least_samples: int = 1) -> DataFrame:
     """Adds feature_group_id to features (sample_id, mz, rt, area): in m/z order each joins the nearest group, by normalised distances
     to its means, that has no feature of its sample; islands of m/z are folded apart."""
-    x = islands(features, [], ["mz", "rt", "sample_id"], ppm_window(F.col("_before"), ppm))
+    x = islands(features, [], bins_of(ppm, 0.0), ppm_window(F.col("_before"), ppm)).drop("_lo", "_hi")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["mz", "rt", "sample_id"], kind="stable")

@@ -422,8 +422,8 @@ def _xic_features(spark, sf_dir):
 
 @query()
 def xic_peaks(spark, sf_dir):
-    """Strongest first with overlap suppression; checked against a plain loop in the tests."""
-    return _xic_features(spark, sf_dir)
+    """Strongest first with overlap suppression."""
+    return rounded(_xic_features(spark, sf_dir), area=3, signal_to_noise=5)
 
 
 def _matched(spark, sf_dir):
@@ -433,8 +433,8 @@ def _matched(spark, sf_dir):
 
 @query()
 def match_features(spark, sf_dir):
-    """Greedy groups; rows only, hand-worked cases in the tests."""
-    return _matched(spark, sf_dir)
+    """Greedy groups."""
+    return rounded(_matched(spark, sf_dir), area=3)
 
 
 def _groups(spark, sf_dir):
@@ -442,14 +442,17 @@ def _groups(spark, sf_dir):
     return M.feature_groups(_matched(spark, sf_dir), roles)
 
 
+GROUP = {"representative_mz": 6, "representative_rt": 6, "cv": 6, "max_fold_change": 5, "confidence_score": 6}
+
+
 @query()
 def feature_groups(spark, sf_dir):
-    return _groups(spark, sf_dir).drop("sample_presence", "area_by_sample")
+    return rounded(_groups(spark, sf_dir).drop("sample_presence", "area_by_sample"), **GROUP)
 
 
 @query()
 def feature_matrix_pivot(spark, sf_dir):
-    return M.feature_matrix(_groups(spark, sf_dir), ["A", "N", "R"])
+    return rounded(M.feature_matrix(_groups(spark, sf_dir), ["A", "N", "R"]), area_A=3, area_N=3, area_R=3, **GROUP)
 
 
 SPECTRUM = "SELECT sample_id, CAST(floor(mz / 0.5 + 0.5) AS BIGINT) AS mz_bin, {v} AS intensity FROM p {w} GROUP BY 1, 2"

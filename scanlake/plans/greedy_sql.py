@@ -120,3 +120,63 @@ ALIGN_SQL = f"""{ROBUST_SQL},
 register("landmarks", f"{MARKS_SQL} SELECT sample_id, reference_rt, sample_rt, rt_shift, round(reference_area, 3) AS reference_area, round(sample_area, 3) AS sample_area FROM marks")
 register("robust_shift", f"{ROBUST_SQL} SELECT sample_id, round(rt_shift, 6) AS rt_shift, landmark_count FROM rob")
 register("rt_alignment", f"{ALIGN_SQL} SELECT sample_id, round(rt_shift, 6) AS rt_shift, apex_rt, landmark_count, match_method FROM alg")
+
+# --- features of m/z targets -----------------------------------------------------------------------------------------
+XPEAK_SQL = f"""{XIC_SQL},
+ x1 AS (SELECT sample_id, target_mz, rt, s AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY sample_id, target_mz) AS n, first_value(s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f,
+          last_value(s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e, sum(s) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm FROM x WINDOW w AS (PARTITION BY sample_id, target_mz ORDER BY rt)),
+ x2 AS (SELECT *, CASE WHEN n < 3 THEN v ELSE (sm + greatest(3 - i, 0) * f + greatest(2 - (n - i), 0) * e) / 5 END AS y FROM x1),
+ x3 AS (SELECT sample_id, target_mz, y, row_number() OVER (PARTITION BY sample_id, target_mz ORDER BY y) AS pos, n FROM x2),
+ x4 AS (SELECT sample_id, target_mz, greatest(CASE WHEN count(*) >= 2 THEN stddev_pop(y) ELSE max(y) END, median(y) * 0.1, 1) AS noise FROM x3 WHERE pos <= greatest(3, n // 5) GROUP BY ALL),
+ x5 AS (SELECT sample_id, target_mz, any_value(noise) AS noise, any_value(n) AS n, list(rt ORDER BY i) AS r, list(v ORDER BY i) AS v, list(y ORDER BY i) AS y FROM x2 JOIN x4 USING (sample_id, target_mz) GROUP BY ALL),
+ x6 AS (SELECT x5.*, k AS i, greatest(2 * noise, y[k] * 0.05) AS level FROM x5, range(2, n) u(k) WHERE y[k] >= y[k - 1] AND y[k] > y[k + 1] AND y[k] >= 100 AND y[k] / noise >= 3),
+ x7 AS (SELECT *, coalesce(list_max(list_filter(range(1, i + 1), lambda j: y[j] <= level)), 1) AS lf, coalesce(list_min(list_filter(range(i, n + 1), lambda j: y[j] <= level)), n) AS rg FROM x6),
+ x8 AS (SELECT *, list_transform(v[lf:rg], lambda q: greatest(q - least(v[lf], v[rg]), 0)) AS part, r[lf:rg] AS pr FROM x7 WHERE r[rg] - r[lf] BETWEEN 0.03 AND 10),
+ x9 AS (SELECT *, coalesce(list_sum(list_transform(range(2, len(part) + 1), lambda j: (part[j] + part[j - 1]) / 2 * (pr[j] - pr[j - 1]))), 0) AS area FROM x8),
+ xa AS (SELECT *, row_number() OVER (PARTITION BY sample_id, target_mz ORDER BY y[i] DESC, i) AS k FROM x9 WHERE area >= 100),
+ xk AS (SELECT DISTINCT sample_id, target_mz, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(l BIGINT, r BIGINT)[]) AS held, false AS ok FROM xa UNION ALL
+        SELECT sample_id, target_mz, k, CASE WHEN ok THEN list_append(held, struct_pack(l := lf, r := rg)) ELSE held END, ok FROM (
+          SELECT a.sample_id, a.target_mz, a.k, held, a.lf, a.rg, len(list_filter(held, lambda q: NOT (a.rg < q.l OR a.lf > q.r))) = 0 AS ok FROM xk JOIN xa a ON a.sample_id = xk.sample_id AND a.target_mz = xk.target_mz AND a.k = xk.k + 1)),
+ xf AS (SELECT a.sample_id, a.target_mz, r[lf] AS rt_start, r[i] AS rt_apex, r[rg] AS rt_end, area, list_max(part) AS height, list_max(part) / noise AS signal_to_noise,
+          CAST(row_number() OVER (PARTITION BY a.sample_id, a.target_mz ORDER BY area DESC, a.k) AS INT) AS area_rank FROM xa a JOIN xk ON ok AND a.sample_id = xk.sample_id AND a.target_mz = xk.target_mz AND a.k = xk.k)"""
+register("xic_peaks", f"{XPEAK_SQL} SELECT sample_id, target_mz, rt_start, rt_apex, rt_end, round(area, 3) AS area, height, round(signal_to_noise, 5) AS signal_to_noise, area_rank FROM xf")
+
+
+def match_sql(features: str) -> str:
+    """Common tables up to fm: features (sample_id, mz, rt, area, height) in their groups; islands of m/z are folded side by side."""
+    return f"""
+ f1 AS (SELECT *, CASE WHEN mz - lag(mz) OVER w > abs(lag(mz) OVER w) * 20 / 1e6 THEN 1 ELSE 0 END AS fresh FROM {features} WINDOW w AS (ORDER BY mz, rt, sample_id)),
+ f2 AS (SELECT *, sum(fresh) OVER (ORDER BY mz, rt, sample_id) AS isl FROM f1),
+ f3 AS (SELECT *, row_number() OVER (PARTITION BY isl ORDER BY mz, rt, sample_id) AS k FROM f2),
+ fg AS (SELECT DISTINCT isl, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(m DOUBLE, t DOUBLE, n BIGINT, who VARCHAR[])[]) AS gs, CAST(NULL AS BIGINT) AS pos FROM f3 UNION ALL
+        SELECT isl, k, CASE WHEN pos > len(gs) THEN list_append(gs, struct_pack(m := mz, t := rt, n := CAST(1 AS BIGINT), who := [sample_id]))
+          ELSE list_concat(list_append(gs[1:pos - 1], struct_pack(m := gs[pos].m + mz, t := gs[pos].t + rt, n := gs[pos].n + 1, who := list_append(gs[pos].who, sample_id))), gs[pos + 1:]) END, pos FROM (
+          SELECT *, coalesce(list_sort(list_filter(list_transform(range(1, len(gs) + 1), lambda q: CASE WHEN NOT list_contains(gs[q].who, sample_id) AND abs(mz - gs[q].m / gs[q].n) <= abs(gs[q].m / gs[q].n) * 20 / 1e6 AND abs(rt - gs[q].t / gs[q].n) <= 0.75
+              THEN struct_pack(d := abs(mz - gs[q].m / gs[q].n) / greatest(abs(gs[q].m / gs[q].n) * 20 / 1e6, 1e-12) + abs(rt - gs[q].t / gs[q].n) / 0.75, q := q) END), lambda z: z IS NOT NULL))[1].q, len(gs) + 1) AS pos
+          FROM (SELECT f.isl, f.k, gs, f.sample_id, f.mz, f.rt FROM fg JOIN f3 f ON f.isl = fg.isl AND f.k = fg.k + 1))),
+ f4 AS (SELECT f3.*, pos FROM f3 JOIN fg ON fg.isl = f3.isl AND fg.k = f3.k),
+ f5 AS (SELECT isl, pos, row_number() OVER (ORDER BY avg(rt), avg(mz), isl, pos) AS num FROM f4 GROUP BY isl, pos),
+ fm AS (SELECT sample_id, mz, rt, area, height, format('FG{{:04d}}', num) AS feature_group_id FROM f4 JOIN f5 USING (isl, pos))"""
+
+
+BEST_SQL = f"{XPEAK_SQL}, bf AS (SELECT sample_id, target_mz AS mz, rt_apex AS rt, area, height FROM xf WHERE area_rank = 1), {match_sql('bf')}"
+register("match_features", f"{BEST_SQL} SELECT sample_id, mz, rt, round(area, 3) AS area, height, feature_group_id FROM fm")
+
+#: Common tables up to fgr: a row per feature group over the samples A (reference), N and R.
+GROUPS_SQL = """
+ gr AS (SELECT * FROM (VALUES ('A', 'reference'), ('N', 'target'), ('R', 'target')) v(sample_id, role)),
+ gp AS (SELECT feature_group_id, sample_id, max(area) AS area FROM fm GROUP BY ALL),
+ gf AS (SELECT feature_group_id, sample_id, role, gp.area IS NOT NULL AS present, greatest(coalesce(gp.area, 0), 0) AS area FROM (SELECT DISTINCT feature_group_id FROM fm) CROSS JOIN gr LEFT JOIN gp USING (feature_group_id, sample_id)),
+ ga AS (SELECT feature_group_id, CAST(count(*) FILTER (present) AS INT) AS sample_count, CAST(count(*) FILTER (NOT present) AS INT) AS missing_sample_count,
+          CASE WHEN count(*) FILTER (area > 0) >= 2 THEN stddev_pop(area) FILTER (area > 0) / avg(area) FILTER (area > 0) END AS cv, max(area) AS mx, min(area) FILTER (area > 0) AS mn,
+          coalesce(avg(area) FILTER (role = 'reference'), 0) AS ref, coalesce(avg(area) FILTER (role = 'target'), 0) AS tar, coalesce(bool_or(area > 1) FILTER (role = 'reference'), false) AS rp, coalesce(bool_or(area > 1) FILTER (role = 'target'), false) AS tp,
+          max(area) FILTER (sample_id = 'A') AS area_A, max(area) FILTER (sample_id = 'N') AS area_N, max(area) FILTER (sample_id = 'R') AS area_R FROM gf GROUP BY ALL),
+ gm AS (SELECT feature_group_id, avg(mz) AS representative_mz, avg(rt) AS representative_rt, abs(avg(rt) FILTER (role = 'target') - avg(rt) FILTER (role = 'reference')) AS away FROM fm JOIN gr USING (sample_id) GROUP BY ALL),
+ gc AS (SELECT *, CASE WHEN tar <= 0 AND ref <= 0 THEN NULL ELSE greatest(tar, 1) / greatest(ref, 1) END AS fc, coalesce(away > 0.2, false) AS moved FROM ga JOIN gm USING (feature_group_id)),
+ fgr AS (SELECT feature_group_id, representative_mz, representative_rt, sample_count, missing_sample_count, cv, coalesce(mx / greatest(mn, 1), fc) AS max_fold_change,
+   CASE WHEN moved AND rp AND tp THEN 'rt_shift' WHEN tp AND NOT rp THEN 'new_feature' WHEN rp AND NOT tp THEN 'missing_feature' WHEN fc >= 2 THEN 'increased' WHEN fc <= 0.5 THEN 'decreased' WHEN rp AND tp THEN 'common_feature' ELSE 'uncertain' END AS difference_type,
+   CASE WHEN moved AND rp AND tp THEN 0.75 WHEN tp <> rp THEN 0.9 WHEN fc >= 2 OR fc <= 0.5 THEN least(0.95, 0.5 + abs(log2(fc)) / 6) WHEN rp AND tp THEN 0.7 ELSE 0.3 END AS confidence_score, area_A, area_N, area_R FROM gc)"""
+GROUP = "feature_group_id, round(representative_mz, 6) AS representative_mz, round(representative_rt, 6) AS representative_rt, sample_count, missing_sample_count, round(cv, 6) AS cv, round(max_fold_change, 5) AS max_fold_change, difference_type, round(confidence_score, 6) AS confidence_score"
+AREAS = ", ".join(f"round(area_{x}, 3) AS area_{x}" for x in "ANR")
+register("feature_groups", f"{BEST_SQL}, {GROUPS_SQL} SELECT {GROUP} FROM fgr")
+register("feature_matrix_pivot", f"{BEST_SQL}, {GROUPS_SQL} SELECT {GROUP}, {AREAS} FROM fgr")
