@@ -186,7 +186,7 @@ def _light(where: np.ndarray, sizes: np.ndarray, cap: int, share: int) -> np.nda
     return (light & (fill < cap))[where]
 
 
-def pack(docs: DataFrame, cap: int = 1024, shard_pieces: int = 4096, json_path=None, rank_path=None, light_share: int = 64, meet: int = 16) -> DataFrame:
+def pack(docs: DataFrame, cap: int = 1024, shard_pieces: int = 4096, json_path=None, rank_path=None, light_share: int = 512, meet: int = 16) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset). A shard, a task's group, has about shard_pieces rows.
 
     light_share: of so many bins of a shard, the lightest goes on to the next round, where `meet` shards meet (1: no rounds).
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, cap: int = 1024, shard_pieces: int = 4096, json_path=N
 
     def placed(rows: pd.DataFrame, shard: int, where: np.ndarray, offset: np.ndarray, cap_: int, first: bool) -> pd.DataFrame:
         rows["sequence_id"], rows["offset"] = (shard << 32) + where, offset
-        rows["_light"] = _light(where, rows["length"].to_numpy(), cap_, light_share if first else 4)
+        rows["_light"] = _light(where, rows["length"].to_numpy(), cap_, light_share if first else min(16, light_share))
         return rows
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
