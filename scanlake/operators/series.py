@@ -105,7 +105,7 @@ def resample(df: DataFrame, points: int, by: list[str]) -> DataFrame:
     x = x.where((F.col("_r1") > F.col("rt")) & (F.col("_hi") > F.col("_lo")))
     place = lambda r: (r - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (points - 1)
     x = x.withColumn("point", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(place(F.col("rt"))) - 1), F.least(F.lit(points - 1), F.ceil(place(F.col("_r1"))) + 1))))
-    at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / max(1, points - 1)
+    at = F.least(F.col("_hi"), F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / max(1, points - 1))  # the last may pass the end by a rounding error
     x = x.withColumn("_x", at).where((F.col("_x") <= F.col("_r1")) & ((F.col("_x") > F.col("rt")) | ((F.col("_x") >= F.col("rt")) & (F.col("rt") == F.col("_lo")))))
     share = (F.col("_x") - F.col("rt")) / (F.col("_r1") - F.col("rt"))
     return x.select(*by, F.col("point").cast("int").alias("point"), (F.col("value") * (1 - share) + F.col("_v1") * share).alias("value")).unionByName(flat)

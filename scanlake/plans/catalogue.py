@@ -353,16 +353,15 @@ def peak_window_areas(spark, sf_dir):
 
 
 RESAMPLED_SQL = f"""{SHIFTED_SQL}, e AS (SELECT peak_id, sample_id, min(rt) AS lo, max(rt) AS hi FROM wc GROUP BY ALL),
- g AS (SELECT e.*, k.point, lo + (hi - lo) * k.point / 99 AS x FROM e CROSS JOIN range(0, 100) k(point)),
+ g AS (SELECT e.*, k.point, least(hi, lo + (hi - lo) * k.point / 99) AS x FROM e CROSS JOIN range(0, 100) k(point)),
  nb AS (SELECT *, lead(rt) OVER w AS r1, lead(v) OVER w AS v1 FROM wc WINDOW w AS (PARTITION BY peak_id, sample_id ORDER BY rt)),
  rs AS (SELECT g.peak_id, g.sample_id, g.point, arg_min(b.v * (1 - (x - b.rt) / (b.r1 - b.rt)) + b.v1 * (x - b.rt) / (b.r1 - b.rt), b.rt) AS v FROM g JOIN nb b ON b.peak_id = g.peak_id AND b.sample_id = g.sample_id AND b.rt <= x AND x <= b.r1 GROUP BY ALL)"""
 
 
-@query(f", {RESAMPLED_SQL} SELECT peak_id, sample_id, CAST(point AS INT) AS point, round(v, 3) AS value FROM rs WHERE point < 99")
+@query(f", {RESAMPLED_SQL} SELECT peak_id, sample_id, CAST(point AS INT) AS point, round(v, 3) AS value FROM rs")
 def resample_curves(spark, sf_dir):
-    """The last position is left out: there the grid may exceed the curve's end by a rounding error."""
     x = C.shifted(curves(spark, sf_dir), fixed_peaks(spark), _shifts(spark, sf_dir), 0.08)
-    return S.resample(x.select("peak_id", "sample_id", "rt", "value"), 100, ["peak_id", "sample_id"]).where("point < 99").select("peak_id", "sample_id", "point", F.round("value", 3).alias("value"))
+    return S.resample(x.select("peak_id", "sample_id", "rt", "value"), 100, ["peak_id", "sample_id"]).select("peak_id", "sample_id", "point", F.round("value", 3).alias("value"))
 
 
 @query()
@@ -530,8 +529,9 @@ def mz_changes(spark, sf_dir):
 
 @query()
 def changed_mz(spark, sf_dir):
-    """mz_changes with greedy spacing; rows only (the adapter's bins lie further apart than the gap)."""
-    return C.top_changes(C.mz_changes(C.reduced(_matrix(spark, sf_dir))))
+    """mz_changes with greedy spacing."""
+    x = C.top_changes(C.mz_changes(C.reduced(_matrix(spark, sf_dir))))
+    return rounded(x, bin_mz=6, mean_intensity=5, cv=6, max_fold_change=4, ranking_score=6)
 
 
 COSINES = """n{i} AS (SELECT *, median(nv) OVER (PARTITION BY peak_id, bin_index) AS md FROM {t}),
@@ -568,18 +568,30 @@ def _features(spark, sf_dir):
 
 @query()
 def peak_features(spark, sf_dir):
-    """Features follow changed_mz; rows only, xic_features is checked against a plain loop in the tests."""
-    return _features(spark, sf_dir)[0]
+    """signal_to_noise is cut at 10^9: over a noise of nothing it has no digits to compare."""
+    x = _features(spark, sf_dir)[0].withColumn("signal_to_noise", F.least(F.lit(1e9), F.col("signal_to_noise")))
+    return rounded(x, target_mz=6, mz=6, rt_start=6, rt_apex=6, rt_end=6, area=3, signal_to_noise=4)
+
+
+def _by_sample(groups):
+    """Maps by sample as columns of the adapter's samples."""
+    maps = {"area": "area_by_sample", "match": "match_score_by_sample"}
+    return groups.select(*[c for c in groups.columns if c not in maps.values()], *[F.try_element_at(m, F.lit(x)).alias(f"{c}_{x}") for c, m in maps.items() for x in "ANR"])
+
+
+def _rounded_groups(groups):
+    return rounded(_by_sample(groups), **greedy_sql.PFG)
 
 
 @query()
 def peak_feature_groups(spark, sf_dir):
-    return C.peak_feature_groups(*_features(spark, sf_dir))
+    return _rounded_groups(C.peak_feature_groups(*_features(spark, sf_dir)))
 
 
 @query()
 def global_features(spark, sf_dir):
-    return C.global_features(C.peak_feature_groups(*_features(spark, sf_dir)))
+    x = C.global_features(C.peak_feature_groups(*_features(spark, sf_dir)))
+    return rounded(x, representative_mz=6, representative_rt=6, difference_score=6, ranking_score=6, max_area=3, max_fold_change=4)
 
 
 @query()
@@ -777,8 +789,8 @@ def xic_areas(spark, sf_dir):
 
 @query()
 def nearest_group(spark, sf_dir):
-    """The feature group nearest to m/z 700; follows peak_feature_groups, so rows only."""
-    return C.nearest_group(C.peak_feature_groups(*_features(spark, sf_dir)), 700.0, limited=False).drop("area_by_sample", "match_score_by_sample")
+    """The feature group nearest to m/z 700."""
+    return _rounded_groups(C.nearest_group(C.peak_feature_groups(*_features(spark, sf_dir)), 700.0, limited=False))
 
 
 QUERIES["saved_feature_upsert"] = lambda spark, sf_dir: _saved_feature_upsert(spark, sf_dir)

@@ -5,7 +5,7 @@ They state the steps once more, over lists, so that they share nothing with the
 
 from __future__ import annotations
 
-from scanlake.plans.catalogue import CHROM_SQL, CURVE, DUCK_POINTS, MATRIX_SQL, ORACLE, PADDED, SHIFTED_SQL, XIC_SQL
+from scanlake.plans.catalogue import CHROM_SQL, CURVE, DUCK_POINTS, MATRIX_SQL, ORACLE, RESAMPLED_SQL, XIC_SQL
 
 
 def register(name: str, sql: str) -> None:
@@ -180,3 +180,91 @@ GROUP = "feature_group_id, round(representative_mz, 6) AS representative_mz, rou
 AREAS = ", ".join(f"round(area_{x}, 3) AS area_{x}" for x in "ANR")
 register("feature_groups", f"{BEST_SQL}, {GROUPS_SQL} SELECT {GROUP} FROM fgr")
 register("feature_matrix_pivot", f"{BEST_SQL}, {GROUPS_SQL} SELECT {GROUP}, {AREAS} FROM fgr")
+
+# --- scores, changes and features of peaks ---------------------------------------------------------------------------
+CHROMSIM_SQL = f"""{RESAMPLED_SQL},
+ z1 AS (SELECT pk.peak_id, s.sample_id, k.point, coalesce(rs.v, 0) AS v FROM pk CROSS JOIN (SELECT DISTINCT sample_id FROM c) s CROSS JOIN range(0, 100) k(point) LEFT JOIN rs ON rs.peak_id = pk.peak_id AND rs.sample_id = s.sample_id AND rs.point = k.point),
+ z2 AS (SELECT *, v / CASE WHEN sum(v) OVER w = 0 THEN 1 ELSE sum(v) OVER w END AS u FROM z1 WINDOW w AS (PARTITION BY peak_id, sample_id)),
+ z3 AS (SELECT *, median(u) OVER (PARTITION BY peak_id, point) AS m FROM z2),
+ z4 AS (SELECT peak_id, sample_id, sqrt(sum(u * u)) * sqrt(sum(m * m)) AS nm, sum(u * m) AS um FROM z3 GROUP BY ALL),
+ z5 AS (SELECT peak_id, avg(CASE WHEN nm > 0 THEN greatest(0, least(1, um / nm)) ELSE 0 END) AS shape_score FROM z4 GROUP BY ALL),
+ a1 AS (SELECT *, lag(rt) OVER w AS r0, lag(v) OVER w AS v0 FROM wc WINDOW w AS (PARTITION BY peak_id, sample_id ORDER BY rt)),
+ a2 AS (SELECT peak_id, sample_id, coalesce(sum((v0 + v) / 2 * (rt - r0)), 0) AS area FROM a1 GROUP BY ALL),
+ a3 AS (SELECT peak_id, count(*) FILTER (area > 0) AS n, stddev_pop(area) FILTER (area > 0) / avg(area) FILTER (area > 0) AS cv FROM a2 GROUP BY ALL),
+ a4 AS (SELECT peak_id, max(abs(local_shift)) AS s, max(max_shift) AS m, bool_or(capped) AS capped FROM la GROUP BY ALL),
+ sim AS (SELECT peak_id, shape_score, CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN n < 2 THEN 1 ELSE 1 / (1 + cv) END AS area_score, greatest(0, 1 - s / greatest(m, 1e-9)) * CASE WHEN capped THEN 0.5 ELSE 1 END AS apex_score, CAST(1 AS DOUBLE) AS width_score
+         FROM z5 JOIN a4 USING (peak_id) LEFT JOIN a3 USING (peak_id))"""
+SCORES = "round(shape_score, 6) AS shape_score, round(area_score, 6) AS area_score, round(apex_score, 6) AS apex_score, round(width_score, 6) AS width_score"
+register("chrom_similarity", f"{CHROMSIM_SQL} SELECT peak_id, {SCORES}, round(0.55 * shape_score + 0.25 * area_score + 0.1 * apex_score + 0.1 * width_score, 6) AS chromatogram_score FROM sim")
+
+CHANGED_SQL = f"""{MATRIX_SQL}, g1 AS (SELECT peak_id, bin_index, bin_mz, avg(nv) AS mean_intensity, coalesce(stddev_pop(nv) / avg(nv), 0) AS cv, count(*) AS s, count(*) FILTER (v > 0) AS presence_count,
+   (max(nv) + 1e-12) / (coalesce(min(nv) FILTER (nv > 0), 1e-12) + 1e-12) AS max_fold_change FROM ln GROUP BY ALL HAVING count(*) FILTER (v > 0) > 0),
+ g2 AS (SELECT *, CASE WHEN presence_count < s AND presence_count <= s / 2 THEN 'new_mz_signal' WHEN presence_count < s THEN 'missing_mz_signal' WHEN cv > 0.25 THEN 'common_but_changed' ELSE 'unstable_low_confidence' END AS difference_type,
+   cv / (1 + cv) * ln(1 + mean_intensity) + CASE WHEN presence_count < s THEN 0.5 ELSE 0 END AS ranking_score FROM g1),
+ g3 AS (SELECT *, row_number() OVER (PARTITION BY peak_id ORDER BY ranking_score DESC, bin_index) AS k FROM g2),
+ g4 AS (SELECT DISTINCT peak_id, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS held, false AS ok FROM g3 UNION ALL
+        SELECT peak_id, k, CASE WHEN ok THEN list_append(held, bin_mz) ELSE held END, ok FROM (
+          SELECT g.peak_id, g.k, held, g.bin_mz, len(held) < 20 AND len(list_filter(held, lambda q: abs(q - g.bin_mz) < 1.0)) = 0 AS ok FROM g4 JOIN g3 g ON g.peak_id = g4.peak_id AND g.k = g4.k + 1)),
+ chg AS (SELECT g3.*, CAST(row_number() OVER (PARTITION BY g3.peak_id ORDER BY g3.k) AS INT) AS candidate_rank FROM g3 JOIN g4 ON g4.ok AND g4.peak_id = g3.peak_id AND g4.k = g3.k)"""
+register(
+    "changed_mz",
+    f"""{CHANGED_SQL} SELECT peak_id, CAST(bin_index AS INT) AS bin_index, round(bin_mz, 6) AS bin_mz, round(mean_intensity, 5) AS mean_intensity, round(cv, 6) AS cv, presence_count, round(max_fold_change, 4) AS max_fold_change,
+      difference_type, round(ranking_score, 6) AS ranking_score, candidate_rank FROM chg""",
+)
+
+FEATURES_SQL = f"""{CHANGED_SQL}, cd AS (SELECT peak_id, candidate_rank, bin_mz AS target_mz FROM chg),
+ ns AS (SELECT peak_id, c.sample_id, c.scan_id, c.rt + local_shift AS rt FROM c JOIN la USING (sample_id) JOIN pk USING (peak_id) WHERE c.rt + local_shift BETWEEN rt_start - 0.45 AND rt_end + 0.45),
+ ht AS (SELECT peak_id, candidate_rank, sample_id, scan_id, sum(intensity) AS v, CASE WHEN sum(intensity) > 0 THEN sum(mz * intensity) / sum(intensity) END AS om FROM p JOIN cd ON abs(mz - target_mz) <= 0.5 GROUP BY ALL),
+ t1 AS (SELECT ns.peak_id, cd.candidate_rank, cd.target_mz, ns.sample_id, ns.rt, coalesce(v, 0) AS v, coalesce(om, target_mz) AS om, row_number() OVER (PARTITION BY ns.peak_id, cd.candidate_rank, ns.sample_id ORDER BY ns.rt) AS i
+        FROM ns JOIN cd USING (peak_id) LEFT JOIN ht ON ht.peak_id = ns.peak_id AND ht.candidate_rank = cd.candidate_rank AND ht.sample_id = ns.sample_id AND ht.scan_id = ns.scan_id),
+ t2 AS (SELECT peak_id, candidate_rank, target_mz, sample_id, quantile_cont(v, 0.4) AS q4, quantile_cont(v, 0.1) AS q1, max(v) AS height, arg_min(i, struct_pack(h := -v, i := i)) AS apex, count(*) AS n,
+          list(v ORDER BY i) AS v, list(rt ORDER BY i) AS r, list(om ORDER BY i) AS om FROM t1 GROUP BY ALL),
+ t3 AS (SELECT *, greatest(coalesce(list_median(list_filter(v, lambda q: q <= q4 + 1e-9)), 0), q1, 1e-9) AS noise FROM t2),
+ t4 AS (SELECT *, height >= greatest(noise * 3, height * 0.02) AS detected FROM t3),
+ t5 AS (SELECT *, greatest(noise, height * CASE WHEN detected THEN 0.02 ELSE 0.005 END) AS level FROM t4),
+ t6 AS (SELECT *, coalesce(list_max(list_filter(range(1, apex + 1), lambda j: v[j] <= level)), 1) AS l0, coalesce(list_min(list_filter(range(apex, n + 1), lambda j: v[j] <= level)), n) AS r0 FROM t5),
+ t7 AS (SELECT *, CASE WHEN r0 <= l0 THEN greatest(1, apex - 1) ELSE l0 END AS lf, CASE WHEN r0 <= l0 THEN least(n, apex + 1) ELSE r0 END AS rg FROM t6),
+ t8 AS (SELECT peak_id, candidate_rank, sample_id, list_sum(list_transform(range(lf, rg + 1), lambda j: om[j] * v[j])) / nullif(list_sum(v[lf:rg]), 0) AS mz, r[lf] AS rt_start, r[apex] AS rt_apex, r[rg] AS rt_end,
+          coalesce(list_sum(list_transform(range(lf + 1, rg + 1), lambda j: (v[j] + v[j - 1]) / 2 * (r[j] - r[j - 1]))), 0) AS area, height, height / noise AS signal_to_noise, CASE WHEN detected THEN 'matched' ELSE 'gap_filled' END AS match_status FROM t7),
+ ft AS (SELECT cd.peak_id, cd.candidate_rank, cd.target_mz, s.sample_id, coalesce(mz, target_mz) AS mz, rt_start, rt_apex, rt_end, coalesce(area, 0) AS area, coalesce(height, 0) AS height, coalesce(signal_to_noise, 0) AS signal_to_noise, coalesce(match_status, 'missing') AS match_status
+        FROM cd CROSS JOIN (SELECT DISTINCT sample_id FROM c) s LEFT JOIN t8 ON t8.peak_id = cd.peak_id AND t8.candidate_rank = cd.candidate_rank AND t8.sample_id = s.sample_id)""".replace("list_median(", "list_aggregate(").replace("q <= q4 + 1e-9))", "q <= q4 + 1e-9), 'median')")
+register(
+    "peak_features",
+    f"""{FEATURES_SQL} SELECT peak_id, candidate_rank, round(target_mz, 6) AS target_mz, sample_id, round(mz, 6) AS mz, round(rt_start, 6) AS rt_start, round(rt_apex, 6) AS rt_apex, round(rt_end, 6) AS rt_end, round(area, 3) AS area, height,
+      round(least(signal_to_noise, 1e9), 4) AS signal_to_noise, match_status FROM ft""",
+)
+
+PFG_SQL = f"""{FEATURES_SQL},
+ b1 AS (SELECT peak_id, candidate_rank, target_mz, coalesce(sum(mz * height) FILTER (match_status = 'matched') / nullif(sum(height) FILTER (match_status = 'matched'), 0), avg(mz) FILTER (match_status = 'matched'), target_mz) AS representative_mz,
+          median(rt_apex) FILTER (match_status = 'matched') AS rt FROM ft GROUP BY peak_id, candidate_rank, target_mz),
+ b2 AS (SELECT b1.* EXCLUDE (rt), coalesce(last_value(rt IGNORE NULLS) OVER (PARTITION BY b1.peak_id ORDER BY candidate_rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), rt_apex) AS representative_rt FROM b1 JOIN pk USING (peak_id)),
+ b3 AS (SELECT ft.*, representative_mz, representative_rt, abs(mz - representative_mz) AS dm, abs(ft.rt_apex - representative_rt) AS dr FROM ft JOIN b2 USING (peak_id, candidate_rank)),
+ b4 AS (SELECT *, 0.7 * greatest(0, 1 - dm / 0.5) + 0.3 * greatest(0, 1 - coalesce(dr, 0.12) / 0.12) AS match_score FROM b3),
+ b5 AS (SELECT * EXCLUDE (match_status), CASE WHEN match_status = 'matched' AND match_score < 0.3 AND NOT (dm <= 0.5 AND coalesce(dr, 0.35) <= 0.35) THEN 'low_score' ELSE match_status END AS match_status FROM b4),
+ b6 AS (SELECT *, ln(1 + greatest(0, area / CASE WHEN sum(area) OVER w = 0 THEN 1 ELSE sum(area) OVER w END * 1e6)) AS nv FROM b5 WINDOW w AS (PARTITION BY peak_id, candidate_rank)),
+ b7 AS (SELECT peak_id, candidate_rank, target_mz, representative_mz, representative_rt, CAST(count(*) FILTER (match_status = 'matched') AS INT) AS sample_count, CAST(count(*) AS INT) AS s, count(*) FILTER (area > 0) AS positive,
+          CASE WHEN count(*) > 1 AND avg(nv) > 0 THEN stddev_pop(nv) / avg(nv) ELSE 0 END AS cv, (max(nv) + 1e-12) / (coalesce(min(nv) FILTER (nv > 0), 1e-12) + 1e-12) AS max_fold_change, max(area) AS max_area,
+          {', '.join(f"max({c}) FILTER (sample_id = '{x}') AS {d}_{x}" for c, d in (('area', 'area'), ('match_score', 'match')) for x in 'ANR')} FROM b6 GROUP BY ALL),
+ pfg AS (SELECT *, 1 / (1 + cv) AS similarity_score, 1 - 1 / (1 + cv) AS difference_score, ln(1 + max_area) AS abundance_score, (1 - 1 / (1 + cv)) * (1 + 0.8 * ln(1 + max_area)) AS abundance_weighted_score,
+          CASE WHEN sample_count = 0 OR positive = 0 THEN 'low_confidence' WHEN sample_count < s THEN 'presence_absence' WHEN 1 / (1 + cv) < 0.6 THEN 'area_changed' WHEN 1 / (1 + cv) < 0.8 THEN 'moderate_difference' ELSE 'common_feature' END AS difference_type,
+          s - sample_count AS missing_sample_count, format('{{}}_FG_{{:04d}}', peak_id, candidate_rank) AS feature_group_id FROM b7)"""
+PFG = {"target_mz": 6, "representative_mz": 6, "representative_rt": 6, "cv": 6, "max_fold_change": 4, "max_area": 3, "similarity_score": 6, "difference_score": 6, "abundance_score": 6, "abundance_weighted_score": 5} | {f"{c}_{x}": d for c, d in (("area", 3), ("match", 6)) for x in "ANR"}
+PFG_COLUMNS = "peak_id, candidate_rank, sample_count, missing_sample_count, difference_type, feature_group_id, " + ", ".join(f"round({c}, {d}) AS {c}" for c, d in PFG.items())
+register("peak_feature_groups", f"{PFG_SQL} SELECT {PFG_COLUMNS} FROM pfg")
+register("nearest_group", f"{PFG_SQL} SELECT {PFG_COLUMNS} FROM pfg ORDER BY abs(pfg.representative_mz - 700), pfg.feature_group_id LIMIT 1")
+
+GLOBAL_SQL = f"""{PFG_SQL},
+ w1 AS (SELECT *, difference_score * (1 + 0.8 * CASE WHEN max(abundance_score) OVER () > 0 THEN abundance_score / max(abundance_score) OVER () ELSE 0 END) AS ranking_score FROM pfg),
+ w2 AS (SELECT *, row_number() OVER (ORDER BY ranking_score DESC, difference_score DESC, max_area DESC, representative_rt, feature_group_id) AS k FROM w1),
+ w3 AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(k BIGINT, m DOUBLE, t DOUBLE)[]) AS heads, CAST(NULL AS BIGINT) AS lead UNION ALL
+        SELECT k, CASE WHEN near IS NULL THEN list_append(heads, struct_pack(k := k, m := m, t := t)) ELSE heads END, coalesce(near, k) FROM (
+          SELECT w2.k, heads, w2.representative_mz AS m, w2.representative_rt AS t, list_filter(heads, lambda q: abs(w2.representative_mz - q.m) <= 1.0 AND abs(w2.representative_rt - q.t) <= 0.8)[1].k AS near FROM w3 JOIN w2 ON w2.k = w3.k + 1)),
+ w4 AS (SELECT lead, max(ranking_score) AS ranking_score, max(difference_score) AS difference_score, max(max_area) AS max_area, max(max_fold_change) AS max_fold_change, CAST(count(*) AS INT) AS merged_feature_count,
+          list_sort(list(DISTINCT feature_group_id)) AS merged_feature_group_ids, list_sort(list(DISTINCT CAST(peak_id AS VARCHAR))) AS merged_peak_ids FROM w2 JOIN w3 USING (k) GROUP BY lead),
+ glo AS (SELECT w2.feature_group_id, w2.peak_id, w2.representative_mz, w2.representative_rt, w4.difference_score, w4.ranking_score, w4.max_area, w4.max_fold_change, w2.difference_type, w2.sample_count, merged_feature_count, merged_feature_group_ids, merged_peak_ids,
+          row_number() OVER (ORDER BY w4.ranking_score DESC, w4.difference_score DESC, w4.max_area DESC, w2.k) AS global_rank FROM w4 JOIN w2 ON w2.k = w4.lead)"""
+register(
+    "global_features",
+    f"""{GLOBAL_SQL} SELECT feature_group_id, peak_id, round(representative_mz, 6) AS representative_mz, round(representative_rt, 6) AS representative_rt, round(difference_score, 6) AS difference_score, round(ranking_score, 6) AS ranking_score, round(max_area, 3) AS max_area,
+      round(max_fold_change, 4) AS max_fold_change, difference_type, sample_count, merged_feature_count, merged_feature_group_ids, merged_peak_ids FROM glo WHERE global_rank <= 500""",
+)
