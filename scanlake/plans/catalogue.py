@@ -274,7 +274,7 @@ def candidate_peaks(spark, sf_dir, shifts=None):
 @query()
 def merge_peak_candidates(spark, sf_dir):
     """A mutable greedy merge."""
-    return rounded(candidate_peaks(spark, sf_dir)[0], **SHAPE)
+    return rounded(candidate_peaks(spark, sf_dir)[0].withColumn("supporting_samples", F.array_join("supporting_samples", "|")), **SHAPE)
 
 
 @query()
@@ -538,17 +538,20 @@ COSINES = """n{i} AS (SELECT *, median(nv) OVER (PARTITION BY peak_id, bin_index
  c{i} AS (SELECT peak_id, avg(cs) AS cs FROM (SELECT peak_id, sample_id, CASE WHEN sqrt(sum(nv * nv)) * sqrt(sum(md * md)) > 0 THEN least(1, sum(nv * md) / (sqrt(sum(nv * nv)) * sqrt(sum(md * md)))) ELSE 0 END AS cs FROM n{i} GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query(
-    f""", {MATRIX_SQL}, {COSINES.format(i=1, t='ln')},
+SPECTRUM_SQL = f"""{MATRIX_SQL}, {COSINES.format(i=1, t='ln')},
  an AS (SELECT peak_id, sample_id, arg_min(scan_id, struct_pack(d := abs(rt + local_shift - rt_apex), r := rt, s := scan_id)) AS scan_id FROM c JOIN la USING (sample_id) JOIN pk USING (peak_id) GROUP BY ALL),
  ap AS (SELECT peak_id, p.sample_id, {NOMINAL} AS k, sum(intensity) AS v FROM p JOIN an ON an.scan_id = p.scan_id WHERE intensity > 0 GROUP BY ALL),
  am AS (SELECT r.peak_id, r.bin_index, r.sample_id, coalesce(ap.v, 0) AS v FROM rm r LEFT JOIN ap ON ap.peak_id = r.peak_id AND ap.k = r.k AND ap.sample_id = r.sample_id),
  al AS (SELECT *, ln(1 + v / CASE WHEN sum(v) OVER w = 0 THEN 1 ELSE sum(v) OVER w END * 1000000) AS nv FROM am WINDOW w AS (PARTITION BY peak_id, sample_id)), {COSINES.format(i=2, t='al')},
  tp AS (SELECT peak_id, max(n) / count(DISTINCT bin_index) AS o FROM (SELECT *, least(20, count(DISTINCT bin_index) OVER (PARTITION BY peak_id)) AS n FROM rm QUALIFY row_number() OVER (PARTITION BY peak_id, sample_id ORDER BY v DESC, bin_index) <= n) GROUP BY ALL),
  bb AS (SELECT peak_id, bin_index, count(*) FILTER (v > 0) AS n, count(*) AS s, stddev_pop(v) / avg(v) AS cv FROM rm GROUP BY ALL HAVING n > 0),
- b2 AS (SELECT peak_id, coalesce(median(cv) FILTER (n = s), 0) AS cv, avg(CASE WHEN n < s THEN 1.0 ELSE 0.0 END) AS miss FROM bb GROUP BY ALL)
- SELECT peak_id, round(c1.cs, 6) AS cosine_score, round(o, 6) AS top_mz_overlap_score, round(1 / (1 + cv), 6) AS relative_abundance_score, round(1 - miss, 6) AS presence_absence_score, round(c2.cs, 6) AS apex_spectrum_score,
-   round(0.45 * c1.cs + 0.2 * o + 0.15 / (1 + cv) + 0.1 * (1 - miss) + 0.1 * c2.cs, 6) AS spectrum_score FROM c1 JOIN c2 USING (peak_id) JOIN tp USING (peak_id) JOIN b2 USING (peak_id)"""
+ b2 AS (SELECT peak_id, coalesce(median(cv) FILTER (n = s), 0) AS cv, avg(CASE WHEN n < s THEN 1.0 ELSE 0.0 END) AS miss FROM bb GROUP BY ALL),
+ ss AS (SELECT peak_id, c1.cs AS cs1, o, 1 / (1 + cv) AS ra, 1 - miss AS pa, c2.cs AS cs2, 0.45 * c1.cs + 0.2 * o + 0.15 / (1 + cv) + 0.1 * (1 - miss) + 0.1 * c2.cs AS spectrum_score FROM c1 JOIN c2 USING (peak_id) JOIN tp USING (peak_id) JOIN b2 USING (peak_id))"""
+
+
+@query(
+    f""", {SPECTRUM_SQL} SELECT peak_id, round(cs1, 6) AS cosine_score, round(o, 6) AS top_mz_overlap_score, round(ra, 6) AS relative_abundance_score, round(pa, 6) AS presence_absence_score,
+      round(cs2, 6) AS apex_spectrum_score, round(spectrum_score, 6) AS spectrum_score FROM ss"""
 )
 def spectrum_similarity(spark, sf_dir):
     s, a = _spectra(spark, sf_dir)
@@ -591,6 +594,8 @@ def peak_feature_groups(spark, sf_dir):
 @query()
 def global_features(spark, sf_dir):
     x = C.global_features(C.peak_feature_groups(*_features(spark, sf_dir)))
+    for c in ("merged_feature_group_ids", "merged_peak_ids"):
+        x = x.withColumn(c, F.array_join(c, "|"))
     return rounded(x, representative_mz=6, representative_rt=6, difference_score=6, ranking_score=6, max_area=3, max_fold_change=4)
 
 
@@ -599,7 +604,8 @@ def peak_first_scores(spark, sf_dir):
     """The whole peak-first comparison: alignment, merged candidates, selection, scores and status."""
     from scanlake.plans.peak_first import compare
 
-    return compare(spark, sf_dir)
+    x = compare(spark, sf_dir)
+    return rounded(x, **{c: 6 for c, kind in x.dtypes if kind == "double"})
 
 
 # --- the grid --------------------------------------------------------------------------------------------------------
@@ -691,10 +697,18 @@ def difference_regions(spark, sf_dir):
     return x.select("mz_index", "rt_index", r6("rt"), r6("mz"), "difference_type", "signal_status", F.round("weighted_difference_score", 5).alias("weighted_difference_score"))
 
 
+REGION = ("mz_index", "rt_index", "rt", "mz", "difference_type", "weighted_difference_score")
+REGION_DIGITS = {"rt": 6, "mz": 6, "score": 5, "weighted_difference_score": 5}
+
+
+def _ordered_regions(near):
+    return rounded(G.regions(G.cohort_scores(near), GRID), weighted_difference_score=9, difference_score=9)
+
+
 @query()
 def distinct_regions(spark, sf_dir):
-    """Greedy two-dimensional suppression; checked against a plain loop in the tests."""
-    return G.distinct_regions(G.regions(G.cohort_scores(_near(spark, sf_dir)), GRID), GRID)
+    """Greedy two-dimensional suppression; scores are compared to nine digits, so that equal cells keep the order of their indexes."""
+    return rounded(G.distinct_regions(_ordered_regions(_near(spark, sf_dir)), GRID).select(*REGION, "max_intensity", "score", "signal_status", "region_rank"), **REGION_DIGITS)
 
 
 ZOOM = G.Grid.zoom(10.0, 14.0, 400.0, 600.0)
@@ -722,9 +736,11 @@ def cell_lookup(spark, sf_dir):
 
 @query()
 def auto_region_matrix(spark, sf_dir):
-    from scanlake.plans.matrices import auto_region_matrix as build
+    from scanlake.plans.matrices import auto_regions, region_matrix
 
-    return build(spark, sf_dir, _near(spark, sf_dir), GRID)
+    near = _near(spark, sf_dir)
+    x = region_matrix(auto_regions(G.distinct_regions(_ordered_regions(near), GRID), "cohort:all_samples:tic_log1p"), near, ["A", "N", "R"])
+    return rounded(x, **REGION_DIGITS, **{f"{s}_normalized": 6 for s in "ANR"})
 
 
 # --- other tables ----------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ They state the steps once more, over lists, so that they share nothing with the
 
 from __future__ import annotations
 
-from scanlake.plans.catalogue import CHROM_SQL, CURVE, DUCK_POINTS, MATRIX_SQL, ORACLE, RESAMPLED_SQL, XIC_SQL
+from scanlake.plans.catalogue import CHROM_SQL, CURVE, DUCK_POINTS, GRID, MATRIX_SQL, ORACLE, PEAKS_SQL, RESAMPLED_SQL, SPECTRUM_SQL, XIC_SQL, scores_sql
 
 
 def register(name: str, sql: str) -> None:
@@ -93,7 +93,7 @@ def merged_sql(curves: str) -> str:
  cand AS (SELECT *, {STATUS} AS status, CAST(row_number() OVER (ORDER BY rt_apex) AS INT) AS peak_id FROM mrf)"""
 
 
-register("merge_peak_candidates", f"{CURVE}, cv AS (SELECT sample_id AS g, rt, tic AS v FROM c), {merged_sql('cv')} SELECT peak_id, {PEAK}, source, list_sort(who) AS supporting_samples, status FROM cand")
+register("merge_peak_candidates", f"{CURVE}, cv AS (SELECT sample_id AS g, rt, tic AS v FROM c), {merged_sql('cv')} SELECT peak_id, {PEAK}, source, array_to_string(list_sort(who), '|') AS supporting_samples, status FROM cand")
 
 # --- alignment -------------------------------------------------------------------------------------------------------
 MARKS_SQL = f"""{CHROM_SQL},
@@ -192,7 +192,7 @@ CHROMSIM_SQL = f"""{RESAMPLED_SQL},
  a2 AS (SELECT peak_id, sample_id, coalesce(sum((v0 + v) / 2 * (rt - r0)), 0) AS area FROM a1 GROUP BY ALL),
  a3 AS (SELECT peak_id, count(*) FILTER (area > 0) AS n, stddev_pop(area) FILTER (area > 0) / avg(area) FILTER (area > 0) AS cv FROM a2 GROUP BY ALL),
  a4 AS (SELECT peak_id, max(abs(local_shift)) AS s, max(max_shift) AS m, bool_or(capped) AS capped FROM la GROUP BY ALL),
- sim AS (SELECT peak_id, shape_score, CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN n < 2 THEN 1 ELSE 1 / (1 + cv) END AS area_score, greatest(0, 1 - s / greatest(m, 1e-9)) * CASE WHEN capped THEN 0.5 ELSE 1 END AS apex_score, CAST(1 AS DOUBLE) AS width_score
+ sim AS (SELECT peak_id, capped, shape_score, CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN n < 2 THEN 1 ELSE 1 / (1 + cv) END AS area_score, greatest(0, 1 - s / greatest(m, 1e-9)) * CASE WHEN capped THEN 0.5 ELSE 1 END AS apex_score, CAST(1 AS DOUBLE) AS width_score
          FROM z5 JOIN a4 USING (peak_id) LEFT JOIN a3 USING (peak_id))"""
 SCORES = "round(shape_score, 6) AS shape_score, round(area_score, 6) AS area_score, round(apex_score, 6) AS apex_score, round(width_score, 6) AS width_score"
 register("chrom_similarity", f"{CHROMSIM_SQL} SELECT peak_id, {SCORES}, round(0.55 * shape_score + 0.25 * area_score + 0.1 * apex_score + 0.1 * width_score, 6) AS chromatogram_score FROM sim")
@@ -266,5 +266,43 @@ GLOBAL_SQL = f"""{PFG_SQL},
 register(
     "global_features",
     f"""{GLOBAL_SQL} SELECT feature_group_id, peak_id, round(representative_mz, 6) AS representative_mz, round(representative_rt, 6) AS representative_rt, round(difference_score, 6) AS difference_score, round(ranking_score, 6) AS ranking_score, round(max_area, 3) AS max_area,
-      round(max_fold_change, 4) AS max_fold_change, difference_type, sample_count, merged_feature_count, merged_feature_group_ids, merged_peak_ids FROM glo WHERE global_rank <= 500""",
+      round(max_fold_change, 4) AS max_fold_change, difference_type, sample_count, merged_feature_count, array_to_string(merged_feature_group_ids, '|') AS merged_feature_group_ids, array_to_string(merged_peak_ids, '|') AS merged_peak_ids FROM glo WHERE global_rank <= 500""",
 )
+
+# --- regions of the grid ---------------------------------------------------------------------------------------------
+REGIONS_SQL = f"""{scores_sql(GRID)}, rg AS (SELECT *, 1 - score AS diff FROM sc WHERE score < 0.75), qq AS (SELECT coalesce(quantile_cont(mean, 0.9) FILTER (mean > 0), 0) AS q FROM rg),
+ rw AS (SELECT mz_index, rt_index, max_intensity, score, {GRID.rt_min} + (rt_index + 0.5) * {GRID.rt_step!r} AS rt, {GRID.mz_min} + (mz_index + 0.5) * {GRID.mz_step!r} AS mz, round(diff, 9) AS difference_score,
+   CASE WHEN present > 0 AND present < 3 THEN 'new_signal' WHEN fold >= 1.5 THEN 'intensity_increased' ELSE 'uncertain' END AS difference_type, CASE WHEN present < 3 THEN 'presence_absence' ELSE 'high_confidence' END AS signal_status,
+   round(CASE WHEN q > 0 AND mean > 0 THEN least(1, sqrt(mean / q)) ELSE 0 END * diff, 9) AS weighted_difference_score FROM rg, qq),
+ rk AS (SELECT *, row_number() OVER (ORDER BY weighted_difference_score DESC, difference_score DESC, max_intensity DESC, mz_index, rt_index) AS k FROM rw),
+ dk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k BIGINT, r BIGINT, m BIGINT)[]) AS held UNION ALL
+        SELECT n + 1, list_append(any_value(held), arg_min(struct_pack(k := rk.k, r := CAST(rt_index AS BIGINT), m := CAST(mz_index AS BIGINT)), rk.k))
+        FROM dk JOIN rk ON len(list_filter(held, lambda q: abs(q.r - rk.rt_index) <= {2 * GRID.rt_radius} AND abs(q.m - rk.mz_index) <= {2 * GRID.mz_radius})) = 0 WHERE n < 80 GROUP BY n),
+ dr AS (SELECT rk.*, CAST(u.j AS INT) AS region_rank FROM (SELECT arg_max(held, n) AS held FROM dk), range(1, len(held) + 1) u(j) JOIN rk ON rk.k = held[u.j].k)"""
+REGION = "CAST(mz_index AS INT) AS mz_index, CAST(rt_index AS INT) AS rt_index, round(rt, 6) AS rt, round(mz, 6) AS mz, difference_type, round(weighted_difference_score, 5) AS weighted_difference_score"
+register("distinct_regions", f"{REGIONS_SQL} SELECT {REGION}, max_intensity, round(score, 5) AS score, signal_status, region_rank FROM dr")
+register(
+    "auto_region_matrix",
+    f"""{REGIONS_SQL}, wide AS (SELECT mz_index, rt_index, {', '.join(f"max(raw) FILTER (sample_id = '{x}') AS {x}_raw, max(nv) FILTER (sample_id = '{x}') AS {x}_nv" for x in 'ANR')} FROM nr GROUP BY ALL)
+ SELECT format('AUTO_{{:05d}}', region_rank) AS region_id, 'cohort:all_samples:tic_log1p' AS heatmap_id, region_rank AS source_rank, {REGION.replace('mz_index', 'dr.mz_index', 1).replace('rt_index', 'dr.rt_index', 1)},
+   {', '.join(f"coalesce({x}_raw, 0) AS {x}_raw, round(coalesce({x}_nv, 0), 6) AS {x}_normalized, coalesce({x}_raw, 0) > 0 AS {x}_present" for x in 'ANR')} FROM dr LEFT JOIN wide ON wide.mz_index = dr.mz_index AND wide.rt_index = dr.rt_index""",
+)
+
+# --- the whole peak-first comparison: aligned points take the place of the points, its candidates that of the fixed peaks ---
+ORACLE["peak_first_scores"] = f"""WITH RECURSIVE p0 AS ({DUCK_POINTS}), al AS (WITH RECURSIVE p AS (FROM p0), {ALIGN_SQL} SELECT sample_id, rt_shift FROM alg),
+ p AS (SELECT p0.* REPLACE (p0.rt + rt_shift AS rt) FROM p0 JOIN al USING (sample_id)), {CURVE}, cv AS (SELECT sample_id AS g, rt, tic AS v FROM c), {merged_sql('cv')},
+ u1 AS (SELECT peak_id, c.sample_id, c.rt, tic AS v FROM c JOIN cand ON c.rt BETWEEN rt_start - 0.08 AND rt_end + 0.08),
+ u2 AS (SELECT *, (lag(v) OVER w + v) / 2 * (rt - lag(rt) OVER w) AS step FROM u1 WINDOW w AS (PARTITION BY peak_id, sample_id ORDER BY rt)),
+ u3 AS (SELECT peak_id, sample_id, coalesce(sum(step), 0) AS area FROM u2 GROUP BY ALL),
+ u4 AS (SELECT peak_id, s.sample_id, coalesce(u3.area, 0) AS area FROM cand CROSS JOIN (SELECT DISTINCT sample_id FROM c) s LEFT JOIN u3 USING (peak_id, sample_id)),
+ u5 AS (SELECT *, max(area) OVER (PARTITION BY peak_id) AS m FROM u4),
+ u6 AS (SELECT peak_id, count(*) FILTER (area >= m * 0.02 AND area > 0) AS k, count(*) AS n, any_value(m) AS m, CASE WHEN count(*) FILTER (area > 0) > 1 THEN stddev_pop(area) FILTER (area > 0) / avg(area) FILTER (area > 0) ELSE 0 END AS cv FROM u5 GROUP BY peak_id),
+ u7 AS (SELECT peak_id, ln(1 + m) * (1 + 1.5 * CASE WHEN k < n AND m > 0 THEN greatest(1 - 1 / (1 + cv), 0.5) ELSE 1 - 1 / (1 + cv) END) AS tic_selection_score FROM u6),
+ pk AS (SELECT cand.peak_id, rt_start, rt_apex, rt_end, width, tic_selection_score FROM cand JOIN u7 USING (peak_id) WHERE status = 'confirmed_peak' ORDER BY tic_selection_score DESC, area DESC, peak_id LIMIT 60),
+ s1 AS (WITH RECURSIVE {CHROMSIM_SQL.replace(f'{CURVE}, {PEAKS_SQL},', '', 1)} SELECT * FROM sim),
+ s2 AS (WITH RECURSIVE {SPECTRUM_SQL.replace(f'{CURVE}, {PEAKS_SQL},', '', 1)} SELECT peak_id, cs1 AS cosine_score, o AS overlap, ra AS relative, pa AS presence, spectrum_score FROM ss),
+ fin AS (SELECT *, 0.55 * shape_score + 0.25 * area_score + 0.1 * apex_score + 0.1 * width_score AS chromatogram_score, 0.15 * shape_score + 0.1 * area_score + 0.05 * apex_score + 0.05 * width_score + 0.65 * spectrum_score AS total FROM pk JOIN s1 USING (peak_id) JOIN s2 USING (peak_id))
+ SELECT peak_id, round(rt_start, 6) AS rt_start, round(rt_apex, 6) AS rt_apex, round(rt_end, 6) AS rt_end, round(tic_selection_score, 6) AS tic_selection_score, round(chromatogram_score, 6) AS chromatogram_score, round(spectrum_score, 6) AS spectrum_score,
+   round(total, 6) AS peak_consistency_score, CASE WHEN capped THEN 'possible_rt_shift' WHEN chromatogram_score >= 0.9 AND spectrum_score >= 0.9 AND presence >= 0.9 THEN 'high_consistency'
+     WHEN chromatogram_score >= 0.9 AND spectrum_score < 0.85 THEN 'chromatogram_consistent_spectrum_changed' WHEN chromatogram_score < 0.85 THEN 'chromatogram_changed'
+     WHEN spectrum_score < 0.85 OR overlap < 0.8 OR presence < 0.85 OR relative < 0.8 THEN 'need_local_rt_mz_analysis' ELSE 'moderate_consistency' END AS status FROM fin"""

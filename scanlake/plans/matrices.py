@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.operators import grid as G
-
 
 def auto_regions(regions: DataFrame, heatmap_id: str, top: int = 80) -> DataFrame:
     """Ranked regions without repeats of (heat map, rt, mz to nine digits), the first `top`, with ids in order."""
@@ -29,11 +27,6 @@ def region_matrix(regions: DataFrame, near: DataFrame, sample_ids: list[str]) ->
     return out
 
 
-def auto_region_matrix(spark, sf_dir: str, near: DataFrame, grid: G.Grid) -> DataFrame:
-    chosen = G.distinct_regions(G.regions(G.cohort_scores(near), grid), grid)
-    return region_matrix(auto_regions(chosen, "cohort:all_samples:tic_log1p"), near, ["A", "N", "R"])
-
-
 def upsert_features(old: DataFrame, new: DataFrame, now, prefix: str = "PF_", keep_created: bool = True) -> DataFrame:
     """Replaces all saved features by new (region_id, feature_id, feature_json, created_at); ids are region_id, else feature_id, else
     prefix and a number in row order (`ord`). A feature that was there keeps its created_at. Rows without JSON are skipped.
