@@ -826,3 +826,5 @@ def _saved_feature_upsert(spark, sf_dir):
 
 
 from scanlake.plans import greedy_sql  # noqa: E402, F401  (adds to ORACLE)
+
+from scanlake.plans import workbench  # noqa: E402, F401  (adds to QUERIES and ORACLE)
