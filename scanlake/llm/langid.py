@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import materialize, small_batches, small_side, table
 from .words import mixed, raw, slices, word_hashes, words
 
 BUCKETS, LONGEST = 1 << 16, 4
@@ -228,13 +228,9 @@ def train(texts: list[str], langs: list[str], seed: int = 5, sequences: int = 60
 def fit(docs: DataFrame, per_language: int = 400, most_chars: int = 20_000, seed: int = 11) -> Model | None:
     """A Model from docs (doc_id, text, lang); the sample that comes to the driver is bounded by its parameters."""
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") <= most_chars) & F.rlike("text", F.lit(r"\p{L}"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().collect()
-    if not counts:
-        return None
-    cut = F.lit(0)
-    for r in counts:
-        cut = F.when(F.col("lang") == r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 24))).otherwise(cut)
-    got = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 24)) < cut).select("text", "lang").collect()
+    counts = materialize(rows.groupBy("lang").agg((F.least(F.lit(1.0), per_language / F.count(F.lit(1))) * (1 << 24)).cast("long").alias("_cut")), "language-counts")
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 24))
+    got = rows.join(small_side(counts), "lang").where(place < F.col("_cut")).select("text", "lang").collect()
     got = sorted((r["lang"], r["text"]) for r in got)
     return train([t for _, t in got], [x for x, _ in got]) if got else None
 

@@ -167,8 +167,8 @@ def _grow(x, bad, most_tests, most_cuts):
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 3, most_rules: int = 32, most_tests: int = 5, precision: float = 0.75, least: int = 3, most_cuts: int = 129):
     """Ordered rules (conjunctions of Test) for bad rows; whatever none covers is good.
 
-    A rule stays if at least `least` held-back rows, or training rows where too few are held back, fall under it and a share of
-    `precision` of them is bad.
+    A rule stays if at least `least` held-back rows fall under it and a share of `precision` of them is bad; the list ends before
+    the first rule that does not.
     """
     n = len(bad)
     held = np.random.default_rng(seed).random(n) < 1 / 3
@@ -212,11 +212,12 @@ def condition(rules, good=True):
 
 
 def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000):
-    """Rules from labels (doc_id, quality: 1 good, 0 bad); most_rows bounds what comes to the driver."""
+    """Rules from labels (doc_id, quality: 1 good, 0 bad), about most_rows of them by hash of doc_id; at most twice as many rows
+    come to the driver, even where doc_ids repeat."""
     labels = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality")
     share = min(1.0, most_rows / max(1, labels.count()))
     labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = stats.join(labels, "doc_id").orderBy("doc_id", *STATS, "quality").toPandas()
+    rows = stats.join(labels, "doc_id").orderBy("doc_id", *STATS, "quality").limit(2 * most_rows).toPandas()
     if not len(rows) or rows.quality.nunique() < 2:
         return []
     return learn(feature_matrix({k: rows[k].to_numpy() for k in STATS}), (rows.quality == 0).to_numpy())

@@ -118,6 +118,22 @@ def test_quality_rules(spark, awkward):
     assert {r[0]: r[1] for r in kept}.get(1, 1) > 0.9
 
 
+def test_rule_growth_against_all_cuts():
+    """The first test of a rule has the best gain of all thresholds of all features."""
+    rng = np.random.default_rng(13)
+    for _ in range(5):
+        x = {k: rng.integers(0, 12, 80).astype(float) for k in list(quality.FEATURES)[:4]}
+        bad = rng.random(80) < 0.2 + 0.6 * (x["n_words"] > 7)
+        first = quality._grow(x, bad, 1, 4096)[0]
+
+        def gain(hit):
+            p, n = (bad & hit).sum(), (~bad & hit).sum()
+            return p * (math.log2(p / (p + n)) - math.log2(bad.mean())) if p else -1
+
+        best = max(gain(v > c if above else v <= c) for v in x.values() for c in (np.unique(v)[1:] + np.unique(v)[:-1]) / 2 for above in (True, False))
+        assert abs(gain(first.on(x[first.feature])) - best) < 1e-9
+
+
 def test_rules_as_conditional(spark):
     rules = [(quality.Test("n_words", False, 30.5), quality.Test("repeat_ratio", True, 0.5)), (quality.Test("n_symbols", True, 3.0),)]
     rows = [(w, 1, s, 0, r) for w in (0, 10, 40) for s in (0, 5) for r in (0, 8, 30)]
@@ -383,6 +399,19 @@ def test_lm_trains_on_all_training_texts(spark, awkward, monkeypatch):
     assert same([r for part in lm.rounds(docs, shares) for r in part.collect()], docs.collect())
 
 
+def test_lm_deals_all_of_a_bucket():
+    """The network's symbols sum to 1 (test_gru_is_a_distribution); here, what each bucket deals to its words and one unseen one."""
+    import pandas as pd
+
+    counts = pd.DataFrame({"h": np.arange(1, 41), "bucket": np.arange(40) % 4, "n": np.arange(40, 0, -1)})
+    totals = {b: (int(g["n"].sum()), len(g)) for b, g in counts.groupby("bucket")} | {-1: (9, 1)}
+    v = lm.Vocabulary(counts, totals, 10, 4)
+    rest = counts.sort_values("n", ascending=False).iloc[10:]
+    for b in range(4):
+        assert abs(((rest.loc[rest["bucket"] == b, "n"] + 1).sum() + 1) / 10 ** v.log_shares[b] - 1) < 1e-9
+    assert v.n == counts["n"].sum() + 9 and v.v == 41
+
+
 # --- op6 -------------------------------------------------------------------------------------------------------------
 def sainte_lague(weights, seats):
     got = [0] * len(weights)
