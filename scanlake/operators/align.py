@@ -83,10 +83,16 @@ def feature_peak_alignment(scans: DataFrame, rt: float) -> DataFrame:
     return x.select("sample_id", (rt - F.col("apex_rt")).alias("rt_shift"), "apex_rt")
 
 
-def peak_windows(curves: DataFrame, peaks: DataFrame, margin: float = 0.08, shift: str | None = None) -> DataFrame:
-    """Interval join of curves with few peaks (peak_id, rt_start, rt_apex, rt_end, width): rows within a peak's margins."""
-    rt = F.col("rt") + F.col(shift) if shift else F.col("rt")
-    return curves.withColumn("_rt", rt).join(F.broadcast(peaks.select("peak_id", "rt_start", "rt_apex", "rt_end", "width")), F.col("_rt").between(F.col("rt_start") - margin, F.col("rt_end") + margin)).withColumn("rt", F.col("_rt")).drop("_rt")
+def peak_windows(curves: DataFrame, peaks: DataFrame, margin: float = 0.08, shift: str | None = None, width: float = 1.0) -> DataFrame:
+    """Interval join of curves with few peaks (peak_id, rt_start, rt_apex, rt_end, width): rows within a peak's margins.
+
+    An equi-join on RT buckets of `width`: a peak goes to every bucket its window touches.
+    """
+    bucket = lambda x: F.floor(x / width)
+    t = peaks.select("peak_id", "rt_start", "rt_apex", "rt_end", "width")
+    t = t.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("rt_start") - margin), bucket(F.col("rt_end") + margin))))
+    x = curves.withColumn("rt", F.col("rt") + F.col(shift) if shift else F.col("rt")).withColumn("_bucket", bucket(F.col("rt")))
+    return x.join(t, "_bucket").where(F.col("rt").between(F.col("rt_start") - margin, F.col("rt_end") + margin)).drop("_bucket")
 
 
 def local_alignment(curves: DataFrame, peaks: DataFrame, p: PeakParams = PeakParams()) -> DataFrame:

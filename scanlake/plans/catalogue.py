@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scanlake.functions import cosine, cv, directional_difference
+from scanlake.functions import cosine, directional_difference
 from scanlake.operators import align as A
 from scanlake.operators import compare as C
 from scanlake.operators import grid as G
@@ -557,7 +557,7 @@ def spectrum_similarity(spark, sf_dir):
     s, a = _spectra(spark, sf_dir)
     samples = scans(spark, sf_dir).select("sample_id").distinct()
     bins = pinned(C.consensus_bins(s))
-    m = C.reduced(C.vectors(s, bins, samples, keys=KEYS)).persist()
+    m = pinned(C.reduced(C.vectors(s, bins, samples, keys=KEYS)))
     kept = m.select("peak_id", "bin_index", "bin_mz").distinct()
     x = C.spectrum_scores(m, C.vectors(a, kept, samples, keys=KEYS))
     return x.select("peak_id", *[r6(c) for c in ("cosine_score", "top_mz_overlap_score", "relative_abundance_score", "presence_absence_score", "apex_spectrum_score", "spectrum_score")])
@@ -566,7 +566,7 @@ def spectrum_similarity(spark, sf_dir):
 def _features(spark, sf_dir):
     p, peaks, sh = points(spark, sf_dir), fixed_peaks(spark), _shifts(spark, sf_dir)
     top = C.top_changes(C.mz_changes(C.reduced(_matrix(spark, sf_dir)))).select("peak_id", "candidate_rank", F.col("bin_mz").alias("target_mz"))
-    return C.candidate_features(p, P.chromatogram(p), pinned(top), peaks, sh).persist(), peaks
+    return pinned(C.candidate_features(p, P.chromatogram(p), pinned(top), peaks, sh)), peaks
 
 
 @query()
@@ -755,7 +755,7 @@ def _embedding_cosine(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     m = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.median(F.col("x").cast("double")).alias("v"))
     m = m.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("m"))
-    x = e.join(F.broadcast(m), "label").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+    x = e.join(m, "label").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
     return x.select("vec_id", "label", F.round(cosine(F.col("v"), F.col("m.v")), 5).alias("cosine"))
 
 
@@ -769,9 +769,11 @@ ORACLE["event_cohort"] = """WITH b AS (SELECT event_type AS sample_id, CAST(floo
 def _event_cohort(spark, sf_dir):
     """The cohort score over five samples, the event types, by hour."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("sample_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("hour"), "value")
-    b = e.groupBy("hour").pivot("sample_id", [r[0] for r in e.select("sample_id").distinct().orderBy("sample_id").collect()]).agg(F.sum("value")).na.fill(0.0)
-    long = b.unpivot("hour", [c for c in b.columns if c != "hour"], "sample_id", "v").groupBy("hour").agg(F.avg("v").alias("mean"), cv(F.col("v")).alias("cv"))
-    return long.select("hour", F.round("mean", 4).alias("mean"), F.round(F.when(F.col("mean") > 0, 1 / (1 + F.col("cv"))).otherwise(0.0), 4).alias("score"))
+    n = e.agg(F.countDistinct("sample_id").alias("n"))
+    b = e.groupBy("hour", "sample_id").agg(F.sum("value").alias("v")).groupBy("hour").agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.col("v")).alias("vv"))
+    mean = F.col("v") / F.col("n")  # a type without events in an hour counts as 0
+    x = b.crossJoin(F.broadcast(n)).select("hour", mean.alias("mean"), F.sqrt(F.greatest(F.col("vv") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"))
+    return x.select("hour", F.round("mean", 4).alias("mean"), F.round(F.when(F.col("mean") > 0, 1 / (1 + F.col("sd") / F.col("mean"))).otherwise(0.0), 4).alias("score"))
 
 
 @query(f", {LOCAL_SQL} SELECT peak_id, sample_id, round(rt_start - 0.08, 6) AS aligned_start, round(rt_end + 0.08, 6) AS aligned_end, round(rt_start - 0.08 - local_shift, 6) AS corrected_start, round(rt_end + 0.08 - local_shift, 6) AS corrected_end FROM la JOIN pk USING (peak_id)")

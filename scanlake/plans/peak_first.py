@@ -33,6 +33,7 @@ def peak_first(points: DataFrame, reference: str, p: PeakParams = PeakParams(),
     """alignment, tic_peaks, peak_results, features, feature_groups and global_features of points (sample_id, scan_id, rt, mz, intensity).
 
     Only tables of a row per sample, peak or m/z bin of a peak come to the driver between steps (pinned); points are read by joins with them.
+    Scans, curves and the peaks' spectra stay cached for the results; spark.catalog.clearCache() lets them go.
     """
     scans = P.chromatogram(points).persist()
     tic, bpi = (scans.select("sample_id", "rt", F.col(c).alias("value")) for c in ("tic", "bpi"))
@@ -56,13 +57,13 @@ def peak_first(points: DataFrame, reference: str, p: PeakParams = PeakParams(),
     chrom_scores = C.chromatogram_scores(tic, few, local, local.select("peak_id", "sample_id", F.col("local_shift").alias("shift")), p)
     spectra = C.summed_spectra(points, few, shifts, p, order).persist()
     bins = pinned(C.consensus_bins(spectra, p))
-    matrix = C.reduced(C.vectors(spectra, bins, samples, p, order), p).persist()
+    matrix = pinned(C.reduced(C.vectors(spectra, bins, samples, p, order), p))
     kept = matrix.select("peak_id", "bin_index", "bin_mz").distinct()
     apex = C.vectors(C.apex_spectra(points, scans, few, shifts, p, order), kept, samples, p, order)
     scores = C.spectrum_scores(matrix, apex)
     top = pinned(C.top_changes(C.mz_changes(matrix), p).select("peak_id", "candidate_rank", F.col("bin_mz").alias("target_mz")))
-    features = C.candidate_features(points, scans, top, few, shifts, p).persist()
-    groups = C.peak_feature_groups(features, few, p).persist()
+    features = pinned(C.candidate_features(points, scans, top, few, shifts, p))
+    groups = pinned(C.peak_feature_groups(features, few, p))
     x = peaks.drop("status").join(chrom_scores, "peak_id").join(scores, "peak_id")
     names = ("chromatogram_score", "spectrum_score", "presence_absence_score", "top_mz_overlap_score", "relative_abundance_score")
     x = x.withColumn("status", tic_peak_status(F.col("capped"), *[F.col(c) for c in names]))

@@ -14,7 +14,7 @@ def write_csv(df: DataFrame, path: str, digits: dict[str, int] | None = None) ->
     """Quoted CSV; columns in digits get so many decimals, maps and arrays become JSON, nulls are empty."""
     for c, kind in df.dtypes:
         if digits and c in digits:
-            df = df.withColumn(c, F.format_string(f"%.{digits[c]}f", F.col(c)))
+            df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits[c]}f", F.col(c))))
         elif kind.startswith(("map", "array", "struct")):
             df = df.withColumn(c, F.to_json(c))
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("nullValue", "").option("emptyValue", "").csv(path)
@@ -28,6 +28,39 @@ def points_csv(points: DataFrame, path: str) -> None:
     write_csv(points.select("scan_id", "sample_id", "rt", "mz", "intensity"), path)
 
 
+def feature_matrix_csv(groups: DataFrame, path: str, sample_ids: list[str]) -> None:
+    """The nine fixed columns of feature groups and one area per sample, 0 where it has none."""
+    fixed = {"feature_group_id": None, "representative_mz": 6, "representative_rt": 5, "sample_count": None, "missing_sample_count": None, "cv": 6, "max_fold_change": 6, "difference_type": None, "confidence_score": 4}
+    areas = [F.coalesce(F.try_element_at("area_by_sample", F.lit(s)), F.lit(0.0)).alias(s) for s in sample_ids]
+    write_csv(groups.select(*fixed, *areas), path, {c: d for c, d in fixed.items() if d is not None} | dict.fromkeys(sample_ids, 6))
+
+
+def saved_features_csv(features: DataFrame, path: str) -> None:
+    """Saved-feature records (views.cell_features) with six decimals; intensities and scans as JSON."""
+    write_csv(features, path, {c: 6 for c, kind in features.dtypes if kind == "double"})
+
+
+def cell_intensities_csv(traces: DataFrame, near: DataFrame, path: str, tolerance: float) -> None:
+    """A row per cell and sample: its nearest scan (views.traces), what the scan and the grid hold there, relative to the largest, status."""
+    x = traces.join(near, ["mz_index", "rt_index", "sample_id"], "left").na.fill({"raw": 0.0, "norm": 0.0})
+    most = x.groupBy("mz_index", "rt_index").agg(F.max("raw").alias("_r"), F.max("norm").alias("_n"))
+    x = x.join(most, ["mz_index", "rt_index"])
+    percent = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b) * 100).otherwise(F.lit(0.0))
+    x = x.select(
+        "mz_index", "rt_index", F.col("sample_id").alias("sample"), "scan_id", F.col("raw_rt").alias("scan_raw_rt"), F.col("aligned_rt").alias("scan_aligned_rt"), F.col("rt_delta").alias("scan_rt_delta"),
+        F.col("intensity").alias("scan_raw_intensity"), F.col("raw").alias("heatmap_raw_intensity"), F.col("norm").alias("normalized_intensity"), percent("raw", "_r").alias("raw_relative_pct"), percent("norm", "_n").alias("normalized_relative_pct"),
+        F.lit(float(tolerance)).alias("mz_tolerance"), F.when(F.col("raw") > 0, "present").otherwise("missing").alias("status"),
+    )
+    write_csv(x, path, {c: 8 if c in ("scan_rt_delta", "normalized_intensity") else 6 for c, kind in x.dtypes if kind == "double"})
+
+
+def auto_outputs(regions: DataFrame, matrix: DataFrame, folder: str) -> None:
+    """Automatic regions as JSON and CSV, and their matrix as CSV, under folder."""
+    write_json(regions, f"{folder}/auto_features_json")
+    write_csv(regions, f"{folder}/auto_features_csv")
+    write_csv(matrix, f"{folder}/auto_feature_matrix_csv")
+
+
 def report(groups: DataFrame, scans: DataFrame) -> DataFrame:
     """One JSON per sample: its TIC and BPC traces in RT order, and the feature groups."""
     trace = lambda c: F.sort_array(F.collect_list(F.struct("rt", c))).alias(c)
@@ -60,6 +93,24 @@ class Store:
             x = x.where(F.col(k) == v)
         return x
 
+    def write_payload(self, tables: dict[str, DataFrame], keys: dict[str, str], replace: bool = True) -> None:
+        """The grid payload split into artifact tables, each by its key: {"spectra": "sample_id", "heatmaps": "comparison", ...}."""
+        for name, df in tables.items():
+            self.write(name, df, keys[name], replace)
+
+    def read_payload(self, keys: dict[str, str]) -> DataFrame:
+        """(artifact_key, payload_json): the split tables put together again, an artifact per table and key, its rows as JSON in order.
+
+        One artifact is one row, as its reader asks for it whole.
+        """
+        out = None
+        for name, key in sorted(keys.items()):
+            x = self.read(name)
+            rows = F.sort_array(F.collect_list(F.struct(*[c for c in sorted(x.columns) if c != key])))
+            x = x.groupBy(key).agg(F.to_json(rows).alias("payload_json")).select(F.concat(F.lit(name + ":"), F.col(key)).alias("artifact_key"), "payload_json")
+            out = x if out is None else out.unionByName(x)
+        return out
+
     def write_metadata(self, values: dict[str, str]) -> None:
         self.spark.createDataFrame(sorted(values.items()), "metadata_key string, metadata_value string").coalesce(1).write.mode("overwrite").parquet(self._path("metadata"))
 

@@ -119,3 +119,58 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = ingest.running_chromatogram(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert sorted((r["scan_id"], r["tic"]) for r in got) == [("s0", 5.0), ("s1", 5.0)]
+
+
+def test_csv_exports(spark, tmp_path):
+    import csv
+    import glob
+
+    from scanlake.operators import grid as G
+    from scanlake.operators import views as V
+    from scanlake.sources import store
+
+    rows = lambda d: [r for f in glob.glob(f"{d}/part-*.csv") for r in csv.DictReader(open(f, encoding="utf-8"))]
+    groups = spark.createDataFrame([("FG0001", 200.5, 1.25, 2, 1, None, 2.0, "common_feature", 0.7, {"A": 1.5, "N": 2.0})], "feature_group_id string, representative_mz double, representative_rt double, sample_count int, missing_sample_count int, cv double, max_fold_change double, difference_type string, confidence_score double, area_by_sample map<string,double>")
+    store.feature_matrix_csv(groups, f"{tmp_path}/m", ["A", "N", "R"])
+    assert rows(f"{tmp_path}/m") == [{"feature_group_id": "FG0001", "representative_mz": "200.500000", "representative_rt": "1.25000", "sample_count": "2", "missing_sample_count": "1", "cv": "", "max_fold_change": "2.000000", "difference_type": "common_feature", "confidence_score": "0.7000", "A": "1.500000", "N": "2.000000", "R": "0.000000"}]
+    g = G.Grid(0.0, 10.0, 100.0, 200.0, 10, 10)
+    near = spark.createDataFrame([(3, 2, "A", 5.0, 1.0), (3, 2, "N", 0.0, 0.0)], "mz_index int, rt_index int, sample_id string, raw double, norm double")
+    scans = spark.createDataFrame([("A", "a1", 2.25), ("A", "a2", 2.75), ("N", "n1", 9.0)], "sample_id string, scan_id string, rt double")
+    points = spark.createDataFrame([("A", "a1", 135.2, 7.0), ("A", "a1", 150.0, 9.0)], "sample_id string, scan_id string, mz double, intensity double")
+    shifts = spark.createDataFrame([("A", 0.25), ("N", 0.0)], "sample_id string, rt_shift double")
+    cells = spark.createDataFrame([(3, 2, 2.5, 135.0, 1, 0.4, 0.6, "new_signal")], "mz_index int, rt_index int, rt double, mz double, region_rank int, score double, weighted_difference_score double, difference_type string")
+    t = V.traces(scans, points, shifts, cells, V.mz_tolerance_of(g))
+    store.cell_intensities_csv(t, near, f"{tmp_path}/c", V.mz_tolerance_of(g))
+    got = {r["sample"]: r for r in rows(f"{tmp_path}/c")}
+    assert got["A"]["scan_id"] == "a1" and got["A"]["scan_raw_intensity"] == "7.000000" and got["A"]["raw_relative_pct"] == "100.000000" and got["N"]["status"] == "missing"
+    f = V.cell_features(cells, near, t, g, "h")
+    store.saved_features_csv(f, f"{tmp_path}/s")
+    one = rows(f"{tmp_path}/s")[0]
+    assert one["rt_start"] == "2.000000" and one["mz_end"] == "140.000000" and one["sample_presence"] == "A" and "a1" in one["source_scans"]
+    assert V.not_saved(f, f).count() == 0 and V.not_saved(f, f.limit(0)).count() == 1
+    store.auto_outputs(cells, near, f"{tmp_path}/auto")
+    assert len(rows(f"{tmp_path}/auto/auto_feature_matrix_csv")) == 2
+
+
+def test_payload_is_split_and_put_together(spark, tmp_path):
+    import json
+
+    from scanlake.sources.store import Store
+
+    s = Store(spark, str(tmp_path))
+    spectra = spark.createDataFrame([("A", "a1", 100.0, 1.0), ("A", "a1", 200.0, 2.0), ("N", "n1", 100.0, 3.0)], "sample_id string, scan_id string, mz double, intensity double")
+    maps = spark.createDataFrame([("cohort", 1, 2, 0.5), ("A_vs_N", 1, 2, 0.25)], "comparison string, mz_index int, rt_index int, score double")
+    keys = {"spectra": "sample_id", "heatmaps": "comparison"}
+    s.write_payload({"spectra": spectra, "heatmaps": maps}, keys)
+    got = {r["artifact_key"]: json.loads(r["payload_json"]) for r in s.read_payload(keys).collect()}
+    assert set(got) == {"spectra:A", "spectra:N", "heatmaps:cohort", "heatmaps:A_vs_N"}
+    assert sorted(x["mz"] for x in got["spectra:A"]) == [100.0, 200.0] and got["heatmaps:A_vs_N"][0]["score"] == 0.25
+
+
+def test_peak_first_record(spark):
+    from scanlake.operators import views as V
+
+    peaks = spark.createDataFrame([(3, 1.0, 2.0, 3.0, 0.75, 0.9)], "peak_id int, rt_start double, rt_apex double, rt_end double, peak_consistency_score double, spectrum_score double")
+    areas = spark.createDataFrame([(3, "A", 5.0), (3, "N", 7.0), (4, "A", 1.0)], "peak_id int, sample_id string, area double")
+    r = V.peak_feature_record(peaks, areas, 700.0, 0.5).collect()
+    assert len(r) == 1 and r[0]["feature_id"] == "PF_00003" and r[0]["difference_score"] == 0.25 and r[0]["raw_area_by_sample"] == {"A": 5.0, "N": 7.0}
