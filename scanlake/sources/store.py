@@ -17,7 +17,7 @@ def write_csv(df: DataFrame, path: str, digits: dict[str, int] | None = None) ->
             df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits[c]}f", F.col(c))))
         elif kind.startswith(("map", "array", "struct")):
             df = df.withColumn(c, F.to_json(c))
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def candidates_csv(candidates: DataFrame, path: str) -> None:
