@@ -51,8 +51,20 @@ class Encoder:
             self._whole.encode_special_tokens = self.names_as_text
         return self._whole
 
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether text is of ASCII and Latin letters, without the names and the space that the two libraries treat apart."""
+        if "<|" in text:
+            return False
+        if text.isascii():
+            return True
+        try:
+            return b"\x85" not in text.encode("latin-1")
+        except UnicodeEncodeError:
+            return "\x85" not in text and max(text) <= "ɏ"
+
     def ids(self, text: str) -> list[int]:
-        if text and (max(text) > "ɏ" or "\x85" in text or "<|" in text):
+        if not self.plain(text):
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
