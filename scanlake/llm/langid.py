@@ -64,8 +64,9 @@ class Model:
         self.t = np.zeros((len(labels), len(labels)), np.float32)
         self.seen = np.zeros(BUCKETS, bool)  # n-grams of the training sample
 
-    def features(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        keys, off = word_features(values)
+    def features(self, values: pa.Array, found=None) -> tuple[np.ndarray, np.ndarray]:
+        """(weights' rows, offsets of each word's): its n-grams (found, if given) and, if the lexicon has it, the word itself."""
+        keys, off = found or word_features(values)
         if not len(self.lexicon):
             return keys, off
         h = word_hashes(pc.utf8_lower(values))
@@ -73,21 +74,16 @@ class Model:
         known = np.flatnonzero(self.lexicon[i] == h)
         return np.insert(keys, off[known + 1], BUCKETS + i[known]), off + np.concatenate([[0], np.cumsum(np.bincount(known, minlength=len(values)))])
 
-    def emissions(self, values: pa.Array, step: int = 1 << 14) -> np.ndarray:
-        """Summed weights of each word, `step` words at a time."""
-        out = np.zeros((len(values), len(self.labels)), np.float32)
+    def emissions(self, values: pa.Array, step: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+        """(summed weights of each word, share of its n-grams that are known; -1 without a letter), `step` words at a time."""
+        out, familiar = np.zeros((len(values), len(self.labels)), np.float32), np.zeros(len(values), np.float32)
         for lo in range(0, len(values), step):
-            keys, off = self.features(values.slice(lo, step))
+            part = values.slice(lo, step)
+            found = word_features(part)
+            familiar[lo : lo + step] = np.add.reduceat(self.seen[found[0]].view(np.uint8), found[1][:-1], dtype=np.float32) / np.diff(found[1])
+            keys, off = self.features(part, found)
             out[lo : lo + step] = np.add.reduceat(self.w[keys], off[:-1], axis=0)
-        return out
-
-    def familiar(self, values: pa.Array, step: int = 1 << 14) -> np.ndarray:
-        """Share of each word's n-grams that are known; -1 for words without a letter."""
-        out = np.zeros(len(values))
-        for lo in range(0, len(values), step):
-            keys, off = word_features(values.slice(lo, step))
-            out[lo : lo + step] = np.add.reduceat(self.seen[keys].astype(np.float32), off[:-1]) / np.diff(off)
-        return np.where(pc.match_substring_regex(values, r"\p{L}").to_numpy(zero_copy_only=False), out, -1.0)
+        return out, np.where(pc.match_substring_regex(values, r"\p{L}").to_numpy(zero_copy_only=False), familiar, np.float32(-1))
 
     def shares(self, e: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Expected words of each label in each text; e: emissions of all words, off: offsets of the texts' words."""
@@ -246,8 +242,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             flat, off = words(texts.take(pa.array(at)), lower=False)
             d = flat.dictionary_encode()
             ids = d.indices.to_numpy()
-            got = model.shares(model.emissions(d.dictionary)[ids], off)
-            f, of = model.familiar(d.dictionary)[ids], np.repeat(np.arange(len(at)), np.diff(off))
+            weights, known = model.emissions(d.dictionary)
+            got = model.shares(weights[ids], off)
+            f, of = known[ids], np.repeat(np.arange(len(at)), np.diff(off))
             familiar[at] = np.bincount(of[f >= 0], f[f >= 0], len(at)) / np.maximum(1, np.bincount(of[f >= 0], minlength=len(at)))
             got /= got.sum(1, keepdims=True)
             lang[at] = np.array(model.labels, object)[got.argmax(1)]
