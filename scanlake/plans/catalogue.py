@@ -241,7 +241,7 @@ def nearest_scan(spark, sf_dir):
 
 
 def _tic_peaks(spark, sf_dir):
-    return K.tic_peaks(curves(spark, sf_dir), ["sample_id"])
+    return K.tic_peaks(pinned(curves(spark, sf_dir)), ["sample_id"])
 
 
 @query()
@@ -262,7 +262,7 @@ def peak_status(spark, sf_dir):
 
 def candidate_peaks(spark, sf_dir, shifts=None):
     """Consensus and sample peaks merged, with status; peak_id in RT order."""
-    c = curves(spark, sf_dir)
+    c = pinned(curves(spark, sf_dir))
     if shifts is not None:
         c = c.join(F.broadcast(shifts), "sample_id").withColumn("rt", F.col("rt") + F.col("rt_shift")).select("sample_id", "rt", "value")
     one = K.refine_boundaries(K.tic_peaks(S.consensus(c).withColumn("_g", F.lit(0)), ["_g"]), ["_g"])
@@ -321,7 +321,7 @@ LOCAL_SQL = f"""{CURVE}, {PEAKS_SQL},
 
 
 def _local(spark, sf_dir):
-    return A.local_alignment(curves(spark, sf_dir), fixed_peaks(spark))
+    return A.local_alignment(pinned(curves(spark, sf_dir)), fixed_peaks(spark))
 
 
 @query(f", {LOCAL_SQL} SELECT peak_id, sample_id, apex, reference_apex, round(local_shift, 6) AS local_shift, capped, round(max_shift, 6) AS max_shift FROM la")
@@ -366,7 +366,9 @@ def resample_curves(spark, sf_dir):
 
 @query()
 def chrom_similarity(spark, sf_dir):
-    x = C.chromatogram_scores(curves(spark, sf_dir), fixed_peaks(spark), _local(spark, sf_dir), _shifts(spark, sf_dir))
+    local = pinned(_local(spark, sf_dir))
+    shifts = local.select("peak_id", "sample_id", F.col("local_shift").alias("shift"))
+    x = C.chromatogram_scores(pinned(curves(spark, sf_dir)), fixed_peaks(spark), local, shifts)
     return x.select("peak_id", *[r6(c) for c in ("shape_score", "area_score", "apex_score", "width_score", "chromatogram_score")])
 
 
@@ -427,7 +429,7 @@ def xic_peaks(spark, sf_dir):
 
 def _matched(spark, sf_dir):
     best = _xic_features(spark, sf_dir).where("area_rank = 1").select("sample_id", F.col("target_mz").alias("mz"), F.col("rt_apex").alias("rt"), "area", "height")
-    return M.match_features(best, rt_tolerance=0.75)
+    return pinned(M.match_features(pinned(best), rt_tolerance=0.75))
 
 
 @query()
