@@ -33,7 +33,8 @@ from .components import components
 from .words import mixed, slices, window_hashes, word_hashes, words
 
 MOST_FREQUENT, LEAST_FREQUENT = 1 << 18, 4
-MOST_HELD = 1 << 22  # shingles that a task counts at once
+MOST_HELD = 1 << 21  # shingles that a task counts at once
+MOST_COMPARED = 1 << 19  # shingles of the sets that a task's group compares, about
 BINS = 128
 ROW_COST = 20.0  # compares in a list that cost as much as one emitted row
 
@@ -123,7 +124,7 @@ def signatures(reps: DataFrame, width: int, num: int, den: int, light: int, freq
     (rep, n, cent: share of frequent shingles in thousandths, bins: counts by hash bucket, cut off at 255)."""
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, most_bytes=2 << 20):
             keys, owner, f = _order(*shingles(b.column("text"), width), frequent, counts)
             n = np.bincount(owner, minlength=b.num_rows)
             begin = np.concatenate([[0], np.cumsum(n)])[:-1]
@@ -261,11 +262,12 @@ def _tile(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def tiles(group: DataFrame, key: str, size: int) -> DataFrame:
+def tiles(group: DataFrame, key: str, size: int, shingles: int = 1 << 62) -> DataFrame:
     """Rows of group (key, x, n, component, away, band and others) dealt to tiles (key, band, _near, i, j): the stragglers (away)
-    of a band as side 0 against all rows of the bands next to it as side 1, each side cut into blocks of about `size`."""
+    of a band as side 0 against all rows of the bands next to it as side 1, each side cut into blocks of about `size` rows, and of
+    sets of about `shingles` in all."""
     strays = group.where("away")
-    cut = lambda g, name: g.groupBy(key, "band").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias(name))
+    cut = lambda g, name: g.groupBy(key, "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.ceil(F.sum("n") / shingles)).cast("long").alias(name))
     met = cut(strays, "_a").withColumn("_near", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
     met = materialize(met.join(cut(group, "_b").withColumnRenamed("band", "_near"), [key, "_near"]), "join-tiles")
     number = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
@@ -323,11 +325,12 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
             if len(f):
                 apart = np.abs(_bins_of(f["bins"]) - _bins_of(f["_bins"])).sum(1, dtype=np.int64)
                 f = f[apart * (den + num) <= (den - num) * (f["_n"] + f["n"]).to_numpy()]
-            yield f[["lead", "x"]]
+            yield f[["lead", "x", "n"]]
 
     close = pairs.join(facts.select(F.col("rep").alias("lead"), "bins", F.col("n").alias("_n")), "lead").join(facts.select(F.col("rep").alias("x"), F.col("bins").alias("_bins"), "n"), "x")
-    close = materialize(close.mapInPandas(near, "lead long, x long").distinct(), "join-close")
-    blocks = materialize(close.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / 256).cast("long").alias("_blocks")), "join-blocks")
+    close = materialize(close.mapInPandas(near, "lead long, x long, n long").distinct(), "join-close")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / 256), F.ceil(F.sum("n") / MOST_COMPARED))
+    blocks = materialize(close.groupBy("lead").agg(parts.cast("long").alias("_blocks")), "join-blocks")
     members = close.join(blocks, "lead").select("lead", "x", F.pmod(F.xxhash64("x"), F.col("_blocks")).alias("_block"))
     members = members.unionByName(blocks.select("lead", F.col("lead").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")))
     keys = materialize(sets(docs, members, width), "join-keys")
@@ -353,7 +356,7 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     if active.limit(1).count():
         keys = materialize(sets(docs, active, width), "join-keys")
         few = group.drop("sig").repartition("lead", "x").distinct().join(active, ["lead", "x"], "left_semi")  # lists of one leader, joined
-        left = tiles(few, "lead", tile).join(keys, "x").repartition("lead", *tile_of)
+        left = tiles(few, "lead", tile, MOST_COMPARED).join(keys, "x").repartition("lead", *tile_of)
         more = materialize(left.groupBy("lead", *tile_of).applyInPandas(lambda g: _tile(g, num, den), "a long, b long").distinct(), "join-more")
         joined = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "join-all")
         discard(keys)
