@@ -45,3 +45,30 @@ NGRAM_JOIN = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(transla
             GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
       r(d, x) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.d, e.b FROM r JOIN e ON r.x = e.a)
       SELECT n.doc_id, n.n AS n_shingles, min(r.x) AS component_id FROM n JOIN r ON r.d = n.doc_id GROUP BY n.doc_id, n.n"""
+
+
+def _leaf(text: str) -> str:
+    each = [f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(octet_length(CAST(encode(CAST({c} AS VARCHAR)) AS BLOB)), ':', {c}) END" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(each)})"
+
+
+#: Levels as lists of digests, one list a tree; the bit by bit checksum decides which rows are altered.
+MERKLE = f"""WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf("replace(text, chr(10), '')")} AS other,
+        list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+          lambda s, c: list_reduce([xor(s, c)] || list_transform(range(8), lambda i: CAST(0 AS BIGINT)), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))) AS c FROM documents),
+      o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY source IS NOT NULL, source) - 1 AS t FROM d),
+      up(t, k, x) AS (SELECT t, 0, list(leaf ORDER BY i) FROM o GROUP BY t
+        UNION ALL SELECT t, k + 1, list_transform(range(0, len(x), 3), lambda p: sha256(array_to_string(x[p + 1:p + 3], ''))) FROM up WHERE len(x) > 1),
+      s AS (SELECT t, x[1] AS subroot FROM up WHERE len(x) = 1),
+      top(k, x) AS (SELECT 0, list(subroot ORDER BY t) FROM s
+        UNION ALL SELECT k + 1, list_transform(range(0, len(x), 3), lambda p: sha256(array_to_string(x[p + 1:p + 3], ''))) FROM top WHERE len(x) > 1),
+      lv AS (SELECT t, k, x FROM up WHERE len(x) > 1 UNION ALL SELECT s.t, k + m, x FROM top, s JOIN (SELECT t, max(k) AS m FROM up GROUP BY t) USING (t) WHERE len(x) > 1),
+      ix AS (SELECT t, max(k) AS m FROM up GROUP BY t),
+      go(t, i, k, j, h, sib) AS (SELECT t, i, CAST(0 AS BIGINT), CASE WHEN m = 0 THEN t ELSE i END, CASE WHEN c % 2 = 1 THEN other ELSE leaf END, '' FROM o JOIN ix USING (t)
+        UNION ALL SELECT go.t, go.i, go.k + 1, CASE WHEN go.k + 1 = ix.m THEN go.t ELSE go.j // 3 END,
+          sha256(array_to_string(lv.x[go.j // 3 * 3 + 1:go.j], '') || go.h || array_to_string(lv.x[go.j + 2:go.j // 3 * 3 + 3], '')),
+          go.sib || array_to_string(lv.x[go.j // 3 * 3 + 1:go.j], '') || array_to_string(lv.x[go.j + 2:go.j // 3 * 3 + 3], '')
+          FROM go JOIN lv ON lv.t = go.t AND lv.k = go.k JOIN ix ON ix.t = go.t),
+      e AS (SELECT t, i, arg_max(h, k) AS folded_root, arg_max(sib, k) AS sib FROM go GROUP BY t, i)
+      SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, folded_root, folded_root = root AS verified
+      FROM o JOIN s USING (t) JOIN e USING (t, i), (SELECT x[1] AS root FROM top WHERE len(x) = 1)"""
