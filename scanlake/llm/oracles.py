@@ -82,3 +82,10 @@ NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label +
       SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.r, place ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
       FROM p JOIN s ON s.r = p.r AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
       QUALIFY row_number() OVER (PARTITION BY p.r, place ORDER BY score DESC, vec_id) <= 10"""
+
+
+#: Rows that repeat page_id and html are told apart by their order.
+WARC = """WITH d AS (SELECT page_id, coalesce(html, '') AS h, row_number() OVER () AS r FROM pages),
+      w AS (SELECT page_id, h, octet_length(encode(h)) AS n, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST, r) AS i, first_value(page_id) OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST, r) AS f FROM d)
+      SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND i > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 1000 AND i > 1 THEN f END AS refers_to FROM w"""

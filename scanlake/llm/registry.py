@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, langid, lm, merkle, mixing, negatives, ngram_join, oracles, packing, quality, secrets, tokens, topk
+from . import html, langid, lm, merkle, mixing, negatives, ngram_join, oracles, packing, quality, secrets, tokens, topk, warc
 
 
 def pipeline(spark, sf_dir):
@@ -25,9 +25,10 @@ def queries():
         "op9_token_counts": tokens.op9_token_counts,
         "op10_language": langid.op10_language,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_warc": warc.op12_warc,
         "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql():
-    return {"op3_topk": oracles.TOPK, "op7_ngram_join": oracles.NGRAM_JOIN, "op8_secrets": oracles.secrets_sql(), "op11_merkle_manifest": oracles.MERKLE, "op13_hard_negatives": oracles.NEGATIVES}
+    return {"op3_topk": oracles.TOPK, "op7_ngram_join": oracles.NGRAM_JOIN, "op8_secrets": oracles.secrets_sql(), "op11_merkle_manifest": oracles.MERKLE, "op12_warc": oracles.WARC, "op13_hard_negatives": oracles.NEGATIVES}
