@@ -6,15 +6,18 @@ Peaks are few (peak_id, rt_start, rt_apex, rt_end, width); shifts has a row per
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.functions import clamp, feature_group_difference, join_match_score, lit, mz_tolerance, ratio, score_from_cv
-from scanlake.operators.match import clusters
+from scanlake.operators.match import bins_of, clusters, gap_islands
 from scanlake.operators.peaks import xic_features
 from scanlake.operators.points import band_join, nearest_bin
 from scanlake.operators.series import resample, trapezoids
+from scanlake.operators.shared import written
 from scanlake.schema import PeakParams
 
 
@@ -192,38 +195,66 @@ def peak_feature_groups(features: DataFrame, peaks: DataFrame, p: PeakParams = P
     return out.withColumn("missing_sample_count", F.col("_s") - F.col("sample_count")).withColumn("feature_group_id", F.format_string("%s_FG_%04d", F.col("peak_id").cast("string"), "candidate_rank")).drop("_s", "_p")
 
 
+class Leaders:
+    """Rows of one island that lead, by cells of m/z (as wide as the tolerance, on a logarithmic scale in ppm) and RT."""
+
+    def __init__(self, ppm: float | None, da: float, rt_tolerance: float):
+        self.ppm, self.da, self.reach = ppm, da, rt_tolerance
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        self.at: list[tuple[float, float]] = []
+
+    def cell(self, mz: float, rt: float) -> tuple[int, int]:
+        wide = math.log(max(mz, 1e-9)) / (self.ppm * 1.01e-6) if self.ppm is not None else mz / (self.da * 1.01)
+        return math.floor(wide), math.floor(rt / (max(self.reach, 1e-9) * 1.01))
+
+    def join(self, mz: float, rt: float) -> int:
+        """The number of the first leader within reach of the row, which leads itself if there is none."""
+        tol = max(mz * self.ppm / 1e6, 1e-9) if self.ppm is not None else self.da
+        i, j = self.cell(mz, rt)
+        near = [k for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for k in self.cells.get((a, b), ()) if abs(mz - self.at[k][0]) <= tol and abs(rt - self.at[k][1]) <= self.reach]
+        if near:
+            return min(near)
+        self.at.append((mz, rt))
+        self.cells.setdefault((i, j), []).append(len(self.at) - 1)
+        return len(self.at) - 1
+
+
 def global_features(groups: DataFrame, p: PeakParams = PeakParams(), limit: int = 500) -> DataFrame:
-    """Feature groups of all peaks by falling ranking; each joins the first leader within the m/z and RT tolerances. Leaders are a fold over
-    peaks x top_n_changed_mz rows at most, one group."""
+    """Feature groups of all peaks by falling ranking; each joins the first leader within the m/z and RT tolerances, and the `limit` best stay.
+
+    Rows across a gap wider than a tolerance cannot meet, so islands between gaps, in m/z and RT, are folded apart, many to a task.
+    """
+    groups = written(groups, "feature-groups")
     most = groups.agg(F.max("abundance_score").alias("_m"))
     x = groups.crossJoin(F.broadcast(most)).withColumn("abundance_norm", ratio(F.col("abundance_score"), F.col("_m")))
     x = x.withColumn("ranking_score", F.col("difference_score") * (1 + p.feature_abundance_weight * F.col("abundance_norm")))
     x = x.select("feature_group_id", "peak_id", "representative_mz", "representative_rt", "difference_score", "ranking_score", "max_area", "max_fold_change", "difference_type", "sample_count")
     rt_tol = max(p.global_feature_rt_merge_tolerance_min, p.feature_rt_tolerance_min)
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        order = ["ranking_score", "difference_score", "max_area"]
-        rows = rows.sort_values([*order, "representative_rt", "feature_group_id"], ascending=[False] * 3 + [True] * 2, kind="stable").reset_index(drop=True)
-        mz, rt = rows["representative_mz"].to_numpy(), rows["representative_rt"].to_numpy()
-        tol = [max((max(m * p.mz_tolerance_ppm / 1e6, 1e-9) if p.mz_tolerance_mode == "ppm" else p.mz_tolerance_da) * p.global_feature_mz_merge_tolerance_factor, 1e-9) for m in mz]
-        leader: list[int] = []
-        heads: list[int] = []
-        for i in range(len(rows)):
-            near = next((h for h in heads if abs(mz[i] - mz[h]) <= tol[i] and abs(rt[i] - rt[h]) <= rt_tol), None)
-            if near is None:
-                heads.append(i)
-            leader.append(i if near is None else near)
-        g = rows.assign(_l=leader).groupby("_l", sort=True)
-        out = rows.iloc[heads].copy().set_index(pd.Index(heads))
-        for c in (*order, "max_fold_change"):
-            out[c] = g[c].max()
-        out["merged_feature_count"] = g.size().astype("int32")
-        out["merged_feature_group_ids"] = g["feature_group_id"].agg(lambda s: sorted(set(s)))
-        out["merged_peak_ids"] = g["peak_id"].agg(lambda s: sorted({str(v) for v in s}))
-        return out.sort_values(order, ascending=False, kind="stable").head(limit)
-
-    schema = ", ".join(f"{a} {b}" for a, b in x.dtypes) + ", merged_feature_count int, merged_feature_group_ids array<string>, merged_peak_ids array<string>"
-    return x.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda rows: merge(rows.drop(columns="_all")), schema)
+    factor = p.global_feature_mz_merge_tolerance_factor
+    ppm = p.mz_tolerance_ppm * factor if p.mz_tolerance_mode == "ppm" else None
+    da = max(p.mz_tolerance_da * factor, 1e-9)
+    gap = F.greatest(F.col("_lo") * (ppm / 1e6), lit(1e-9)) if ppm is not None else lit(da)  # the upper row's is the wider tolerance
+    held = gap_islands(x.withColumns({"mz": F.col("representative_mz"), "rt": F.col("representative_rt")}), bins_of(ppm, da), gap, rt_tol)
+    held = written(held.drop("mz", "rt"), "feature-islands")
+    batches = max(1, held.count() // 10_000)
+    order = ["ranking_score", "difference_score", "max_area"]
+    first = ["representative_rt", "feature_group_id"]
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*order, *first], ascending=[False] * 3 + [True] * 2, kind="stable")
+        open_: dict[str, Leaders] = {}
+        leader = [open_.setdefault(i, Leaders(ppm, da, rt_tol)).join(mz, rt) for i, mz, rt in zip(rows["island"], rows["representative_mz"], rows["representative_rt"])]
+        return rows.assign(_l=leader, _at=range(len(rows))).drop(columns="_batch")
+
+    led = held.withColumn("_batch", F.pmod(F.xxhash64("island"), F.lit(batches))).groupBy("_batch").applyInPandas(fold, ", ".join(f"`{a}` {b}" for a, b in held.dtypes) + ", _l int, _at int")
+    one = F.min_by(F.struct(*x.columns), "_at")  # the leader itself
+    g = led.groupBy("island", "_l").agg(
+        one.alias("_f"), *[F.max(c).alias(c) for c in (*order, "max_fold_change")], F.count(F.lit(1)).cast("int").alias("merged_feature_count"),
+        F.sort_array(F.collect_set("feature_group_id")).alias("merged_feature_group_ids"), F.sort_array(F.collect_set(F.col("peak_id").cast("string"))).alias("merged_peak_ids"),
+    )
+    best = g.orderBy(*[F.desc(c) for c in order], *[F.desc(f"_f.{c}") for c in order], *[F.asc(f"_f.{c}") for c in first]).limit(limit)
+    own = [c for c in x.columns if c not in (*order, "max_fold_change")]
+    return best.select(*[F.col(c) if c not in own else F.col(f"_f.{c}").alias(c) for c in x.columns], "merged_feature_count", "merged_feature_group_ids", "merged_peak_ids")
 
 
 def selection_scores(curves: DataFrame, peaks: DataFrame, shifts: DataFrame, p: PeakParams = PeakParams()) -> DataFrame:

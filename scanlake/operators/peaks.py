@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanlake.functions import lit
 from scanlake.operators.series import baseline, noise_level
+from scanlake.operators.shared import islands, written
 from scanlake.schema import CHROM_PEAK, FEATURE, TIC_PEAK, PeakParams
 
 
@@ -126,7 +127,11 @@ def with_status(peaks: DataFrame, p: PeakParams = PeakParams()) -> DataFrame:
 
 def merge_candidates(consensus: DataFrame, samples: DataFrame, p: PeakParams = PeakParams()) -> DataFrame:
     """Union of consensus peaks and samples' peaks (sample_id), merged where apexes are near: the larger shape stays, bounds widen, the
-    samples that support it are listed. A representative changes as it grows, so this is one group of a few hundred rows."""
+    samples that support it are listed.
+
+    A representative changes as it grows, but its apex is always one of its members', and nothing joins over more than the widest
+    reach there can be: apexes across a wider gap cannot meet, directly or through others, and are folded apart.
+    """
     shape = ["height", "body_height", "area", "width", "prominence", "snr", "area_ratio", "noise_level"]
     cols = ["rt_start", "rt_apex", "rt_end", *shape]
     both = consensus.select(*cols, F.lit("consensus_tic").alias("source"), F.lit(None).cast("string").alias("sample_id"), F.lit(0).alias("_o"))
@@ -135,7 +140,7 @@ def merge_candidates(consensus: DataFrame, samples: DataFrame, p: PeakParams = P
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(_a=-rows["area"]).sort_values(["rt_apex", "_a", "_o", "sample_id"], kind="stable", na_position="first")
         reps: list[dict] = []
-        for x in rows.drop(columns=["_a", "_o", "_all"]).to_dict("records"):
+        for x in rows.drop(columns=["_a", "_o", "_part"]).to_dict("records"):
             who = {x.pop("sample_id")} - {None}
             near = max(2 * p.min_apex_distance_min, min(p.max_local_shift_min, 0.35 * max(x["width"], p.min_width)))
             rep = next((r for r in reps if abs(r["rt_apex"] - x["rt_apex"]) <= near), None)
@@ -154,7 +159,12 @@ def merge_candidates(consensus: DataFrame, samples: DataFrame, p: PeakParams = P
         return pd.DataFrame(reps, columns=[*cols, "source", "supporting_samples"])
 
     schema = ", ".join(f"{c} double" for c in cols) + ", source string, supporting_samples array<string>"
-    merged = both.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(merge, schema)
+    widest = max(2 * p.min_apex_distance_min, p.max_local_shift_min)
+    both = written(both, "candidates")
+    bin_ = F.floor(F.col("rt_apex") / (widest / 2)).cast("long")
+    cuts = islands(both, [], "rt_apex", bin_, lit(widest)).select("_bin", F.col("island").alias("_part"))
+    parts = both.withColumn("_bin", bin_).join(cuts, "_bin").drop("_bin")
+    merged = parts.groupBy("_part").applyInPandas(merge, schema)
     return refine_boundaries(merged.withColumn("_g", F.lit(0)), ["_g"], p).drop("_g")
 
 

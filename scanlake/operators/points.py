@@ -61,15 +61,15 @@ def top_points(points: DataFrame, k: int, order: list[Column], mz_min: float | N
     return points.withColumn("point_rank", rank).where(F.col("point_rank") <= k)
 
 
-def band_join(points: DataFrame, targets: DataFrame, width: float) -> DataFrame:
-    """points x targets (target_mz, tolerance, others) with |mz - target_mz| <= tolerance, as an equi-join on m/z buckets.
+def band_join(points: DataFrame, targets: DataFrame, width: float | None = None, by: tuple[str, ...] = (), ppm: float | None = None) -> DataFrame:
+    """points x targets (target_mz, tolerance, others) with |mz - target_mz| <= tolerance, as an equi-join on m/z buckets, and on by.
 
-    Targets go to every bucket their band touches; width should be about the widest tolerance. The planner broadcasts the
-    targets where they are small.
+    Targets go to every bucket that their band touches. Buckets are `width` wide, which should be about the widest tolerance, or, as
+    targets from data may lie anywhere, `ppm` of the m/z. The planner broadcasts the targets where they are small.
     """
-    bucket = lambda x: F.floor(x / width)
+    bucket = (lambda x: F.floor(x / width)) if ppm is None else (lambda x: F.floor(F.log(F.greatest(x, lit(1e-6))) / (ppm * 1e-6)))
     t = targets.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("target_mz") - F.col("tolerance")), bucket(F.col("target_mz") + F.col("tolerance")))))
-    x = points.withColumn("_bucket", bucket(F.col("mz"))).join(t, "_bucket")
+    x = points.withColumn("_bucket", bucket(F.col("mz"))).join(t, [*by, "_bucket"])
     return x.where(F.abs(F.col("mz") - F.col("target_mz")) <= F.col("tolerance")).drop("_bucket")
 
 
@@ -105,11 +105,14 @@ def nearest_bin(points: DataFrame, bins: DataFrame, tolerance: float, by: list[s
     return x.withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_at", "_d", "_bucket", "tolerance").withColumnRenamed("target_mz", "bin_mz")
 
 
-def xic(points: DataFrame, scans: DataFrame, targets: DataFrame, width: float, mode: str = "sum") -> DataFrame:
-    """(sample_id, scan_id, rt, target_mz, intensity): extracted-ion chromatograms of few targets, with 0 where a scan has no point."""
+def xic(points: DataFrame, scans: DataFrame, targets: DataFrame, width: float | None = None, mode: str = "sum", ppm: float | None = None) -> DataFrame:
+    """(sample_id, scan_id, rt, target_mz, intensity): extracted-ion chromatograms, with 0 where a scan has no point. targets (target_mz,
+    tolerance) are those of every sample, or with a sample_id each sample's own. width and ppm are as for band_join."""
     f = {"sum": F.sum, "max": F.max}[mode]
-    hit = band_join(points, targets, width).groupBy("sample_id", "scan_id", "rt", "target_mz").agg(f("intensity").alias("intensity"))
-    grid = scans.select("sample_id", "scan_id", "rt").crossJoin(F.broadcast(targets.select("target_mz")))
+    own = ["sample_id"] if "sample_id" in targets.columns else []
+    hit = band_join(points, targets, width, tuple(own), ppm).groupBy("sample_id", "scan_id", "rt", "target_mz").agg(f("intensity").alias("intensity"))
+    grid, wanted = scans.select("sample_id", "scan_id", "rt"), targets.select(*own, "target_mz")
+    grid = grid.join(wanted, own) if own else grid.crossJoin(F.broadcast(wanted))
     return grid.join(hit, ["sample_id", "scan_id", "rt", "target_mz"], "left").withColumn("intensity", F.coalesce("intensity", lit(0)))
 
 

@@ -13,6 +13,7 @@ from scanlake.operators import match as M
 from scanlake.operators import peaks as K
 from scanlake.operators import points as P
 from scanlake.operators import series as S
+from scanlake.operators.shared import written
 from scanlake.plans.peak_first import pinned
 
 #: Unique order of points of one scan and intensity.
@@ -387,14 +388,14 @@ def candidate_mz(spark, sf_dir):
     return x.select("sample_id", r6("cluster_mz"), "total_intensity", "max_intensity", "scan_count", "candidate_rank")
 
 
-TARGETS = [float(200 + 10 * k) for k in range(0, 180, 3)]
+TARGETS = [float(200 + 10 * k) for k in range(180)]
 
 
 def targets(spark, ppm=20.0):
     return spark.createDataFrame([(t, t * ppm / 1e6) for t in TARGETS], "target_mz double, tolerance double")
 
 
-XIC_SQL = f"""{CURVE}, t AS (SELECT 200.0::DOUBLE + 30 * k AS target_mz FROM range(0, 60) x(k)),
+XIC_SQL = f"""{CURVE}, t AS (SELECT 200.0::DOUBLE + 10 * k AS target_mz FROM range(0, 180) x(k)),
  h AS (SELECT scan_id, target_mz, sum(intensity) AS s, max(intensity) AS m FROM p JOIN t ON abs(mz - target_mz) <= target_mz * 20 / 1000000 GROUP BY ALL),
  x AS (SELECT sample_id, c.scan_id, rt, t.target_mz, coalesce(s, 0) AS s, coalesce(m, 0) AS m FROM c CROSS JOIN t LEFT JOIN h ON h.scan_id = c.scan_id AND h.target_mz = t.target_mz)"""
 
@@ -429,7 +430,7 @@ def xic_peaks(spark, sf_dir):
 
 def _matched(spark, sf_dir):
     best = _xic_features(spark, sf_dir).where("area_rank = 1").select("sample_id", F.col("target_mz").alias("mz"), F.col("rt_apex").alias("rt"), "area", "height")
-    return pinned(M.match_features(pinned(best), rt_tolerance=0.75))
+    return M.match_features(best, rt_tolerance=0.75)
 
 
 @query()
@@ -456,6 +457,36 @@ def feature_matrix_pivot(spark, sf_dir):
     return rounded(M.feature_matrix(_groups(spark, sf_dir), ["A", "N", "R"]), area_A=3, area_N=3, area_R=3, **GROUP)
 
 
+def feature_pipeline_of(points, scans, roles, rt_start, rt_end, least, top=50, ppm=20.0, rt_tolerance=0.2, **peak):
+    """Feature groups of points from their own candidates: each sample's strongest clusters of m/z, their XICs over the whole run, the
+    best peak of each, matching across samples. roles: (sample_id, role)."""
+    found = written(M.candidate_mz(points, ["sample_id"], rt_start, rt_end, least=least, ppm=ppm, top=top).select("sample_id", "cluster_mz"), "candidates")
+    own = found.select("sample_id", F.col("cluster_mz").alias("target_mz"), (F.col("cluster_mz") * ppm / 1e6).alias("tolerance"))
+    xics = P.xic(points, scans, own, ppm=ppm).withColumnRenamed("intensity", "value")
+    best = K.xic_peaks(xics, ["sample_id", "target_mz"], **peak).where("area_rank = 1")
+    best = best.select("sample_id", F.col("target_mz").alias("mz"), F.col("rt_apex").alias("rt"), "area", "height")
+    return M.feature_groups(M.match_features(best, ppm, rt_tolerance), roles)
+
+
+@query()
+def feature_pipeline(spark, sf_dir):
+    """Candidates to matrix: all that candidate_mz finds, up to 200 a sample."""
+    roles = spark.createDataFrame([("A", "reference"), ("N", "target"), ("R", "target")], "sample_id string, role string")
+    g = feature_pipeline_of(points(spark, sf_dir), scans(spark, sf_dir), roles, 5.0, 50.0, 100.0, 200, rt_tolerance=0.75, least_height=100.0, most_width=10.0)
+    return rounded(M.feature_matrix(g, ["A", "N", "R"]), area_A=3, area_N=3, area_R=3, **GROUP)
+
+
+#: The line items as points of one crowded stretch of m/z, 60 mTh wide at each of three places, 2^-14 apart: whole tolerances without a gap.
+CROWDED = "CAST(500.0 AS DOUBLE) + 100 * (l_suppkey % 3) + CAST((l_partkey * 7919) % 983 AS DOUBLE) / CAST(16384.0 AS DOUBLE)"
+
+
+@query()
+def crowded_clusters(spark, sf_dir):
+    """Clusters of m/z where islands are wider than the tolerance, so that points are folded one after the other."""
+    x = points(spark, sf_dir).withColumn("mz", F.expr(CROWDED)).where("intensity > 0")
+    return M.clusters(x, ["sample_id"], 20.0, order=("mz", "intensity", "scan_id"), piece_rows=10_000).select("sample_id", r6("cluster_mz"), "total_intensity", "max_intensity", "scan_count")
+
+
 SPECTRUM = "SELECT sample_id, CAST(floor(mz / 0.5 + 0.5) AS BIGINT) AS mz_bin, {v} AS intensity FROM p {w} GROUP BY 1, 2"
 
 

@@ -5,7 +5,7 @@ They state the steps once more, over lists, so that they share nothing with the
 
 from __future__ import annotations
 
-from scanlake.plans.catalogue import CHROM_SQL, CURVE, DUCK_POINTS, GRID, MATRIX_SQL, ORACLE, PEAKS_SQL, RESAMPLED_SQL, SPECTRUM_SQL, XIC_SQL, scores_sql
+from scanlake.plans.catalogue import CHROM_SQL, CROWDED, CURVE, DUCK_POINTS, GRID, MATRIX_SQL, ORACLE, PEAKS_SQL, RESAMPLED_SQL, SPECTRUM_SQL, XIC_SQL, scores_sql
 
 
 def register(name: str, sql: str) -> None:
@@ -181,6 +181,27 @@ AREAS = ", ".join(f"round(area_{x}, 3) AS area_{x}" for x in "ANR")
 register("feature_groups", f"{BEST_SQL}, {GROUPS_SQL} SELECT {GROUP} FROM fgr")
 register("feature_matrix_pivot", f"{BEST_SQL}, {GROUPS_SQL} SELECT {GROUP}, {AREAS} FROM fgr")
 
+#: The adapter's clusters are its nominal m/z: their weighted means are each sample's candidates.
+PIPELINE_SQL = XPEAK_SQL.replace(XIC_SQL, f"""{CURVE}, t AS (SELECT sample_id AS g, sum(mz * intensity) / sum(intensity) AS target_mz FROM p WHERE rt BETWEEN 5 AND 50 AND mz BETWEEN 200 AND 2000 AND intensity >= 100
+   GROUP BY sample_id, CAST(round(mz / 10) AS INT) HAVING count(DISTINCT scan_id) >= 3 QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY sum(intensity) DESC, target_mz) <= 200),
+ h AS (SELECT scan_id, target_mz, sum(intensity) AS s FROM p JOIN t ON g = sample_id AND abs(mz - target_mz) <= target_mz * 20 / 1e6 GROUP BY ALL),
+ x AS (SELECT sample_id, c.scan_id, rt, t.target_mz, coalesce(s, 0) AS s FROM c JOIN t ON g = sample_id LEFT JOIN h ON h.scan_id = c.scan_id AND h.target_mz = t.target_mz)""")
+register("feature_pipeline", f"{PIPELINE_SQL}, bf AS (SELECT sample_id, target_mz AS mz, rt_apex AS rt, area, height FROM xf WHERE area_rank = 1), {match_sql('bf')}, {GROUPS_SQL} SELECT {GROUP}, {AREAS} FROM fgr")
+
+#: A cluster at a time: points of one m/z are one (a point at the m/z of its cluster's last is always within reach), sums up to each come
+#: from running totals, and the next cluster begins at the first m/z out of reach of the mean of all since this one's beginning.
+register(
+    "crowded_clusters",
+    f"""q AS (SELECT sample_id, {CROWDED} AS mz, sum(intensity) AS w, max(intensity) AS m, list(DISTINCT scan_id) AS s FROM p WHERE intensity > 0 GROUP BY ALL),
+ ls AS (SELECT sample_id, list(mz ORDER BY mz) AS z, list(hs ORDER BY mz) AS h, list(ws ORDER BY mz) AS w FROM (SELECT sample_id, mz, sum(mz * w) OVER k AS hs, sum(w) OVER k AS ws FROM q WINDOW k AS (PARTITION BY sample_id ORDER BY mz)) GROUP BY ALL),
+ cl(sample_id, a, b) AS (SELECT sample_id, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM ls UNION ALL
+   SELECT cl.sample_id, cl.b, coalesce(list_filter(range(cl.b + 1, len(z) + 1), lambda j: abs(z[j] - (h[j - 1] - coalesce(h[cl.b - 1], 0)) / (w[j - 1] - coalesce(w[cl.b - 1], 0))) > (h[j - 1] - coalesce(h[cl.b - 1], 0)) / (w[j - 1] - coalesce(w[cl.b - 1], 0)) * 20 / 1e6)[1], len(z) + 1)
+   FROM cl JOIN ls USING (sample_id) WHERE cl.b <= len(z)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY mz) AS i FROM q)
+ SELECT sample_id, round(sum(mz * w) / sum(w), 6) AS cluster_mz, sum(w) AS total_intensity, max(m) AS max_intensity, CAST(len(list_distinct(flatten(list(s)))) AS BIGINT) AS scan_count
+ FROM n JOIN cl USING (sample_id) WHERE cl.a > 0 AND i >= cl.a AND i < cl.b GROUP BY sample_id, cl.a""",
+)
+
 # --- scores, changes and features of peaks ---------------------------------------------------------------------------
 CHROMSIM_SQL = f"""{RESAMPLED_SQL},
  z1 AS (SELECT pk.peak_id, s.sample_id, k.point, coalesce(rs.v, 0) AS v FROM pk CROSS JOIN (SELECT DISTINCT sample_id FROM c) s CROSS JOIN range(0, 100) k(point) LEFT JOIN rs ON rs.peak_id = pk.peak_id AND rs.sample_id = s.sample_id AND rs.point = k.point),
