@@ -273,7 +273,8 @@ def read(entries: DataFrame, folder: str, payloads: bool = False, range_bytes: i
                     name, file = f, store.open_input_file(posixpath.join(base, f))
                 file.seek(int(offset))
                 rows.append(page_row(zlib.decompress(file.read(int(length)), 31))[: len(names)])
-            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            whole = {"page_id": "Int64", "refers_to": "Int64"}  # from the start: floats do not hold all numbers
+            yield pd.DataFrame({c: pd.array([r[i] for r in rows], whole.get(c, object)) for i, c in enumerate(names)})
         if file is not None:
             file.close()
 
