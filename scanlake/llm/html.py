@@ -7,14 +7,15 @@ read at all; all other blocks make the page's token stream, each with what its m
 The token streams of a host's pages are joined and their suffixes sorted by the first `run` tokens; neighbours that agree on
 all of them are one run, and overlaps make up the long ones (a block shorter than `run` counts as a run of its own). Runs on
 enough of the host's distinct pages are its boilerplate, copies and near copies counting as one page: on a tenth of them for
-open and doubtful blocks (least_pages), half for the article's (most_pages), and without the prior on a hundredth for marked
+open and doubtful blocks (least_pages), half and ten at least for whole blocks of the article (most_pages), and without the prior on a hundredth for marked
 blocks (marked_pages). Covered blocks and stretches go. What the suffix array leaves is decided by the prior: unique furniture goes, unique doubtful blocks of
 `run` words or more stay, and open blocks stay where the page has no article or holds more words outside of it.
 
-Hosts are split by hash into groups of bounded number and size, so that a host with a third of all pages is many groups. A
-group counts the distinct pages of each run that two or more of its pages have, the counts of a host's groups are added up,
-and each page is cut by the repeated runs of the whole host. A run that a group has on one page only is not counted there: of
-a run on a tenth of the pages, a group of 256 misses all with a chance under 1e-10.
+Pages are parsed once and written as blocks. Equal pages of a host count once, whatever their number. Hosts are split by hash into groups of
+bounded number and size, so that a host with a third of all pages is many groups. A group counts the distinct pages of each
+run. In a host of one group these are the host's counts. In others a run may be on one page in each of many groups, so groups first
+add up counts of slots that run hashes fall into, which no run's count exceeds; a second pass over the pages then counts exactly the runs of
+slots that reach the least number asked for, by the pages that lead their copies. So results do not depend on how pages are dealt, but for near copies in several groups, which count once in each.
 
 Cases: null html is empty; null url is a host of its own; pages without text give an empty string; repeated rows are
 pages of their own (one page repeated does not make its text furniture: equal streams count once); an empty table gives an
@@ -60,6 +61,7 @@ END = "\x00"  # no word: white space and references of HTML never give it
 NONE, FURNITURE, DOUBT, OPEN, ARTICLE = -1, 0, 1, 2, 3
 #: A run is furniture on this share of a host's distinct pages; pages that share this part of their runs are copies of one.
 SHARE, COPIES = 0.1, 0.7
+ARTICLES = 10  # and on this many pages at least where a whole block of an article is to go
 MARKED = 0.01  # as SHARE, for blocks that markup marks as furniture or doubtful
 
 
@@ -282,27 +284,36 @@ def _leaders(page: np.ndarray, of: np.ndarray, pages: int) -> np.ndarray:
     return leader
 
 
-def support(parsed: list[list[tuple[int, str]]], run: int) -> tuple[int, dict[int, int]]:
-    """(number of distinct pages, hash of each run that two or more of them have -> their number); near copies are one page."""
-    streams = [list(x) for x in dict.fromkeys(tuple(stream(p, run)) for p in parsed) if x]
-    if not streams:
-        return 0, {}
-    words = pa.array([w for s in streams for w in s], pa.string()).dictionary_encode()
+def page_runs(parsed: list[list[tuple[int, str]]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each page's leader, itself or a page of which it is a copy or near copy, -1 for pages without text; hashes of the distinct runs; on how
+    many leaders' pages each is)."""
+    numbers: dict[tuple, int] = {}
+    first_of, stream_of = [], []
+    for i, p in enumerate(parsed):
+        x = tuple(stream(p, run))
+        if x and x not in numbers:
+            numbers[x] = len(numbers)
+            first_of.append(i)
+        stream_of.append(numbers[x] if x else -1)
+    stream_of, first_of = np.array(stream_of, np.int64), np.array(first_of, np.int64)
+    none = np.zeros(0, np.int64)
+    if not numbers:
+        return stream_of, none, none
+    words = pa.array([w for s in numbers for w in s], pa.string()).dictionary_encode()
     tokens = words.indices.to_numpy()
-    sizes = np.array([len(s) for s in streams])
-    page, begin = np.repeat(np.arange(len(streams)), sizes), np.cumsum(sizes) - sizes
+    sizes = np.array([len(s) for s in numbers])
+    page = np.repeat(np.arange(len(sizes)), sizes)
     order, first = _runs(tokens, page, run)
-    if not len(order):
-        return len(streams), {}
-    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-    pairs = np.unique(of * len(streams) + page[order])
-    of, on = pairs // len(streams), pairs % len(streams)
-    leader = _leaders(on, of, len(streams))
-    pairs = np.unique(of * len(streams) + leader[on])
-    n = np.bincount(pairs // len(streams), minlength=len(first))
-    several = np.flatnonzero(n > 1)
-    out = dict(zip(run_hashes(words, run)[order[first[several]]].tolist(), n[several].tolist()))
-    return len(np.unique(leader)), out
+    leader, n, hashes = np.arange(len(sizes)), none, none
+    if len(order):
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        pairs = np.unique(of * len(sizes) + page[order])
+        of, on = pairs // len(sizes), pairs % len(sizes)
+        leader = _leaders(on, of, len(sizes))
+        pairs = np.unique(of * len(sizes) + leader[on])
+        n = np.bincount(pairs // len(sizes), minlength=len(first))
+        hashes = run_hashes(words, run)[order[first]]
+    return np.where(stream_of < 0, -1, first_of[leader[np.maximum(stream_of, 0)]]), hashes, n
 
 
 def marked_pages(pages: int) -> int:
@@ -316,8 +327,9 @@ def least_pages(pages: int) -> int:
 
 
 def most_pages(pages: int) -> int:
-    """Of a host's distinct pages, how many have a run that is furniture even inside an article: half of them, three at least."""
-    return max(3, math.ceil(pages / 2))
+    """Of a host's distinct pages, how many have a run that is furniture even inside an article: half of them, ARTICLES at least, as the articles
+    of few pages may well share a sentence."""
+    return max(ARTICLES, math.ceil(pages / 2))
 
 
 def page_text(page: list[tuple[int, str]], hashes: np.ndarray, known: list[np.ndarray], run: int, prior: bool = True) -> str:
@@ -347,8 +359,9 @@ def page_text(page: list[tuple[int, str]], hashes: np.ndarray, known: list[np.nd
 def main_texts(pages: list[str | None], run: int = 8, prior: bool = True) -> list[str]:
     """The main text of each page of one host."""
     parsed = [blocks(h or "") for h in pages]
-    n, counts = support(parsed, run)
-    known = [np.sort(np.array([h for h, c in counts.items() if c >= least], np.int64)) for least in (least_pages(n) if prior else marked_pages(n), least_pages(n), most_pages(n))]
+    leader, hashes, counts = page_runs(parsed, run)
+    n = len(np.unique(leader[leader >= 0]))
+    known = [np.sort(hashes[counts >= least]) for least in (least_pages(n) if prior else marked_pages(n), least_pages(n), most_pages(n))]
     return page_texts(parsed, [known] * len(parsed), run, prior)
 
 
@@ -363,45 +376,105 @@ def page_texts(parsed: list[list[tuple[int, str]]], known: list[list[np.ndarray]
     return out
 
 
-def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes: int = 32 << 20, prior: bool = True) -> DataFrame:
+def written_blocks(page: list[tuple[int, str]]) -> tuple[bytes, str]:
+    """(kinds, texts): a byte a block, and the blocks' lines; blocks hold no line ends."""
+    return bytes(k for k, _ in page), "\n".join(t for _, t in page)
+
+
+def read_blocks(kinds: bytes, texts: str) -> list[tuple[int, str]]:
+    return list(zip(kinds, texts.split("\n"))) if kinds else []
+
+
+def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes: int = 16 << 20, prior: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html).
 
-    group_pages and group_bytes bound a host's group (a page longer than that is a group's only one, about). prior: see page_text.
+    group_pages and group_bytes (of text) bound a host's group (a page longer than that is a group's only one, about). prior: see page_text.
     """
+    small_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html").withColumn("_host", host)
-    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
-    counts = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
-    counts = materialize(counts.select("_host", F.greatest(F.ceil(F.col("n") / group_pages), F.ceil(F.col("b") / group_bytes), F.lit(1)).alias("_n")), "html-hosts")
-    dealt = rows.join(small_side(counts), "_host").withColumn("_group", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("_n")))
+    kinds = dict(pages.dtypes)
+
+    def parse(batches):
+        for b in batches:
+            found = [written_blocks(blocks(h) if isinstance(h, str) else []) for h in b["html"]]
+            yield b.drop(columns="html").assign(kinds=[k for k, _ in found], blocks=[t for _, t in found])
+            trim()
+
+    # numbers that may be null must not become floats
+    sent = rows.withColumn("page_id", F.col("page_id").cast("string"))
+    parsed = sent.mapInPandas(parse, "page_id string, url string, _host string, kinds binary, blocks string")
+    parsed = materialize(parsed.withColumn("page_id", F.col("page_id").cast(kinds["page_id"])).withColumn("_row", F.monotonically_increasing_id()), "html-blocks")
+
+    # pages with equal blocks are one, by its first row
+    distinct = parsed.where(F.length("blocks") > 0).groupBy("_host", F.md5("blocks").alias("_same")).agg(F.min("_row").alias("_row"), F.first(F.octet_length("blocks")).cast("long").alias("b"))
+    distinct = materialize(distinct.select("_host", "_row", "b"), "html-pages")
+    hosts = distinct.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
+    groups = F.greatest(F.ceil(F.col("n") / group_pages), F.ceil(F.col("b") / group_bytes), F.lit(1))
+    slots = F.lit(2).cast("double") ** F.least(F.lit(26), F.greatest(F.lit(12), F.ceil(F.log2(F.lit(64) * F.col("b") / F.col("n") / 6))))  # 64 times a page's words, about
+    hosts = materialize(hosts.select("_host", groups.alias("_n"), slots.cast("long").alias("_slots")), "html-hosts")
+    dealt = distinct.join(small_side(hosts), "_host").select("_row", "_n", "_slots", F.pmod(F.xxhash64("_row"), F.col("_n")).alias("_group"))
+    dealt = parsed.select("_row", "_host", "kinds", "blocks").join(small_side(materialize(dealt, "html-dealt")), "_row")
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        n, found = support([blocks(h) if isinstance(h, str) else [] for h in group["html"]], run)
+        leader, hashes, n = page_runs([read_blocks(k, t) for k, t in zip(group["kinds"], group["blocks"])], run)
+        row, pages_ = group["_row"].to_numpy(), len(np.unique(leader))
+        if group["_n"].iloc[0] == 1:
+            several = n > 1
+            parts = [(TOTAL, [0], [pages_]), (COUNT, hashes[several], n[several])]
+        else:
+            size = int(group["_slots"].iloc[0])
+            sums = np.bincount((hashes.view(np.uint64) % np.uint64(size)).astype(np.int64), weights=n, minlength=size)
+            full = np.flatnonzero(sums)
+            parts = [(TOTAL, [0], [pages_]), (SLOT, full, sums[full]), (LEADER, row, row[leader])]
         trim()
-        return pd.DataFrame({"_host": key[0], "h": pd.array([None, *found], "Int64"), "n": [n, *found.values()]})
+        return pd.concat([pd.DataFrame({"_host": key[0], "what": what, "a": np.asarray(a, np.int64), "n": np.asarray(x, np.int64)}) for what, a, x in parts], ignore_index=True)
 
-    # h null: the number of distinct pages; the counts of a host's groups add up. Groups are dealt by themselves: a host is many tasks
-    counted = dealt.select("_host", "_group", "html").repartition("_host", "_group").groupBy("_host", "_group").applyInPandas(count, "_host string, h long, n long")
-    counted = materialize(counted.groupBy("_host", "h").agg(F.sum("n").alias("n")), "html-runs")
-    total = counted.where("h IS NULL").select("_host", F.col("n").alias("_total"))
+    # groups are dealt by themselves: a host is many tasks
+    counted = dealt.repartition("_host", "_group").groupBy("_host", "_group").applyInPandas(count, "_host string, what int, a long, n long")
+    counted = materialize(counted, "html-runs")
+    total = counted.where(F.col("what") == TOTAL).groupBy("_host").agg(F.sum("n").alias("_total"))
     least = F.greatest(F.lit(2), F.least(F.col("_total"), F.greatest(F.lit(3), F.ceil(F.lit(SHARE) * F.col("_total")))))  # as least_pages
-    most = F.greatest(F.lit(3), F.ceil(F.col("_total") / 2))  # as most_pages
+    most = F.greatest(F.lit(ARTICLES), F.ceil(F.col("_total") / 2))  # as most_pages
     marked = least if prior else F.greatest(F.lit(2), F.ceil(F.lit(MARKED) * F.col("_total")))  # as marked_pages
-    found = counted.where("h IS NOT NULL").join(total, "_host").where(F.col("n") >= F.least(marked, least))  # at most 1 / MARKED times a page's runs
+    enough = F.col("n") >= F.least(marked, least)  # at most 1 / MARKED times a page's runs
+    found = counted.where(F.col("what") == COUNT).select("_host", F.col("a").alias("h"), "n")
+
+    asked = counted.where(F.col("what") == SLOT).groupBy("_host", "a").agg(F.sum("n").alias("n")).join(total, "_host").where(enough)
+    asked = materialize(asked.groupBy("_host").agg(F.sort_array(F.collect_list("a")).alias("_asked")).join(hosts.select("_host", "_slots"), "_host"), "html-slots")
+    if asked.limit(1).count():
+        leaders = materialize(counted.where(F.col("what") == LEADER).select(F.col("a").alias("_row"), F.col("n").alias("_leader")), "html-leaders")
+        again = parsed.select("_row", "_host", "kinds", "blocks").join(small_side(leaders), "_row").join(small_side(asked), "_host")
+
+        def held(batches):
+            for b in batches:
+                out = [pd.DataFrame({"_host": pd.Series([], dtype=object), "_leader": np.zeros(0, np.int64), "h": np.zeros(0, np.int64)})]
+                for host, leader, kinds, text, slot, size in zip(b["_host"], b["_leader"], b["kinds"], b["blocks"], b["_asked"], b["_slots"]):
+                    h = np.unique(run_hashes(pa.array(stream(read_blocks(kinds, text), run), pa.string()).dictionary_encode(), run))
+                    h = h[_held((h.view(np.uint64) % np.uint64(size)).astype(np.int64), np.asarray(slot, np.int64))]
+                    out.append(pd.DataFrame({"_host": host, "_leader": leader, "h": h}))
+                yield pd.concat(out, ignore_index=True)
+
+        exact = again.mapInPandas(held, "_host string, _leader long, h long").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n"))
+        found = found.unionByName(exact)
+    found = found.join(total, "_host").where(enough)
     level = lambda x: F.sort_array(F.collect_list(F.when(F.col("n") >= x, F.col("h"))))
     levels = {"_runs": least, "_wide": most} | ({} if prior else {"_marked": marked})
     furniture = materialize(found.groupBy("_host").agg(*[level(x).alias(c) for c, x in levels.items()]), "html-furniture")
-    kinds = dict(pages.dtypes)
 
     def texts(batches):
         for b in batches:
-            held = [[np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in b[c]] for c in ("_runs" if prior else "_marked", "_runs", "_wide")]
-            text = page_texts([blocks(h) if isinstance(h, str) else [] for h in b["html"]], list(zip(*held)), run, prior)
+            known = [[np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in b[c]] for c in ("_runs" if prior else "_marked", "_runs", "_wide")]
+            text = page_texts([read_blocks(k, t) for k, t in zip(b["kinds"], b["blocks"])], list(zip(*known)), run, prior)
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    small_batches(pages.sparkSession)
-    out = rows.join(small_side(furniture), "_host", "left").drop("_host")
-    return out.mapInPandas(texts, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    out = parsed.withColumn("page_id", F.col("page_id").cast("string")).join(small_side(furniture), "_host", "left").drop("_host", "_row")
+    out = out.mapInPandas(texts, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast(kinds["page_id"]))
+
+
+#: What a row of a group's counts is: its distinct pages, a run's pages, a slot's, a page's leader.
+TOTAL, COUNT, SLOT, LEADER = range(4)
 
 
 def op4_html(spark, sf_dir):
