@@ -74,12 +74,26 @@ def band_join(points: DataFrame, targets: DataFrame, width: float | None = None,
 
 
 def nearest(scans: DataFrame, wanted: DataFrame, rt: Column, by: list[str], order: list[str]) -> DataFrame:
-    """For each row of wanted (few: broadcast; columns wanted_rt and others) and group `by`, the row of scans whose rt is nearest;
-    the first by `order` wins ties. Minima are pre-aggregated, nothing is sorted."""
-    keys = [c for c in wanted.columns]
-    x = scans.withColumn("_rt", rt).crossJoin(F.broadcast(wanted)).withColumn("_d", F.struct(F.abs(F.col("_rt") - F.col("wanted_rt")).alias("d"), *order))
+    """For each row of wanted (wanted_rt and others) and group `by`, the row of scans whose rt is nearest; the first by `order` wins ties.
+
+    An as-of join: scans and wanted rows of a group are one line by RT, and each wanted row looks at the last scan before and the
+    first after it. Any number of wanted rows is a sort, not a loop over scans.
+    """
+    keys = wanted.columns
     row = F.struct(*[c for c in scans.columns if c not in by])
-    return x.groupBy(*by, *keys).agg(F.min_by(row, F.col("_d")).alias("_r")).select(*by, *keys, "_r.*")
+    s = scans.withColumn("_rt", rt).where("_rt IS NOT NULL").withColumn("_o", F.struct(*order)).groupBy(*by, "_rt").agg(F.min_by(row, "_o").alias("_row"), F.min("_o").alias("_o"))
+    w = wanted.where("wanted_rt IS NOT NULL").select(F.struct(*keys).alias("_w"), F.col("wanted_rt").alias("_rt"))
+    if by:  # every group is asked for every wanted row
+        w = w.withColumn("_by", F.explode(scans.agg(F.collect_set(F.struct(*by))).scalar())).select("_w", "_rt", *[F.col(f"_by.{c}").alias(c) for c in by])
+    have = s.select(*by, "_rt", F.struct(F.col("_rt").alias("rt"), "_o", "_row").alias("_s"), F.lit(None).cast(w.schema["_w"].dataType).alias("_w"))
+    line = have.unionByName(w.select(*by, "_rt", F.lit(None).cast(have.schema["_s"].dataType).alias("_s"), "_w"))
+    of = Window.partitionBy(*(by or [F.lit(0)]))
+    # at one RT the scan stands first in both directions
+    last, first = of.orderBy("_rt", F.col("_s").isNull()), of.orderBy(F.desc("_rt"), F.col("_s").isNull())
+    line = line.withColumn("_a", F.last("_s", True).over(last.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last("_s", True).over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.rt") - F.col("_rt")).alias("d"), F.col(f"{c}._o").alias("o")))
+    best = F.when(F.col("_b").isNull() | (far("_a") <= far("_b")), F.col("_a")).otherwise(F.col("_b"))
+    return line.where("_w IS NOT NULL").withColumn("_s", best).where("_s IS NOT NULL").select(*by, *[F.col(f"_w.{c}").alias(c) for c in keys], F.col("_s.rt").alias("_rt"), "_s._row.*")
 
 
 def merged_spectrum(points: DataFrame, width: float, by: list[str], average: bool = False) -> DataFrame:

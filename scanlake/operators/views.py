@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from scanlake.functions import directional_difference, lit
 from scanlake.operators.grid import Grid
+from scanlake.operators.points import nearest
+from scanlake.operators.shared import small_side, written
 
 
 def _clamped(x: str, low: float, high: float, otherwise: float) -> Column:
@@ -82,16 +84,16 @@ def pair_regions(scores: DataFrame, g: Grid, reference: str, sample: str) -> Dat
 
 
 def traces(scans: DataFrame, points: DataFrame, shifts: DataFrame, cells: DataFrame, tolerance: float) -> DataFrame:
-    """(cells' mz_index, rt_index; sample_id, scan_id, raw_rt, aligned_rt, rt_delta, intensity): for each cell (few: rt, mz) and sample the
+    """(cells' mz_index, rt_index; sample_id, scan_id, raw_rt, aligned_rt, rt_delta, intensity): for each cell (rt, mz) and sample the
     scan nearest in aligned RT and its intensity within tolerance of the m/z."""
-    s = scans.join(shifts.select("sample_id", "rt_shift"), "sample_id").withColumn("aligned_rt", F.col("rt") + F.col("rt_shift"))
-    x = s.crossJoin(F.broadcast(cells.select("mz_index", "rt_index", F.col("rt").alias("_rt"), F.col("mz").alias("_mz"))))
-    row = F.struct("scan_id", F.col("rt").alias("raw_rt"), "aligned_rt")
-    x = x.groupBy("mz_index", "rt_index", "_rt", "_mz", "sample_id").agg(F.min_by(row, F.struct(F.abs(F.col("aligned_rt") - F.col("_rt")), "rt", "scan_id")).alias("t"))
-    x = x.select("mz_index", "rt_index", "_rt", "_mz", "sample_id", "t.*").withColumn("rt_delta", F.abs(F.col("aligned_rt") - F.col("_rt")))
-    hit = points.select("sample_id", "scan_id", "mz", "intensity").join(F.broadcast(x.select("mz_index", "rt_index", "sample_id", "scan_id", "_mz")), ["sample_id", "scan_id"]).where(F.abs(F.col("mz") - F.col("_mz")) <= tolerance)
+    s = scans.join(shifts.select("sample_id", "rt_shift"), "sample_id").select("sample_id", "scan_id", F.col("rt").alias("raw_rt"), (F.col("rt") + F.col("rt_shift")).alias("aligned_rt"))
+    wanted = cells.select("mz_index", "rt_index", F.col("rt").alias("wanted_rt"), F.col("mz").alias("_mz"))
+    x = nearest(s, wanted, F.col("aligned_rt"), ["sample_id"], ["raw_rt", "scan_id"]).withColumn("rt_delta", F.abs(F.col("aligned_rt") - F.col("wanted_rt"))).drop("_rt", "wanted_rt")
+    x = written(x, "traces")
+    found = small_side(x.select("mz_index", "rt_index", "sample_id", "scan_id", "_mz"))
+    hit = points.select("sample_id", "scan_id", "mz", "intensity").join(found, ["sample_id", "scan_id"]).where(F.abs(F.col("mz") - F.col("_mz")) <= tolerance)
     hit = hit.groupBy("mz_index", "rt_index", "sample_id").agg(F.sum("intensity").alias("intensity"))
-    return x.drop("_rt", "_mz").join(hit, ["mz_index", "rt_index", "sample_id"], "left").na.fill({"intensity": 0.0})
+    return x.drop("_mz").join(hit, ["mz_index", "rt_index", "sample_id"], "left").na.fill({"intensity": 0.0})
 
 
 def cell_features(regions: DataFrame, near: DataFrame, trace: DataFrame, g: Grid, heatmap_id: str, top: int = 20) -> DataFrame:
