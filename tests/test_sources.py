@@ -1,6 +1,7 @@
 """Readers, the store and the stream."""
 
 import base64
+import json
 import os
 import struct
 import zlib
@@ -107,8 +108,18 @@ def test_exports(spark, tmp_path):
     store.write_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     scans = spark.createDataFrame([("A", 1.0, 2.0, 2.0), ("A", 0.5, 1.0, 1.0)], "sample_id string, rt double, tic double, bpi double")
-    r = store.report(spark.createDataFrame([("g", 1.0)], "feature_group_id string, mz double"), scans).first()
-    assert r["traces_json"].index("0.5") < r["traces_json"].index('"rt":1.0')
+    candidates = spark.createDataFrame([("A", 2, 600.0), ("A", 1, 500.0)], "sample_id string, candidate_rank int, cluster_mz double")
+    features = spark.createDataFrame([("A", 500.0, 1.0, 9.0)], "sample_id string, mz double, rt double, area double")
+    kinds = "feature_group_id string, difference_type string, confidence_score double, representative_rt double, area_by_sample map<string,double>"
+    groups = spark.createDataFrame([("g1", "common_feature", 0.9, 1.0, {"A": 1.0}), ("g2", "rt_shift", 0.1, 1.0, None), ("g3", "rt_shift", 0.7, 2.0, None)], kinds)
+    xics = spark.createDataFrame([("g1", "A", 1.0, 5.0), ("g1", "A", 0.5, 4.0), ("g1", "B", 0.5, 0.0)], "feature_group_id string, sample_id string, rt double, intensity double")
+    out = store.report(scans, candidates, features, groups, xics)
+    parsed = {k: [{**r.asDict(), "payload": json.loads(r["payload_json"])} for r in df.collect()] for k, df in out.items()}
+    assert parsed["samples"][0]["scan_count"] == 2 and [x["rt"] for x in parsed["samples"][0]["payload"]["tic"]] == [0.5, 1.0]
+    assert [x["cluster_mz"] for x in parsed["candidates_by_sample"][0]["payload"]] == [500.0, 600.0] and parsed["features_by_sample"][0]["payload"][0]["area"] == 9.0
+    assert [r["feature_group_id"] for r in sorted(parsed["feature_groups"], key=lambda r: r["place"])] == ["g3", "g2", "g1"]
+    [g1] = parsed["xics_by_group"]
+    assert [(t["sample_id"], [p["intensity"] for p in t["trace"]]) for t in g1["payload"]] == [("A", [4.0, 5.0]), ("B", [0.0])]
 
 
 def test_stream(spark, tmp_path):
