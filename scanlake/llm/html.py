@@ -62,6 +62,7 @@ NONE, FURNITURE, DOUBT, OPEN, ARTICLE = -1, 0, 1, 2, 3
 #: A run is furniture on this share of a host's distinct pages; pages that share this part of their runs are copies of one.
 SHARE, COPIES = 0.1, 0.7
 ARTICLES = 10  # and on this many pages at least where a whole block of an article is to go
+SLOTS = 20  # so that a slot has a twentieth of a host's pages on average, half of what SHARE asks for
 MARKED = 0.01  # as SHARE, for blocks that markup marks as furniture or doubtful
 
 
@@ -245,6 +246,16 @@ def run_hashes(tokens: pa.DictionaryArray, run: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def stream_hashes(streams: list[list[str]], run: int) -> list[np.ndarray]:
+    """run_hashes of each stream, all of whose tokens are hashed together."""
+    hashes = run_hashes(pa.array([w for s in streams for w in s], pa.string()).dictionary_encode(), run)
+    out, at = [], 0
+    for s in streams:
+        out.append(hashes[at : at + max(0, len(s) - run + 1)])
+        at += len(s)
+    return out
+
+
 def _held(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Where hashes are in known, which is sorted."""
     if not len(known):
@@ -267,12 +278,14 @@ def _leaders(page: np.ndarray, of: np.ndarray, pages: int) -> np.ndarray:
     size = np.bincount(page, minlength=pages)
     several = np.bincount(of)[of] > 1
     page, of = page[several], np.unique(of[several], return_inverse=True)[1]
-    both = np.zeros((pages, pages), np.float32)
-    for low in range(0, int(of.max(initial=-1)) + 1, 1 << 13):
-        at = (of >= low) & (of < low + (1 << 13))
-        m = np.zeros((pages, 1 << 13), np.float32)
-        m[page[at], of[at] - low] = 1
-        both += m @ m.T
+    both = np.zeros((pages, pages), np.int64)
+    for low in range(0, int(of.max(initial=-1)) + 1, 1 << 16):  # a bit a run, 8 kB a page at a time
+        at = (of >= low) & (of < low + (1 << 16))
+        m = np.zeros((pages, 1 << 16), bool)
+        m[page[at], of[at] - low] = True
+        bits = np.packbits(m, axis=1).view(np.uint64)
+        for i in range(1, pages):
+            both[i, :i] += np.bitwise_count(bits[i] & bits[:i]).sum(axis=1, dtype=np.int64)
     leader = np.arange(pages)
     leading: list[int] = []
     for i in range(pages):
@@ -337,22 +350,28 @@ def page_text(page: list[tuple[int, str]], hashes: np.ndarray, known: list[np.nd
 
     prior: whether markup decides what the runs leave, and few pages count as several; else all that they leave is text.
     """
-    total = sum(max(run, t.count(" ") + 1) for _, t in page)
-    levels = [_spread(_held(hashes, x), total, run) for x in known]
+    lengths = [t.count(" ") + 1 for _, t in page]
+    total = sum(max(run, n) for n in lengths)
+    hit = [_held(hashes, x) for x in known]
+    levels = [_spread(h, total, run) if len(h) else None for h in hit]
     lines, at, size = [], 0, {ARTICLE: 0, OPEN: 0}
-    for k, t in page:
-        mine = t.split(" ")
-        here = slice(at, at + len(mine))
-        at += max(run, len(mine))
-        covered = levels[{OPEN: 1, ARTICLE: 2}.get(k, 0)][here]
-        if (covered.all() and (k != ARTICLE or len(mine) >= run)) or (prior and (k == FURNITURE or k == DOUBT and len(mine) < run)):
-            continue
-        gone = removed(covered, run) if k in (OPEN, FURNITURE) else np.zeros(len(mine), bool)
-        if gone.all():
+    for (k, t), n in zip(page, lengths):
+        here = slice(at, at + n)
+        at += max(run, n)
+        level = levels[{OPEN: 1, ARTICLE: 2}.get(k, 0)]
+        covered = level[here] if level is not None else None
+        whole = covered is not None and covered.all()
+        if (whole and (k != ARTICLE or n >= run)) or (prior and (k == FURNITURE or k == DOUBT and n < run)):
             continue
+        gone = removed(covered, run) if covered is not None and k in (OPEN, FURNITURE) else None
+        if gone is not None and gone.any():
+            if gone.all():
+                continue
+            t = " ".join(w for w, g in zip(t.split(" "), gone) if not g)
+            n -= int(gone.sum())
         k = OPEN if k in (OPEN, FURNITURE) else ARTICLE
-        lines.append((k, " ".join(w for w, g in zip(mine, gone) if not g)))
-        size[k] += int((~gone).sum())
+        lines.append((k, t))
+        size[k] += n
     return "\n".join(t for k, t in lines if k == ARTICLE or not prior or size[OPEN] > size[ARTICLE])
 
 
@@ -367,13 +386,7 @@ def main_texts(pages: list[str | None], run: int = 8, prior: bool = True) -> lis
 
 def page_texts(parsed: list[list[tuple[int, str]]], known: list[list[np.ndarray]], run: int, prior: bool) -> list[str]:
     """page_text of each page, whose tokens are hashed together."""
-    streams = [stream(p, run) for p in parsed]
-    hashes = run_hashes(pa.array([w for s in streams for w in s], pa.string()).dictionary_encode(), run)
-    out, at = [], 0
-    for page, s, k in zip(parsed, streams, known):
-        out.append(page_text(page, hashes[at : at + len(s) - run + 1] if s else hashes[:0], k, run, prior))
-        at += len(s)
-    return out
+    return [page_text(page, h, k, run, prior) for page, h, k in zip(parsed, stream_hashes([stream(p, run) for p in parsed], run), known)]
 
 
 def written_blocks(page: list[tuple[int, str]]) -> tuple[bytes, str]:
@@ -411,7 +424,7 @@ def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes:
     distinct = materialize(distinct.select("_host", "_row", "b"), "html-pages")
     hosts = distinct.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
     groups = F.greatest(F.ceil(F.col("n") / group_pages), F.ceil(F.col("b") / group_bytes), F.lit(1))
-    slots = F.lit(2).cast("double") ** F.least(F.lit(26), F.greatest(F.lit(12), F.ceil(F.log2(F.lit(64) * F.col("b") / F.col("n") / 6))))  # 64 times a page's words, about
+    slots = F.greatest(F.lit(1024), F.ceil(SLOTS * F.col("b") / F.col("n") / 6))  # SLOTS times a page's words, about
     hosts = materialize(hosts.select("_host", groups.alias("_n"), slots.cast("long").alias("_slots")), "html-hosts")
     dealt = distinct.join(small_side(hosts), "_host").select("_row", "_n", "_slots", F.pmod(F.xxhash64("_row"), F.col("_n")).alias("_group"))
     dealt = parsed.select("_row", "_host", "kinds", "blocks").join(small_side(materialize(dealt, "html-dealt")), "_row")
@@ -448,12 +461,15 @@ def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes:
 
         def held(batches):
             for b in batches:
-                out = [pd.DataFrame({"_host": pd.Series([], dtype=object), "_leader": np.zeros(0, np.int64), "h": np.zeros(0, np.int64)})]
-                for host, leader, kinds, text, slot, size in zip(b["_host"], b["_leader"], b["kinds"], b["blocks"], b["_asked"], b["_slots"]):
-                    h = np.unique(run_hashes(pa.array(stream(read_blocks(kinds, text), run), pa.string()).dictionary_encode(), run))
-                    h = h[_held((h.view(np.uint64) % np.uint64(size)).astype(np.int64), np.asarray(slot, np.int64))]
-                    out.append(pd.DataFrame({"_host": host, "_leader": leader, "h": h}))
-                yield pd.concat(out, ignore_index=True)
+                pick, found = [], []
+                hashed = stream_hashes([stream(read_blocks(k, t), run) for k, t in zip(b["kinds"], b["blocks"])], run)
+                for i, (h, slot, size) in enumerate(zip(hashed, b["_asked"], b["_slots"])):
+                    h = np.unique(h[_held((h.view(np.uint64) % np.uint64(size)).astype(np.int64), np.asarray(slot, np.int64))])
+                    pick.append(np.full(len(h), i))
+                    found.append(h)
+                pick = np.concatenate(pick) if pick else np.zeros(0, np.int64)
+                yield pd.DataFrame({"_host": b["_host"].to_numpy()[pick], "_leader": b["_leader"].to_numpy()[pick], "h": np.concatenate(found) if found else pick})
+                trim()
 
         exact = again.mapInPandas(held, "_host string, _leader long, h long").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n"))
         found = found.unionByName(exact)
