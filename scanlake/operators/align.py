@@ -110,8 +110,8 @@ def local_alignment(curves: DataFrame, peaks: DataFrame, p: PeakParams = PeakPar
 def cut_bounds(peaks: DataFrame, local: DataFrame, aligned: DataFrame | None = None, margin: float = 0.08) -> DataFrame:
     """(peak_id, sample_id, aligned_start, aligned_end, corrected_start, corrected_end, raw_start, raw_end): a peak's window with margins in
     the aligned frame, less the sample's local shift, and less its global shift (aligned: sample_id, rt_shift) too."""
-    x = local.select("peak_id", "sample_id", "local_shift").join(F.broadcast(peaks.select("peak_id", "rt_start", "rt_end")), "peak_id")
-    x = x.join(F.broadcast(aligned.select("sample_id", "rt_shift")), "sample_id", "left") if aligned is not None else x.withColumn("rt_shift", lit(0))
+    x = local.select("peak_id", "sample_id", "local_shift").join(peaks.select("peak_id", "rt_start", "rt_end"), "peak_id")
+    x = x.join(aligned.select("sample_id", "rt_shift"), "sample_id", "left") if aligned is not None else x.withColumn("rt_shift", lit(0))
     x = x.withColumn("aligned_start", F.col("rt_start") - margin).withColumn("aligned_end", F.col("rt_end") + margin)
     for side in ("start", "end"):
         x = x.withColumn(f"corrected_{side}", F.col(f"aligned_{side}") - F.col("local_shift")).withColumn(f"raw_{side}", F.col(f"corrected_{side}") - F.coalesce("rt_shift", lit(0)))

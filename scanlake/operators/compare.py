@@ -17,13 +17,13 @@ from scanlake.operators.match import bins_of, clusters, gap_islands
 from scanlake.operators.peaks import xic_features
 from scanlake.operators.points import band_join, nearest_bin
 from scanlake.operators.series import resample, trapezoids
-from scanlake.operators.shared import written
+from scanlake.operators.shared import small_side, written
 from scanlake.schema import PeakParams
 
 
 def shifted(rows: DataFrame, peaks: DataFrame, shifts: DataFrame, margin: float) -> DataFrame:
     """rows of every sample within each peak's margins after its shift; rt becomes the shifted one."""
-    x = rows.join(F.broadcast(shifts.join(peaks, "peak_id")), "sample_id").withColumn("rt", F.col("rt") + F.col("shift"))
+    x = rows.join(shifts.join(peaks, "peak_id"), "sample_id").withColumn("rt", F.col("rt") + F.col("shift"))
     return x.where(F.col("rt").between(F.col("rt_start") - margin, F.col("rt_end") + margin))
 
 
@@ -58,9 +58,9 @@ def summed_spectra(points: DataFrame, peaks: DataFrame, shifts: DataFrame, p: Pe
 
 def apex_spectra(points: DataFrame, scans: DataFrame, peaks: DataFrame, shifts: DataFrame, p: PeakParams = PeakParams(), order: tuple[str, ...] = ("mz",)) -> DataFrame:
     """The same of the one scan per sample that is nearest to the apex."""
-    x = scans.select("sample_id", "scan_id", "rt").join(F.broadcast(shifts.join(peaks, "peak_id")), "sample_id")
+    x = scans.select("sample_id", "scan_id", "rt").join(shifts.join(peaks, "peak_id"), "sample_id")
     near = x.groupBy("peak_id", "sample_id").agg(F.min_by("scan_id", F.struct(F.abs(F.col("rt") + F.col("shift") - F.col("rt_apex")), "rt", "scan_id")).alias("scan_id"))
-    x = points.where("intensity > 0").join(F.broadcast(near), ["sample_id", "scan_id"])
+    x = points.where("intensity > 0").join(small_side(written(near, "apex-scans")), ["sample_id", "scan_id"])
     rank = F.row_number().over(Window.partitionBy("peak_id", "sample_id").orderBy(F.desc("intensity"), *order))
     return x.withColumn("_at", rank).where(F.col("_at") <= p.max_spectrum_points_per_scan).select("peak_id", "sample_id", "scan_id", "mz", "intensity", *[c for c in order if c != "mz"])
 
@@ -150,7 +150,7 @@ def candidate_features(points: DataFrame, scans: DataFrame, candidates: DataFram
     margin = max(p.peak_margin_min, p.xic_feature_search_margin_min)
     by = ["peak_id", "candidate_rank", "target_mz", "sample_id"]
     near = shifted(scans.select("sample_id", "scan_id", "rt"), peaks, shifts, margin).select("peak_id", "sample_id", "scan_id", "rt")
-    grid = near.join(F.broadcast(candidates.select("peak_id", "candidate_rank", "target_mz")), "peak_id")
+    grid = near.join(candidates.select("peak_id", "candidate_rank", "target_mz"), "peak_id")
     tol = mz_tolerance(F.col("target_mz"), p.mz_tolerance_mode, p.mz_tolerance_ppm, p.mz_tolerance_da)
     hit = band_join(points.select("sample_id", "scan_id", "mz", "intensity"), candidates.select("peak_id", "candidate_rank", "target_mz").withColumn("tolerance", tol), max(p.mz_tolerance_da, 0.01))
     hit = hit.groupBy(*by, "scan_id").agg(F.sum("intensity").alias("value"), ratio(F.sum(F.col("mz") * F.col("intensity")), F.sum("intensity"), None).alias("observed_mz"))
@@ -172,7 +172,7 @@ def peak_feature_groups(features: DataFrame, peaks: DataFrame, p: PeakParams = P
         F.coalesce(F.sum(F.when(ok, F.col("mz") * F.col("height"))) / F.nullif(F.sum(F.when(ok, F.col("height"))), lit(0)), F.avg(F.when(ok, F.col("mz"))), F.max("target_mz")).alias("representative_mz"),
         F.median(F.when(ok, F.col("rt_apex"))).alias("_rt"),
     )
-    g = g.join(F.broadcast(peaks.select("peak_id", F.col("rt_apex").alias("_apex"))), "peak_id")
+    g = g.join(peaks.select("peak_id", F.col("rt_apex").alias("_apex")), "peak_id")
     carried = F.last("_rt", ignorenulls=True).over(Window.partitionBy("peak_id").orderBy("candidate_rank").rowsBetween(Window.unboundedPreceding, 0))
     g = g.withColumn("representative_rt", F.coalesce(carried, "_apex")).drop("_rt", "_apex")
     tol = mz_tolerance(F.col("representative_mz"), p.mz_tolerance_mode, p.mz_tolerance_ppm, p.mz_tolerance_da)
@@ -288,7 +288,7 @@ def xic_on_demand(points: DataFrame, scans: DataFrame, peaks: DataFrame, shifts:
     """
     tol = max(mz * p.mz_tolerance_ppm / 1e6, 1e-9) if p.mz_tolerance_mode == "ppm" else p.mz_tolerance_da
     hit = points.where(F.col("mz").between(mz - tol, mz + tol) & (F.abs(F.col("mz") - mz) <= tol)).groupBy("sample_id", "scan_id").agg(F.sum("intensity").alias("intensity"))
-    x = scans.select("sample_id", "scan_id", F.col("rt").alias("raw_rt")).join(F.broadcast(shifts.join(peaks, "peak_id")), "sample_id")
+    x = scans.select("sample_id", "scan_id", F.col("rt").alias("raw_rt")).join(shifts.join(peaks, "peak_id"), "sample_id")
     x = x.withColumn("_r", F.col("raw_rt") + F.col("shift")).withColumn("rt", F.when(F.col("_r") == 0, F.col("raw_rt")).otherwise(F.col("_r")))
     if not full:
         x = x.where(F.col("rt").between(F.col("rt_start") - p.xic_context_min, F.col("rt_end") + p.xic_context_min))

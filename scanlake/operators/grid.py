@@ -79,7 +79,7 @@ def neighbourhood(c: DataFrame, g: Grid, samples: DataFrame, method: str = "tic_
 
     Normalisation is monotone within a sample, so the maximum of normalised cells is the normalised maximum.
     """
-    d = local_max(dense(c, g, samples), g, "raw", "near").join(F.broadcast(factors(c)), "sample_id", "left")
+    d = local_max(dense(c, g, samples), g, "raw", "near").join(factors(c), "sample_id", "left")
     raw = F.when(F.col("near") < F.coalesce("floor", lit(0)), lit(0)).otherwise(F.col("near"))
     d = d.withColumn("_raw", raw).na.fill(1.0, ["tic", "max", "median"])
     norm = F.when(F.col("_raw") > 0, normalised(F.col("_raw"), method)).otherwise(lit(0))

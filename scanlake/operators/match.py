@@ -217,7 +217,7 @@ def feature_groups(matched: DataFrame, samples: DataFrame, rt_shift: float = 0.2
         F.coalesce(F.max(of("reference", F.col("area") > 1)), F.lit(False)).alias("_rp"), F.coalesce(F.max(of("target", F.col("area") > 1)), F.lit(False)).alias("_tp"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("sample_id", "present")))).alias("sample_presence"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("sample_id", "area")))).alias("area_by_sample"),
     )
-    m = matched.join(F.broadcast(samples), "sample_id").groupBy("feature_group_id").agg(
+    m = matched.join(samples, "sample_id").groupBy("feature_group_id").agg(
         F.avg("mz").alias("representative_mz"), F.avg("rt").alias("representative_rt"), F.avg(of("reference", F.col("rt"))).alias("_rr"), F.avg(of("target", F.col("rt"))).alias("_tr")
     )
     g = g.join(m, "feature_group_id").withColumn("_fc", fold_change(F.col("_tar"), F.col("_ref")))

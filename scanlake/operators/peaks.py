@@ -93,7 +93,7 @@ def find_tic_peaks(rows: pd.DataFrame, p: PeakParams) -> list[tuple]:
 def tic_peaks(curves: DataFrame, by: list[str], p: PeakParams = PeakParams()) -> DataFrame:
     """(by.., TIC_PEAK) of curves (by.., rt, value)."""
     x = baseline(curves.select(*by, "rt", F.col("value").cast("double").alias("value")), by, p.smoothing_window, p.baseline_window, p.peak_body_smoothing_window)
-    x = x.join(F.broadcast(noise_level(x, by)), by)
+    x = x.join(noise_level(x, by), by)
     return per_curve(x, by, TIC_PEAK.fields, lambda rows: find_tic_peaks(rows, p))
 
 

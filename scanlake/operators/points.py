@@ -61,6 +61,12 @@ def top_points(points: DataFrame, k: int, order: list[Column], mz_min: float | N
     return points.withColumn("point_rank", rank).where(F.col("point_rank") <= k)
 
 
+def top_of_view(spectra: DataFrame, mz_min: float, mz_max: float, k: int, order: list[str]) -> DataFrame:
+    """The k most intense peaks (peak_rank) of all spectra that a view of m/z shows; `order` breaks ties."""
+    x = spectra.where(F.col("mz").between(mz_min, mz_max) & (F.col("intensity") > 0)).orderBy(F.desc("intensity"), *order).limit(k)
+    return x.withColumn("peak_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("intensity"), *order)))  # k rows
+
+
 def band_join(points: DataFrame, targets: DataFrame, width: float | None = None, by: tuple[str, ...] = (), ppm: float | None = None) -> DataFrame:
     """points x targets (target_mz, tolerance, others) with |mz - target_mz| <= tolerance, as an equi-join on m/z buckets, and on by.
 
@@ -102,7 +108,7 @@ def merged_spectrum(points: DataFrame, width: float, by: list[str], average: boo
     out = x.groupBy(*by, "mz_bin").agg(F.sum("intensity").alias("intensity"))
     if average:
         n = points.groupBy(*by).agg(F.countDistinct("scan_id").alias("_n"))
-        out = out.join(F.broadcast(n), by).withColumn("intensity", F.col("intensity") / F.col("_n")).drop("_n")
+        out = out.join(n, by).withColumn("intensity", F.col("intensity") / F.col("_n")).drop("_n")
     return out.withColumn("mz", F.col("mz_bin") * width)
 
 
@@ -134,4 +140,4 @@ def tic_ratio(xics: DataFrame, scans: DataFrame) -> DataFrame:
     """(sample_id, target_mz, xic_sum, tic_sum, tic_ratio); the ratio is null without signal."""
     total = scans.groupBy("sample_id").agg(F.sum("tic").alias("tic_sum"))
     x = xics.groupBy("sample_id", "target_mz").agg(F.sum("intensity").alias("xic_sum"), F.max("intensity").alias("max_intensity"))
-    return x.join(F.broadcast(total), "sample_id").withColumn("tic_ratio", ratio(F.col("xic_sum"), F.col("tic_sum"), None))
+    return x.join(total, "sample_id").withColumn("tic_ratio", ratio(F.col("xic_sum"), F.col("tic_sum"), None))

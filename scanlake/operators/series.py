@@ -46,9 +46,9 @@ def baseline(df: DataFrame, by: list[str], smoothing: int = 3, width: int = 41,
 def noise_level(df: DataFrame, by: list[str]) -> DataFrame:
     """(by.., noise_level): median + 1.4826 MAD of the corrected values up to their 40% quantile, at least the 10% quantile."""
     q = df.groupBy(*by).agg(F.expr("percentile(corrected, 0.4)").alias("_q4"), F.expr("percentile(corrected, 0.1)").alias("_q1"))
-    low = df.join(F.broadcast(q), by).where("corrected <= _q4")
+    low = df.join(q, by).where("corrected <= _q4")
     mid = low.groupBy(*by, "_q1").agg(F.median("corrected").alias("_mid"))
-    away = low.drop("_q1").join(F.broadcast(mid), by).groupBy(*by, "_mid", "_q1").agg(F.median(F.abs(F.col("corrected") - F.col("_mid"))).alias("_mad"))
+    away = low.drop("_q1").join(mid, by).groupBy(*by, "_mid", "_q1").agg(F.median(F.abs(F.col("corrected") - F.col("_mid"))).alias("_mad"))
     return away.select(*by, F.greatest(F.col("_mid") + 1.4826 * F.col("_mad"), F.col("_q1"), lit(1e-9)).alias("noise_level"))
 
 

@@ -100,7 +100,7 @@ def cell_features(regions: DataFrame, near: DataFrame, trace: DataFrame, g: Grid
     """Saved-feature records of the first `top` regions (region_rank): bounds, scores, presence, fold change, type, and JSON of each sample's
     intensities and source scan."""
     x = regions.where(F.col("region_rank") <= top)
-    cells = near.join(F.broadcast(x.select("mz_index", "rt_index")), ["mz_index", "rt_index"])
+    cells = near.join(x.select("mz_index", "rt_index"), ["mz_index", "rt_index"])
     p = F.when(F.col("norm") > 0, F.col("norm"))
     entry = lambda *c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("sample_id", F.struct(*c)))))
     s = cells.groupBy("mz_index", "rt_index").agg(

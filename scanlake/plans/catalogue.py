@@ -242,7 +242,7 @@ def nearest_scan(spark, sf_dir):
 
 
 def _tic_peaks(spark, sf_dir):
-    return K.tic_peaks(pinned(curves(spark, sf_dir)), ["sample_id"])
+    return K.tic_peaks(written(curves(spark, sf_dir), "curves"), ["sample_id"])
 
 
 @query()
@@ -263,9 +263,9 @@ def peak_status(spark, sf_dir):
 
 def candidate_peaks(spark, sf_dir, shifts=None):
     """Consensus and sample peaks merged, with status; peak_id in RT order."""
-    c = pinned(curves(spark, sf_dir))
+    c = written(curves(spark, sf_dir), "curves")
     if shifts is not None:
-        c = c.join(F.broadcast(shifts), "sample_id").withColumn("rt", F.col("rt") + F.col("rt_shift")).select("sample_id", "rt", "value")
+        c = c.join(shifts, "sample_id").withColumn("rt", F.col("rt") + F.col("rt_shift")).select("sample_id", "rt", "value")
     one = K.refine_boundaries(K.tic_peaks(S.consensus(c).withColumn("_g", F.lit(0)), ["_g"]), ["_g"])
     own = K.with_status(K.refine_boundaries(K.tic_peaks(c, ["sample_id"]), ["sample_id"])).where("status <> 'noise_peak'")
     merged = K.with_status(K.merge_candidates(one, own))
@@ -290,7 +290,7 @@ def robust_shift(spark, sf_dir):
 
 
 def _alignment(spark, sf_dir):
-    c = pinned(curves(spark, sf_dir, "bpi"))
+    c = written(curves(spark, sf_dir, "bpi"), "curves")
     peaks = pinned(K.chromatogram_peaks(c, ["sample_id"]))
     return A.alignment(c, peaks, K.main_peaks(c, peaks, ["sample_id"]), "A")
 
@@ -322,7 +322,7 @@ LOCAL_SQL = f"""{CURVE}, {PEAKS_SQL},
 
 
 def _local(spark, sf_dir):
-    return A.local_alignment(pinned(curves(spark, sf_dir)), fixed_peaks(spark))
+    return A.local_alignment(written(curves(spark, sf_dir), "curves"), fixed_peaks(spark))
 
 
 @query(f", {LOCAL_SQL} SELECT peak_id, sample_id, apex, reference_apex, round(local_shift, 6) AS local_shift, capped, round(max_shift, 6) AS max_shift FROM la")
@@ -369,7 +369,7 @@ def resample_curves(spark, sf_dir):
 def chrom_similarity(spark, sf_dir):
     local = pinned(_local(spark, sf_dir))
     shifts = local.select("peak_id", "sample_id", F.col("local_shift").alias("shift"))
-    x = C.chromatogram_scores(pinned(curves(spark, sf_dir)), fixed_peaks(spark), local, shifts)
+    x = C.chromatogram_scores(written(curves(spark, sf_dir), "curves"), fixed_peaks(spark), local, shifts)
     return x.select("peak_id", *[r6(c) for c in ("shape_score", "area_score", "apex_score", "width_score", "chromatogram_score")])
 
 
@@ -476,6 +476,15 @@ def feature_pipeline(spark, sf_dir):
     return rounded(M.feature_matrix(g, ["A", "N", "R"]), area_A=3, area_N=3, area_R=3, **GROUP)
 
 
+@query(
+    "SELECT sample_id, mz, sum(intensity) AS intensity, CAST(row_number() OVER (ORDER BY sum(intensity) DESC, sample_id, mz) AS INT) AS peak_rank FROM p WHERE rt BETWEEN 11 AND 13 AND mz BETWEEN 400 AND 900 AND intensity > 0 GROUP BY sample_id, mz QUALIFY peak_rank <= 25"
+)
+def top_peaks_of_view(spark, sf_dir):
+    """The strongest peaks of all samples' summed spectra within a view's m/z."""
+    s = P.rt_window(points(spark, sf_dir), 11.0, 13.0).groupBy("sample_id", "mz").agg(F.sum("intensity").alias("intensity"))
+    return P.top_of_view(s, 400.0, 900.0, 25, ["sample_id", "mz"])
+
+
 #: The line items as points of one crowded stretch of m/z, 60 mTh wide at each of three places, 2^-14 apart: whole tolerances without a gap.
 CROWDED = "CAST(500.0 AS DOUBLE) + 100 * (l_suppkey % 3) + CAST((l_partkey * 7919) % 983 AS DOUBLE) / CAST(16384.0 AS DOUBLE)"
 
@@ -504,7 +513,7 @@ def spectrum_avg(spark, sf_dir):
 def spectrum_apex(spark, sf_dir):
     p = points(spark, sf_dir)
     top = P.rt_window(P.chromatogram(p), 10.0, 14.0).groupBy("sample_id").agg(F.max_by("scan_id", F.struct("tic", -F.col("rt"))).alias("scan_id"))
-    return p.join(F.broadcast(top), ["sample_id", "scan_id"]).groupBy("sample_id", "scan_id", "mz").agg(F.sum("intensity").alias("intensity"))
+    return p.join(top, ["sample_id", "scan_id"]).groupBy("sample_id", "scan_id", "mz").agg(F.sum("intensity").alias("intensity"))
 
 
 # --- spectra of peaks ------------------------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ def auto_regions(regions: DataFrame, heatmap_id: str, top: int = 80) -> DataFram
 def region_matrix(regions: DataFrame, near: DataFrame, sample_ids: list[str]) -> DataFrame:
     """A row per region with raw, normalised and presence columns of each sample."""
     x = regions.select("region_id", "heatmap_id", "source_rank", "mz_index", "rt_index", "rt", "mz", "difference_type", "weighted_difference_score")
-    cells = near.join(F.broadcast(x.select("mz_index", "rt_index").distinct()), ["mz_index", "rt_index"])
+    cells = near.join(x.select("mz_index", "rt_index").distinct(), ["mz_index", "rt_index"])
     agg = [F.max("raw").alias("raw"), F.max("norm").alias("normalized")]
     wide = cells.groupBy("mz_index", "rt_index").pivot("sample_id", sample_ids).agg(*agg)
     out = x.join(wide, ["mz_index", "rt_index"], "left").na.fill(0.0)

@@ -11,6 +11,7 @@ from scanlake.operators import compare as C
 from scanlake.operators import peaks as K
 from scanlake.operators import points as P
 from scanlake.operators import series as S
+from scanlake.operators.shared import written
 from scanlake.schema import PeakParams
 
 
@@ -24,9 +25,9 @@ def choose_reference(samples: list[str], explicit: str | None = None, preferred:
 
 
 def pinned(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A table of a row per sample, peak or both as local rows: plans that use it start there. More than `most` rows stay distributed."""
-    rows = df.limit(most + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else df.persist()
+    """A table of a row per sample, peak or both as local rows: plans that use it start there. More than `most` rows are written to the shared folder."""
+    df = written(df, "pinned")
+    return df.sparkSession.createDataFrame(df.collect(), df.schema) if df.count() <= most else df
 
 
 def peak_first(points: DataFrame, reference: str, p: PeakParams = PeakParams(), order: tuple[str, ...] = ("mz",)) -> dict[str, DataFrame]:
@@ -40,7 +41,7 @@ def peak_first(points: DataFrame, reference: str, p: PeakParams = PeakParams(),
     samples = pinned(scans.select("sample_id").distinct())
     chrom = pinned(K.chromatogram_peaks(bpi, ["sample_id"]))
     aligned = pinned(A.alignment(bpi, chrom, K.main_peaks(bpi, chrom, ["sample_id"]), reference))
-    tic = tic.join(F.broadcast(aligned), "sample_id").select("sample_id", (F.col("rt") + F.col("rt_shift")).alias("rt"), "value").persist()
+    tic = tic.join(aligned, "sample_id").select("sample_id", (F.col("rt") + F.col("rt_shift")).alias("rt"), "value").persist()
 
     one = K.refine_boundaries(K.tic_peaks(S.consensus(tic, p.consensus_rt_step_min, p.consensus_max_points).withColumn("_g", F.lit(0)), ["_g"], p), ["_g"], p)
     own = K.with_status(K.refine_boundaries(K.tic_peaks(tic, ["sample_id"], p), ["sample_id"], p), p).where("status <> 'noise_peak'")
@@ -53,7 +54,7 @@ def peak_first(points: DataFrame, reference: str, p: PeakParams = PeakParams(),
     few = peaks.select(*bounds)
 
     local = pinned(A.local_alignment(tic, few, p))
-    shifts = pinned(local.join(F.broadcast(aligned.select("sample_id", "rt_shift")), "sample_id").select("peak_id", "sample_id", (F.col("rt_shift") + F.col("local_shift")).alias("shift")))
+    shifts = pinned(local.join(aligned.select("sample_id", "rt_shift"), "sample_id").select("peak_id", "sample_id", (F.col("rt_shift") + F.col("local_shift")).alias("shift")))
     chrom_scores = C.chromatogram_scores(tic, few, local, local.select("peak_id", "sample_id", F.col("local_shift").alias("shift")), p)
     spectra = C.summed_spectra(points, few, shifts, p, order).persist()
     bins = pinned(C.consensus_bins(spectra, p))

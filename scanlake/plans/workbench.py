@@ -213,8 +213,8 @@ def payload(points: DataFrame, scans: DataFrame, near: DataFrame, shifts: DataFr
     (comparison: the cohort and each sample against the reference), each keyed by what the store splits it by."""
     from scanlake.operators.points import top_points
 
-    aligned = scans.join(F.broadcast(shifts), "sample_id").withColumn("aligned_rt", F.col("rt") + F.col("rt_shift"))
-    spectra = top_points(points, per_scan, list(K.ORDER)).join(F.broadcast(shifts), "sample_id").withColumn("aligned_rt", F.col("rt") + F.col("rt_shift"))
+    aligned = scans.join(shifts, "sample_id").withColumn("aligned_rt", F.col("rt") + F.col("rt_shift"))
+    spectra = top_points(points, per_scan, list(K.ORDER)).join(shifts, "sample_id").withColumn("aligned_rt", F.col("rt") + F.col("rt_shift"))
     others = [r["sample_id"] for r in shifts.select("sample_id").distinct().orderBy("sample_id").collect() if r["sample_id"] != reference]  # a row per sample
     maps = G.cohort_scores(near).select(F.lit("cohort:all_samples").alias("comparison"), "mz_index", "rt_index", "score", "max_intensity")
     for s in others:

@@ -27,7 +27,7 @@ def _file_name():
 def _ordered(scans: DataFrame) -> DataFrame:
     """Scans in SCAN's columns, sample_ord by sample id, scan_ord by rt and id within a sample."""
     order = scans.select("sample_id").distinct().withColumn("sample_ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sample_id")) - 1)
-    x = scans.join(F.broadcast(order), "sample_id").withColumn("scan_ord", F.row_number().over(Window.partitionBy("sample_id").orderBy("rt", "scan_id")) - 1)
+    x = scans.join(order, "sample_id").withColumn("scan_ord", F.row_number().over(Window.partitionBy("sample_id").orderBy("rt", "scan_id")) - 1)
     return x.select(*[F.col(f.name) if f.name.endswith("_array") else F.col(f.name).cast(f.dataType).alias(f.name) for f in SCAN.fields])
 
 
@@ -150,7 +150,7 @@ def load_directory(spark: SparkSession, directory: str, project_id: str = "") ->
         scans = scans.unionByName(p)
     raw = raw_files(scans, project_id)
     last = scans.groupBy("sample_id").agg(F.max("raw_file_id").alias("raw_file_id"))
-    return raw, scans.join(F.broadcast(last), ["sample_id", "raw_file_id"]).select(*SCAN.names)
+    return raw, scans.join(last, ["sample_id", "raw_file_id"]).select(*SCAN.names)
 
 
 def raw_files(scans: DataFrame, project_id: str = "") -> DataFrame:
