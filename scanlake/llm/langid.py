@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, small_side, table
@@ -221,13 +221,17 @@ def train(texts: list[str], langs: list[str], seed: int = 5, sequences: int = 60
     return model
 
 
-def fit(docs: DataFrame, per_language: int = 400, most_chars: int = 20_000, seed: int = 11) -> Model | None:
-    """A Model from docs (doc_id, text, lang); the sample that comes to the driver is bounded by its parameters."""
+def fit(docs: DataFrame, per_language: int = 400, most_chars: int = 20_000, seed: int = 11, languages: int = 256) -> Model | None:
+    """A Model from docs (doc_id, text, lang); the sample that comes to the driver is bounded by its parameters: about per_language texts of each of the
+    `languages` most frequent languages (ties to the first by name), twice as many at most where rows repeat."""
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") <= most_chars) & F.rlike("text", F.lit(r"\p{L}"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = materialize(rows.groupBy("lang").agg((F.least(F.lit(1.0), per_language / F.count(F.lit(1))) * (1 << 24)).cast("long").alias("_cut")), "language-counts")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = materialize(counts.select("lang", (F.least(F.lit(1.0), per_language / F.col("n")) * (1 << 24)).cast("long").alias("_cut")), "language-counts")
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 24))
-    got = rows.join(small_side(counts), "lang").where(place < F.col("_cut")).select("text", "lang").collect()
-    got = sorted((r["lang"], r["text"]) for r in got)
+    drawn = rows.withColumn("_place", place).join(small_side(counts), "lang").where(F.col("_place") < F.col("_cut"))
+    # copies of a row have one place and are drawn together: the first so many of a language stay
+    drawn = drawn.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("_place", "text"))).where(F.col("_at") <= 2 * per_language)
+    got = sorted((r["lang"], r["text"]) for r in drawn.select("text", "lang").collect())
     return train([t for _, t in got], [x for x, _ in got]) if got else None
 
 

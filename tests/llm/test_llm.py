@@ -743,3 +743,17 @@ def test_pipeline_keeps_rows_without_ids_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["text"] for r in C.near_duplicates(spark, docs, SF).collect()) == sorted(text(x) for x in "abcd")
     assert set(r["text"] for r in C.mix_sources(spark, docs, SF).collect()) <= {r[1] for r in rows}
+
+
+def test_language_fit_is_bounded_for_copies_and_many_languages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.append((texts, labels)) or True)
+    rows = [(1, "one text many times over", "xx")] * 2000 + [(i, f"text number {i}", "yy") for i in range(300)] + [(i, f"rare {i}", f"l{i:02d}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for seed in range(4):
+        langid.fit(docs, per_language=50, languages=2, seed=seed)
+    langid.fit(docs.where("lang <> 'xx' AND lang <> 'yy'"), per_language=50, languages=7)
+    for texts, labels in seen[:4]:
+        n = collections.Counter(labels)
+        assert set(n) <= {"xx", "yy"} and n["xx"] in (0, 100) and 20 < n["yy"] <= 100
+    assert seen[4][1] == [f"l{i:02d}" for i in range(7)]
