@@ -24,6 +24,7 @@ empty table; unclosed, misnested and unknown tags are tolerated; a page of any s
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from html import unescape
@@ -31,6 +32,7 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -389,13 +391,16 @@ def page_texts(parsed: list[list[tuple[int, str]]], known: list[list[np.ndarray]
     return [page_text(page, h, k, run, prior) for page, h, k in zip(parsed, stream_hashes([stream(p, run) for p in parsed], run), known)]
 
 
-def written_blocks(page: list[tuple[int, str]]) -> tuple[bytes, str]:
-    """(kinds, texts): a byte a block, and the blocks' lines; blocks hold no line ends."""
-    return bytes(k for k, _ in page), "\n".join(t for _, t in page)
+def written_blocks(page: list[tuple[int, str]]) -> tuple[bytes, str, int]:
+    """(blocks, MD5 of their texts, bytes of these): compressed, as pages cross the network and lie on disk as blocks; blocks hold no line ends."""
+    text = "\n".join(t for _, t in page).encode()
+    return zstandard.compress(len(page).to_bytes(4, "little") + bytes(k for k, _ in page) + text, 3), hashlib.md5(text).hexdigest(), len(text)
 
 
-def read_blocks(kinds: bytes, texts: str) -> list[tuple[int, str]]:
-    return list(zip(kinds, texts.split("\n"))) if kinds else []
+def read_blocks(blocks: bytes) -> list[tuple[int, str]]:
+    x = zstandard.decompress(blocks)
+    n = int.from_bytes(x[:4], "little")
+    return list(zip(x[4 : 4 + n], x[4 + n :].decode().split("\n"))) if n else []
 
 
 def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes: int = 16 << 20, prior: bool = True) -> DataFrame:
@@ -411,26 +416,26 @@ def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes:
     def parse(batches):
         for b in batches:
             found = [written_blocks(blocks(h) if isinstance(h, str) else []) for h in b["html"]]
-            yield b.drop(columns="html").assign(kinds=[k for k, _ in found], blocks=[t for _, t in found])
+            yield b.drop(columns="html").assign(blocks=[x for x, _, _ in found], _same=[x for _, x, _ in found], b=[x for _, _, x in found])
             trim()
 
     # numbers that may be null must not become floats
     sent = rows.withColumn("page_id", F.col("page_id").cast("string"))
-    parsed = sent.mapInPandas(parse, "page_id string, url string, _host string, kinds binary, blocks string")
+    parsed = sent.mapInPandas(parse, "page_id string, url string, _host string, blocks binary, _same string, b long")
     parsed = materialize(parsed.withColumn("page_id", F.col("page_id").cast(kinds["page_id"])).withColumn("_row", F.monotonically_increasing_id()), "html-blocks")
 
     # pages with equal blocks are one, by its first row
-    distinct = parsed.where(F.length("blocks") > 0).groupBy("_host", F.md5("blocks").alias("_same")).agg(F.min("_row").alias("_row"), F.first(F.octet_length("blocks")).cast("long").alias("b"))
+    distinct = parsed.where("b > 0").groupBy("_host", "_same").agg(F.min("_row").alias("_row"), F.first("b").alias("b"))
     distinct = materialize(distinct.select("_host", "_row", "b"), "html-pages")
     hosts = distinct.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
     groups = F.greatest(F.ceil(F.col("n") / group_pages), F.ceil(F.col("b") / group_bytes), F.lit(1))
     slots = F.greatest(F.lit(1024), F.ceil(SLOTS * F.col("b") / F.col("n") / 6))  # SLOTS times a page's words, about
     hosts = materialize(hosts.select("_host", groups.alias("_n"), slots.cast("long").alias("_slots")), "html-hosts")
     dealt = distinct.join(small_side(hosts), "_host").select("_row", "_n", "_slots", F.pmod(F.xxhash64("_row"), F.col("_n")).alias("_group"))
-    dealt = parsed.select("_row", "_host", "kinds", "blocks").join(small_side(materialize(dealt, "html-dealt")), "_row")
+    dealt = parsed.select("_row", "_host", "blocks").join(small_side(materialize(dealt, "html-dealt")), "_row")
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        leader, hashes, n = page_runs([read_blocks(k, t) for k, t in zip(group["kinds"], group["blocks"])], run)
+        leader, hashes, n = page_runs([read_blocks(x) for x in group["blocks"]], run)
         row, pages_ = group["_row"].to_numpy(), len(np.unique(leader))
         if group["_n"].iloc[0] == 1:
             several = n > 1
@@ -457,12 +462,12 @@ def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes:
     asked = materialize(asked.groupBy("_host").agg(F.sort_array(F.collect_list("a")).alias("_asked")).join(hosts.select("_host", "_slots"), "_host"), "html-slots")
     if asked.limit(1).count():
         leaders = materialize(counted.where(F.col("what") == LEADER).select(F.col("a").alias("_row"), F.col("n").alias("_leader")), "html-leaders")
-        again = parsed.select("_row", "_host", "kinds", "blocks").join(small_side(leaders), "_row").join(small_side(asked), "_host")
+        again = parsed.select("_row", "_host", "blocks").join(small_side(leaders), "_row").join(small_side(asked), "_host")
 
         def held(batches):
             for b in batches:
                 pick, found = [], []
-                hashed = stream_hashes([stream(read_blocks(k, t), run) for k, t in zip(b["kinds"], b["blocks"])], run)
+                hashed = stream_hashes([stream(read_blocks(x), run) for x in b["blocks"]], run)
                 for i, (h, slot, size) in enumerate(zip(hashed, b["_asked"], b["_slots"])):
                     h = np.unique(h[_held((h.view(np.uint64) % np.uint64(size)).astype(np.int64), np.asarray(slot, np.int64))])
                     pick.append(np.full(len(h), i))
@@ -481,10 +486,10 @@ def extract(pages: DataFrame, run: int = 8, group_pages: int = 256, group_bytes:
     def texts(batches):
         for b in batches:
             known = [[np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in b[c]] for c in ("_runs" if prior else "_marked", "_runs", "_wide")]
-            text = page_texts([read_blocks(k, t) for k, t in zip(b["kinds"], b["blocks"])], list(zip(*known)), run, prior)
+            text = page_texts([read_blocks(x) for x in b["blocks"]], list(zip(*known)), run, prior)
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    out = parsed.withColumn("page_id", F.col("page_id").cast("string")).join(small_side(furniture), "_host", "left").drop("_host", "_row")
+    out = parsed.withColumn("page_id", F.col("page_id").cast("string")).join(small_side(furniture), "_host", "left").drop("_host", "_row", "_same", "b")
     out = out.mapInPandas(texts, "page_id string, url string, text string, n_chars long")
     return out.withColumn("page_id", F.col("page_id").cast(kinds["page_id"]))
 
