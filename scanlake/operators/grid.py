@@ -124,10 +124,14 @@ def ranked(r: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return r.withColumn("region_rank", F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy(*order)))
 
 
-def distinct_regions(r: DataFrame, g: Grid, limit: int = 80) -> DataFrame:
-    """Greedy choice in rank order: a region near a chosen one, in both indexes, goes. One heat map's regions are one task's rows,
-    at most the grid's cells."""
+def distinct_regions(r: DataFrame, g: Grid, limit: int = 80, by: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy choice in rank order: a region near a chosen one, in both indexes, goes; the first `limit` of each heat map (by) stay.
+
+    A chosen region takes (4 rt_radius + 1) * (4 mz_radius + 1) cells away at most, itself among them, so `limit` of them are found among so many times
+    as many of the first ranks: whatever the size of the grid, one task folds a bounded number of rows.
+    """
     columns = list(REGION_ORDER)
+    most = limit * (4 * g.rt_radius + 1) * (4 * g.mz_radius + 1)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([c for c, _ in columns], ascending=[up for _, up in columns], kind="stable")
@@ -144,8 +148,10 @@ def distinct_regions(r: DataFrame, g: Grid, limit: int = 80) -> DataFrame:
         out["region_rank"] = range(1, len(out) + 1)
         return out
 
-    r = r.withColumn("region_rank", F.lit(0))
-    return r.withColumn("_map", F.lit(0)).groupBy("_map").applyInPandas(lambda rows: choose(rows.drop(columns="_map")), r.schema)
+    first = ranked(r, by).where(F.col("region_rank") <= most)
+    if by:
+        return first.groupBy(*by).applyInPandas(choose, first.schema)
+    return first.withColumn("_map", F.lit(0)).groupBy("_map").applyInPandas(lambda rows: choose(rows.drop(columns="_map")), first.schema)
 
 
 def pair_scores(near: DataFrame, reference: str, sample: str) -> DataFrame:
