@@ -1,6 +1,6 @@
 """The RT x m/z grid: binning, normalisation, neighbourhood maxima, similarity scores and difference regions.
 
-Cells are long rows (sample_id, mz_index, rt_index, raw). Only dense grids have a size of their own, bins x bins x samples.
+Cells are long rows (sample_id, mz_index, rt_index, raw) of occupied cells and their neighbours; no grid is made whole.
 """
 
 from __future__ import annotations
@@ -59,27 +59,28 @@ def normalised(raw, method: str):
     return raw / F.col(method)
 
 
-def dense(c: DataFrame, g: Grid, samples: DataFrame) -> DataFrame:
-    """Every cell of every sample of samples (sample_id), 0 where c has none."""
-    spark = c.sparkSession
-    full = samples.crossJoin(spark.range(g.mz_bins).select(F.col("id").cast("int").alias("mz_index"))).crossJoin(spark.range(g.rt_bins).select(F.col("id").cast("int").alias("rt_index")))
-    return full.join(c, ["sample_id", "mz_index", "rt_index"], "left").na.fill(0.0, ["raw"])
+def local_max(c: DataFrame, g: Grid) -> DataFrame:
+    """(sample_id, mz_index, rt_index, near): the maximum over each cell's neighbourhood, where it is positive.
 
-
-def local_max(d: DataFrame, g: Grid, value: str, out: str) -> DataFrame:
-    """The maximum over the neighbourhood of each dense cell, first along RT, then along m/z."""
-    rt = Window.partitionBy("sample_id", "mz_index").orderBy("rt_index").rowsBetween(-g.rt_radius, g.rt_radius)
-    mz = Window.partitionBy("sample_id", "rt_index").orderBy("mz_index").rowsBetween(-g.mz_radius, g.mz_radius)
-    d = d.withColumn(out, F.max(value).over(rt))
-    return d.withColumn(out, F.greatest(F.max(out).over(mz), lit(0)))
+    Positive cells give their value to the cells around them, first along RT, then along m/z, so the work goes by occupied cells and
+    not by the size of the grid.
+    """
+    x = c.where("raw > 0").select("sample_id", "mz_index", "rt_index", F.col("raw").alias("near"))
+    for at, radius, n in (("rt_index", g.rt_radius, g.rt_bins), ("mz_index", g.mz_radius, g.mz_bins)):
+        around = F.sequence(F.greatest(F.lit(0), F.col(at) - radius), F.least(F.lit(n - 1), F.col(at) + radius))
+        x = x.withColumn(at, F.explode(around)).groupBy("sample_id", "mz_index", "rt_index").agg(F.max("near").alias("near"))
+    return x
 
 
 def neighbourhood(c: DataFrame, g: Grid, samples: DataFrame, method: str = "tic_log1p") -> DataFrame:
-    """(sample_id, mz_index, rt_index, raw, norm): neighbourhood maxima, 0 below the sample's signal floor.
+    """(sample_id, mz_index, rt_index, raw, norm): neighbourhood maxima of every sample of samples in each cell that has one in some
+    sample, 0 below the sample's signal floor or without any.
 
     Normalisation is monotone within a sample, so the maximum of normalised cells is the normalised maximum.
     """
-    d = local_max(dense(c, g, samples), g, "raw", "near").join(factors(c), "sample_id", "left")
+    near = local_max(c, g)
+    d = near.select("mz_index", "rt_index").distinct().crossJoin(samples.select("sample_id"))
+    d = d.join(near, ["sample_id", "mz_index", "rt_index"], "left").join(factors(c), "sample_id", "left").na.fill(0.0, ["near"])
     raw = F.when(F.col("near") < F.coalesce("floor", lit(0)), lit(0)).otherwise(F.col("near"))
     d = d.withColumn("_raw", raw).na.fill(1.0, ["tic", "max", "median"])
     norm = F.when(F.col("_raw") > 0, normalised(F.col("_raw"), method)).otherwise(lit(0))

@@ -689,9 +689,7 @@ def near_sql(g):
 
 @query(f", {near_sql(GRID)} SELECT sample_id, CAST(mz_index AS INT) AS mz_index, CAST(rt_index AS INT) AS rt_index, near FROM lm WHERE near > 0")
 def grid_local_max(spark, sf_dir):
-    c = G.cells(points(spark, sf_dir), GRID)
-    d = G.local_max(G.dense(c, GRID, c.select("sample_id").distinct()), GRID, "raw", "near")
-    return d.where("near > 0").select("sample_id", "mz_index", "rt_index", "near")
+    return G.local_max(G.cells(points(spark, sf_dir), GRID), GRID)
 
 
 def scores_sql(g, samples=3, where=""):

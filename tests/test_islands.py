@@ -163,3 +163,25 @@ def test_candidate_merge_in_parts(spark):
     assert sorted((r["rt_apex"], r["area"], tuple(r["supporting_samples"])) for r in got.collect()) == sorted((x["apex"], x["area"], tuple(sorted(x["who"]))) for x in reps)
     cuts = islands(samples, [], "rt_apex", F.floor(F.col("rt_apex") / 0.05).cast("long"), F.lit(0.1))
     assert cuts.agg(F.max("island")).first()[0] >= 20
+
+
+def test_sparse_neighbourhoods(spark):
+    """A huge grid with few occupied cells, at its corners too, against a look at every neighbour."""
+    from scanlake.operators import grid as G
+
+    g = G.Grid(0, 5000, 0, 90_000, 100_000, 90_000)
+    rng = np.random.default_rng(8)
+    cells = {(s, int(m), int(t)): float(rng.integers(0, 9)) for s in "ab" for m, t in [*rng.integers(100, 130, (60, 2)), (0, 0), (89_999, 99_999)]}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "sample_id string, mz_index int, rt_index int, raw double")
+    want = collections.defaultdict(float)
+    for (s, m, t), v in cells.items():
+        for a in range(max(0, m - g.mz_radius), min(g.mz_bins, m + g.mz_radius + 1)):
+            for b in range(max(0, t - g.rt_radius), min(g.rt_bins, t + g.rt_radius + 1)):
+                want[s, a, b] = max(want[s, a, b], v)
+    got = {tuple(r[:3]): r[3] for r in G.local_max(df, g).collect()}
+    assert got == {k: v for k, v in want.items() if v > 0}
+    samples = spark.createDataFrame([("a",), ("b",), ("c",)], "sample_id string")
+    near = G.neighbourhood(df, g, samples, "none").collect()
+    places = {k[1:] for k in got}
+    assert {(r["sample_id"], r["mz_index"], r["rt_index"]) for r in near} == {(s, *p) for s in "abc" for p in places} and len(near) == 3 * len(places)
+    assert all(r["raw"] == 0 for r in near if r["sample_id"] == "c")
