@@ -235,3 +235,29 @@ def workbench_payload(spark, sf_dir):
     t = payload(K.points(spark, sf_dir), K.scans(spark, sf_dir), K._near(spark, sf_dir), _alignment_shifts(spark, sf_dir), K.GRID, "A")
     one = lambda x, kind, key, v: x.groupBy(F.concat(F.lit(kind + ":"), key).alias("artifact_key")).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(v), 3).alias("total"))
     return one(t["chromatograms"], "chromatograms", F.col("sample_id"), "tic").unionByName(one(t["spectra"], "spectra", F.col("sample_id"), "intensity")).unionByName(one(t["heatmaps"], "heatmap", F.col("comparison"), "score"))
+
+
+@query(
+    f"""sh AS (WITH RECURSIVE {S.ALIGN_SQL} SELECT sample_id, rt_shift FROM alg), {PAIR_SQL}, {K.CURVE},
+      pn AS (SELECT mz_index, rt_index, coalesce(max(raw) FILTER (sample_id = 'A'), 0) AS r0, coalesce(max(raw) FILTER (sample_id = 'N'), 0) AS r1, coalesce(max(nv) FILTER (sample_id = 'A'), 0) AS n0, coalesce(max(nv) FILTER (sample_id = 'N'), 0) AS n1 FROM nr GROUP BY ALL),
+      co AS (SELECT mz_index, rt_index, sum(nv) / 3 AS mean, sqrt(greatest(sum(nv * nv) / 3 - (sum(nv) / 3) ** 2, 0)) AS sd, max(raw) AS m FROM nr GROUP BY mz_index, rt_index HAVING max(raw) > 0),
+      tp AS (SELECT *, row_number() OVER (PARTITION BY sample_id, scan_id ORDER BY intensity DESC, mz, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, price) AS k FROM p QUALIFY k <= 180),
+      a AS (SELECT concat('chromatograms:', sample_id) AS artifact_key, scan_id AS place, rt AS x, rt + rt_shift AS y, tic AS value, bpi AS more FROM c JOIN sh USING (sample_id)
+       UNION ALL SELECT concat('spectra:', sample_id), scan_id, rt + rt_shift, mz, intensity, CAST(k AS DOUBLE) FROM tp JOIN sh USING (sample_id)
+       UNION ALL SELECT 'heatmap:cohort:all_samples', concat(mz_index, '/', rt_index), mz_index, rt_index, CASE WHEN mean > 0 THEN 1 / (1 + sd / mean) ELSE 0 END, m FROM co
+       UNION ALL SELECT 'heatmap:A_vs_R', concat(mz_index, '/', rt_index), mz_index, rt_index, score, greatest(r0, r1) FROM ps
+       UNION ALL SELECT 'heatmap:A_vs_N', concat(mz_index, '/', rt_index), mz_index, rt_index, 1 - abs(n0 - n1) / (n0 + n1 + 1e-9), greatest(r0, r1) FROM pn WHERE r0 > 0 OR r1 > 0)
+      SELECT artifact_key, place, round(CAST(x AS DOUBLE), 6) AS x, round(CAST(y AS DOUBLE), 6) AS y, round(CAST(value AS DOUBLE), 5) AS value, round(CAST(more AS DOUBLE), 5) AS more FROM a"""
+)
+def workbench_payload_rows(spark, sf_dir):
+    """Every row of the payload's artifacts: scans, the points kept of each, cells of the maps."""
+    t = payload(K.points(spark, sf_dir), K.scans(spark, sf_dir), K._near(spark, sf_dir), _alignment_shifts(spark, sf_dir), K.GRID, "A")
+    cell = F.concat_ws("/", "mz_index", "rt_index")
+    parts = (("chromatograms", "sample_id", F.col("scan_id"), "rt", "aligned_rt", "tic", "bpi"), ("spectra", "sample_id", F.col("scan_id"), "aligned_rt", "mz", "intensity", "point_rank"), ("heatmaps", "comparison", cell, "mz_index", "rt_index", "score", "max_intensity"))
+    out = None
+    for kind, key, place, x, y, value, more in parts:
+        number = lambda c, name, digits=6: F.round(F.col(c).cast("double"), digits).alias(name)
+        name = F.concat(F.lit("heatmap:" if kind == "heatmaps" else kind + ":"), F.col(key)).alias("artifact_key")
+        rows = t[kind].select(name, place.alias("place"), number(x, "x"), number(y, "y"), number(value, "value", 5), number(more, "more", 5))
+        out = rows if out is None else out.unionByName(rows)
+    return out
