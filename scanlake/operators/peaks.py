@@ -1,32 +1,44 @@
-"""Peak detection. Curves are one row per scan, so a curve is one task's group; what feeds and follows them are window plans."""
+"""Peak detection. What feeds and follows the peaks are window plans; the peaks of a curve are found in stretches between quiet points, so that
+a long curve is many tasks."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from scanlake.functions import lit
-from scanlake.operators.series import baseline, noise_level
+from scanlake.operators.series import baseline, noise_level, padded_average, robust_noise, trapezoids
 from scanlake.operators.shared import islands, written
 from scanlake.schema import CHROM_PEAK, FEATURE, TIC_PEAK, PeakParams
 
 
-def per_curve(df: DataFrame, by: list[str], schema, find) -> DataFrame:
-    """Applies find(rt-ordered frame) -> frame of schema to each curve."""
-    from pyspark.sql.types import StructType
+def per_curve(df: DataFrame, by: list[str], quiet: Column, away: Column, schema, find, rows: int) -> DataFrame:
+    """Applies find(rt-ordered frame) -> tuples of schema to each curve, in tasks of about `rows` neighbouring points.
 
+    A peak ends at a quiet point at the latest, and peaks with `away` quiet points in a row between them have nothing to do with each other, so curves are
+    cut within such rows, each side keeping a quiet point; a curve without them stays whole. find gets what it needs of the whole curve as columns.
+    """
+    line = Window.partitionBy(*by).orderBy("rt")
+    x = df.withColumn("_q", quiet).withColumn("_i", F.row_number().over(line))
+    x = x.withColumn("_new", F.coalesce(F.lag("_q").over(line) != F.col("_q"), F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(line))
+    run = Window.partitionBy(*by, "_run")
+    j = F.col("_i") - F.min("_i").over(run)
+    cut = F.col("_q") & (F.count(F.lit(1)).over(run) >= F.greatest(away, F.lit(2))) & ((j == 1) | ((j > 0) & (j % rows == 0)))
+    x = x.withColumn("_part", F.sum(cut.cast("int")).over(line))
+    x = x.withColumn("_task", F.floor(F.min("_i").over(Window.partitionBy(*by, "_part")) / rows)).drop("_q", "_i", "_new", "_run", "_part")
     keys = [df.schema[k] for k in by]
     names = [f.name for f in schema]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(find(rows.sort_values("rt", kind="stable", ignore_index=True)), columns=names)
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(find(part.sort_values("rt", kind="stable", ignore_index=True)), columns=names)
         for i, k in enumerate(by):
-            out.insert(i, k, rows[k].iloc[0])
+            out.insert(i, k, part[k].iloc[0])
         return out
 
-    return df.groupBy(*by).applyInPandas(run, StructType([*keys, *schema]))
+    return x.groupBy(*by, "_task").applyInPandas(one, StructType([*keys, *schema]))
 
 
 def feet(y: np.ndarray, apex: int, level: float) -> tuple[int, int]:
@@ -52,16 +64,15 @@ def apart(order: np.ndarray, gap: int, n: int) -> np.ndarray:
 
 
 def find_tic_peaks(rows: pd.DataFrame, p: PeakParams) -> list[tuple]:
-    rt, y, body, noise = rows["rt"].to_numpy(), rows["corrected"].to_numpy(), rows["body_corrected"].to_numpy(), float(rows["noise_level"].iloc[0])
+    rt, y, body = rows["rt"].to_numpy(), rows["corrected"].to_numpy(), rows["body_corrected"].to_numpy()
+    noise, near, whole = float(rows["noise_level"].iloc[0]), int(rows["_near"].iloc[0]), float(rows["_total"].iloc[0])
     n = len(rt)
     if n < 3:
         return []
     total = steps(rt, y)
     inner = np.arange(1, n - 1)
     tops = inner[(body[1:-1] >= max(noise * p.min_snr, 1e-9)) & (body[1:-1] >= body[:-2]) & (body[1:-1] >= body[2:])]
-    gaps = np.diff(rt)
-    step = float(np.median(gaps[gaps > 0])) if (gaps > 0).any() else 0.01
-    tops = apart(tops[np.argsort(-body[tops], kind="stable")], max(1, int(p.min_apex_distance_min / max(step, 1e-9))), n)
+    tops = apart(tops[np.argsort(-body[tops], kind="stable")], near, n)
     # neighbours without a real valley between them are one peak
     apexes: list[int] = []
     for i in tops.tolist():
@@ -84,17 +95,27 @@ def find_tic_peaks(rows: pd.DataFrame, p: PeakParams) -> list[tuple]:
             continue
         top = int(left + np.argmax(body[left : right + 1]))
         size = total[right] - total[left]
-        found.append((rt[left], rt[top], rt[right], y[top], body[top], size, rt[right] - rt[left], max(body[top] - max(body[left], body[right]), 0.0), body[top] / noise if noise > 0 else 0.0, size / total[-1] if total[-1] > 0 else 0.0, noise))
-    by_area = {k: r for r, k in enumerate(sorted(range(len(found)), key=lambda k: -found[k][5]), 1)}
-    by_rt = sorted(sorted(range(len(found)), key=lambda k: by_area[k]), key=lambda k: found[k][1])
-    return [(r, by_area[k], *found[k]) for r, k in enumerate(by_rt, 1)]
+        found.append((rt[left], rt[top], rt[right], y[top], body[top], size, rt[right] - rt[left], max(body[top] - max(body[left], body[right]), 0.0), body[top] / noise if noise > 0 else 0.0, size / whole if whole > 0 else 0.0, noise))
+    return found
+
+
+def ranked(peaks: DataFrame, by: list[str], area: str, first: list) -> DataFrame:
+    """Adds area_rank by falling area; of equal ones the first by `first`."""
+    return peaks.withColumn("area_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(area), *first)))
 
 
-def tic_peaks(curves: DataFrame, by: list[str], p: PeakParams = PeakParams()) -> DataFrame:
-    """(by.., TIC_PEAK) of curves (by.., rt, value)."""
+def tic_peaks(curves: DataFrame, by: list[str], p: PeakParams = PeakParams(), rows: int = 1 << 17) -> DataFrame:
+    """(by.., TIC_PEAK) of curves (by.., rt, value). rows: see per_curve."""
     x = baseline(curves.select(*by, "rt", F.col("value").cast("double").alias("value")), by, p.smoothing_window, p.baseline_window, p.peak_body_smoothing_window)
     x = x.join(noise_level(x, by), by)
-    return per_curve(x, by, TIC_PEAK.fields, lambda rows: find_tic_peaks(rows, p))
+    every, gap = Window.partitionBy(*by), F.col("rt") - F.lag("rt").over(Window.partitionBy(*by).orderBy("rt"))
+    x = x.withColumn("_gap", gap).withColumn("_area", trapezoids("corrected", by))
+    x = x.withColumn("_total", F.coalesce(F.sum("_area").over(every), lit(0))).withColumn("_step", F.coalesce(F.median(F.when(F.col("_gap") > 0, F.col("_gap"))).over(every), lit(0.01)))
+    x = x.withColumn("_near", F.greatest(F.lit(1), (p.min_apex_distance_min / F.greatest("_step", lit(1e-9))).cast("int")))
+    quiet = F.col("body_corrected") <= F.col("noise_level") if p.min_snr > 1 else F.lit(False)
+    found = per_curve(x.drop("_gap", "_area", "_step"), by, quiet, F.col("_near") + 2, TIC_PEAK.fields[2:], lambda part: find_tic_peaks(part, p), rows)
+    found = ranked(found, by, "area", ["rt_apex", "rt_start"])
+    return found.withColumn("rt_rank", F.row_number().over(Window.partitionBy(*by).orderBy("rt_apex", "area_rank"))).select(*by, *TIC_PEAK.names)
 
 
 def refine_boundaries(peaks: DataFrame, by: list[str], p: PeakParams = PeakParams()) -> DataFrame:
@@ -169,17 +190,10 @@ def merge_candidates(consensus: DataFrame, samples: DataFrame, p: PeakParams = P
 
 
 def find_chromatogram_peaks(rows: pd.DataFrame) -> list[tuple]:
-    rt, raw = rows["rt"].to_numpy(), rows["value"].to_numpy(float)
-    if len(rt) < 3:
-        return []
-    wide = np.concatenate([np.repeat(raw[0], 3), raw, np.repeat(raw[-1], 3)])
-    y = np.array([wide[i : i + 7].sum() / 7 for i in range(len(raw))])
-    base = float(np.quantile(y, 0.1))
-    c = np.maximum(y - base, 0)
-    most = c.max()
-    if most <= 0:
+    rt, raw, c = rows["rt"].to_numpy(), rows["value"].to_numpy(float), rows["_c"].to_numpy()
+    base, most, noise = (float(rows[k].iloc[0]) for k in ("_base", "_most", "_noise"))
+    if len(rt) < 3 or most <= 0:
         return []
-    noise = max(float(np.quantile(c, 0.25)), most * 0.01, 1.0)
     tops = np.arange(1, len(c) - 1)[(c[1:-1] >= max(4 * noise, 0.08 * most)) & (c[1:-1] >= c[:-2]) & (c[1:-1] > c[2:])]
     total, out = steps(rt, c), []
     for i in tops.tolist():
@@ -188,13 +202,17 @@ def find_chromatogram_peaks(rows: pd.DataFrame) -> list[tuple]:
         if rt[right] - rt[left] > 0.02 and size > 0:
             top = int(left + np.argmax(raw[left : right + 1]))
             out.append((rt[left], rt[top], rt[right], raw[top], size, rt[right] - rt[left], base))
-    order = sorted(range(len(out)), key=lambda k: -out[k][4])
-    return [(*out[k], r) for r, k in enumerate(order, 1)]
+    return out
 
 
-def chromatogram_peaks(curves: DataFrame, by: list[str]) -> DataFrame:
-    """(by.., CHROM_PEAK): peaks of padded 7-point averages over the 10% quantile, by falling area."""
-    return per_curve(curves.select(*by, "rt", "value"), by, CHROM_PEAK.fields, find_chromatogram_peaks)
+def chromatogram_peaks(curves: DataFrame, by: list[str], rows: int = 1 << 17) -> DataFrame:
+    """(by.., CHROM_PEAK): peaks of padded 7-point averages over the 10% quantile, by falling area. rows: see per_curve."""
+    every = Window.partitionBy(*by)
+    x = padded_average(curves.select(*by, "rt", F.col("value").cast("double").alias("value")), "value", 7, by, "_y")
+    x = x.withColumn("_base", F.expr("percentile(_y, 0.1)").over(every)).withColumn("_c", F.greatest(F.col("_y") - F.col("_base"), lit(0)))
+    x = x.withColumn("_most", F.max("_c").over(every)).withColumn("_noise", F.greatest(F.expr("percentile(_c, 0.25)").over(every), F.col("_most") * 0.01, lit(1)))
+    found = per_curve(x.drop("_y"), by, F.col("_c") <= 1.8 * F.col("_noise"), F.lit(2), CHROM_PEAK.fields[:-1], find_chromatogram_peaks, rows)
+    return ranked(found, by, "area", ["apex_time_min", "start_time_min"])
 
 
 def main_peaks(curves: DataFrame, peaks: DataFrame, by: list[str]) -> DataFrame:
@@ -223,18 +241,18 @@ def find_xic_peaks(rows: pd.DataFrame, least_height: float, least_area: float, l
         size = steps(rt[left : right + 1], part)[-1]
         if size >= least_area:
             used[left : right + 1] = True
-            out.append((rt[left], rt[i], rt[right], size, part.max(), part.max() / noise))
-    order = sorted(range(len(out)), key=lambda k: -out[k][3])
-    return [(*out[k], r) for r, k in enumerate(order, 1)]
+            out.append((rt[left], rt[i], rt[right], size, part.max(), part.max() / noise, y[i]))
+    return out
 
 
-def xic_peaks(xics: DataFrame, by: list[str], smoothing: int = 5, least_height: float = 2000.0, least_area: float = 100.0, least_snr: float = 3.0, least_width: float = 0.03, most_width: float = 1.0, foot: float = 0.05) -> DataFrame:
-    """(by.., FEATURE): peaks of XIC curves (by.., rt, value), strongest first without overlap, by falling area."""
-    from scanlake.operators.series import padded_average, robust_noise
-
+def xic_peaks(xics: DataFrame, by: list[str], smoothing: int = 5, least_height: float = 2000.0, least_area: float = 100.0, least_snr: float = 3.0, least_width: float = 0.03, most_width: float = 1.0, foot: float = 0.05, rows: int = 1 << 17) -> DataFrame:
+    """(by.., FEATURE): peaks of XIC curves (by.., rt, value), strongest first without overlap, by falling area. rows: see per_curve."""
     x = padded_average(xics.select(*by, "rt", "value"), "value", smoothing, by, "smoothed")
     x = x.join(robust_noise(x, "smoothed", by), by)
-    return per_curve(x, by, FEATURE.fields, lambda rows: find_xic_peaks(rows, least_height, least_area, least_snr, least_width, most_width, foot))
+    quiet = F.col("smoothed") <= 2 * F.col("noise") if least_snr > 2 else F.lit(False)  # no top is quiet
+    find = lambda part: find_xic_peaks(part, least_height, least_area, least_snr, least_width, most_width, foot)
+    found = per_curve(x, by, quiet, F.lit(2), [*FEATURE.fields[:-1], StructField("_top", DoubleType())], find, rows)
+    return ranked(found, by, "area", [F.desc("_top"), "rt_apex"]).drop("_top")  # of equal areas the stronger one was found first
 
 
 def xic_features(xics: DataFrame, by: list[str], p: PeakParams = PeakParams()) -> DataFrame:
@@ -258,8 +276,6 @@ def xic_features(xics: DataFrame, by: list[str], p: PeakParams = PeakParams()) -
     x = x.withColumn("_r", F.coalesce(F.min(F.when(under & (F.col("i") >= F.col("apex")), F.col("i"))).over(every), F.col("_n")))
     flat = F.col("_r") <= F.col("_l")
     x = x.withColumn("left", F.when(flat, F.greatest(F.lit(1), F.col("apex") - 1)).otherwise(F.col("_l"))).withColumn("right", F.when(flat, F.least(F.col("_n"), F.col("apex") + 1)).otherwise(F.col("_r")))
-    from scanlake.operators.series import trapezoids
-
     x = x.withColumn("_a", trapezoids("value", by)).where("i BETWEEN left AND right")
     at = lambda k: F.max(F.when(F.col("i") == F.col(k), F.col("rt")))
     heavy = F.sum(F.col("observed_mz") * F.col("value")) / F.nullif(F.sum("value"), lit(0))
