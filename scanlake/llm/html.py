@@ -187,7 +187,7 @@ def _runs(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, n
     none = np.zeros(0, np.int64)
     if n < run:
         return none, none
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
+    rank = (tokens if tokens.max() <= n else np.unique(tokens, return_inverse=True)[1]).astype(np.int64) + 1
     ends = np.searchsorted(page, page, "right")
     have = 1
     while have < run:
@@ -322,11 +322,13 @@ def page_runs(parsed: list[list[tuple[int, str]]], run: int) -> tuple[np.ndarray
     leader, n, hashes = np.arange(len(sizes)), none, none
     if len(order):
         of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        pairs = np.unique(of * len(sizes) + page[order])
+        pairs = of * len(sizes) + page[order]  # rising, as ties are in text order
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         of, on = pairs // len(sizes), pairs % len(sizes)
         leader = _leaders(on, of, len(sizes))
-        pairs = np.unique(of * len(sizes) + leader[on])
-        n = np.bincount(pairs // len(sizes), minlength=len(first))
+        if (leader != np.arange(len(sizes))).any():
+            of = np.unique(of * len(sizes) + leader[on]) // len(sizes)
+        n = np.bincount(of, minlength=len(first))
         hashes = run_hashes(words, run)[order[first]]
     return np.where(stream_of < 0, -1, first_of[leader[np.maximum(stream_of, 0)]]), hashes, n
 
