@@ -519,7 +519,7 @@ def spectrum_apex(spark, sf_dir):
 # --- spectra of peaks ------------------------------------------------------------------------------------------------
 def _spectra(spark, sf_dir):
     p, peaks, sh = points(spark, sf_dir), fixed_peaks(spark), _shifts(spark, sf_dir)
-    return C.summed_spectra(p, peaks, sh, order=KEYS), C.apex_spectra(p, P.chromatogram(p), peaks, sh, order=KEYS)
+    return C.summed_spectra(p, peaks, sh, order=KEYS), C.apex_spectra(p, P.chromatogram(p), peaks, sh, KEYS)
 
 
 KEYS = ("mz", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "price")

@@ -60,7 +60,7 @@ def peak_first(points: DataFrame, reference: str, p: PeakParams = PeakParams(),
     bins = pinned(C.consensus_bins(spectra, p))
     matrix = pinned(C.reduced(C.vectors(spectra, bins, samples, p, order), p))
     kept = matrix.select("peak_id", "bin_index", "bin_mz").distinct()
-    apex = C.vectors(C.apex_spectra(points, scans, few, shifts, p, order), kept, samples, p, order)
+    apex = C.vectors(C.apex_spectra(points, scans, few, shifts, order), kept, samples, p, order)
     scores = C.spectrum_scores(matrix, apex)
     top = pinned(C.top_changes(C.mz_changes(matrix), p).select("peak_id", "candidate_rank", F.col("bin_mz").alias("target_mz")))
     features = pinned(C.candidate_features(points, scans, top, few, shifts, p))
