@@ -22,8 +22,9 @@ def clusters(points: DataFrame, by: list[str], ppm: float | None, da: float = 0.
     tolerance of its weighted centre (ppm, or da). Points need a positive intensity, of at least `least`.
 
     A weighted centre never exceeds the last m/z, so no cluster crosses a gap wider than the tolerance. An island no wider than
-    the tolerance at its lower end is one cluster whatever the order, so aggregates alone give it; wider ones are folded in
-    pieces (see fold_pieces). points are read once for the bins, once more for the aggregates, and where islands are wide once for those.
+    the tolerance at its lower end is one cluster whatever the order, so aggregates alone give it. In wider ones a point at the m/z of
+    its cluster's last is always within reach, so points of one m/z are one, whatever the rest of `order`: what is folded in pieces (see
+    fold_pieces) has a row per m/z. points are read once for the bins, once more for the aggregates, and where islands are wide once for those.
     """
     points = points.where(F.col("intensity") >= least if least > 0 else F.col("intensity") > 0)
     tol = lambda x: F.greatest(ppm_window(F.col(x), ppm), lit(1e-9)) if ppm is not None else lit(da)
@@ -37,8 +38,11 @@ def clusters(points: DataFrame, by: list[str], ppm: float | None, da: float = 0.
     if not bins.where("_wide").limit(1).count():
         return one
     near = (lambda centre: max(abs(centre) * ppm / 1e6, 1e-9)) if ppm is not None else (lambda centre: da)
-    parts = fold_pieces(pick(True).select(*dict.fromkeys([*by, "island", "mz", "intensity", "scan_id", *order])), by, list(order), near, piece_rows)
-    return one.unionByName(scan(parts, [*by, "start"], "heavy", "weight", "top").groupBy(*by, "start").agg(*sums).drop("start"))
+    wide = pick(True).groupBy(*by, "island", "mz", "scan_id").agg(F.sum("intensity").alias("weight"), F.max("intensity").alias("top"))
+    wide = written(wide, "mz-scans")
+    starts = fold_pieces(wide.groupBy(*by, "island", "mz").agg(F.sum("weight").alias("weight")), by, near, piece_rows)
+    parts = wide.join(small_side(written(starts, "mz-starts")), [*by, "island", "mz"])
+    return one.unionByName(scan(parts, [*by, "start"], F.col("mz") * F.col("weight"), "weight", "top").groupBy(*by, "start").agg(*sums).drop("start"))
 
 
 def fold(keys, mzs, weights, places, near, entry: tuple | None) -> tuple[list[int], tuple]:
@@ -54,19 +58,21 @@ def fold(keys, mzs, weights, places, near, entry: tuple | None) -> tuple[list[in
     return out, (key, heavy, weight, start)
 
 
-def fold_pieces(x: DataFrame, by: list[str], order: list[str], near, rows: int) -> DataFrame:
-    """(by.., start, scan_id, heavy, weight, top): sums by cluster and scan of points x in islands, equal to one fold over each.
+def fold_pieces(x: DataFrame, by: list[str], near, rows: int) -> DataFrame:
+    """(by.., island, mz, start): the place where the cluster of each row of x (by.., island, mz, weight; a row per m/z) begins, as in one
+    fold over each island in m/z order.
 
-    Ordered points are cut into pieces. Each is first folded as if nothing came before. A fold forgets what came before where a
+    Ordered rows are cut into pieces. Each is first folded as if nothing came before. A fold forgets what came before where a
     cluster begins, so nearly always a piece leaves with the same state whatever it was entered with: pieces are then folded
     again from the state that their predecessor left, as long as the state that they were entered with changes. The first piece is right at
     once and each round settles one more at least, so the rounds end, in practice after the second; a row a piece is all that passes between them.
     """
     kinds = dict(x.dtypes)
-    x = in_pieces(x.withColumn("_key", F.xxhash64(*by, "island")), [*by, "island", *order], rows, "mz-pieces")
+    of = [*by, "island", "mz"]
+    x = in_pieces(x.withColumn("_key", F.xxhash64(*by, "island")), of, rows, "mz-pieces")
     state = "_key long, heavy double, weight double, start long"
-    schema = ", ".join(["piece long", *[f"`{c}` {kinds[c]}" for c in by], "scan_id string, top double", state, "_first long, _exit boolean"])
-    names = ["piece", *by, "scan_id", "top", "_key", "heavy", "weight", "start", "_first", "_exit"]
+    schema = ", ".join(["piece long", *[f"`{c}` {kinds[c]}" for c in of], state, "_first long, _exit boolean"])
+    names = ["piece", *of, "_key", "heavy", "weight", "start", "_first", "_exit"]
 
     def run(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(before):
@@ -74,10 +80,9 @@ def fold_pieces(x: DataFrame, by: list[str], order: list[str], near, rows: int)
         rows = rows.sort_values("pos")
         entry = tuple(before[c].iloc[0] for c in ("_key", "heavy", "weight", "start"))  # column by column: one row of all would be of floats
         entry = None if pd.isna(entry[0]) else (int(entry[0]), float(entry[1]), float(entry[2]), int(entry[3]))
-        start, last = fold(rows["_key"].tolist(), rows["mz"].tolist(), rows["intensity"].tolist(), rows["pos"].tolist(), near, entry)
-        g = rows.assign(start=start, heavy=rows["mz"] * rows["intensity"]).groupby(["start", "scan_id"], sort=False, dropna=False)
-        out = g.agg(**{c: (c, "first") for c in (*by, "piece")}, heavy=("heavy", "sum"), weight=("intensity", "sum"), top=("intensity", "max")).reset_index().assign(_exit=False, _key=None, _first=None)
-        end = pd.DataFrame([[rows["piece"].iloc[0], *[None] * len(by), None, None, *last, rows["_key"].iloc[0], True]], columns=names)
+        start, last = fold(rows["_key"].tolist(), rows["mz"].tolist(), rows["weight"].tolist(), rows["pos"].tolist(), near, entry)
+        out = rows[["piece", *of]].assign(_key=None, heavy=None, weight=None, start=start, _first=None, _exit=False)
+        end = pd.DataFrame([[rows["piece"].iloc[0], *[None] * len(of), *last, rows["_key"].iloc[0], True]], columns=names)
         return pd.concat([out[names].astype(object), end.astype(object)], ignore_index=True)
 
     def folded(entries: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def fold_pieces(x: DataFrame, by: list[str], order: list[str], near, rows: int)
             alike &= F.col(c).eqNullSafe(F.col(f"_was_{c}"))
         again = written(now.join(was, "piece").where(~alike).select(*now.columns), "mz-again")
         if not again.limit(1).count():
-            return found.where("NOT _exit").select(*by, "start", "scan_id", "heavy", "weight", "top")
+            return found.where("NOT _exit").select(*of, "start")
         found = found.join(again.select("piece"), "piece", "left_anti").select(*names).unionByName(folded(again).select(*names))
         entered = now
 
