@@ -2,12 +2,13 @@
 
 Sets are a text's distinct word shingles; equal sets are one class with the least doc_id as its representative. Shingles
 have one global order, rare before frequent (any order is right; the most frequent ones are found over all texts and
-broadcast under a fixed bound). Two sets that link share two of their first n - t + 2 shingles and one of their first
-n - t + 1, t being the least overlap a set of n can link with. Light sets (small ones) therefore emit all 2-subsets of
-the longer prefix; heavy sets are looked for in inverted lists of the shorter one; light sets that heavy ones could link
-with stand in those lists too. The boundary is where emitting subsets costs more than scanning lists.
+broadcast under a fixed bound). Two sets that link share two of their first n - t + 2 shingles, t being the least overlap
+a set of n can link with. Light sets (small ones) therefore emit all 2-subsets of that prefix; heavy sets are looked for
+in its inverted lists; light sets that heavy ones could link with stand in those lists too. The boundary is where emitting
+subsets costs more than scanning lists.
 
-Lists of at most `short` classes give their pairs. A longer one is not expanded: it gives its leader, the member with
+Lists of at most `short` classes give their pairs, which go on where they share two lists or a 2-subset: unlike texts meet
+in one list by chance, the more the longer lists are. A pair that shares a longer list needs no other. That one is not expanded: it gives its leader, the member with
 most frequent shingles, against each member; leaders' links are verified and make components. What is then in one
 component need not be compared; only members outside their leader's component are compared with the rest of their list,
 in tiles of bounded size that return a spanning forest of the links found. So every link between
@@ -132,15 +133,14 @@ def signatures(reps: DataFrame, width: int, num: int, den: int, light: int, freq
             bins = np.bincount(owner * BINS + (mixed(keys) % np.uint64(BINS)).astype(np.int64), minlength=b.num_rows * BINS)
             bins = np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)
             place = np.arange(len(keys)) - begin[owner]
-            prefix = n - -(-num * n // den) + 1
+            prefix = np.minimum(n - -(-num * n // den) + 2, n)
             # list entries: of heavy sets, and of light ones whose partners can be heavy
             listed = (den * n > num * light)[owner] & (place < prefix[owner]) & (n > 1)[owner]
             sig, who = [mixed(keys[listed])], [owner[listed]]
-            # 2-subsets of the light sets' longer prefixes
+            # 2-subsets of the light sets' prefixes
             small = (n <= light) & (n > 1)
-            p = np.minimum(prefix + 1, n)
-            for size in np.unique(p[small]):
-                rows = np.flatnonzero(small & (p == size))
+            for size in np.unique(prefix[small]):
+                rows = np.flatnonzero(small & (prefix == size))
                 i, j = np.triu_indices(size, 1)
                 x, y = keys[begin[rows][:, None] + i], keys[begin[rows][:, None] + j]
                 with np.errstate(over="ignore"):
@@ -278,6 +278,17 @@ def tiles(group: DataFrame, key: str, size: int, shingles: int = 1 << 62) -> Dat
     return left.unionByName(right)
 
 
+def representatives(docs: DataFrame, rows: DataFrame, classes: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """docs whose doc_id is the rep of one of classes. Where those are too many to be broadcast, the other doc_ids of rows are found and left
+    out, which are few unless copies are many; texts are shuffled only if both are many."""
+    ids = classes.select(F.col("rep").alias("doc_id"))
+    if ids.count() * 16 > max_bytes:
+        others = materialize(rows.where("doc_id IS NOT NULL").select("doc_id").distinct().join(ids, "doc_id", "left_anti"), "join-others")
+        if others.count() * 16 <= max_bytes:
+            return docs.where("doc_id IS NOT NULL").join(F.broadcast(others), "doc_id", "left_anti")
+    return docs.join(small_side(ids, max_bytes), "doc_id", "left_semi")
+
+
 def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short: int = 32, tile: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text): links where den * |A and B| >= num * |A or B|.
 
@@ -301,7 +312,7 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     scanned = float(counts.mean()) * min(1.0, float(counts.sum()) / total) if len(counts) else 0.0
     light = light_boundary(sizes, scanned, num, den)
 
-    reps = docs.join(small_side(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    reps = representatives(docs, rows, classes)
     signed = materialize(signatures(reps, width, num, den, light, frequent, counts), "join-signatures")
     facts = signed.where("sig IS NULL").select("rep", "n", "cent", "bins")
     entries = signed.where("sig IS NOT NULL").select("sig", "rep")
@@ -312,7 +323,8 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     fits = (num * F.col("_n") <= den * F.col("n")) & (num * F.col("n") <= den * F.col("_n"))
     few = shared.where(F.col("_size") <= short).select("sig", "rep", "n")
     other = few.select("sig", F.col("rep").alias("_rep"), F.col("n").alias("_n"))
-    pairs = few.join(other, "sig").where((F.col("rep") < F.col("_rep")) & fits).select(F.col("rep").alias("lead"), F.col("_rep").alias("x"))
+    pairs = few.join(other, "sig").where((F.col("rep") < F.col("_rep")) & fits).groupBy(F.col("rep").alias("lead"), F.col("_rep").alias("x"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("_lists"), F.max(F.greatest("n", "_n") <= light).alias("_light")).where("_lists > 1 OR _light").select("lead", "x")
     many = shared.where(F.col("_size") > short)
     lead = many.groupBy("sig").agg(F.max(F.struct("cent", (-F.col("rep")).alias("_r"), "n")).alias("_l")).select("sig", (-F.col("_l")["_r"]).alias("lead"), F.col("_l")["n"].alias("_n"))
     grouped = materialize(many.join(lead, "sig").select("sig", "lead", F.col("rep").alias("x"), "n", "_n"), "join-groups")
