@@ -1,8 +1,10 @@
 """N-gram Jaccard join by the size-aware light/heavy method, as connected components.
 
 Sets are a text's distinct word shingles; equal sets are one class with the least doc_id as its representative. Shingles
-have one global order, rare before frequent (any order is right; the most frequent ones are found over all texts and
-broadcast under a fixed bound). Two sets that link share two of their first n - t + 2 shingles, t being the least overlap
+have one global order, rare before frequent. Any order is right; this one is known from two tables of fixed size, made from all
+texts and broadcast: the most frequent shingles, which come last, and, for the part of the hash space that prefixes are taken from,
+how many occurrences fell in each slot. A passage that many unlike texts share is no task's frequent one, but its slots are full, so it
+leaves the prefixes and makes no list. Two sets that link share two of their first n - t + 2 shingles, t being the least overlap
 a set of n can link with. Light sets (small ones) therefore emit all 2-subsets of that prefix; heavy sets are looked for
 in its inverted lists; light sets that heavy ones could link with stand in those lists too. The boundary is where emitting
 subsets costs more than scanning lists.
@@ -35,11 +37,20 @@ from .words import mixed, slices, window_hashes, word_hashes, words
 
 MOST_FREQUENT, LEAST_FREQUENT = 1 << 18, 4
 MOST_HELD = 1 << 21  # shingles that a task counts at once
+SLOTS, CHUNK = 1 << 22, 1 << 13  # counters of the slot table, and of one row of it
 MOST_COMPARED = 1 << 19  # shingles of the sets that a task's group compares, about
 BINS = 128
 ROW_COST = 20.0  # compares in a list that cost as much as one emitted row
 
 
+def _sorted_within(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """keys, which lie owner by owner, n of each, sorted within each owner."""
+    ends, keys = np.cumsum(n).tolist(), keys.copy()
+    for lo, hi in zip([0, *ends], ends):
+        keys[lo:hi].sort()
+    return keys
+
+
 def shingles(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes of all texts, distinct and sorted within each, owner of each)."""
     flat, off = words(texts)
@@ -53,8 +64,10 @@ def shingles(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     for i in np.flatnonzero((n > 0) & (n < width)):
         keys = np.append(keys, mixed(window_hashes(h[off[i] : off[i + 1]], int(n[i])) ^ np.uint64(n[i])))
         owner = np.append(owner, i)
-    order = np.lexsort((keys, owner))
-    keys, owner = keys[order], owner[order]
+    if len(owner) > 1 and (owner[1:] < owner[:-1]).any():
+        order = np.argsort(owner, kind="stable")
+        keys, owner = keys[order], owner[order]
+    keys = _sorted_within(keys, np.bincount(owner, minlength=len(n)))
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
     return keys[first], owner[first]
@@ -64,12 +77,19 @@ def _signed(x):
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def identities(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of two kinds from one reading: (doc_id, n, k1, k2) of each text, with k1, k2 naming its set, and, with k2 null,
-    (k1: shingle, n: its texts) where a task's part of the texts holds it twice or more."""
+def _part(num: int, den: int) -> np.uint64:
+    """Hashes below this have slots: twice the share of a set that its prefix is, an eighth of all at least."""
+    return np.uint64(min(1.0, max(2 * (den - num) / den, 1 / 8)) * ((1 << 64) - (1 << 12)))
+
+
+def identities(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Rows of three kinds from one reading: (doc_id, n, k1, k2) of each text, with k1, k2 naming its set; with k2 null,
+    (k1: shingle, n: its texts) where a task's part of the texts holds it twice or more; with counts (uint16, cut off at 65535) too,
+    (k1: chunk, counts) of a task's part of the slot table."""
+    names, part = ["doc_id", "n", "k1", "k2", "counts"], _part(num, den)
 
     def run(batches):
-        held, rows = [], 0
+        held, rows, slots = [], 0, np.zeros(SLOTS, np.uint32)
 
         def seen():
             nonlocal held, rows
@@ -77,7 +97,7 @@ def identities(docs: DataFrame, width: int) -> DataFrame:
             ids, n = ids[n > 1], n[n > 1]
             held, rows = [], 0
             none = pa.nulls(len(ids), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n), _signed(ids), none], ["doc_id", "n", "k1", "k2"])
+            return pa.RecordBatch.from_arrays([none, pa.array(n), _signed(ids), none, pa.nulls(len(ids), pa.binary())], names)
 
         for b in slices(batches):
             keys, owner = shingles(b.column("text"), width)
@@ -87,26 +107,57 @@ def identities(docs: DataFrame, width: int) -> DataFrame:
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(keys), dtype=np.uint64)])
                 other = np.concatenate([[np.uint64(0)], np.cumsum(mixed(keys ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
                 k1, k2 = total[ends[1:]] - total[ends[:-1]], other[ends[1:]] - other[ends[:-1]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), _signed(k1), _signed(k2)], ["doc_id", "n", "k1", "k2"])
+            none = pa.nulls(b.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), _signed(k1), _signed(k2), none], names)
+            np.add.at(slots, (keys[keys <= part] % np.uint64(SLOTS)).astype(np.int64), np.uint32(1))
             held.append(keys)
             rows += len(keys)
             if rows > MOST_HELD:
                 yield seen()
         if rows:
             yield seen()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
-
-
-def _order(keys, owner, frequent, counts):
-    """Shingles of each owner in the global order: by frequency, then hash. Also each one's frequency (0: not frequent)."""
+        chunks = np.minimum(slots, 65535).astype(np.uint16).reshape(-1, CHUNK)
+        at = np.flatnonzero(chunks.any(1))
+        for lo in range(0, len(at), 64):
+            i = at[lo : lo + 64]
+            none = pa.nulls(len(i), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(i), none, pa.array([x.tobytes() for x in chunks[i]], pa.binary())], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, counts binary")
+
+
+def slot_levels(chunks: DataFrame) -> tuple[np.ndarray, int]:
+    """(level of each slot, level of what has no slot) from the rows of identities that have counts. Levels go by count; what has no
+    slot stands behind the slots that hold the emptier three quarters of all occurrences."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CHUNK, np.int64)
+        for x in group["counts"]:
+            total += np.frombuffer(x, np.uint16)
+        return pd.DataFrame({"k1": [group["k1"].iloc[0]], "counts": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]})
+
+    slots = np.zeros(SLOTS, np.int64)
+    for r in chunks.select("k1", "counts").groupBy("k1").applyInPandas(add, "k1 long, counts binary").collect():
+        slots[r["k1"] * CHUNK : (r["k1"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint32)
+    by_count = np.sort(slots)
+    held = np.cumsum(by_count)
+    middle = int(by_count[np.searchsorted(held, held[-1] * 3 // 4)])
+    shift = max(0, middle.bit_length() - 12)
+    return (2 * np.minimum(slots >> shift, 0x7FF0)).astype(np.uint16), 2 * (middle >> shift) + 1
+
+
+def _order(keys: np.ndarray, n: np.ndarray, part: np.uint64, levels: tuple[np.ndarray, int], frequent: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, which keys are frequent): places are numbers that stand for shingles and ascend in the global order, sorted within each
+    owner: by level, then hash, the frequent ones last, by rank. Should two shingles have one number, they count as one, twice."""
+    slots, other = levels
+    level = np.where(keys <= part, slots[(keys % np.uint64(SLOTS)).astype(np.int64)], np.uint16(other))
+    places = (level.astype(np.uint64) << np.uint64(48)) | (keys >> np.uint64(16))
+    common = np.zeros(len(keys), bool)
     if len(frequent):
         i = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-        f = np.where(frequent[i] == keys, counts[i], 0)
-    else:
-        f = np.zeros(len(keys), np.int64)
-    order = np.lexsort((keys, f, owner))
-    return keys[order], owner[order], f[order]
+        common = frequent[i] == keys
+        places[common] = (np.uint64(0xFFFF) << np.uint64(48)) | ranks[i[common]]
+    return _sorted_within(places, n), common
 
 
 def light_boundary(sizes: list[tuple[int, int]], scanned: float, num: int, den: int) -> int:
@@ -120,29 +171,31 @@ def light_boundary(sizes: list[tuple[int, int]], scanned: float, num: int, den:
     return at
 
 
-def signatures(reps: DataFrame, width: int, num: int, den: int, light: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+def signatures(reps: DataFrame, width: int, num: int, den: int, light: int, levels: tuple[np.ndarray, int], frequent: np.ndarray, ranks: np.ndarray) -> DataFrame:
     """Rows of two kinds for the sets of reps (doc_id, text): (sig, rep) for each subset and list entry, and, with sig null,
     (rep, n, cent: share of frequent shingles in thousandths, bins: counts by hash bucket, cut off at 255)."""
+    part = _part(num, den)
 
     def run(batches):
         for b in slices(batches, most_bytes=2 << 20):
-            keys, owner, f = _order(*shingles(b.column("text"), width), frequent, counts)
+            keys, owner = shingles(b.column("text"), width)
             n = np.bincount(owner, minlength=b.num_rows)
             begin = np.concatenate([[0], np.cumsum(n)])[:-1]
-            cent = np.bincount(owner, weights=f > 0, minlength=b.num_rows) * 1000 // np.maximum(n, 1)
+            places, common = _order(keys, n, part, levels, frequent, ranks)
+            cent = np.bincount(owner, weights=common, minlength=b.num_rows) * 1000 // np.maximum(n, 1)
             bins = np.bincount(owner * BINS + (mixed(keys) % np.uint64(BINS)).astype(np.int64), minlength=b.num_rows * BINS)
             bins = np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)
             place = np.arange(len(keys)) - begin[owner]
             prefix = np.minimum(n - -(-num * n // den) + 2, n)
             # list entries: of heavy sets, and of light ones whose partners can be heavy
             listed = (den * n > num * light)[owner] & (place < prefix[owner]) & (n > 1)[owner]
-            sig, who = [mixed(keys[listed])], [owner[listed]]
+            sig, who = [mixed(places[listed])], [owner[listed]]
             # 2-subsets of the light sets' prefixes
             small = (n <= light) & (n > 1)
             for size in np.unique(prefix[small]):
                 rows = np.flatnonzero(small & (prefix == size))
                 i, j = np.triu_indices(size, 1)
-                x, y = keys[begin[rows][:, None] + i], keys[begin[rows][:, None] + j]
+                x, y = places[begin[rows][:, None] + i], places[begin[rows][:, None] + j]
                 with np.errstate(over="ignore"):
                     sig.append(mixed(x * np.uint64(0x9E3779B97F4A7C15) + mixed(y)).ravel())
                 who.append(np.repeat(rows, len(i)))
@@ -296,13 +349,16 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    both = materialize(identities(docs, width), "join-sets")
-    rows = both.where("k2 IS NOT NULL")
-    common = materialize(both.where("k2 IS NULL").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT), "join-frequent")
+    both = materialize(identities(docs, width, num, den), "join-sets")
+    rows = both.where("k2 IS NOT NULL").drop("counts")
+    levels = slot_levels(both.where("counts IS NOT NULL"))
+    common = materialize(both.where("k2 IS NULL AND counts IS NULL").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT), "join-frequent")
     common = most_frequent(common, MOST_FREQUENT)
     common["k1"] = common["k1"].to_numpy(np.int64).view(np.uint64) if len(common) else np.zeros(0, np.uint64)
     common = common.sort_values("k1")
     frequent, counts = common["k1"].to_numpy(np.uint64), common["n"].to_numpy(np.int64)
+    ranks = np.zeros(len(counts), np.uint64)
+    ranks[np.lexsort((frequent, counts))] = np.arange(len(counts), dtype=np.uint64)
 
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("size")), "join-classes")
@@ -313,7 +369,7 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, short:
     light = light_boundary(sizes, scanned, num, den)
 
     reps = representatives(docs, rows, classes)
-    signed = materialize(signatures(reps, width, num, den, light, frequent, counts), "join-signatures")
+    signed = materialize(signatures(reps, width, num, den, light, levels, frequent, ranks), "join-signatures")
     facts = signed.where("sig IS NULL").select("rep", "n", "cent", "bins")
     entries = signed.where("sig IS NOT NULL").select("sig", "rep")
     lists = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
